@@ -245,3 +245,131 @@ def correlation_pairs(corr_long: DataFrame, columns: list[str], threshold: float
         .orderBy(F.abs("corr").desc(), "p1", "p2")
         .select("var1", "var2", "corr")
     )
+
+
+# ----------------------------------------------------------------------------- histogram / box plot / density
+
+
+def _range_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    aggs = []
+    for i, c in enumerate(cols):
+        x = q(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.stddev_samp(x).alias(f"sd{i}")]
+    row = df.agg(*aggs).collect()[0]
+    return {c: {"n": row[f"n{i}"], "min": row[f"mn{i}"], "max": row[f"mx{i}"], "std": row[f"sd{i}"]}
+            for i, c in enumerate(cols)}
+
+
+def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
+    """NumPy's 'auto' rule: width = min(Freedman-Diaconis, Sturges)."""
+    ptp = hi - lo
+    if n == 0 or ptp == 0:
+        return 1
+    sturges = ptp / (math.log2(n) + 1.0)
+    fd = 2.0 * iqr * n ** (-1.0 / 3.0)
+    width = min(fd, sturges) if fd > 0 else sturges
+    return max(1, int(math.ceil(ptp / width)))
+
+
+def histogram_bins(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Bin edges and counts per column (all bins, empty ones included; last
+    bin closed). Bins come from one range pass and the exact quartiles; the
+    counting is one ``groupBy`` over (variable, bin)."""
+    cols = present(df, columns)
+    st = _range_stats(df, cols)
+    quart = exact_quantiles(df, cols, [0.25, 0.75], counts={c: st[c]["n"] for c in cols})
+    spec = []
+    for c in cols:
+        s = st[c]
+        if not s["n"]:
+            continue
+        iqr = quart[(c, 0.75)] - quart[(c, 0.25)]
+        nb = auto_bins(s["n"], s["min"], s["max"], iqr)
+        spec.append((c, nb, s["min"], s["max"]))
+    if not spec:
+        return df.sparkSession.createDataFrame([], "variable string, bin int, lower double, upper double, count long")
+    structs = []
+    for c, nb, lo, hi in spec:
+        x = q(c).cast("double")
+        ptp = hi - lo
+        idx = F.lit(0) if ptp == 0 else F.least(F.floor((x - F.lit(lo)) * F.lit(float(nb)) / F.lit(ptp)), F.lit(nb - 1))
+        structs.append(F.struct(F.lit(c).alias("variable"), F.when(x.isNotNull(), idx.cast("int")).alias("bin")))
+    counts = (
+        df.select(F.explode(F.array(*structs)).alias("s")).select("s.variable", "s.bin")
+        .where(F.col("bin").isNotNull()).groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("count"))
+    )
+    spark = df.sparkSession
+    grids = None
+    for c, nb, lo, hi in spec:
+        width = (hi - lo) / nb
+        g = spark.range(nb).select(
+            F.lit(c).alias("variable"), F.col("id").cast("int").alias("bin"),
+            (F.lit(lo) + F.col("id") * F.lit(width)).alias("lower"),
+            F.when(F.col("id") == nb - 1, F.lit(hi)).otherwise(F.lit(lo) + (F.col("id") + 1) * F.lit(width)).alias("upper"),
+        )
+        grids = g if grids is None else grids.unionByName(g)
+    return grids.join(counts, ["variable", "bin"], "left").select(
+        "variable", "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("long").alias("count")
+    )
+
+
+def boxplot_stats(df: DataFrame, columns: list[str], whisker: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers (extreme points inside 1.5 IQR) and outlier count."""
+    cols = present(df, columns)
+    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    aggs, fences = [], {}
+    for i, c in enumerate(cols):
+        q1, q3 = quart[(c, 0.25)], quart[(c, 0.75)]
+        if q1 is None:
+            continue
+        lo, hi = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+        fences[c] = (lo, hi)
+        x = q(c).cast("double")
+        inside = x.between(F.lit(lo), F.lit(hi))
+        aggs += [F.min(F.when(inside, x)).alias(f"wl{i}"), F.max(F.when(inside, x)).alias(f"wh{i}"),
+                 F.count_if(x.isNotNull() & ~inside).alias(f"o{i}")]
+    row = df.agg(*aggs).collect()[0] if aggs else None
+    recs = []
+    for i, c in enumerate(cols):
+        if c not in fences:
+            continue
+        recs.append((c, quart[(c, 0.25)], quart[(c, 0.5)], quart[(c, 0.75)], row[f"wl{i}"], row[f"wh{i}"], row[f"o{i}"]))
+    return df.sparkSession.createDataFrame(
+        recs, "variable string, q1 double, median double, q3 double, whisker_low double, whisker_high double, n_outliers long"
+    )
+
+
+def density_grid(df: DataFrame, column: str, grid_size: int = 200, prebin: int | None = 4096) -> DataFrame:
+    """Gaussian kernel density (Scott bandwidth, sample std) on an even grid
+    from min to max.
+
+    ``prebin`` bins the column finely first (one ``groupBy``) and evaluates
+    the kernel on bin centres weighted by counts: the work after the scan is
+    prebin x grid, independent of the row count. ``prebin=None`` is the exact
+    per-row sum (tests, small data)."""
+    st = _range_stats(df, [column])[column]
+    n, lo, hi, sd = st["n"], st["min"], st["max"], st["std"]
+    spark = df.sparkSession
+    if not n or sd is None or sd == 0:
+        return spark.createDataFrame([], "variable string, point int, x double, density double")
+    bw = sd * n ** (-1.0 / 5.0)
+    step = (hi - lo) / (grid_size - 1) if grid_size > 1 else 0.0
+    x = q(column).cast("double")
+    if prebin:
+        width = (hi - lo) / prebin if hi > lo else 1.0
+        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(prebin - 1))
+        pts = df.where(x.isNotNull()).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("w"))
+        pts = pts.select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(width)).alias("v"), F.col("w").cast("double").alias("w"))
+    else:
+        pts = df.where(x.isNotNull()).select(x.alias("v"), F.lit(1.0).alias("w"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(grid_size - 1)),
+                       lambda k: F.struct(k.alias("point"), (F.lit(lo) + k * F.lit(step)).alias("x")))
+    contrib = pts.select("v", "w", F.explode(grid).alias("g")).select(
+        F.col("g.point").alias("point"), F.col("g.x").alias("x"),
+        (F.col("w") * F.exp(-0.5 * F.pow((F.col("g.x") - F.col("v")) / F.lit(bw), 2))).alias("k"),
+    )
+    norm = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
+    return contrib.groupBy("point", "x").agg((F.sum("k") * F.lit(norm)).alias("density")).select(
+        F.lit(column).alias("variable"), "point", "x", "density"
+    )

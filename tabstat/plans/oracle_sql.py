@@ -95,6 +95,19 @@ select obs_id, seg_id, district, street, day_text, start_text, end_text, dur_tex
 from obs_e)"""
 
 
+OBS_COLUMNS = [
+    "obs_id", "seg_id", "district", "street", "day_text", "start_text", "end_text", "dur_text",
+    "x", "y", "rank", "length", "speed", "dt_start", "dt_end", "duration_min", "peak",
+    "hour_sin", "hour_cos", "target_bin", "length_log1p",
+]
+NUMERIC = ["x", "y", "rank", "length", "length_log1p", "speed", "duration_min", "hour_sin", "hour_cos"]
+CATEGORICAL = ["street", "district", "seg_id", "peak"]
+
+
+def union(parts: list[str]) -> str:
+    return "\nunion all\n".join(parts)
+
+
 def with_obs(select: str) -> str:
     return f"WITH {RAW_OBS},\n{OBS_STEPS}\n{select}"
 
@@ -118,4 +131,96 @@ from obs"""
   round(avg(duration_min), 2) as duration_min_mean
 from obs where district is not null group by district"""
     )
+
+    q["numeric_summary"] = with_obs(union([
+        f"""select '{c}' as variable, round(count({c})::double, 2) as count, round(avg({c}), 2) as mean,
+  round(stddev_samp({c}), 2) as std, round(min({c}), 2) as min, round(quantile_cont({c}, 0.25), 2) as q25,
+  round(quantile_cont({c}, 0.5), 2) as median, round(quantile_cont({c}, 0.75), 2) as q75,
+  round(max({c}), 2) as max, round(skewness({c}), 2) as skew, round(kurtosis({c}), 2) as kurtosis from obs"""
+        for c in NUMERIC]))
+
+    q["column_skew"] = with_obs("select round(skewness(length), 6) as skew from obs")
+
+    long_cat = union([f"select '{c}' as variable, cast({c} as varchar) as value from obs" for c in CATEGORICAL])
+    q["categorical_profile"] = with_obs(f"""select variable, nd as n_distinct, value as top, cnt as freq_top from (
+  select *, row_number() over (partition by variable order by cnt desc, value) as rk,
+         count(*) over (partition by variable) as nd
+  from (select variable, value, count(*) as cnt from ({long_cat}) where value is not null group by variable, value))
+where rk = 1""")
+
+    miss = union([
+        f"select {i} as pos, '{c}' as variable, count(*) - count({c}) as n_missing, "
+        f"round((count(*) - count({c})) / count(*) * 100.0, 2) as pct_missing from obs"
+        for i, c in enumerate(OBS_COLUMNS)])
+    q["missing_report"] = with_obs(miss)
+    q["columns_with_missing"] = with_obs(f"select variable, n_missing from ({miss}) where n_missing > 0")
+    q["missing_sorted"] = with_obs(f"select * from ({miss}) order by pct_missing desc, pos")
+
+    q["group_mean"] = with_obs("select peak, round(avg(speed), 2) as speed_mean from obs group by peak")
+    q["group_argmin"] = with_obs("""select district, speed_mean from (
+  select district, round(avg(speed), 2) as speed_mean from obs where district is not null group by district)
+where speed_mean is not null order by speed_mean, district limit 1""")
+
+    q["category_counts_topk"] = with_obs(union([
+        f"""select * from (select '{c}' as variable, coalesce(cast({c} as varchar), 'Desconocido') as value,
+  count(*) as count from obs group by 2 order by count desc, value limit 20)""" for c in CATEGORICAL]))
+
+    q["category_shares"] = with_obs("""select 'district' as variable, district as value, count(*) as count,
+  round(count(*) / sum(count(*)) over (), 9) as share from obs where district is not null group by district""")
+
+    corr_parts = []
+    for a in NUMERIC:
+        for b in NUMERIC:
+            corr_parts.append(
+                f"select '{a}' as var1, '{b}' as var2, round(case when count({a} + {b}) > 1 and var_pop(case when {b} is not null then {a} end) > 0 "
+                f"and var_pop(case when {a} is not null then {b} end) > 0 then corr({a}, {b}) end, 6) as corr from obs")
+    corr = union(corr_parts)
+    q["correlation_matrix"] = with_obs(corr)
+    pos = ", ".join(f"('{c}', {i})" for i, c in enumerate(NUMERIC))
+    pairs = f"""select c.var1, c.var2, c.corr, p1.pos as p1, p2.pos as p2 from ({corr}) c
+  join (values {pos}) p1(name, pos) on c.var1 = p1.name
+  join (values {pos}) p2(name, pos) on c.var2 = p2.name
+  where p1.pos < p2.pos and c.corr is not null and abs(c.corr) >= 0.5"""
+    q["correlation_pairs"] = with_obs(f"select var1, var2, corr from ({pairs}) order by abs(corr) desc, p1, p2")
+    q["top_correlations"] = with_obs(f"select var1, var2, corr from ({pairs}) order by abs(corr) desc, p1, p2 limit 5")
+
+    hist = []
+    for c in NUMERIC:
+        hist.append(f"""select '{c}' as variable, g.bin, round(g.lower, 6) as lower, round(g.upper, 6) as upper,
+  coalesce(k.cnt, 0) as count from (
+    select i::integer as bin, s.mn + i * (s.mx - s.mn) / s.nb as lower,
+      case when i = s.nb - 1 then s.mx else s.mn + (i + 1) * (s.mx - s.mn) / s.nb end as upper
+    from st_{c} s, range(s.nb::bigint) r(i)) g
+  left join (
+    select least(floor(({c} - s.mn) * s.nb::double / (s.mx - s.mn)), s.nb - 1)::integer as bin, count(*) as cnt
+    from obs, st_{c} s where {c} is not null group by 1) k on g.bin = k.bin""")
+    stats = ",\n".join(
+        f"""st_{c} AS (select mn, mx, n, case when mx = mn then 1 else cast(ceil((mx - mn) / case when fd > 0 then least(fd, (mx - mn) / (log2(n) + 1)) else (mx - mn) / (log2(n) + 1) end) as bigint) end as nb
+  from (select min({c}) as mn, max({c}) as mx, count({c}) as n,
+    2.0 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) * pow(count({c}), -1.0 / 3.0) as fd from obs))"""
+        for c in NUMERIC)
+    q["histogram_bins"] = f"WITH {RAW_OBS},\n{OBS_STEPS},\n{stats}\n" + union(hist)
+
+    box = []
+    for c in NUMERIC:
+        box.append(f"""select '{c}' as variable, round(q1, 6) as q1, round(med, 6) as median, round(q3, 6) as q3,
+  round(min(case when {c} between lo and hi then {c} end), 6) as whisker_low,
+  round(max(case when {c} between lo and hi then {c} end), 6) as whisker_high,
+  count(case when {c} is not null and not ({c} between lo and hi) then 1 end) as n_outliers
+from obs, (select q1, med, q3, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from (
+  select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.5) as med, quantile_cont({c}, 0.75) as q3 from obs))
+group by q1, med, q3""")
+    q["boxplot_stats"] = with_obs(union(box))
+
+    q["density_grid"] = with_obs("""select 'speed' as variable, g.point, round(g.x, 9) as x,
+  round(sum(b.w * exp(-0.5 * pow((g.x - b.v) / s.bw, 2))) / (s.n * s.bw * sqrt(2 * pi())), 9) as density
+from (select mn, mx, n, sd * pow(n, -1.0 / 5.0) as bw, (mx - mn) / 4096 as width
+      from (select min(speed) mn, max(speed) mx, count(speed) n, stddev_samp(speed) sd from obs)) s,
+  (select i::integer as point, s2.mn + i * ((s2.mx - s2.mn) / 199) as x
+   from (select min(speed) mn, max(speed) mx from obs) s2, range(200) r(i)) g,
+  (select s3.mn + (b + 0.5) * s3.width as v, count(*)::double as w from (
+     select least(floor((speed - s3.mn) / s3.width), 4095) as b, s3.width, s3.mn from obs,
+       (select min(speed) mn, (max(speed) - min(speed)) / 4096 as width from obs) s3 where speed is not null) s3
+   group by b, s3.width, s3.mn) b
+group by g.point, g.x, s.n, s.bw""")
     return q
