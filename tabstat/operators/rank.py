@@ -48,27 +48,38 @@ def global_cumsum(
     n_buckets: int = 64,
     tiebreak: list[str] | None = None,
     prefix: str = "cum_",
+    group_cols: list[str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in the order of ``order_col``
-    (then ``tiebreak``). Adds ``cum_<c>`` columns; the input should hold one
-    row per order value (or a tiebreak that makes the order total)."""
+    (then ``tiebreak``), restarted per ``group_cols``. Adds ``cum_<c>``
+    columns; the input should hold one row per (group, order value), or a
+    tiebreak that makes the order total. Range bounds are pooled over groups;
+    offsets are per (group, range), so at most groups x n_buckets small rows
+    reach the driver."""
+    groups = list(group_cols or [])
     order = F.col(order_col)
     key = "__key"
     base = df.withColumn(key, (-order if descending else order).cast("double"))
     splits = range_splits(base, key, n_buckets)
     b = assign_range(base, key, splits)
-    totals = b.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    totals = sorted(totals, key=lambda r: r[BUCKET])
-    running = [0] * len(sum_cols)
-    offsets = []
+    totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    by_group: dict[tuple, list] = {}
     for r in totals:
-        offsets.append((float(r[BUCKET]), *[float(v) for v in running]))
-        running = [a + (r[c] or 0) for a, c in zip(running, sum_cols)]
-    schema = f"{BUCKET} double, " + ", ".join(f"__off_{i} double" for i in range(len(sum_cols)))
+        by_group.setdefault(tuple(r[g] for g in groups), []).append(r)
+    offsets = []
+    for gkey, rows in by_group.items():
+        running = [0.0] * len(sum_cols)
+        for r in sorted(rows, key=lambda r: r[BUCKET]):
+            offsets.append((*gkey, float(r[BUCKET]), *[float(v) for v in running]))
+            running = [a + float(r[c] or 0) for a, c in zip(running, sum_cols)]
+    gtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in groups}
+    schema = ", ".join([f"{g} {gtypes[g]}" for g in groups] + [f"{BUCKET} double"]
+                       + [f"__off_{i} double" for i in range(len(sum_cols))])
     off = df.sparkSession.createDataFrame(offsets, schema)
     orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
-    w = Window.partitionBy(BUCKET).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = b.join(F.broadcast(off), BUCKET)
+    w = (Window.partitionBy(*groups, BUCKET).orderBy(*orders)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = b.join(F.broadcast(off), groups + [BUCKET])
     for i, c in enumerate(sum_cols):
         out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + F.col(f"__off_{i}"))
     return out.drop(BUCKET, key, *[f"__off_{i}" for i in range(len(sum_cols))])
