@@ -109,7 +109,8 @@ def union(parts: list[str]) -> str:
 
 
 def with_obs(select: str) -> str:
-    return f"WITH {RAW_OBS},\n{OBS_STEPS}\n{select}"
+    """``select`` may start with ",\n<more CTEs>" to add CTEs after ``obs``."""
+    return f"WITH {RAW_OBS},\n{OBS_STEPS}{'' if select.startswith(',') else chr(10)}{select}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -223,4 +224,7 @@ from (select mn, mx, n, sd * pow(n, -1.0 / 5.0) as bw, (mx - mn) / 4096 as width
        (select min(speed) mn, (max(speed) - min(speed)) / 4096 as width from obs) s3 where speed is not null) s3
    group by b, s3.width, s3.mn) b
 group by g.point, g.x, s.n, s.bw""")
+    from .oracle_rows import oracles as _rows
+
+    q.update(_rows())
     return q

@@ -150,4 +150,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import q_rows
+
+    out = dict(QUERIES)
+    out.update(q_rows.QUERIES)
+    return out
