@@ -112,6 +112,11 @@ def kolmogorov_sf(d: float, n: int) -> float:
     lam = (sn + 0.12 + 0.11 / sn) * d
     if lam < 1e-3:
         return 1.0
+    if lam < 1.18:
+        # small-lambda form of the same series (fast convergence there)
+        c = math.sqrt(2.0 * math.pi) / lam
+        t = sum(math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8.0 * lam * lam)) for k in range(1, 21))
+        return min(1.0, max(0.0, 1.0 - c * t))
     s = 0.0
     for k in range(1, 200):
         term = 2.0 * (-1) ** (k - 1) * math.exp(-2.0 * k * k * lam * lam)

@@ -45,7 +45,7 @@ class PCAResult:
 
     def loading_rows(self, component: int, top: int = 10) -> list[tuple]:
         load = self.components[component]
-        order = sorted(range(len(self.names)), key=lambda j: (-abs(load[j]), self.names[j]))
+        order = sorted(range(len(self.names)), key=lambda j: (-round(abs(load[j]), 12), self.names[j]))
         return [(self.names[j], float(load[j]), rank + 1) for rank, j in enumerate(order[:top])]
 
     def score_columns(self, k: int) -> list[Column]:
@@ -77,7 +77,8 @@ def pca_fit(df: DataFrame, columns: list[str]) -> PCAResult | None:
     vals = np.clip(vals[order], 0, None)
     comps = vecs[:, order].T
     for i in range(comps.shape[0]):
-        j = int(np.argmax(np.abs(comps[i])))
+        a = np.abs(comps[i])
+        j = int(np.nonzero(a >= a.max() - 1e-12)[0][0])  # first of the (near-)largest
         if comps[i, j] < 0:
             comps[i] = -comps[i]
     return PCAResult(list(columns), mx, scales, vals, comps, int(round(n)))

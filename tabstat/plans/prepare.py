@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PrepareOptions, Roles
-from ..functions.duration import fill_duration_minutes, parse_duration
+from ..functions.duration import fill_duration_minutes, with_duration
 from ..functions.numeric import clip, log1p_clip, sample_skew, threshold_label
 from ..functions.text import clean_text, coerce_numeric
 from ..functions.time import (
@@ -57,24 +57,26 @@ def derive(raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = Pre
     df = raw.select(*out)
 
     if {roles.day, roles.start, roles.end} <= cols:
-        start = parse_datetime(roles.day, roles.start)
-        end = parse_datetime(roles.day, roles.end)
-        df = df.withColumn(roles.dt_start, start).withColumn(roles.dt_end, end)
-        df = df.withColumn(roles.dt_end, midnight_rollover(F.col(roles.dt_start), F.col(roles.dt_end)))
+        df = df.withColumns({roles.dt_start: parse_datetime(roles.day, roles.start),
+                             "__end_raw": parse_datetime(roles.day, roles.end)})
+        df = df.withColumn(roles.dt_end, midnight_rollover(F.col(roles.dt_start), F.col("__end_raw"))).drop("__end_raw")
     else:
         df = df.withColumn(roles.dt_start, F.lit(None).cast("timestamp_ntz"))
         df = df.withColumn(roles.dt_end, F.lit(None).cast("timestamp_ntz"))
     ts0, ts1 = F.col(roles.dt_start), F.col(roles.dt_end)
 
     if roles.duration_text in cols:
-        hours, minutes = parse_duration(roles.duration_text, sum_parts=options.sum_duration_parts)
+        df = with_duration(df, roles.duration_text, "__hours", "__minutes", options.sum_duration_parts)
     else:
-        hours = minutes = F.lit(None).cast("double")
-    df = df.withColumn(roles.duration_min, fill_duration_minutes(hours, minutes, seconds_between(ts0, ts1)))
-
-    h0, h1 = hour_fraction(ts0), hour_fraction(ts1)
-    sin, cos = cyclic_encode(circular_midpoint(h0, h1))
-    df = df.withColumn(roles.peak, peak_flag(h0)).withColumn(roles.hour_sin, sin).withColumn(roles.hour_cos, cos)
+        df = df.withColumns({"__hours": F.lit(None).cast("double"), "__minutes": F.lit(None).cast("double")})
+    df = df.withColumn(roles.duration_min,
+                       fill_duration_minutes(F.col("__hours"), F.col("__minutes"), seconds_between(ts0, ts1)))
+
+    df = df.withColumns({"__hs": hour_fraction(ts0), "__he": hour_fraction(ts1)})
+    df = df.withColumn("__mid", circular_midpoint(F.col("__hs"), F.col("__he")))
+    sin, cos = cyclic_encode(F.col("__mid"))
+    df = df.withColumns({roles.peak: peak_flag(F.col("__hs")), roles.hour_sin: sin, roles.hour_cos: cos})
+    df = df.drop("__hours", "__minutes", "__hs", "__he", "__mid")
     if roles.speed in cols:
         df = df.withColumn(roles.label, threshold_label(roles.speed_num))
     return df

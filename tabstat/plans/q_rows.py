@@ -20,7 +20,7 @@ from ..functions.time import (
 )
 from ..operators import features as feat
 from ..sources.fixtures import raw_obs
-from .prepare import constant_columns, derive, prepare
+from .prepare import constant_columns, derive
 
 R = Roles()
 
@@ -30,7 +30,9 @@ def _raw(spark, sf_dir):
 
 
 def _obs(spark, sf_dir, options=PrepareOptions()):
-    return prepare(raw_obs(spark, sf_dir), R, options)
+    from .registry import prepared
+
+    return prepared(spark, sf_dir, options)
 
 
 def _times(spark, sf_dir):

@@ -22,13 +22,33 @@ from .prepare import prepare
 ROLES = Roles()
 
 
+_PREPARED: dict[tuple, tuple[str, object]] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str, options: PrepareOptions = PrepareOptions()):
+    """``prepare`` of the fixture, written once per application and options to
+    the shared checkpoint folder; returns (DataFrame, PrepareReport)."""
+    import os
+
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), options)
+    hit = _PREPARED.get(key)
+    if hit is None:
+        df, report = prepare(raw_obs(spark, sf_dir), ROLES, options)
+        path = scratch_path(spark, "obs")
+        df.write.mode("overwrite").parquet(path)
+        hit = (path, report)
+        _PREPARED[key] = hit
+    return spark.read.parquet(hit[0]), hit[1]
+
+
 def obs(spark: SparkSession, sf_dir: str, options: PrepareOptions = PrepareOptions()) -> DataFrame:
-    df, _ = prepare(raw_obs(spark, sf_dir), ROLES, options)
-    return df
+    return prepared(spark, sf_dir, options)[0]
 
 
 def q_prepare(spark, sf_dir):
-    df = obs(spark, sf_dir)
+    df, _ = prepare(raw_obs(spark, sf_dir), ROLES)
     df = df.withColumn("dt_start", F.col("dt_start").cast("string")).withColumn("dt_end", F.col("dt_end").cast("string"))
     df = df.withColumn("duration_min", F.round("duration_min", 6))
     for c in ("hour_sin", "hour_cos", "length_log1p"):
@@ -150,8 +170,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import q_rows
+    from . import q_model, q_rows
 
     out = dict(QUERIES)
     out.update(q_rows.QUERIES)
+    out.update(q_model.QUERIES)
     return out
