@@ -224,9 +224,11 @@ from (select mn, mx, n, sd * pow(n, -1.0 / 5.0) as bw, (mx - mn) / 4096 as width
        (select min(speed) mn, (max(speed) - min(speed)) / 4096 as width from obs) s3 where speed is not null) s3
    group by b, s3.width, s3.mn) b
 group by g.point, g.x, s.n, s.bw""")
+    from .oracle_flow import oracles as _flow
     from .oracle_model import oracles as _model
     from .oracle_rows import oracles as _rows
 
     q.update(_rows())
     q.update(_model())
+    q.update(_flow())
     return q

@@ -170,9 +170,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import q_model, q_rows
+    from . import q_flow, q_model, q_rows
 
     out = dict(QUERIES)
     out.update(q_rows.QUERIES)
     out.update(q_model.QUERIES)
+    out.update(q_flow.QUERIES)
     return out
