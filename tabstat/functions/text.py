@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import MISSING_TEXT_TOKENS
 
-# Java's ``trim`` strips blanks only; the reference strips any whitespace.
+# ``trim`` strips blanks only; the reference strips any whitespace. ``btrim``
+# with this character set does it without a regex (much cheaper per row).
+WS_CHARS = " \t\n\r\f\x0b"
 EDGE_WS = r"^\s+|\s+$"
 # Plain decimal number, optional exponent (what the reference's coercion accepts
 # for the data it sees). Anything else becomes missing.
@@ -20,15 +22,13 @@ def _col(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Strip leading and trailing whitespace (tabs and newlines included)."""
-    return F.regexp_replace(_col(c), EDGE_WS, "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def clean_text(c, tokens: tuple[str, ...] = MISSING_TEXT_TOKENS) -> Column:
     """Strip whitespace; the placeholder words become NULL."""
     out = strip_ws(c)
-    for token in tokens:
-        out = F.when(out == F.lit(token), F.lit(None).cast("string")).otherwise(out)
-    return out
+    return F.when(out.isin(list(tokens)), F.lit(None).cast("string")).otherwise(out)
 
 
 def coerce_numeric(c) -> Column:

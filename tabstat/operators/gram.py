@@ -112,3 +112,40 @@ def total(grams: dict[tuple[int, str], Gram], kind: str = "1") -> Gram:
     for g in parts[1:]:
         acc = acc + g
     return acc
+
+
+def _pair_partials(cols: list[str]):
+    p = len(cols)
+
+    def run(batches):
+        acc = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[cols].to_numpy(dtype=np.float64)
+            M = (~np.isnan(X)).astype(np.float64)
+            Xz = np.where(M > 0, X, 0.0)
+            parts = np.stack([M.T @ M, Xz.T @ M, (Xz * Xz).T @ M, Xz.T @ Xz])
+            acc = parts if acc is None else acc + parts
+        if acc is not None:
+            k, i, j = np.meshgrid(np.arange(4), np.arange(p), np.arange(p), indexing="ij")
+            yield pd.DataFrame({"k": k.ravel().astype(np.int32), "i": i.ravel().astype(np.int32),
+                                "j": j.ravel().astype(np.int32), "value": acc.ravel()})
+
+    return run
+
+
+def pairwise_moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, ...]:
+    """Pairwise-complete sums for every column pair in one pass, on data
+    shifted by the column means (first, cheap aggregate) for accuracy:
+    (n, S_a, S_aa, S_ab) with S_a[a, b] = sum of a over rows where a and b
+    are both present, etc."""
+    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    shift = [means[f"m{i}"] or 0.0 for i in range(len(cols))]
+    proj = [(F.col(f"`{c}`").cast("double") - F.lit(float(s))).alias(f"c{i}") for i, (c, s) in enumerate(zip(cols, shift))]
+    names = [f"c{i}" for i in range(len(cols))]
+    part = df.select(*proj).mapInPandas(_pair_partials(names), "k int, i int, j int, value double")
+    out = np.zeros((4, len(cols), len(cols)))
+    for r in part.groupBy("k", "i", "j").agg(F.sum("value").alias("value")).collect():
+        out[r["k"], r["i"], r["j"]] = r["value"]
+    return out[0], out[1], out[2], out[3]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import MISSING_LABEL, Roles
 from ..functions.numeric import sample_kurtosis, sample_skew
-from .quantile import exact_quantiles
+from .quantile import exact_quantiles, exact_quantiles_with
 
 
 def q(c: str):
@@ -86,9 +86,7 @@ def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 2, q
             sample_skew(x).alias(f"skew{i}"),
             sample_kurtosis(x).alias(f"kurt{i}"),
         ]
-    row = df.agg(*aggs).collect()[0]
-    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    quant = exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy=quantile_accuracy, counts=counts)
+    quant, row = exact_quantiles_with(df, cols, [0.25, 0.5, 0.75], extra_aggs=aggs, accuracy=quantile_accuracy)
     records = []
     for i, c in enumerate(cols):
         records.append(
@@ -196,37 +194,25 @@ def missing_report(df: DataFrame, digits: int = 2) -> DataFrame:
 def correlation_long(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
     """Pearson correlation, pairwise complete, every ordered pair (long form).
 
-    One pass of sums per pair over pairwise-complete rows; a constant column
-    gives NULL (no division by zero under ANSI)."""
+    One pass sums, per column pair, the counts, sums, sums of squares and
+    cross products over the rows where both are present (NumPy on Arrow
+    batches, summed by ``groupBy``); a constant column gives NULL."""
+    from .gram import pairwise_moments
+
     cols = present(df, columns)
-    aggs = []
-    pairs = []
+    n, sa, saa, sab = pairwise_moments(df, cols)
+    records = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if j < i:
-                continue
-            xa, xb = q(a).cast("double"), q(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            xa_, xb_ = F.when(both, xa), F.when(both, xb)
-            k = len(pairs)
-            pairs.append((a, b))
-            aggs += [
-                F.count(xa_).alias(f"n{k}"),
-                F.covar_pop(xa_, xb_).alias(f"c{k}"),
-                F.var_pop(xa_).alias(f"va{k}"),
-                F.var_pop(xb_).alias(f"vb{k}"),
-            ]
-    row = df.agg(*aggs).collect()[0]
-    records = []
-    for k, (a, b) in enumerate(pairs):
-        n, cov, va, vb = row[f"n{k}"], row[f"c{k}"], row[f"va{k}"], row[f"vb{k}"]
-        r = None
-        if n and n > 1 and va and vb and va > 0 and vb > 0:
-            r = cov / math.sqrt(va * vb)
-            r = max(-1.0, min(1.0, r))
-        records.append((a, b, r))
-        if a != b:
-            records.append((b, a, r))
+            nn = n[i, j]
+            r = None
+            if nn > 1:
+                va = saa[i, j] - sa[i, j] ** 2 / nn
+                vb = saa[j, i] - sa[j, i] ** 2 / nn
+                if va > 0 and vb > 0:
+                    cov = sab[i, j] - sa[i, j] * sa[j, i] / nn
+                    r = float(max(-1.0, min(1.0, cov / math.sqrt(va * vb))))
+            records.append((a, b, r))
     out = df.sparkSession.createDataFrame(records, "var1 string, var2 string, corr double")
     if digits is not None:
         out = out.withColumn("corr", F.round("corr", digits))

@@ -4,12 +4,15 @@
 which does not survive 100 TB. Here:
 
 1. one aggregate gives n per column and a bracket [L, U] around every target
-   rank from ``percentile_approx`` (rank error <= n / accuracy);
-2. while a bracket still holds more than ``cap`` rows, a refining aggregate
-   narrows it with ``percentile_approx`` restricted to the bracket;
-3. a last pass keeps only values inside the brackets, counts them per
-   distinct value, and a window *partitioned by (column, quantile)* finds the
-   two order statistics. Rows below a bracket are counted, not kept.
+   rank from ``percentile_approx`` (rank error <= n / accuracy); other
+   aggregates of the caller ride along in the same pass;
+2. when the data are so large that a bracket could still hold more than
+   ``cap`` rows, refining aggregates narrow it with ``percentile_approx``
+   restricted to the bracket;
+3. a last pass keeps only values inside the brackets (rows below a bracket
+   are counted, not kept), counts them per distinct value, and a window
+   *partitioned by (column, quantile)* finds the two order statistics. A
+   bracket that missed its target is opened and the two steps repeat.
 
 Every pass is a plain aggregate with map-side combine; only scalars reach
 the driver. Heavy ties collapse in the ``groupBy(value)``.
@@ -33,90 +36,63 @@ def _targets(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    accuracy: int = DEFAULT_ACCURACY,
-    cap: int = DEFAULT_CAP,
-    counts: dict[str, int] | None = None,
-) -> dict[tuple[str, float], float | None]:
-    """Return {(column, p): quantile} with NumPy's default (linear) rule."""
-    if not cols or not probs:
-        return {}
-    eps = 3.0 / accuracy
-    keys = [(c, p) for c in cols for p in probs]
-
-    # pass 1: counts and first brackets
-    aggs = []
-    if counts is None:
-        aggs += [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-    for i, c in enumerate(cols):
-        pcts = []
-        for p in probs:
-            pcts += [max(0.0, p - eps), min(1.0, p + eps)]
-        aggs.append(F.percentile_approx(F.col(c).cast("double"), pcts, accuracy).alias(f"b{i}"))
-    row = df.agg(*aggs).collect()[0]
-    n = {c: (counts[c] if counts is not None else row[f"n{i}"]) for i, c in enumerate(cols)}
+def _x(c: str):
+    return F.col(f"`{c}`").cast("double")
 
-    state: dict[tuple[str, float], dict] = {}
-    for i, c in enumerate(cols):
-        bounds = row[f"b{i}"]
-        for j, p in enumerate(probs):
-            if n[c] == 0 or bounds is None:
-                continue
-            lo, hi, frac = _targets(n[c], p)
-            state[(c, p)] = {"L": bounds[2 * j], "U": bounds[2 * j + 1], "lo": lo, "hi": hi, "frac": frac}
 
-    # refine until every bracket is small and verified
+def _refine(df: DataFrame, state: dict, accuracy: int, cap: int) -> None:
+    """Count below/inside every bracket; open missed brackets and narrow
+    large ones until all are verified and small."""
+    eps = 3.0 / accuracy
     for _ in range(8):
-        if not state:
-            break
         items = list(state.items())
         aggs = []
         for k, ((c, p), s) in enumerate(items):
-            x = F.col(c).cast("double")
-            aggs.append(F.count_if(x < F.lit(s["L"])).alias(f"below{k}"))
-            aggs.append(F.count_if(x.between(F.lit(s["L"]), F.lit(s["U"]))).alias(f"in{k}"))
+            x = _x(c)
+            below = (x < F.lit(s["L"])) if s["L"] is not None else F.lit(False)
+            aggs.append(F.count_if(below).alias(f"below{k}"))
+            inside = x.isNotNull()
+            if s["L"] is not None:
+                inside = inside & (x >= F.lit(s["L"]))
+            if s["U"] is not None:
+                inside = inside & (x <= F.lit(s["U"]))
+            aggs.append(F.count_if(inside).alias(f"in{k}"))
         row = df.agg(*aggs).collect()[0]
-        refine = []
+        todo = []
         for k, ((c, p), s) in enumerate(items):
-            below, inside = row[f"below{k}"], row[f"in{k}"]
-            s["below"], s["inside"] = below, inside
-            if below > s["lo"]:
-                s["L"] = None  # bracket missed low: open it
-            if below + inside < s["hi"] + 1:
-                s["U"] = None  # bracket missed high: open it
-            if s["L"] is None or s["U"] is None:
-                refine.append(("open", k))
-            elif inside > cap:
-                refine.append(("narrow", k))
-        if not refine:
-            break
+            s["below"], s["inside"] = row[f"below{k}"], row[f"in{k}"]
+            if s["L"] is not None and s["below"] > s["lo"]:
+                s["L"] = None
+            elif s["U"] is not None and s["below"] + s["inside"] < s["hi"] + 1:
+                s["U"] = None
+            elif s["inside"] > cap and s["L"] is not None and s["U"] is not None:
+                todo.append(("narrow", k))
+                continue
+            else:
+                continue
+            todo.append(("open", k))
+        if not todo:
+            return
         aggs = []
-        plan = []
-        for kind, k in refine:
+        for kind, k in todo:
             (c, p), s = items[k]
-            x = F.col(c).cast("double")
+            x = _x(c)
             if kind == "open":
-                cond = F.lit(True)
+                cond = x.isNotNull()
                 if s["L"] is not None:
                     cond = cond & (x >= F.lit(s["L"]))
                 if s["U"] is not None:
                     cond = cond & (x <= F.lit(s["U"]))
                 aggs += [F.min(F.when(cond, x)).alias(f"mn{k}"), F.max(F.when(cond, x)).alias(f"mx{k}")]
-                plan.append((kind, k))
             else:
                 inside = s["inside"]
                 f_lo = (s["lo"] - s["below"]) / max(inside - 1, 1)
                 f_hi = (s["hi"] - s["below"]) / max(inside - 1, 1)
                 inner = F.when(x.between(F.lit(s["L"]), F.lit(s["U"])), x)
-                pcts = [max(0.0, f_lo - eps), min(1.0, f_hi + eps)]
-                aggs.append(F.percentile_approx(inner, pcts, accuracy).alias(f"r{k}"))
-                plan.append((kind, k))
+                aggs.append(F.percentile_approx(inner, [max(0.0, f_lo - eps), min(1.0, f_hi + eps)], accuracy).alias(f"r{k}"))
         row = df.agg(*aggs).collect()[0]
-        for kind, k in plan:
-            (c, p), s = items[k]
+        for kind, k in todo:
+            s = items[k][1]
             if kind == "open":
                 if s["L"] is None:
                     s["L"] = row[f"mn{k}"]
@@ -125,38 +101,34 @@ def exact_quantiles(
             else:
                 s["L"], s["U"] = row[f"r{k}"][0], row[f"r{k}"][1]
 
-    result: dict[tuple[str, float], float | None] = {key: None for key in keys}
-    if not state:
-        return result
 
-    # final pass: distinct values inside the brackets, ranked per bracket
+def _final(df: DataFrame, state: dict) -> dict:
+    """Order statistics at ranks lo and hi of every bracket, or a miss."""
     items = list(state.items())
     structs = []
     for k, ((c, p), s) in enumerate(items):
-        x = F.col(c).cast("double")
-        structs.append(
-            F.struct(F.lit(k).alias("qid"), F.when(x.between(F.lit(s["L"]), F.lit(s["U"])), x).alias("v"))
-        )
+        x = _x(c)
+        structs.append(F.struct(F.lit(k).alias("qid"),
+                                F.when(x.between(F.lit(s["L"]), F.lit(s["U"])), x).alias("v"),
+                                (x < F.lit(s["L"])).alias("below")))
     cand = (
         df.select(F.explode(F.array(*structs)).alias("s"))
-        .select("s.qid", "s.v")
-        .where(F.col("v").isNotNull())
+        .select("s.qid", "s.v", "s.below")
+        .where(F.col("v").isNotNull() | F.col("below"))
         .groupBy("qid", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    offsets = df.sparkSession.createDataFrame(
-        [(k, int(s["below"]), s["lo"], s["hi"]) for k, (_, s) in enumerate(items)],
-        "qid int, below long, lo long, hi long",
-    )
-    w = Window.partitionBy("qid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    targets = df.sparkSession.createDataFrame([(k, s["lo"], s["hi"]) for k, (_, s) in enumerate(items)],
+                                              "qid int, lo long, hi long")
+    w = Window.partitionBy("qid").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding,
+                                                                                        Window.currentRow)
     ranked = (
-        cand.join(F.broadcast(offsets), "qid")
-        .withColumn("cum", F.sum("cnt").over(w) + F.col("below"))
+        cand.withColumn("cum", F.sum("cnt").over(w))
         .withColumn("first_rank", F.col("cum") - F.col("cnt"))
-        .where(
+        .join(F.broadcast(targets), "qid")
+        .where(F.col("v").isNotNull() & (
             ((F.col("first_rank") <= F.col("lo")) & (F.col("cum") > F.col("lo")))
-            | ((F.col("first_rank") <= F.col("hi")) & (F.col("cum") > F.col("hi")))
-        )
+            | ((F.col("first_rank") <= F.col("hi")) & (F.col("cum") > F.col("hi")))))
         .select("qid", "v", "first_rank", "cum", "lo", "hi")
     )
     picks: dict[int, dict[str, float]] = {}
@@ -166,8 +138,62 @@ def exact_quantiles(
             d["lo"] = r["v"]
         if r["first_rank"] <= r["hi"] < r["cum"]:
             d["hi"] = r["v"]
-    for k, (key, s) in enumerate(items):
-        d = picks.get(k, {})
-        if "lo" in d and "hi" in d:
-            result[key] = d["lo"] + s["frac"] * (d["hi"] - d["lo"])
-    return result
+    return {items[k][0]: d for k, d in picks.items()}
+
+
+def exact_quantiles_with(
+    df: DataFrame,
+    cols: list[str],
+    probs: list[float],
+    extra_aggs: list | None = None,
+    accuracy: int = DEFAULT_ACCURACY,
+    cap: int = DEFAULT_CAP,
+    counts: dict[str, int] | None = None,
+):
+    """({(column, p): quantile}, row of ``extra_aggs``) with NumPy's default
+    (linear) rule; the extra aggregates share the first pass."""
+    eps = 3.0 / accuracy
+    aggs = list(extra_aggs or [])
+    if counts is None:
+        aggs += [F.count(_x(c)).alias(f"__n{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(cols):
+        pcts = []
+        for p in probs:
+            pcts += [max(0.0, p - eps), min(1.0, p + eps)]
+        aggs.append(F.percentile_approx(_x(c), pcts, accuracy).alias(f"__b{i}"))
+    row = df.agg(*aggs).collect()[0]
+    n = {c: (counts[c] if counts is not None else row[f"__n{i}"]) for i, c in enumerate(cols)}
+    result: dict[tuple[str, float], float | None] = {(c, p): None for c in cols for p in probs}
+    state: dict[tuple[str, float], dict] = {}
+    for i, c in enumerate(cols):
+        bounds = row[f"__b{i}"]
+        for j, p in enumerate(probs):
+            if not n[c] or bounds is None:
+                continue
+            lo, hi, frac = _targets(n[c], p)
+            state[(c, p)] = {"L": bounds[2 * j], "U": bounds[2 * j + 1], "lo": lo, "hi": hi, "frac": frac}
+    if state and max(n.values()) * 2 * eps > cap:
+        _refine(df, state, accuracy, cap)  # very large data: narrow before the final pass
+    for _ in range(3):
+        if not state:
+            break
+        picks = _final(df, state)
+        missed = {}
+        for key, s in state.items():
+            d = picks.get(key, {})
+            if "lo" in d and "hi" in d:
+                result[key] = d["lo"] + s["frac"] * (d["hi"] - d["lo"])
+            else:
+                missed[key] = s
+        if missed:
+            _refine(df, missed, accuracy, cap)
+        state = missed
+    return result, row
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = DEFAULT_ACCURACY,
+                    cap: int = DEFAULT_CAP, counts: dict[str, int] | None = None) -> dict:
+    """{(column, p): quantile} with NumPy's default (linear) rule."""
+    if not cols or not probs:
+        return {}
+    return exact_quantiles_with(df, cols, probs, None, accuracy, cap, counts)[0]

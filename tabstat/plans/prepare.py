@@ -103,15 +103,24 @@ def constant_columns(df: DataFrame, protected: list[str] | None = None, extra_ag
 
 
 def prepare(
-    raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = PrepareOptions()
+    raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = PrepareOptions(), materialize: bool = False
 ) -> tuple[DataFrame, PrepareReport]:
-    """Clean and enrich; return the table and the facts decided on the way."""
+    """Clean and enrich; return the table and the facts decided on the way.
+
+    ``materialize`` writes the derived table once to the shared checkpoint
+    folder, so the aggregates below and every later use scan it instead of
+    re-running the row work."""
     df = derive(raw, roles, options)
     method = (options.length_transform or "none").lower()
     has_length = roles.length_num in df.columns
     bounds = None
     if has_length:
         df = df.withColumn(roles.length_log1p, log1p_clip(roles.length_num))
+    if materialize:
+        from ..session import materialize as write_once
+
+        df = write_once(df, "derived")
+    if has_length:
         if method == "winsor":
             q = exact_quantiles(df, [roles.length_num], [options.winsor_low, options.winsor_high])
             lo, hi = q[(roles.length_num, options.winsor_low)], q[(roles.length_num, options.winsor_high)]

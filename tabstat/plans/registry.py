@@ -30,17 +30,13 @@ def prepared(spark: SparkSession, sf_dir: str, options: PrepareOptions = Prepare
     the shared checkpoint folder; returns (DataFrame, PrepareReport)."""
     import os
 
-    from ..session import scratch_path
-
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), options)
     hit = _PREPARED.get(key)
     if hit is None:
-        df, report = prepare(raw_obs(spark, sf_dir), ROLES, options)
-        path = scratch_path(spark, "obs")
-        df.write.mode("overwrite").parquet(path)
-        hit = (path, report)
+        df, report = prepare(raw_obs(spark, sf_dir), ROLES, options, materialize=True)
+        hit = (df, report)
         _PREPARED[key] = hit
-    return spark.read.parquet(hit[0]), hit[1]
+    return hit
 
 
 def obs(spark: SparkSession, sf_dir: str, options: PrepareOptions = PrepareOptions()) -> DataFrame:
