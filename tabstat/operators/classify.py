@@ -278,12 +278,13 @@ def _held_out_scores(names: list[str], models: list[tuple], betas: dict):
 
 
 def fit_many_logistic(df: DataFrame, names: list[str], models: list[tuple], c_value: float = 1.0,
-                      max_iter: int = 50, tol: float = 1e-9) -> dict:
+                      max_iter: int = 50, tol: float = 1e-9, start: dict | None = None) -> dict:
     """Penalised logistic fits of many small models at once (Newton);
     returns {model id: beta (intercept first)}. ``df`` holds __y (0/1),
-    __fold and the feature columns."""
+    __fold and the feature columns; ``start`` gives warm starts."""
     lam = 1.0 / c_value
-    betas = {mid: np.zeros(len(idx) + 1) for mid, idx, _ in models}
+    betas = {mid: (np.array(start[mid], dtype=float) if start and mid in start else np.zeros(len(idx) + 1))
+             for mid, idx, _ in models}
     active = list(models)
     schema = "model int, i int, j int, value double"
     for _ in range(max_iter):
@@ -344,16 +345,18 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
     folds = sorted(r[0] for r in data.select("__fold").distinct().collect())
     selected: list[str] = []
     trace = []
+    prev: dict[int, np.ndarray] = {f: np.zeros(1) for f in folds}  # per fold, warm start of the next step
     for step in range(1, k_select + 1):
         cands = [c for c in names if c not in selected]
-        models, owner = [], {}
+        models, owner, start = [], {}, {}
         for ci, c in enumerate(cands):
             idx = [names.index(s) for s in selected] + [names.index(c)]
             for f in folds:
                 mid = len(models)
                 models.append((mid, idx, f))
                 owner[mid] = ci
-        betas = fit_many_logistic(data, names, models, c_value)
+                start[mid] = np.concatenate([prev[f], [0.0]])
+        betas = fit_many_logistic(data, names, models, c_value, start=start)
         auc = heldout_auc(data, names, models, betas)
         scores = np.zeros(len(cands))
         counts = np.zeros(len(cands))
@@ -362,6 +365,9 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
             counts[ci] += 1
         mean = scores / np.maximum(counts, 1)
         best = int(np.nanargmax(mean))
+        for mid, ci in owner.items():
+            if ci == best:
+                prev[models[mid][2]] = betas[mid]
         selected.append(cands[best])
         trace.append((step, cands[best], float(mean[best])))
     return selected, trace

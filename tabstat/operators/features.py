@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..config import HIGH_CONGESTION_LABEL, RARE_LABEL, ModelOptions, Roles
-from .rank import assign_range, range_splits
 
 
 def q(c: str) -> Column:
@@ -121,21 +120,35 @@ def hash_int(seed: int, key: Column, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _cut_threshold(df: DataFrame, h: str, key: str, n_take: int, n_buckets: int):
-    """(h, key) of the n_take-th smallest row, found by ranking only the
-    range that holds it."""
-    splits = range_splits(df, h, n_buckets)
-    b = assign_range(df, h, splits)
-    counts = sorted((r["__range"], r["c"]) for r in b.groupBy("__range").agg(F.count(F.lit(1)).alias("c")).collect())
-    before = 0
-    for rng, c in counts:
-        if before + c >= n_take:
-            r = n_take - before
-            cut = (b.where(F.col("__range") == rng).select(h, key).orderBy(h, key)
-                   .limit(r).agg(F.max(F.struct(h, key)).alias("m")).collect()[0]["m"])
-            return cut[0], cut[1]
-        before += c
-    return None
+HASH_SPAN = 1 << 60  # hash_int values lie in [0, 2^60)
+
+
+def _cut_threshold(df: DataFrame, h: str, key: str, n_take: int, fanout: int = 4096, small: int = 1_000_000):
+    """(h, key) of the n_take-th smallest row by radix selection on the
+    uniform hash: each pass counts rows per sub-range of the current range
+    (one aggregate, <= fanout rows to the driver) and keeps the sub-range
+    holding the target; the last, small range is ordered exactly."""
+    lo, hi, need = 0, HASH_SPAN, n_take
+    while True:
+        width = max(1, -(-(hi - lo) // fanout))
+        inside = df.where((F.col(h) >= F.lit(lo)) & (F.col(h) < F.lit(hi)))
+        bucket = F.expr(f"(`{h}` - {lo}L) div {width}L")  # exact integer division
+        counts = sorted((r["b"], r["c"]) for r in inside.groupBy(bucket.alias("b"))
+                        .agg(F.count(F.lit(1)).alias("c")).collect())
+        total = sum(c for _, c in counts)
+        if total <= small or width == 1:
+            break
+        before = 0
+        for b, c in counts:
+            if before + c >= need:
+                lo, hi, need = lo + b * width, min(hi, lo + (b + 1) * width), need - before
+                break
+            before += c
+        else:
+            return None
+    cut = (inside.select(h, key).orderBy(h, key).limit(need)
+           .agg(F.max(F.struct(h, key)).alias("m")).collect()[0]["m"])
+    return (cut[0], cut[1]) if cut is not None else None
 
 
 def _le(h: str, key: str, cut) -> Column:
@@ -143,7 +156,7 @@ def _le(h: str, key: str, cut) -> Column:
 
 
 def split_train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
-                     stratify: str | None = None, exact: bool = True, n_buckets: int | None = None) -> DataFrame:
+                     stratify: str | None = None, exact: bool = True) -> DataFrame:
     """Add ``split`` ('train'/'test'). Test = the ceil(test_size * n) rows with
     the smallest md5(seed:key) (per class when stratified, class sizes by
     largest remainder). Independent of partitioning; ``exact=False`` uses a
@@ -156,8 +169,7 @@ def split_train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     if stratify is None:
         n = base.count()
         n_test = int(math.ceil(test_size * n))
-        nb = n_buckets or max(16, min(10_000, n // 2_000_000 + 1))
-        cut = _cut_threshold(base, h, key, n_test, nb) if n_test > 0 else None
+        cut = _cut_threshold(base, h, key, n_test) if n_test > 0 else None
         is_test = _le(h, key, cut) if cut else F.lit(False)
         return base.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(h)
     classes = sorted(((r[0], r[1]) for r in base.groupBy(q(stratify)).count().collect()),
@@ -173,7 +185,7 @@ def split_train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     for cls, _ in classes:
         part = base.where(q(stratify) == F.lit(cls))
         if alloc[cls] > 0:
-            cut = _cut_threshold(part, h, key, alloc[cls], n_buckets or 16)
+            cut = _cut_threshold(part, h, key, alloc[cls])
             cond = cond | ((q(stratify) == F.lit(cls)) & _le(h, key, cut))
     return base.withColumn("split", F.when(cond, "test").otherwise("train")).drop(h)
 

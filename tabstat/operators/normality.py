@@ -65,7 +65,7 @@ def _values(df: DataFrame, column: str, key: str | None) -> DataFrame:
     return df.select(*cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def shapiro_wilk(df: DataFrame, column: str, key: str | None = None, n_buckets: int = 64) -> TestResult:
+def shapiro_wilk(df: DataFrame, column: str, key: str | None = None, n_buckets: int | None = None) -> TestResult:
     """W and p (Royston). Valid approximation up to n = 5000; computed (not
     capped) beyond, like common implementations."""
     vals = _values(df, column, key)
@@ -119,7 +119,7 @@ def shapiro_p(w: float, n: int) -> float:
     return norm_sf((y - m) / s)
 
 
-def ks_statistic(df: DataFrame, column: str, ddof: int = 0, n_buckets: int = 64) -> TestResult:
+def ks_statistic(df: DataFrame, column: str, ddof: int = 0, n_buckets: int | None = None) -> TestResult:
     """One-sample KS of the standardised column against N(0, 1).
     ``ddof=0``: population std (profile step); ``ddof=1``: sample std
     (residual fallback)."""
@@ -171,7 +171,7 @@ def dagostino_from_moments(n: int, b1: float, b2: float) -> float:
     return zs * zs + zk * zk
 
 
-def qq_points(df: DataFrame, column: str, n_buckets: int = 64) -> tuple[DataFrame, dict]:
+def qq_points(df: DataFrame, column: str, n_buckets: int | None = None) -> tuple[DataFrame, dict]:
     """(position, theoretical, ordered) for every observation and the fitted
     line {slope, intercept, r}. Repeated values are expanded in chunks."""
     vals = _values(df, column, None)

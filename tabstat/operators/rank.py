@@ -18,9 +18,21 @@ from pyspark.sql import functions as F
 BUCKET = "__range"
 
 
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 200_000
+
+
+def auto_ranges(df: DataFrame, minimum: int = 64) -> int:
+    """Number of ranges so that a range holds about ``ROWS_PER_RANGE`` rows
+    (one count; bounded by ``MAX_RANGES`` small rows on the driver)."""
+    n = df.count()
+    return int(min(MAX_RANGES, max(minimum, -(-n // ROWS_PER_RANGE))))
+
+
 def range_splits(df: DataFrame, order_col: str, n_buckets: int, accuracy: int = 10_000) -> list[float]:
     if n_buckets <= 1:
         return []
+    accuracy = max(accuracy, 4 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("p")).collect()[0]
     pts = sorted(set(v for v in (row["p"] or []) if v is not None))
@@ -45,7 +57,7 @@ def global_cumsum(
     order_col: str,
     sum_cols: list[str],
     descending: bool = False,
-    n_buckets: int = 64,
+    n_buckets: int | None = None,
     tiebreak: list[str] | None = None,
     prefix: str = "cum_",
     group_cols: list[str] | None = None,
@@ -60,6 +72,8 @@ def global_cumsum(
     order = F.col(order_col)
     key = "__key"
     base = df.withColumn(key, (-order if descending else order).cast("double"))
+    if n_buckets is None:
+        n_buckets = auto_ranges(df)
     splits = range_splits(base, key, n_buckets)
     b = assign_range(base, key, splits)
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
@@ -85,7 +99,7 @@ def global_cumsum(
     return out.drop(BUCKET, key, *[f"__off_{i}" for i in range(len(sum_cols))])
 
 
-def global_row_number(df: DataFrame, order_col: str, tiebreak: list[str] | None = None, n_buckets: int = 64,
+def global_row_number(df: DataFrame, order_col: str, tiebreak: list[str] | None = None, n_buckets: int | None = None,
                       name: str = "row_number") -> DataFrame:
     """1-based global row number ordered by ``order_col`` then ``tiebreak``."""
     one = "__one"
@@ -93,7 +107,7 @@ def global_row_number(df: DataFrame, order_col: str, tiebreak: list[str] | None
     return out.withColumn(name, F.col(f"cum_{one}").cast("long")).drop(one, f"cum_{one}")
 
 
-def value_counts_ranked(df: DataFrame, col: str, n_buckets: int = 64) -> DataFrame:
+def value_counts_ranked(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
     """Distinct non-null values with count, start rank (0-based) and end rank
     (exclusive) in ascending order; heavy ties collapse before ranking."""
     vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))

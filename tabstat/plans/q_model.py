@@ -24,7 +24,32 @@ REG = ModelOptions()
 CLF = ModelOptions(task="clf", target=R.label)
 
 
+_FRAMES: dict[tuple, tuple] = {}
+
+
+def _cached(spark, sf_dir, kind, build):
+    """Split frames are written once per application (shared checkpoint
+    folder) and reused by every query of the family."""
+    import os
+
+    from ..session import materialize
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    if key not in _FRAMES:
+        frame, fl, target = build()
+        _FRAMES[key] = (materialize(frame, f"{kind}-frame"), fl, target)
+    return _FRAMES[key]
+
+
 def _reg_frame(spark, sf_dir):
+    return _cached(spark, sf_dir, "reg", lambda: _build_reg_frame(spark, sf_dir))
+
+
+def _clf_frame(spark, sf_dir):
+    return _cached(spark, sf_dir, "clf", lambda: _build_clf_frame(spark, sf_dir))
+
+
+def _build_reg_frame(spark, sf_dir):
     """Regression model frame with split and fold columns."""
     df, _ = _obs(spark, sf_dir)
     target, _ = feat.choose_target_task(df, REG, R)
@@ -34,7 +59,7 @@ def _reg_frame(spark, sf_dir):
     return feat.fold_assign(split, R.key, REG.folds, REG.seed), fl, target
 
 
-def _clf_frame(spark, sf_dir):
+def _build_clf_frame(spark, sf_dir):
     df, _ = _obs(spark, sf_dir)
     target, _ = feat.choose_target_task(df, CLF, R)
     fl = feat.select_features(df, target, CLF, R)

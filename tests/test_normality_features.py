@@ -82,3 +82,12 @@ def test_model_store_round_trip(spark, tmp_path):
     pm.write().overwrite().save(path)
     back = PipelineModel.load(path)
     assert back.transform(df).collect() == pm.transform(df).collect()
+
+
+def test_radix_cut_matches_sort(spark):
+    """Several radix passes (tiny fanout and range size) give the exact cut."""
+    df = spark.range(1, 3001).withColumnRenamed("id", "k").withColumn("h", feat.hash_int(7, F.col("k")))
+    rows = sorted((r.h, r.k) for r in df.collect())
+    for n_take in (1, 777, 3000):
+        cut = feat._cut_threshold(df, "h", "k", n_take, fanout=4, small=50)
+        assert cut == rows[n_take - 1]
