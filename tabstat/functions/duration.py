@@ -34,18 +34,19 @@ def _number(text: Column, pattern: str) -> Column:
 def with_duration(df, c: str, hours_col: str, minutes_col: str, sum_parts: bool = False):
     """Staged form of ``parse_duration`` for wide plans: the lower-cased text
     and the three extracts become columns first, so each regex runs once and
-    the generated code stays small."""
-    text = F.lower(strip_ws(F.col(c)))
-    df = df.withColumn("__dtxt", text)
+    the generated code stays small (two projections)."""
+    keep = [F.col(f"`{x}`") for x in df.columns]
+    t = F.lower(strip_ws(F.col(f"`{c}`")))
+    df = df.select(*keep, t.alias("__dtxt"))
     t = F.col("__dtxt")
-    df = df.withColumns({"__h0": _number(t, HOUR_RE), "__m0": _number(t, MINUTE_RE), "__f0": _number(t, ANY_NUMBER_RE)})
+    df = df.select(*keep, t, _number(t, HOUR_RE).alias("__h0"), _number(t, MINUTE_RE).alias("__m0"),
+                   _number(t, ANY_NUMBER_RE).alias("__f0"))
     valid = t.isNotNull() & (t != "") & (t != "nan")
     neither = F.col("__h0").isNull() & F.col("__m0").isNull()
     has_min = t.contains("min")
-    df = df.withColumns({
-        "__h1": F.when(valid, F.when(neither & ~has_min, F.col("__f0")).otherwise(F.col("__h0"))),
-        "__m1": F.when(valid, F.when(neither & has_min, F.col("__f0")).otherwise(F.col("__m0"))),
-    })
+    h1 = F.when(valid, F.when(neither & ~has_min, F.col("__f0")).otherwise(F.col("__h0")))
+    m1 = F.when(valid, F.when(neither & has_min, F.col("__f0")).otherwise(F.col("__m0")))
+    df = df.select(*keep, h1.alias("__h1"), m1.alias("__m1"))
     h1, m1 = F.col("__h1"), F.col("__m1")
     if sum_parts:
         total = F.when(h1.isNotNull() & m1.isNotNull(), h1 * 60.0 + m1)
@@ -54,8 +55,7 @@ def with_duration(df, c: str, hours_col: str, minutes_col: str, sum_parts: bool
     else:
         hours = F.coalesce(h1, m1 / 60.0)
         minutes = F.coalesce(m1, h1 * 60.0)
-    df = df.withColumns({hours_col: hours, minutes_col: minutes})
-    return df.drop("__dtxt", "__h0", "__m0", "__f0", "__h1", "__m1")
+    return df.select(*keep, hours.alias(hours_col), minutes.alias(minutes_col))
 
 
 def parse_duration(c, sum_parts: bool = False) -> tuple[Column, Column]:

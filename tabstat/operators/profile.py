@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MISSING_LABEL, Roles
-from ..functions.numeric import sample_kurtosis, sample_skew
-from .quantile import exact_quantiles, exact_quantiles_with
+from .quantile import column_stats, exact_quantiles, exact_quantiles_with
 
 
 def q(c: str):
@@ -68,42 +67,40 @@ def group_argmin(summary: DataFrame, key: str, value: str) -> DataFrame:
 # ----------------------------------------------------------------------------- numeric summary
 
 
+def _sample_skew(st: dict) -> float | None:
+    n = st["n"]
+    if n < 3 or st["var"] is None:
+        return None
+    if st["var"] == 0:
+        return 0.0
+    return st["g1"] * math.sqrt(n * (n - 1)) / (n - 2)
+
+
+def _sample_kurtosis(st: dict) -> float | None:
+    n = st["n"]
+    if n < 4 or st["var"] is None:
+        return None
+    if st["var"] == 0:
+        return 0.0
+    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * st["g2"] + 6)
+
+
 def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 2, quantile_accuracy: int = 10_000):
-    """count, mean, std (n-1), min, q25, median, q75, max, skew, kurtosis per
-    column: one moments aggregate + the exact-quantile passes."""
+    """count, mean, std (n-1), min, q25, median, q75, max, bias-corrected skew
+    and excess kurtosis per column: one long-form moments pass (with the
+    quantile brackets) + the exact-quantile pass."""
     cols = present(df, columns)
     if not cols:
         return None
-    aggs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        aggs += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"mean{i}"),
-            F.stddev_samp(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-            sample_skew(x).alias(f"skew{i}"),
-            sample_kurtosis(x).alias(f"kurt{i}"),
-        ]
-    quant, row = exact_quantiles_with(df, cols, [0.25, 0.5, 0.75], extra_aggs=aggs, accuracy=quantile_accuracy)
+    quant, stats = exact_quantiles_with(df, cols, [0.25, 0.5, 0.75], accuracy=quantile_accuracy, moments=True)
     records = []
-    for i, c in enumerate(cols):
-        records.append(
-            (
-                c,
-                float(row[f"n{i}"]),
-                row[f"mean{i}"],
-                row[f"std{i}"],
-                row[f"min{i}"],
-                quant[(c, 0.25)],
-                quant[(c, 0.5)],
-                quant[(c, 0.75)],
-                row[f"max{i}"],
-                row[f"skew{i}"],
-                row[f"kurt{i}"],
-            )
-        )
+    for c in cols:
+        st = stats[c]
+        if not st["n"]:
+            records.append((c, 0.0) + (None,) * 9)
+            continue
+        records.append((c, float(st["n"]), st["mean"], st["std"], st["min"], quant[(c, 0.25)], quant[(c, 0.5)],
+                        quant[(c, 0.75)], st["max"], _sample_skew(st), _sample_kurtosis(st)))
     schema = (
         "variable string, count double, mean double, std double, min double, q25 double, median double, "
         "q75 double, max double, skew double, kurtosis double"
@@ -237,14 +234,7 @@ def correlation_pairs(corr_long: DataFrame, columns: list[str], threshold: float
 
 
 def _range_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}")]
-    row = df.agg(*aggs).collect()[0]
-    return {c: {"n": row[f"n{i}"], "min": row[f"mn{i}"], "max": row[f"mx{i}"], "std": row[f"sd{i}"]}
-            for i, c in enumerate(cols)}
+    return column_stats(df, cols)
 
 
 def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
@@ -263,8 +253,7 @@ def histogram_bins(df: DataFrame, columns: list[str]) -> DataFrame:
     bin closed). Bins come from one range pass and the exact quartiles; the
     counting is one ``groupBy`` over (variable, bin)."""
     cols = present(df, columns)
-    st = _range_stats(df, cols)
-    quart = exact_quantiles(df, cols, [0.25, 0.75], counts={c: st[c]["n"] for c in cols})
+    quart, st = exact_quantiles_with(df, cols, [0.25, 0.75], moments=True)
     spec = []
     for c in cols:
         s = st[c]

@@ -141,38 +141,55 @@ def _final(df: DataFrame, state: dict) -> dict:
     return {items[k][0]: d for k, d in picks.items()}
 
 
+def column_stats(df: DataFrame, cols: list[str], probs: list[float] | None = None, accuracy: int = DEFAULT_ACCURACY,
+                 moments: bool = True) -> dict[str, dict]:
+    """Per column, in one pass over a long (variable, value) form: count,
+    mean, sample std, min, max, population skewness/kurtosis/variance and,
+    with ``probs``, approximate brackets around those quantiles. The long
+    form keeps the aggregation buffer narrow (whole-stage codegen stays on
+    for any number of columns)."""
+    eps = 3.0 / accuracy
+    structs = [F.struct(F.lit(i).alias("ci"), _x(c).alias("x")) for i, c in enumerate(cols)]
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.ci", "s.x")
+    aggs = [F.count("x").alias("n")]
+    if moments:
+        aggs += [F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+                 F.max("x").alias("max"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
+                 F.var_pop("x").alias("var")]
+    if probs:
+        pcts = []
+        for p in probs:
+            pcts += [max(0.0, p - eps), min(1.0, p + eps)]
+        aggs.append(F.percentile_approx("x", pcts, accuracy).alias("brackets"))
+    out = {c: {"n": 0} for c in cols}
+    for r in long.groupBy("ci").agg(*aggs).collect():
+        out[cols[r["ci"]]] = r.asDict()
+    return out
+
+
 def exact_quantiles_with(
     df: DataFrame,
     cols: list[str],
     probs: list[float],
-    extra_aggs: list | None = None,
     accuracy: int = DEFAULT_ACCURACY,
     cap: int = DEFAULT_CAP,
-    counts: dict[str, int] | None = None,
+    moments: bool = False,
 ):
-    """({(column, p): quantile}, row of ``extra_aggs``) with NumPy's default
-    (linear) rule; the extra aggregates share the first pass."""
+    """({(column, p): quantile}, column_stats) with NumPy's default (linear)
+    rule; the per-column moments share the first pass."""
     eps = 3.0 / accuracy
-    aggs = list(extra_aggs or [])
-    if counts is None:
-        aggs += [F.count(_x(c)).alias(f"__n{i}") for i, c in enumerate(cols)]
-    for i, c in enumerate(cols):
-        pcts = []
-        for p in probs:
-            pcts += [max(0.0, p - eps), min(1.0, p + eps)]
-        aggs.append(F.percentile_approx(_x(c), pcts, accuracy).alias(f"__b{i}"))
-    row = df.agg(*aggs).collect()[0]
-    n = {c: (counts[c] if counts is not None else row[f"__n{i}"]) for i, c in enumerate(cols)}
+    stats = column_stats(df, cols, probs, accuracy, moments)
     result: dict[tuple[str, float], float | None] = {(c, p): None for c in cols for p in probs}
     state: dict[tuple[str, float], dict] = {}
-    for i, c in enumerate(cols):
-        bounds = row[f"__b{i}"]
+    for c in cols:
+        st = stats[c]
+        bounds = st.get("brackets")
         for j, p in enumerate(probs):
-            if not n[c] or bounds is None:
+            if not st["n"] or bounds is None:
                 continue
-            lo, hi, frac = _targets(n[c], p)
+            lo, hi, frac = _targets(st["n"], p)
             state[(c, p)] = {"L": bounds[2 * j], "U": bounds[2 * j + 1], "lo": lo, "hi": hi, "frac": frac}
-    if state and max(n.values()) * 2 * eps > cap:
+    if state and max(st["n"] for st in stats.values()) * 2 * eps > cap:
         _refine(df, state, accuracy, cap)  # very large data: narrow before the final pass
     for _ in range(3):
         if not state:
@@ -188,7 +205,7 @@ def exact_quantiles_with(
         if missed:
             _refine(df, missed, accuracy, cap)
         state = missed
-    return result, row
+    return result, stats
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = DEFAULT_ACCURACY,
@@ -196,4 +213,4 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     """{(column, p): quantile} with NumPy's default (linear) rule."""
     if not cols or not probs:
         return {}
-    return exact_quantiles_with(df, cols, probs, None, accuracy, cap, counts)[0]
+    return exact_quantiles_with(df, cols, probs, accuracy, cap)[0]

@@ -57,29 +57,30 @@ def derive(raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = Pre
     df = raw.select(*out)
 
     if {roles.day, roles.start, roles.end} <= cols:
-        df = df.withColumns({roles.dt_start: parse_datetime(roles.day, roles.start),
-                             "__end_raw": parse_datetime(roles.day, roles.end)})
-        df = df.withColumn(roles.dt_end, midnight_rollover(F.col(roles.dt_start), F.col("__end_raw"))).drop("__end_raw")
+        base = [F.col(f"`{c}`") for c in df.columns]
+        df = df.select(*base, parse_datetime(roles.day, roles.start).alias(roles.dt_start),
+                       parse_datetime(roles.day, roles.end).alias("__end_raw"))
+        df = df.select(*base, F.col(roles.dt_start),
+                       midnight_rollover(F.col(roles.dt_start), F.col("__end_raw")).alias(roles.dt_end))
     else:
-        df = df.withColumn(roles.dt_start, F.lit(None).cast("timestamp_ntz"))
-        df = df.withColumn(roles.dt_end, F.lit(None).cast("timestamp_ntz"))
+        df = df.select("*", F.lit(None).cast("timestamp_ntz").alias(roles.dt_start),
+                       F.lit(None).cast("timestamp_ntz").alias(roles.dt_end))
     ts0, ts1 = F.col(roles.dt_start), F.col(roles.dt_end)
+    out_cols = [F.col(f"`{c}`") for c in df.columns]
 
     if roles.duration_text in cols:
         df = with_duration(df, roles.duration_text, "__hours", "__minutes", options.sum_duration_parts)
     else:
-        df = df.withColumns({"__hours": F.lit(None).cast("double"), "__minutes": F.lit(None).cast("double")})
-    df = df.withColumn(roles.duration_min,
-                       fill_duration_minutes(F.col("__hours"), F.col("__minutes"), seconds_between(ts0, ts1)))
-
-    df = df.withColumns({"__hs": hour_fraction(ts0), "__he": hour_fraction(ts1)})
-    df = df.withColumn("__mid", circular_midpoint(F.col("__hs"), F.col("__he")))
+        df = df.select("*", F.lit(None).cast("double").alias("__hours"), F.lit(None).cast("double").alias("__minutes"))
+    dur = fill_duration_minutes(F.col("__hours"), F.col("__minutes"), seconds_between(ts0, ts1))
+    df = df.select(*out_cols, dur.alias(roles.duration_min), hour_fraction(ts0).alias("__hs"), hour_fraction(ts1).alias("__he"))
+    out_cols.append(F.col(roles.duration_min))
+    df = df.select(*out_cols, "__hs", circular_midpoint(F.col("__hs"), F.col("__he")).alias("__mid"))
     sin, cos = cyclic_encode(F.col("__mid"))
-    df = df.withColumns({roles.peak: peak_flag(F.col("__hs")), roles.hour_sin: sin, roles.hour_cos: cos})
-    df = df.drop("__hours", "__minutes", "__hs", "__he", "__mid")
+    last = [peak_flag(F.col("__hs")).alias(roles.peak), sin.alias(roles.hour_sin), cos.alias(roles.hour_cos)]
     if roles.speed in cols:
-        df = df.withColumn(roles.label, threshold_label(roles.speed_num))
-    return df
+        last.append(threshold_label(roles.speed_num).alias(roles.label))
+    return df.select(*out_cols, *last)
 
 
 def constant_columns(df: DataFrame, protected: list[str] | None = None, extra_aggs=None):

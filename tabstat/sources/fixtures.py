@@ -36,12 +36,14 @@ def _dec_text(c, scale: int) -> F.Column:
 _WRITTEN: dict[tuple, str] = {}
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Round-robin an under-partitioned frame over the cluster's cores before
     CPU-heavy row work. Small single-file inputs arrive as one partition;
-    large inputs already have more splits than cores and are left alone."""
+    large inputs already have more splits than cores and are left alone.
+    ``source`` (a plain file scan) is where the split count is read, which
+    plans nothing else."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if (source if source is not None else df).rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 
@@ -67,7 +69,7 @@ def raw_obs_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
-    j = spread(e.join(cust, e.user_id == cust.c_custkey))
+    j = spread(e.join(cust, e.user_id == cust.c_custkey), source=e)
 
     eid = F.col("event_id")
     dur = F.element_at(F.array(*[F.lit(t) for t in DURATION_TEXTS]), (eid % 8 + 1).cast("int"))
