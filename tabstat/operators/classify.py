@@ -278,7 +278,7 @@ def _held_out_scores(names: list[str], models: list[tuple], betas: dict):
 
 
 def fit_many_logistic(df: DataFrame, names: list[str], models: list[tuple], c_value: float = 1.0,
-                      max_iter: int = 50, tol: float = 1e-9, start: dict | None = None) -> dict:
+                      max_iter: int = 50, tol: float = 1e-6, start: dict | None = None) -> dict:
     """Penalised logistic fits of many small models at once (Newton);
     returns {model id: beta (intercept first)}. ``df`` holds __y (0/1),
     __fold and the feature columns; ``start`` gives warm starts."""
@@ -318,12 +318,14 @@ def fit_many_logistic(df: DataFrame, names: list[str], models: list[tuple], c_va
     return betas
 
 
-def heldout_auc(df: DataFrame, names: list[str], models: list[tuple], betas: dict) -> dict:
-    """Exact held-out AUC per model (distinct scores, running sums per model)."""
+def heldout_auc(df: DataFrame, names: list[str], models: list[tuple], betas: dict,
+                max_rows: int | None = None) -> dict:
+    """Exact held-out AUC per model (distinct scores, running sums per model;
+    ``max_rows`` bounds the rows of one model's fold)."""
     schema = "model int, score double, pos double, neg double"
     sc = df.mapInPandas(_held_out_scores(names, models, betas), schema)
     sc = sc.groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    cum = global_cumsum(sc, "score", ["neg"], group_cols=["model"])
+    cum = global_cumsum(sc, "score", ["neg"], group_cols=["model"], rows_per_group=max_rows)
     res = cum.groupBy("model").agg(F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg"))).alias("u"),
                                    F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
     return {r["model"]: (r["u"] / (r["P"] * r["N"]) if r["P"] and r["N"] else float("nan")) for r in res}
@@ -342,7 +344,9 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
     pos = positive_class(classes)
     data = train.select(F.when(q(target) == F.lit(pos), 1.0).otherwise(0.0).alias("__y"),
                         fold.cast("int").alias("__fold"), *[q(c).cast("double").alias(c) for c in names])
-    folds = sorted(r[0] for r in data.select("__fold").distinct().collect())
+    fold_sizes = {r[0]: r[1] for r in data.groupBy("__fold").count().collect()}
+    folds = sorted(fold_sizes)
+    max_rows = max(fold_sizes.values()) if fold_sizes else 0
     selected: list[str] = []
     trace = []
     prev: dict[int, np.ndarray] = {f: np.zeros(1) for f in folds}  # per fold, warm start of the next step
@@ -357,7 +361,7 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
                 owner[mid] = ci
                 start[mid] = np.concatenate([prev[f], [0.0]])
         betas = fit_many_logistic(data, names, models, c_value, start=start)
-        auc = heldout_auc(data, names, models, betas)
+        auc = heldout_auc(data, names, models, betas, max_rows)
         scores = np.zeros(len(cands))
         counts = np.zeros(len(cands))
         for mid, ci in owner.items():

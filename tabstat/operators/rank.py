@@ -4,7 +4,8 @@
 the order column is cut into ranges by ``percentile_approx`` bounds, each
 range gets its total in one small aggregate (<= ``n_buckets`` rows reach the
 driver), the totals become offsets, and the running sum is a window
-*partitioned by range*. Ties never straddle two ranges, since the range
+*partitioned by range*. Groups known to be small (``rows_per_group``) use a
+window partitioned by group directly. Ties never straddle two ranges, since the range
 depends on the value only; callers aggregate heavy ties (``groupBy(value)``)
 before ranking, so no range is dominated by one value.
 """
@@ -61,6 +62,7 @@ def global_cumsum(
     tiebreak: list[str] | None = None,
     prefix: str = "cum_",
     group_cols: list[str] | None = None,
+    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in the order of ``order_col``
     (then ``tiebreak``), restarted per ``group_cols``. Adds ``cum_<c>``
@@ -72,6 +74,14 @@ def global_cumsum(
     order = F.col(order_col)
     key = "__key"
     base = df.withColumn(key, (-order if descending else order).cast("double"))
+    if groups and rows_per_group is not None and rows_per_group <= ROWS_PER_RANGE:
+        # every group is known to be small: one window partitioned by group
+        orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
+        w = Window.partitionBy(*groups).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = base
+        for c in sum_cols:
+            out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w))
+        return out.drop(key)
     if n_buckets is None:
         n_buckets = auto_ranges(df)
     splits = range_splits(base, key, n_buckets)
