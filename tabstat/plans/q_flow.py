@@ -242,12 +242,14 @@ def q_format_findings(spark, sf_dir):
 
 
 def q_run_all(spark, sf_dir):
-    """Full flow on the prepared table: profile, normality, PCA, both
-    regression models, findings with the coefficient lines."""
-    reg = regression_run(spark, sf_dir)
-    c1 = report.coefficient_lines(reg.coef_df(spark, 1), "Modelo 1", "resalta")
-    c2 = report.coefficient_lines(reg.coef_df(spark, 2), "Modelo 2", "identifica")
-    return report.findings(spark, *_findings_inputs(spark, sf_dir), coef_lines=[c1, c2])
+    """Full flow on the prepared table (written once): every result table is
+    written to a folder under the shared checkpoint folder; returns the
+    findings text with the coefficient lines."""
+    from .run_all import run_all
+
+    df, _ = _obs(spark, sf_dir)
+    lines, _ = run_all(spark, df, scratch_path(spark, "run-all"), ModelOptions(), R)
+    return lines
 
 
 QUERIES = {

@@ -33,8 +33,10 @@ def coefficient_lines(coef: DataFrame, model_label: str, verb: str, k: int = 5)
     """'- Modelo N <verb> a X con coeficiente c (p=p).' for the k largest
     |coef| without the constant."""
     top = top_coefficients(coef, k)
-    text = F.format_string(f"- {model_label} {verb} a %s con coeficiente %.3f (p=%.3f).",
-                           F.col("variable"), F.col("coef"), F.coalesce(F.col("p_value"), F.lit(float("nan"))))
+    p = F.when(F.col("p_value").isNull() | F.isnan("p_value"), F.lit("nan")).otherwise(
+        F.format_string("%.3f", F.col("p_value")))
+    text = F.format_string(f"- {model_label} {verb} a %s con coeficiente %.3f (p=%s).",
+                           F.col("variable"), F.col("coef"), p)
     return top.select(F.lit("findings").alias("section"), F.col("rank").cast("long").alias("ord"), text.alias("text"))
 
 
