@@ -17,7 +17,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from .gram import CONST, Gram, collect_gram
+from .gram import Gram, collect_gram
 
 
 def _fold_rmse(train: Gram, held: Gram, xs: list[str], y: str) -> float:
@@ -78,4 +78,4 @@ def forward_select_regression(df: DataFrame, features: list[str], target: str, f
     return select_from_fold_grams(grams, features, target, max_features)
 
 
-__all__ = ["forward_select_regression", "select_from_fold_grams", "CONST"]
+__all__ = ["forward_select_regression", "select_from_fold_grams"]

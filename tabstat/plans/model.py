@@ -27,7 +27,7 @@ from ..operators.linear import (
     solve_ls,
     vif_table,
 )
-from ..operators.select import forward_select_regression, select_from_fold_grams
+from ..operators.select import select_from_fold_grams
 from ..session import materialize
 
 
@@ -153,7 +153,7 @@ def residual_points(md: ModelData, model: tuple[float, dict]) -> DataFrame:
                            (y - pred).alias("residual"))
 
 
-__all__ = ["prepare_model_data", "run_regression", "residual_points", "feature_matrix", "forward_select_regression"]
+__all__ = ["prepare_model_data", "run_regression", "run_classification", "residual_points", "feature_matrix"]
 
 
 # ----------------------------------------------------------------------------- classification
