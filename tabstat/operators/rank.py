@@ -21,12 +21,16 @@ BUCKET = "__range"
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 200_000
+ONE_RANGE_ROWS = 100_000
 
 
 def auto_ranges(df: DataFrame, minimum: int = 64) -> int:
     """Number of ranges so that a range holds about ``ROWS_PER_RANGE`` rows
-    (one count; bounded by ``MAX_RANGES`` small rows on the driver)."""
+    (one count; bounded by ``MAX_RANGES`` small rows on the driver). A table
+    of at most ``ONE_RANGE_ROWS`` rows is one range (no split pass)."""
     n = df.count()
+    if n <= ONE_RANGE_ROWS:
+        return 1
     return int(min(MAX_RANGES, max(minimum, -(-n // ROWS_PER_RANGE))))
 
 
@@ -84,6 +88,14 @@ def global_cumsum(
         return out.drop(key)
     if n_buckets is None:
         n_buckets = auto_ranges(df)
+    if n_buckets <= 1:
+        # bounded table (checked size): one range, no offsets needed
+        orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
+        w = Window.partitionBy(*groups).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = base
+        for c in sum_cols:
+            out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w))
+        return out.drop(key)
     splits = range_splits(base, key, n_buckets)
     b = assign_range(base, key, splits)
     totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()

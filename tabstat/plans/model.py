@@ -59,8 +59,6 @@ def prepare_model_data(obs: DataFrame, options: ModelOptions = ModelOptions(), r
     split = feat.split_train_test(base, roles.key, options.test_size, options.seed, stratify=strat,
                                   exact=options.exact_split)
     split = feat.fold_assign(split, roles.key, options.folds, options.seed)
-    if write:
-        split = materialize(split, "model-split")
     train = split.where(F.col("split") == "train")
     pre = feat.fit_preprocessor(train, lists, options.rare_threshold)
     frame = pre.transform(split, [roles.key, "split", "fold", target])
