@@ -25,6 +25,7 @@ from ..operators.linear import (
     linear_expr,
     ols_with_checks,
     solve_ls,
+    vif_from_gram,
     vif_table,
 )
 from ..operators.select import select_from_fold_grams
@@ -117,13 +118,15 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
     if md.task != "regression":
         raise ValueError("target is not a regression target")
     target, names = md.target, md.names
-    vif = vif_table(md.train, md.lists.numeric)
     train = md.train
     grams = collect_gram(train, names + [target], fold=F.col("fold"))
     folds = sorted(f for (f, k) in grams if k == "1")
     g = grams[(folds[0], "1")]
     for f in folds[1:]:
         g = g + grams[(f, "1")]
+    # training rows are complete (model frame) and VIF is scale-invariant:
+    # the same Gram gives it, no extra pass
+    vif = vif_from_gram(g, md.lists.numeric) if len(md.lists.numeric) <= 70 else []
     ybar = g.matrix[g.index(target), 0] / g.n
     b0, b = solve_ls(g, names, target)
     m1 = (b0, dict(zip(names, b)))
