@@ -103,32 +103,58 @@ def _refine(df: DataFrame, state: dict, accuracy: int, cap: int) -> None:
 
 
 def _final(df: DataFrame, state: dict) -> dict:
-    """Order statistics at ranks lo and hi of every bracket, or a miss."""
-    items = list(state.items())
+    """Order statistics at ranks lo and hi of every bracket, or a miss.
+
+    Per column the brackets are merged into disjoint intervals; every row
+    emits one record: its value when it falls inside an interval, else only
+    the number of intervals below it (rows above the last interval are
+    dropped). Counting by (column, interval index, value) and a running sum
+    partitioned by column gives exact ranks inside the intervals."""
+    by_col: dict[str, list] = {}
+    for (c, p), s in state.items():
+        by_col.setdefault(c, []).append((s["L"], s["U"]))
+    intervals: dict[str, list[tuple[float, float]]] = {}
+    for c, br in by_col.items():
+        merged: list[list[float]] = []
+        for lo_v, hi_v in sorted(br):
+            if merged and lo_v <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi_v)
+            else:
+                merged.append([lo_v, hi_v])
+        intervals[c] = [(a_, b_) for a_, b_ in merged]
+    cols = list(intervals)
     structs = []
-    for k, ((c, p), s) in enumerate(items):
+    for ci, c in enumerate(cols):
         x = _x(c)
-        structs.append(F.struct(F.lit(k).alias("qid"),
-                                F.when(x.between(F.lit(s["L"]), F.lit(s["U"])), x).alias("v"),
-                                (x < F.lit(s["L"])).alias("below")))
+        ivs = intervals[c]
+        idx = sum((F.when(x > F.lit(u), 1).otherwise(0) for _, u in ivs), F.lit(0))
+        inside = None
+        for lo_v, hi_v in ivs:
+            cond = x.between(F.lit(lo_v), F.lit(hi_v))
+            inside = cond if inside is None else (inside | cond)
+        ok = x.isNotNull() & ~F.isnan(x)
+        structs.append(F.struct(F.lit(ci).alias("ci"), idx.alias("idx"), (ok & inside).alias("inside"),
+                                F.when(ok & inside, x).alias("v"), F.lit(len(ivs)).alias("k"), ok.alias("ok")))
     cand = (
         df.select(F.explode(F.array(*structs)).alias("s"))
-        .select("s.qid", "s.v", "s.below")
-        .where(F.col("v").isNotNull() | F.col("below"))
-        .groupBy("qid", "v")
+        .select("s.ci", "s.idx", "s.inside", "s.v", "s.k", "s.ok")
+        .where(F.col("ok") & (F.col("inside") | (F.col("idx") < F.col("k"))))
+        .groupBy("ci", "idx", "inside", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    targets = df.sparkSession.createDataFrame([(k, s["lo"], s["hi"]) for k, (_, s) in enumerate(items)],
-                                              "qid int, lo long, hi long")
-    w = Window.partitionBy("qid").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding,
-                                                                                        Window.currentRow)
+    items = list(state.items())
+    targets = df.sparkSession.createDataFrame(
+        [(cols.index(c), k, s["lo"], s["hi"]) for k, ((c, _), s) in enumerate(items)],
+        "ci int, qid int, lo long, hi long")
+    w = (Window.partitionBy("ci").orderBy("idx", F.col("inside").asc(), F.col("v").asc_nulls_first())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (
         cand.withColumn("cum", F.sum("cnt").over(w))
         .withColumn("first_rank", F.col("cum") - F.col("cnt"))
-        .join(F.broadcast(targets), "qid")
-        .where(F.col("v").isNotNull() & (
-            ((F.col("first_rank") <= F.col("lo")) & (F.col("cum") > F.col("lo")))
-            | ((F.col("first_rank") <= F.col("hi")) & (F.col("cum") > F.col("hi")))))
+        .where(F.col("inside"))
+        .join(F.broadcast(targets), "ci")
+        .where(((F.col("first_rank") <= F.col("lo")) & (F.col("cum") > F.col("lo")))
+               | ((F.col("first_rank") <= F.col("hi")) & (F.col("cum") > F.col("hi"))))
         .select("qid", "v", "first_rank", "cum", "lo", "hi")
     )
     picks: dict[int, dict[str, float]] = {}

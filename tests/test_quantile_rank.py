@@ -55,3 +55,13 @@ def test_windows_are_partitioned(spark):
     df = spark.range(1000).withColumn("v", F.rand(1))
     plan = global_row_number(df, "v", tiebreak=["id"], n_buckets=16)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_exact_quantiles_ignore_nulls(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=2000)
+    rows = [(float(v),) for v in x] + [(None,)] * 700
+    df = spark.createDataFrame(rows, "x double").repartition(3)
+    got = exact_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.75], accuracy=40, cap=100)
+    for p in (0.05, 0.25, 0.5, 0.75):
+        assert got[("x", p)] == pytest.approx(np.quantile(x, p), abs=1e-12)
