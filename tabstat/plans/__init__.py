@@ -1 +1 @@
-"""tabstat package."""
+"""tabstat.plans"""

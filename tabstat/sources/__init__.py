@@ -1 +1 @@
-"""tabstat package."""
+"""tabstat.sources"""

@@ -1 +1 @@
-"""tabstat package."""
+"""tabstat.streaming"""
