@@ -85,14 +85,18 @@ def _sample_kurtosis(st: dict) -> float | None:
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * st["g2"] + 6)
 
 
-def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 2, quantile_accuracy: int = 10_000):
+def numeric_summary(df: DataFrame, columns: list[str], digits: int | None = 2, quantile_accuracy: int = 10_000,
+                    keep: dict | None = None):
     """count, mean, std (n-1), min, q25, median, q75, max, bias-corrected skew
     and excess kurtosis per column: one long-form moments pass (with the
-    quantile brackets) + the exact-quantile pass."""
+    quantile brackets) + the exact-quantile pass. ``keep`` (a dict) receives
+    the unrounded quartiles and column stats for reuse by later steps."""
     cols = present(df, columns)
     if not cols:
         return None
     quant, stats = exact_quantiles_with(df, cols, [0.25, 0.5, 0.75], accuracy=quantile_accuracy, moments=True)
+    if keep is not None:
+        keep.update({"quantiles": quant, "stats": stats})
     records = []
     for c in cols:
         st = stats[c]
@@ -248,12 +252,16 @@ def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
     return max(1, int(math.ceil(ptp / width)))
 
 
-def histogram_bins(df: DataFrame, columns: list[str]) -> DataFrame:
+def histogram_bins(df: DataFrame, columns: list[str], known: dict | None = None) -> DataFrame:
     """Bin edges and counts per column (all bins, empty ones included; last
-    bin closed). Bins come from one range pass and the exact quartiles; the
-    counting is one ``groupBy`` over (variable, bin)."""
+    bin closed). Bins come from one range pass and the exact quartiles (or
+    ``known`` ones from ``numeric_summary``); the counting is one ``groupBy``
+    over (variable, bin)."""
     cols = present(df, columns)
-    quart, st = exact_quantiles_with(df, cols, [0.25, 0.75], moments=True)
+    if known:
+        quart, st = known["quantiles"], known["stats"]
+    else:
+        quart, st = exact_quantiles_with(df, cols, [0.25, 0.75], moments=True)
     spec = []
     for c in cols:
         s = st[c]
@@ -289,10 +297,11 @@ def histogram_bins(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def boxplot_stats(df: DataFrame, columns: list[str], whisker: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (extreme points inside 1.5 IQR) and outlier count."""
+def boxplot_stats(df: DataFrame, columns: list[str], whisker: float = 1.5, known: dict | None = None) -> DataFrame:
+    """Quartiles, whiskers (extreme points inside 1.5 IQR) and outlier count;
+    ``known`` quartiles from ``numeric_summary`` save the quantile passes."""
     cols = present(df, columns)
-    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    quart = known["quantiles"] if known else exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs, fences = [], {}
     for i, c in enumerate(cols):
         q1, q3 = quart[(c, 0.25)], quart[(c, 0.75)]

@@ -210,13 +210,14 @@ def q_profile(spark, sf_dir):
     df, _ = _obs(spark, sf_dir)
     num = [c for c in R.numeric_order() if c in df.columns]
     cat = [c for c in R.categorical() if c in df.columns]
+    known: dict = {}
     parts = {
-        "numeric_summary": prof.numeric_summary(df, num),
+        "numeric_summary": prof.numeric_summary(df, num, keep=known),
         "categorical_profile": prof.categorical_profile(df, cat),
         "missing_report": prof.missing_report(df),
         "correlation_matrix": prof.correlation_long(df, num),
-        "histogram_bins": prof.histogram_bins(df, num),
-        "boxplot_stats": prof.boxplot_stats(df, num),
+        "histogram_bins": prof.histogram_bins(df, num, known=known),
+        "boxplot_stats": prof.boxplot_stats(df, num, known=known),
         "group_summary": prof.group_summary(df, R),
     }
     return spark.createDataFrame([(k, v.count()) for k, v in parts.items()], "part string, n_rows long")

@@ -31,13 +31,14 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
 
     num = [c for c in roles.numeric_order() if c in obs.columns]
     cat = [c for c in roles.categorical() if c in obs.columns]
-    put("numeric_summary", prof.numeric_summary(obs, num))
+    known: dict = {}
+    put("numeric_summary", prof.numeric_summary(obs, num, keep=known))
     put("categorical_profile", prof.categorical_profile(obs, cat))
     missing = put("missing_report", prof.missing_report(obs))
     corr = put("correlation_matrix", prof.correlation_long(obs, num))
     pairs = put("correlation_pairs", prof.correlation_pairs(corr, num))
-    put("histogram_bins", prof.histogram_bins(obs, num))
-    put("boxplot_stats", prof.boxplot_stats(obs, num))
+    put("histogram_bins", prof.histogram_bins(obs, num, known=known or None))
+    put("boxplot_stats", prof.boxplot_stats(obs, num, known=known or None))
     for c in cat:
         put(f"category_counts_{c}", prof.category_counts(obs, c, options.top_categories))
     groups = put("group_summary", prof.group_summary(obs, roles))
