@@ -25,7 +25,7 @@ _RUNS: dict[tuple, object] = {}
 
 
 def _key(spark, sf_dir, kind):
-    return (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    return (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), kind)
 
 
 def regression_run(spark, sf_dir):

@@ -34,7 +34,7 @@ def _cached(spark, sf_dir, kind, build):
 
     from ..session import materialize
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), kind)
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), kind)
     if key not in _FRAMES:
         frame, fl, target = build()
         _FRAMES[key] = (materialize(frame, f"{kind}-frame"), fl, target)

@@ -30,7 +30,7 @@ def prepared(spark: SparkSession, sf_dir: str, options: PrepareOptions = Prepare
     the shared checkpoint folder; returns (DataFrame, PrepareReport)."""
     import os
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), options)
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), options)
     hit = _PREPARED.get(key)
     if hit is None:
         df, report = prepare(raw_obs(spark, sf_dir), ROLES, options, materialize=True)
