@@ -139,8 +139,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     cutoffs = thresholds(feats, labels, "__doc", "__s", limit=limit, delta=delta)
     # the counts are worked out again beside the row: cheaper than moving texts
     packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).cast("string").alias("__s"), F.col(text_col).alias("__text"))
-    again = features(packed, "__text", ["__row", "__s"])
-    return judge(again, cutoffs, "__s").where("kept").select("__row.*")
+    again = features(packed, "__text", ["__row", "__s"]).withColumn("__stop", F.monotonically_increasing_id())
+    # a filter that needs __stop is not pushed below it, where each use of a
+    # count would be replaced by all that computes it
+    return judge(again, cutoffs, "__s").where("kept AND __stop >= 0").select("__row.*")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
