@@ -38,7 +38,7 @@ BLOCK_BYTES = 8 << 20
 
 _TABLE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
                for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, with capitals
 _LETTERS = 0x1000  # first letter of the private alphabet
 _UNKNOWN = "\x01"
 

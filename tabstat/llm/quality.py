@@ -100,17 +100,19 @@ def thresholds(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str, l
     good = labels.where(F.col(label_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(label_id).alias("__id"))
     good = good.agg(F.min(quality).alias("__q")).where("__q = 1").select("__id")
     held = feats.where(~base_failed()).join(good, feats[id_col] == good["__id"], "left_semi")
-    tests = [(r, j, value, cut) for r, (value, cuts) in RULES.items() for j, cut in enumerate(cuts)]
-    sums = [F.expr(f"count_if({value} > {cut}D)").alias(f"__{r}_{j}") for r, j, value, cut in tests]
-    by = held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("__n"), *sums)
+    tests = [(r, value, cut) for r, (value, cuts) in RULES.items() for cut in cuts]
+    sums = F.array(*[F.expr(f"count_if({value} > {cut}D)") for _, value, cut in tests])
+    by = held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("n"), sums.alias("rejected"))
     by = materialize(by, "holdout")
     hypotheses = max(1, by.count()) * len(tests)
-    share = limit / len(RULES)
-    out = [F.col("__stratum")]
-    for r, (_, cuts) in RULES.items():
-        admitted = [f"CASE WHEN {binomial_tail(f'__{r}_{j}', '__n', share)} <= {delta / hypotheses!r}D THEN {cut}D END" for j, cut in enumerate(cuts)]
-        out.append(F.expr(f"coalesce({', '.join(admitted)})").alias(f"__cut_{r}"))
-    return materialize(by.select(*out), "cutoffs")
+    tail = F.expr(binomial_tail("k", "n", limit / len(RULES)))
+    admitted = by.select("__stratum", "n", F.posexplode("rejected").alias("test", "k")).where(tail <= delta / hypotheses)
+    strictest = []
+    for r in RULES:
+        at = [i for i, t in enumerate(tests) if t[0] == r]
+        first = F.min(F.when(F.col("test").between(at[0], at[-1]), F.col("test")))
+        strictest.append(F.get(F.array(*[F.lit(t[2]) for t in tests]), first).alias(f"__cut_{r}"))
+    return materialize(admitted.groupBy("__stratum").agg(*strictest), "cutoffs")
 
 
 def judge(feats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, ngram_join, quality
+from . import bpe, chains, chat, decontaminate, line_dedup, lm, ngram_join, pii, quality, warc_zip
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring_dedup": chains.op3_substring_dedup,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
+    "op5_chat_format": chat.op5_chat_format,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_warc_zip": warc_zip.op8_warc_zip,
+    "op9_pii_semicrf": pii.op9_pii_semicrf,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op6_lm_scoring": lm.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op8_warc_zip": warc_zip.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
