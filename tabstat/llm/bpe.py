@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEPT_PIECES = 400_000  # distinct matches a worker remembers; beyond it, it starts over
+KEPT_PIECES = 200_000  # distinct matches a worker remembers; beyond it, it starts over
 
 
 def byte_table() -> dict[int, str]:
@@ -46,22 +46,30 @@ class Codec:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, rank_lines: bytes, pattern: str):
-        import regex
-        from tokenizers import models
-
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, rank_lines.splitlines()) if t}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.table = byte_table()
+        self.pattern_text = pattern
+        self.kept: dict[str, bytes] = {}
+
+    @cached_property
+    def model(self):
+        """The library's model; decoders do without it."""
+        from tokenizers import models
+
         merges = []
         for token in sorted(self.ranks, key=self.ranks.get):
             halves = [(token[:i], token[i:]) for i in range(1, len(token))]
             halves = [(a, b) for a, b in halves if a in self.ranks and b in self.ranks]
             halves.sort(key=lambda p: (self.ranks[p[0]], self.ranks[p[1]]))
             merges += [(self.shown(a), self.shown(b)) for a, b in halves]
-        self.model = models.BPE(vocab={self.shown(t): r for t, r in self.ranks.items()}, merges=merges)
-        self.pattern_text = pattern
-        self.pattern = regex.compile(pattern)
-        self.kept: dict[str, bytes] = {}
+        return models.BPE(vocab={self.shown(t): r for t, r in self.ranks.items()}, merges=merges)
+
+    @cached_property
+    def pattern(self):
+        import regex
+
+        return regex.compile(self.pattern_text)
 
     def shown(self, raw: bytes) -> str:
         return raw.decode("latin-1").translate(self.table)
