@@ -54,6 +54,26 @@ def _halves() -> Column:
         xxhash64(g, 'tail', slice(words, size(words) - (g - int(g / 2)) + 1, g - int(g / 2))))))""")
 
 
+def _prefixes(values: str) -> str:
+    """SQL for the xor of the values before each place and, at the end, of all.
+    By blocks of 128, so that the work stays linear for long lines."""
+    add = "array(0L), (a, x) -> concat(a, array(element_at(a, -1) ^ x))"
+    blocks = f"transform(sequence(0, int(ceil(size({values}) / 128)) - 1), b -> aggregate(slice({values}, b * 128 + 1, 128), {add}))"
+    return f"""transform(array({blocks}), v -> transform(array(aggregate(transform(v, y -> element_at(y, -1)), {add})), t ->
+        transform(sequence(0, size({values})), i -> get(t, int(i / 128)) ^ coalesce(get(get(v, int(i / 128)), i % 128), 0L))))[0][0]"""
+
+
+def _variant_keys() -> Column:
+    """Key of the line and keys of its variants with one word left out. A line
+    is hashed as the xor of its (word, place) hashes; a variant takes the
+    hashes before the word and, from the next place down, those after it."""
+    here, down = "transform(words, (w, i) -> xxhash64(w, i))", "transform(words, (w, i) -> xxhash64(w, i - 1))"
+    n = "size(words)"
+    return F.expr(f"""transform(array(struct({here} AS a, {down} AS b)), s -> transform(array(struct({_prefixes('s.a')} AS a, {_prefixes('s.b')} AS b)), p -> concat(
+        array(xxhash64(get(p.a, {n}), {n})),
+        transform(sequence(0, {n} - 1), i -> xxhash64(get(p.a, i) ^ get(p.b, {n}) ^ get(p.b, i + 1), {n} - 1)))))[0][0]""")
+
+
 def within_one(a: str, b: str) -> Column:
     """True if word arrays a and b are within one edit."""
     at = f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0), least(size({a}), size({b})) + 1)"
@@ -88,14 +108,15 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = again.join(survivors, ["k1", "k2", "ln"]).select(place.alias("place"), "words").dropDuplicates(["place"])
     full = materialize(full, "line_words")
 
-    variants = full.select("place", F.posexplode(F.expr("""concat(array(xxhash64(words)),
-        transform(sequence(1, size(words)), i -> xxhash64(concat(slice(words, 1, i - 1), slice(words, i + 1, size(words))))))""")).alias("at", "key"))
-    variants = materialize(variants, "variants")
+    variants = full.select("place", F.posexplode(_variant_keys()).alias("at", "key"))
+    # most keys have one line only: those go before the lines' places move
+    met = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    variants = materialize(variants.join(met, "key", "left_semi"), "variants")
     same = variants.groupBy("key", "at").agg(F.min("place").alias("same"))
     by_key = same.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("same"))).alias("longer"))
-    met = variants.join(same, ["key", "at"]).join(by_key, "key")
+    judged = variants.join(same, ["key", "at"]).join(by_key, "key")
     partner = F.when(F.col("at") == 0, F.col("longer")).otherwise(F.least("same", "whole"))
-    links = met.select("place", partner.alias("partner")).where("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
+    links = judged.select("place", partner.alias("partner")).where("partner < place").groupBy("place").agg(F.min("partner").alias("partner"))
     pairs = links.join(full, "place").join(full.select(F.col("place").alias("partner"), F.col("words").alias("others")), "partner")
     near = pairs.where(within_one("words", "others")).select(F.col("place").alias("first"), F.lit(True).alias("near"))
 
