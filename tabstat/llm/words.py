@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # text handled at once; a longer text is a chunk of its own
 
 _LUT = np.zeros(256, np.uint8)
 _LUT[0x80:] = np.arange(0x80, 0x100)
