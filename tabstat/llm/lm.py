@@ -42,8 +42,8 @@ ALPHA = 0.4
 MIN_COUNT = 2
 FREQUENT = 500_000
 FREQUENT_PAIRS = 65_536
-BUCKET = 3_000_000
-PACK_BYTES = 12 << 20  # text whose n-grams are packed together
+BUCKET = 1_500_000
+PACK_BYTES = 6 << 20  # text whose n-grams are packed together
 _START = np.uint64(1 << 62)  # stands before a document's first word
 _RARE = np.uint64(1 << 63)  # set in the code of an infrequent word
 _PAIR = W.constants(2, 23)
