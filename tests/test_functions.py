@@ -84,3 +84,25 @@ def test_correlation_pairwise_and_constant(spark):
     rows = {(r.var1, r.var2): r.corr for r in correlation_long(df, ["a", "b", "c"]).collect()}
     assert rows[("a", "b")] == pytest.approx(0.8910421112, abs=1e-9)
     assert rows[("a", "c")] is None
+
+
+def test_datetimes_in_any_zone_and_form(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [("08-09-2024", "00:30:00", "2024-09-08 00:30:00"), ("14.03.2025", "7:05 PM", "2025-03-14 19:05:00"), ("14-03-25", "12:00 am", "2025-03-14 00:00:00"),
+            ("2024/2/29", "23:59", "2024-02-29 23:59:00"), ("08/25/2024", "1:00", "2024-08-25 01:00:00"), ("\xa01/2/1999 ", "\u20030:01", "1999-02-01 00:01:00"),
+            ("30-02-2024", "1:00", None), ("1-1-2024", "25:00", None), ("1-1-2024", "13:00 PM", None), ("x", "1:00", None), (None, "1:00", None), ("1-1-2024", None, None)]
+    try:
+        for z in ("UTC", "America/Santiago"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            df = spark.createDataFrame(rows, "d string, t string, want string")
+            for r in df.select("d", "t", "want", parse_datetime("d", "t").cast("string").alias("got")).collect():
+                assert r.got == r.want, (z, r)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_unicode_blanks(spark):
+    from tabstat.functions.text import clean_text
+
+    df = spark.createDataFrame([("\xa0Maipú\xa0",), ("\u2003nan",), ("a\xa0b\u3000",)], "x string")
+    assert [r[0] for r in df.select(clean_text("x")).collect()] == ["Maipú", None, "a\xa0b"]

@@ -30,7 +30,7 @@ def test_global_row_number_equals_sort(spark):
     rng = np.random.default_rng(3)
     vals = rng.integers(0, 300, size=5000)
     df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(vals)], "k long, v long").repartition(5)
-    out = global_row_number(df, "v", tiebreak=["k"], n_buckets=16).select("k", "row_number").collect()
+    out = global_row_number(df, "v", tiebreak=["k"]).select("k", "row_number").collect()
     order = sorted(range(len(vals)), key=lambda i: (vals[i], i))
     expect = {k: r + 1 for r, k in enumerate(order)}
     assert {r.k: r.row_number for r in out} == expect
@@ -39,21 +39,21 @@ def test_global_row_number_equals_sort(spark):
 def test_grouped_cumsum(spark):
     rows = [(g, float(v), 1.0) for g in (0, 1) for v in range(100)]
     df = spark.createDataFrame(rows, "g int, v double, w double")
-    out = global_cumsum(df, "v", ["w"], group_cols=["g"], n_buckets=8).collect()
+    out = global_cumsum(df, "v", ["w"], group_cols=["g"]).collect()
     for r in out:
         assert r.cum_w == r.v + 1
 
 
 def test_value_counts_ranked(spark):
     df = spark.createDataFrame([(v,) for v in [3.0, 1.0, 3.0, 2.0, 3.0]], "x double")
-    out = {r.value: (r.cnt, r.start, r.end) for r in value_counts_ranked(df, "x", 4).collect()}
+    out = {r.value: (r.cnt, r.start, r.end) for r in value_counts_ranked(df, "x").collect()}
     assert out == {1.0: (1, 0, 1), 2.0: (1, 1, 2), 3.0: (3, 2, 5)}
 
 
 def test_windows_are_partitioned(spark):
     """No single-partition window in the rank plan."""
     df = spark.range(1000).withColumn("v", F.rand(1))
-    plan = global_row_number(df, "v", tiebreak=["id"], n_buckets=16)._jdf.queryExecution().executedPlan().toString()
+    plan = global_row_number(df, "v", tiebreak=["id"])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
@@ -65,3 +65,37 @@ def test_exact_quantiles_ignore_nulls(spark):
     got = exact_quantiles(df, ["x"], [0.05, 0.25, 0.5, 0.75], accuracy=40, cap=100)
     for p in (0.05, 0.25, 0.5, 0.75):
         assert got[("x", p)] == pytest.approx(np.quantile(x, p), abs=1e-12)
+
+
+def test_quantiles_of_few_values_need_no_narrowing(spark):
+    """Eight distinct values: a tiny cap takes as many jobs as a large one."""
+    df = spark.range(4000).select((F.col("id") % 8).cast("double").alias("x"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for cap in (9, 2_000_000):
+        spark.sparkContext.setJobGroup(f"quantiles-{cap}", "count jobs")
+        assert exact_quantiles(df, ["x"], [0.25, 0.5], cap=cap) == {("x", 0.25): 1.75, ("x", 0.5): 3.5}
+        jobs.append(len(tracker.getJobIdsForGroup(f"quantiles-{cap}")))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[0] <= jobs[1] + 2
+
+
+def test_quantiles_ignore_nan(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(10)] + [(float("nan"),)] * 5, "x double")
+    got = exact_quantiles(df, ["x"], [0.25, 0.5, 0.75, 0.95])
+    assert [got["x", p] for p in (0.25, 0.5, 0.75, 0.95)] == pytest.approx([2.25, 4.5, 6.75, 8.55])
+
+
+def test_row_numbers_of_large_integers_and_text(spark):
+    top = 2**53
+    df = spark.createDataFrame([(top + i,) for i in (3, 0, 5, 1, 4, 2)], "v long")
+    assert {r.v - top: r.row_number for r in global_row_number(df, "v").collect()} == {i: i + 1 for i in range(6)}
+    text = spark.createDataFrame([("b",), ("a",), ("c",)], "v string")
+    assert [(r.v, r.row_number) for r in global_row_number(text, "v").orderBy("v").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_hot_value_is_spread_over_ranges(spark):
+    df = spark.range(9000).select("id", F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("v")).repartition(6)
+    out = {r.id: r.row_number for r in global_row_number(df, "v", tiebreak=["id"]).collect()}
+    order = sorted(range(9000), key=lambda i: (7 if i < 3000 else i, i))
+    assert out == {i: n + 1 for n, i in enumerate(order)}

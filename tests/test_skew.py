@@ -32,7 +32,7 @@ def test_quantiles_with_hot_value(hot):
 
 def test_ranks_collapse_hot_value_and_expand_in_chunks(hot):
     df, x, _ = hot
-    ranked = value_counts_ranked(df, "speed", n_buckets=8)
+    ranked = value_counts_ranked(df, "speed")
     hot_row = ranked.where(F.col("value") == 42.0).first()
     assert hot_row.cnt == len(x) // 3
     pos = expand_positions(ranked, chunk=500)
