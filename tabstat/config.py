@@ -11,6 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
+@dataclass(frozen=True)
+class Feature:
+    """How a column may enter a model."""
+
+    column: str
+    numeric: bool = True
+    stands_in_for: str | None = None  # used only where that column is not
+    option: str | None = None  # the model option that lets it in
+    rare: bool = False  # infrequent levels are bucketed
+
+
 @dataclass(frozen=True)
 class Roles:
     """Names of the input and derived columns."""
@@ -81,9 +92,22 @@ class Roles:
     def categorical(self) -> list[str]:
         return [self.street, self.district, self.seg_id, self.peak]
 
-    def excluded(self) -> list[str]:
-        """Columns never used as model features."""
-        return [self.day, self.start, self.end, self.duration_text, self.dt_start, self.dt_end, self.label]
+    def features(self) -> list[Feature]:
+        """Columns that models may use, in model order; no other column is a
+        feature. The raw length serves where its logarithm does not."""
+        numeric = [Feature(c) for c in self.numeric_order() if c != self.length_num]
+        return [
+            *numeric,
+            Feature(self.length_num, stands_in_for=self.length_log1p),
+            Feature(self.street, numeric=False, option="use_street", rare=True),
+            Feature(self.district, numeric=False, rare=True),
+            Feature(self.seg_id, numeric=False, option="use_seg_id", rare=True),
+            Feature(self.peak, numeric=False),
+        ]
+
+    def parents(self) -> dict[str, str]:
+        """Target columns that are computed from another column."""
+        return {self.label: self.speed_num}
 
 
 # Fixed values that must equal the reference for equal results.
@@ -126,7 +150,6 @@ class ModelOptions:
     exclude_parents: bool = True  # drop the speed column when its label is the target
     top_categories: int = 20
     exact_split: bool = True
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if not 0 < self.test_size < 1:

@@ -8,18 +8,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import OFF_PEAK_LABEL, PEAK_LABEL, PEAK_WINDOWS
-
-# Day-first formats accepted for "<date> <time>" text; seconds optional.
-DAY_FIRST_FORMATS = ("d-M-yyyy H:mm[:ss]", "d/M/yyyy H:mm[:ss]", "yyyy-M-d H:mm[:ss]")
-
-
-def parse_datetime(date_text, time_text, formats=DAY_FIRST_FORMATS) -> Column:
-    """Day-first date and time text to TIMESTAMP_NTZ; bad text gives NULL."""
-    joined = F.concat_ws(" ", F.col(date_text) if isinstance(date_text, str) else date_text,
-                         F.col(time_text) if isinstance(time_text, str) else time_text)
-    joined = F.when(F.col(date_text).isNotNull() & F.col(time_text).isNotNull(), joined)
-    parsed = [F.try_to_timestamp(joined, F.lit(fmt)) for fmt in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+from .text import strip_ws
+
+_CLOCK = r"[ T]+\d{1,2}:\d{2}(:\d{2})?( ?[AaPp]\.?[Mm]\.?)?$"
+DAY_FIRST = r"^\d{1,2}[-/. ]\d{1,2}[-/. ](\d{4}|\d{2})" + _CLOCK
+YEAR_FIRST = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}" + _CLOCK
+
+
+def _part(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i)).try_cast("int")
+
+
+def parse_datetime(date_text, time_text) -> Column:
+    """Date and time text to TIMESTAMP_NTZ; bad text gives NULL.
+
+    Day first (``14-03-2025``, ``14/3/25``, ``14.03.2025``) or year first;
+    seconds optional, ``AM`` and ``PM`` accepted; two-digit years below 69 are
+    in this century. Where the second number can only be a day, it is one. The
+    value is made from its parts, so no time zone takes part."""
+    date = strip_ws(date_text)
+    clock = strip_ws(time_text)
+    text = F.concat(date, F.lit(" "), clock)
+    parts = F.filter(F.split(text, r"[^0-9]+"), lambda p: p != "")
+    year_first = text.rlike(YEAR_FIRST)
+    first, second, third = (_part(parts, i) for i in range(3))
+    swapped = (second > 12) & (first <= 12)
+    day = F.when(year_first, third).when(swapped, second).otherwise(first)
+    month = F.when(year_first | swapped, F.when(year_first, second).otherwise(first)).otherwise(second)
+    short = F.char_length(F.get(parts, F.lit(2))) == 2
+    year = F.when(year_first, first).when(short, third + F.when(third < 69, 2000).otherwise(1900)).otherwise(third)
+    hour = _part(parts, 3)
+    half = F.lower(F.regexp_extract(text, r"([AaPp])\.?[Mm]\.?$", 1))
+    hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    made = F.try_make_timestamp_ntz(year, month, day, hour24, _part(parts, 4), F.coalesce(_part(parts, 5), F.lit(0)))
+    return F.when(year_first | text.rlike(DAY_FIRST), made)
 
 
 def midnight_rollover(start: Column, end: Column) -> Column:

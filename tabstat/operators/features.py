@@ -32,29 +32,25 @@ def q(c: str) -> Column:
 # ----------------------------------------------------------------------------- target and features
 
 
+_TASKS = {"reg": "regression", "clf": "classification"}
+
+
 def choose_target_task(df: DataFrame, options: ModelOptions, roles: Roles = Roles()) -> tuple[str, str]:
-    """Explicit target, else speed, else the label; task from the option or
-    the target type. Errors as the reference: non-numeric target for
-    regression, fewer than two classes for classification."""
-    cols = df.columns
-    if options.target and options.target in cols:
-        target = options.target
-    elif roles.speed_num in cols:
-        target = roles.speed_num
-    elif roles.label in cols:
-        target = roles.label
-    else:
+    """(target, task): the first of the option's target, speed and label that
+    the table has; the task by the option, else by the target's type."""
+    target = next((c for c in (options.target, roles.speed_num, roles.label) if c in df.columns), None)
+    if target is None:
         raise ValueError("no target column found for modelling")
     numeric = isinstance(df.schema[target].dataType, NumericType)
-    task = {"reg": "regression", "clf": "classification"}.get(options.task)
-    if task is None:
-        task = "regression" if numeric else "classification"
-    if task == "regression" and not numeric:
-        raise ValueError(f"target {target} is not numeric for regression")
-    if task == "classification":
-        n_classes = df.agg(F.count_distinct(q(target)).alias("k")).collect()[0]["k"]
-        if n_classes < 2:
-            raise ValueError(f"target {target} has fewer than two classes")
+    task = _TASKS.get(options.task, _TASKS["reg" if numeric else "clf"])
+    if task == _TASKS["reg"]:
+        fits, want = numeric, "is not numeric for regression"
+    else:
+        # two different values are enough: the classes are not counted
+        ends = df.agg(F.min(q(target)).alias("a"), F.max(q(target)).alias("b")).first()
+        fits, want = ends["a"] != ends["b"], "has fewer than two classes"
+    if not fits:
+        raise ValueError(f"target {target} {want}")
     return target, task
 
 
@@ -70,39 +66,19 @@ class FeatureLists:
         return [c for c in self.numeric + self.categorical]
 
 
-def select_features(df: DataFrame, target: str, options: ModelOptions, roles: Roles = Roles(),
-                    length_feature: str | None = None) -> FeatureLists:
-    """Numeric columns in report order minus the target and the raw length;
-    the length feature (log1p when made); categorical columns with opt-in for
-    the high-cardinality ones; fixed exclusions; order kept, no repeats."""
-    cols = set(df.columns)
-    parents = {roles.label: roles.speed_num}
-    skip = {target, roles.length_num}
-    if options.exclude_parents and target in parents:
-        skip.add(parents[target])
-    numeric = [c for c in roles.numeric_order() if c in cols and c not in skip]
-    if roles.length_log1p in cols and target != roles.length_log1p:
-        if roles.length_log1p not in numeric:
-            numeric.append(roles.length_log1p)
-    elif roles.length_num in cols and target != roles.length_num:
-        numeric.append(roles.length_num)
-    numeric = list(dict.fromkeys(numeric))
-    categorical, excluded = [], []
-    for c in roles.categorical():
-        if c not in cols or c == target:
-            continue
-        if c == roles.street and not options.use_street:
-            excluded.append(c)
-            continue
-        if c == roles.seg_id and not options.use_seg_id:
-            excluded.append(c)
-            continue
-        categorical.append(c)
-    rare = [c for c in (roles.district, roles.street, roles.seg_id) if c in categorical]
-    excl = set(roles.excluded())
-    numeric = [c for c in numeric if c not in excl]
-    categorical = [c for c in categorical if c not in excl]
-    return FeatureLists(numeric, categorical, rare, excluded)
+def select_features(df: DataFrame, target: str, options: ModelOptions, roles: Roles = Roles()) -> FeatureLists:
+    """The declared features (``Roles.features``) that the table has, without
+    the target, its parent column (on demand) and those not opted in."""
+    barred = {target} | ({roles.parents().get(target)} if options.exclude_parents else set())
+    there = {f.column: f for f in roles.features() if f.column in df.columns and f.column not in barred}
+    usable = [f for f in there.values() if f.stands_in_for not in there]
+    opted = [f for f in usable if f.option is None or getattr(options, f.option)]
+    return FeatureLists(
+        numeric=[f.column for f in opted if f.numeric],
+        categorical=[f.column for f in opted if not f.numeric],
+        rare=sorted((f.column for f in opted if f.rare), key=[roles.district, roles.street, roles.seg_id].index),
+        excluded_high_card=[f.column for f in usable if f not in opted],
+    )
 
 
 def model_frame(df: DataFrame, features: FeatureLists, target: str, key: str) -> DataFrame:

@@ -65,14 +65,14 @@ def _values(df: DataFrame, column: str, key: str | None) -> DataFrame:
     return df.select(*cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def shapiro_wilk(df: DataFrame, column: str, key: str | None = None, n_buckets: int | None = None) -> TestResult:
+def shapiro_wilk(df: DataFrame, column: str, key: str | None = None) -> TestResult:
     """W and p (Royston). Valid approximation up to n = 5000; computed (not
     capped) beyond, like common implementations."""
     vals = _values(df, column, key)
     n = vals.count()
     if n < 3:
         return TestResult("Shapiro-Wilk", column, None, None, n)
-    ranked = global_row_number(vals, "x", tiebreak=["__k"] if key else None, n_buckets=n_buckets, name="i")
+    ranked = global_row_number(vals, "x", tiebreak=["__k"] if key else None, name="i")
     ranked = ranked.withColumn("pp", (F.col("i") - 0.375) / F.lit(n + 0.25))
     ranked = with_norm_ppf(ranked, "pp", "m")
     if n == 3:
@@ -119,7 +119,7 @@ def shapiro_p(w: float, n: int) -> float:
     return norm_sf((y - m) / s)
 
 
-def ks_statistic(df: DataFrame, column: str, ddof: int = 0, n_buckets: int | None = None) -> TestResult:
+def ks_statistic(df: DataFrame, column: str, ddof: int = 0) -> TestResult:
     """One-sample KS of the standardised column against N(0, 1).
     ``ddof=0``: population std (profile step); ``ddof=1``: sample std
     (residual fallback)."""
@@ -129,7 +129,7 @@ def ks_statistic(df: DataFrame, column: str, ddof: int = 0, n_buckets: int | Non
     n, mu, sd = st["n"], st["mu"], st["sd"]
     if not n or sd is None or sd == 0:
         return TestResult("Kolmogorov-Smirnov", column, None, None, n or 0)
-    ranked = value_counts_ranked(vals, "x", n_buckets=n_buckets)
+    ranked = value_counts_ranked(vals, "x")
     z = ranked.withColumn("z", (F.col("value") - F.lit(mu)) / F.lit(sd)).withColumn("cdf", norm_cdf_col("z"))
     d = z.agg(F.max(F.greatest(F.col("end") / F.lit(float(n)) - F.col("cdf"),
                                F.col("cdf") - F.col("start") / F.lit(float(n)))).alias("d")).collect()[0]["d"]
@@ -171,7 +171,7 @@ def dagostino_from_moments(n: int, b1: float, b2: float) -> float:
     return zs * zs + zk * zk
 
 
-def qq_points(df: DataFrame, column: str, n_buckets: int | None = None) -> tuple[DataFrame, dict]:
+def qq_points(df: DataFrame, column: str) -> tuple[DataFrame, dict]:
     """(position, theoretical, ordered) for every observation and the fitted
     line {slope, intercept, r}. Repeated values are expanded in chunks."""
     vals = _values(df, column, None)
@@ -179,7 +179,7 @@ def qq_points(df: DataFrame, column: str, n_buckets: int | None = None) -> tuple
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], "position long, theoretical double, ordered double"), {}
-    pos = expand_positions(value_counts_ranked(vals, "x", n_buckets=n_buckets))
+    pos = expand_positions(value_counts_ranked(vals, "x"))
     mn = 0.5 ** (1.0 / n)
     pp = (F.when(F.col("position") == n, F.lit(mn)).when(F.col("position") == 1, F.lit(1.0 - mn))
           .otherwise((F.col("position") - 0.3175) / F.lit(n + 0.365)))

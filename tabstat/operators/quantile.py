@@ -7,12 +7,14 @@ which does not survive 100 TB. Here:
    rank from ``percentile_approx`` (rank error <= n / accuracy); other
    aggregates of the caller ride along in the same pass;
 2. when the data are so large that a bracket could still hold more than
-   ``cap`` rows, refining aggregates narrow it with ``percentile_approx``
-   restricted to the bracket;
+   ``cap`` distinct values, refining aggregates narrow it with
+   ``percentile_approx`` restricted to the bracket, until it holds fewer or
+   no longer shrinks;
 3. a last pass keeps only values inside the brackets (rows below a bracket
    are counted, not kept), counts them per distinct value, and a window
-   *partitioned by (column, quantile)* finds the two order statistics. A
-   bracket that missed its target is opened and the two steps repeat.
+   *partitioned by column* over these (at most ``cap`` per bracket) finds the
+   two order statistics. A bracket that missed its target is opened, counted
+   and searched again.
 
 Every pass is a plain aggregate with map-side combine; only scalars reach
 the driver. Heavy ties collapse in the ``groupBy(value)``.
@@ -37,40 +39,41 @@ def _targets(n: int, p: float) -> tuple[int, int, float]:
 
 
 def _x(c: str):
-    return F.col(f"`{c}`").cast("double")
+    """The column as double; NaN is missing, as in the rest of the profile."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _refine(df: DataFrame, state: dict, accuracy: int, cap: int) -> None:
     """Count below/inside every bracket; open missed brackets and narrow
     large ones until all are verified and small."""
     eps = 3.0 / accuracy
-    for _ in range(8):
+    while True:
         items = list(state.items())
         aggs = []
         for k, ((c, p), s) in enumerate(items):
             x = _x(c)
             below = (x < F.lit(s["L"])) if s["L"] is not None else F.lit(False)
-            aggs.append(F.count_if(below).alias(f"below{k}"))
             inside = x.isNotNull()
             if s["L"] is not None:
                 inside = inside & (x >= F.lit(s["L"]))
             if s["U"] is not None:
                 inside = inside & (x <= F.lit(s["U"]))
-            aggs.append(F.count_if(inside).alias(f"in{k}"))
+            aggs += [F.count_if(below).alias(f"below{k}"), F.count_if(inside).alias(f"in{k}"),
+                     F.approx_count_distinct(F.when(inside, x)).alias(f"values{k}")]
         row = df.agg(*aggs).collect()[0]
         todo = []
         for k, ((c, p), s) in enumerate(items):
             s["below"], s["inside"] = row[f"below{k}"], row[f"in{k}"]
             if s["L"] is not None and s["below"] > s["lo"]:
                 s["L"] = None
+                todo.append(("open", k))
             elif s["U"] is not None and s["below"] + s["inside"] < s["hi"] + 1:
                 s["U"] = None
-            elif s["inside"] > cap and s["L"] is not None and s["U"] is not None:
+                todo.append(("open", k))
+            elif row[f"values{k}"] > cap and not s.get("least"):
+                # what the final pass keeps is distinct values, not rows
                 todo.append(("narrow", k))
-                continue
-            else:
-                continue
-            todo.append(("open", k))
         if not todo:
             return
         aggs = []
@@ -94,12 +97,13 @@ def _refine(df: DataFrame, state: dict, accuracy: int, cap: int) -> None:
         for kind, k in todo:
             s = items[k][1]
             if kind == "open":
-                if s["L"] is None:
-                    s["L"] = row[f"mn{k}"]
-                if s["U"] is None:
-                    s["U"] = row[f"mx{k}"]
+                s["L"] = row[f"mn{k}"] if s["L"] is None else s["L"]
+                s["U"] = row[f"mx{k}"] if s["U"] is None else s["U"]
+                s["least"] = True  # a bracket that had missed is not narrowed again
             else:
-                s["L"], s["U"] = row[f"r{k}"][0], row[f"r{k}"][1]
+                now = tuple(row[f"r{k}"])
+                s["least"] = now == (s["L"], s["U"])
+                s["L"], s["U"] = now
 
 
 def _final(df: DataFrame, state: dict) -> dict:
@@ -217,9 +221,8 @@ def exact_quantiles_with(
             state[(c, p)] = {"L": bounds[2 * j], "U": bounds[2 * j + 1], "lo": lo, "hi": hi, "frac": frac}
     if state and max(st["n"] for st in stats.values()) * 2 * eps > cap:
         _refine(df, state, accuracy, cap)  # very large data: narrow before the final pass
-    for _ in range(3):
-        if not state:
-            break
+    checked = False
+    while state:
         picks = _final(df, state)
         missed = {}
         for key, s in state.items():
@@ -228,8 +231,11 @@ def exact_quantiles_with(
                 result[key] = d["lo"] + s["frac"] * (d["hi"] - d["lo"])
             else:
                 missed[key] = s
+        if missed and checked:
+            raise RuntimeError(f"quantiles {sorted(missed)} not found: the data changed between passes")
         if missed:
-            _refine(df, missed, accuracy, cap)
+            _refine(df, missed, accuracy, cap)  # brackets are counted and hold their ranks after this
+            checked = True
         state = missed
     return result, stats
 

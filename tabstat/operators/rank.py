@@ -1,60 +1,32 @@
 """Global ranks and running sums without a single-partition window.
 
 ``Window.orderBy`` with no ``partitionBy`` moves every row to one task. Here
-the order column is cut into ranges by ``percentile_approx`` bounds, each
-range gets its total in one small aggregate (<= ``n_buckets`` rows reach the
-driver), the totals become offsets, and the running sum is a window
-*partitioned by range*. Groups known to be small (``rows_per_group``) use a
-window partitioned by group directly. Ties never straddle two ranges, since the range
-depends on the value only; callers aggregate heavy ties (``groupBy(value)``)
-before ranking, so no range is dominated by one value.
+the rows are dealt to ranges of their order (``repartitionByRange`` on the
+columns themselves, so integers, text and timestamps keep their order), the
+ranges are written once to the shared folder with their number, one aggregate
+gives a total per range, the totals' running sum gives each range its offset,
+and the running sum of the rows is a window *partitioned by range*. There is
+one plan for every size, and nothing but the range table (a row per range)
+passes through one task.
+
+Callers aggregate heavy ties (``groupBy(value)``) before ranking; where rows
+are ranked one by one, the tiebreak is part of the range order, so one value
+that a third of the rows hold is spread over ranges too.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "__range"
+from ..session import materialize
 
+RANGE = "__range"
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 200_000
-ONE_RANGE_ROWS = 100_000
 
-
-def auto_ranges(df: DataFrame, minimum: int = 64) -> int:
-    """Number of ranges so that a range holds about ``ROWS_PER_RANGE`` rows
-    (one count; bounded by ``MAX_RANGES`` small rows on the driver). A table
-    of at most ``ONE_RANGE_ROWS`` rows is one range (no split pass)."""
-    n = df.count()
-    if n <= ONE_RANGE_ROWS:
-        return 1
-    return int(min(MAX_RANGES, max(minimum, -(-n // ROWS_PER_RANGE))))
-
-
-def range_splits(df: DataFrame, order_col: str, n_buckets: int, accuracy: int = 10_000) -> list[float]:
-    if n_buckets <= 1:
-        return []
-    accuracy = max(accuracy, 4 * n_buckets)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("p")).collect()[0]
-    pts = sorted(set(v for v in (row["p"] or []) if v is not None))
-    return pts
-
-
-def assign_range(df: DataFrame, order_col: str, splits: list[float]) -> DataFrame:
-    """Range number per row, found by binary search on the JVM (Bucketizer)."""
-    if not splits:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    b = Bucketizer(
-        splits=[float("-inf")] + list(splits) + [float("inf")],
-        inputCol="__order_d",
-        outputCol=BUCKET,
-        handleInvalid="keep",
-    )
-    return b.transform(df.withColumn("__order_d", F.col(order_col).cast("double"))).drop("__order_d")
+def _dealt(df: DataFrame, order: list) -> DataFrame:
+    """The rows by range of their order, written once, with the range number."""
+    return materialize(df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def global_cumsum(
@@ -62,80 +34,49 @@ def global_cumsum(
     order_col: str,
     sum_cols: list[str],
     descending: bool = False,
-    n_buckets: int | None = None,
     tiebreak: list[str] | None = None,
     prefix: str = "cum_",
     group_cols: list[str] | None = None,
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in the order of ``order_col``
     (then ``tiebreak``), restarted per ``group_cols``. Adds ``cum_<c>``
     columns; the input should hold one row per (group, order value), or a
-    tiebreak that makes the order total. Range bounds are pooled over groups;
-    offsets are per (group, range), so at most groups x n_buckets small rows
-    reach the driver."""
+    tiebreak that makes the order total."""
     groups = list(group_cols or [])
-    order = F.col(order_col)
-    key = "__key"
-    base = df.withColumn(key, (-order if descending else order).cast("double"))
-    if groups and rows_per_group is not None and rows_per_group <= ROWS_PER_RANGE:
-        # every group is known to be small: one window partitioned by group
-        orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
-        w = Window.partitionBy(*groups).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = base
-        for c in sum_cols:
-            out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w))
-        return out.drop(key)
-    if n_buckets is None:
-        n_buckets = auto_ranges(df)
-    if n_buckets <= 1:
-        # bounded table (checked size): one range, no offsets needed
-        orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
-        w = Window.partitionBy(*groups).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = base
-        for c in sum_cols:
-            out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w))
-        return out.drop(key)
-    splits = range_splits(base, key, n_buckets)
-    b = assign_range(base, key, splits)
-    totals = b.groupBy(*groups, BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    by_group: dict[tuple, list] = {}
-    for r in totals:
-        by_group.setdefault(tuple(r[g] for g in groups), []).append(r)
-    offsets = []
-    for gkey, rows in by_group.items():
-        running = [0.0] * len(sum_cols)
-        for r in sorted(rows, key=lambda r: r[BUCKET]):
-            offsets.append((*gkey, float(r[BUCKET]), *[float(v) for v in running]))
-            running = [a + float(r[c] or 0) for a, c in zip(running, sum_cols)]
-    gtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in groups}
-    schema = ", ".join([f"{g} {gtypes[g]}" for g in groups] + [f"{BUCKET} double"]
-                       + [f"__off_{i} double" for i in range(len(sum_cols))])
-    off = df.sparkSession.createDataFrame(offsets, schema)
-    orders = [F.col(key).asc()] + [F.col(t).asc() for t in (tiebreak or [])]
-    w = (Window.partitionBy(*groups, BUCKET).orderBy(*orders)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b.join(F.broadcast(off), groups + [BUCKET])
-    for i, c in enumerate(sum_cols):
-        out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + F.col(f"__off_{i}"))
-    return out.drop(BUCKET, key, *[f"__off_{i}" for i in range(len(sum_cols))])
-
-
-def global_row_number(df: DataFrame, order_col: str, tiebreak: list[str] | None = None, n_buckets: int | None = None,
-                      name: str = "row_number") -> DataFrame:
-    """1-based global row number ordered by ``order_col`` then ``tiebreak``."""
-    one = "__one"
-    out = global_cumsum(df.withColumn(one, F.lit(1)), order_col, [one], n_buckets=n_buckets, tiebreak=tiebreak)
-    return out.withColumn(name, F.col(f"cum_{one}").cast("long")).drop(one, f"cum_{one}")
-
-
-def value_counts_ranked(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
+    key = F.col(order_col)
+    order = [key.desc() if descending else key.asc(), *[F.col(t).asc() for t in tiebreak or []]]
+    dealt = _dealt(df, [*[F.col(g).asc() for g in groups], *order])
+    totals = dealt.groupBy(*groups, RANGE).agg(*[F.sum(c).alias(f"__sum_{c}") for c in sum_cols])
+    # a row per range: a constant key keeps it one small group
+    before = Window.partitionBy(*(groups or [F.col(RANGE) < 0])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, RANGE, *[F.sum(f"__sum_{c}").over(before).alias(f"__off_{c}") for c in sum_cols])
+    # a null group is a group: compare null-safe
+    left, right = dealt.alias("r"), offsets.alias("o")
+    on = F.col(f"r.{RANGE}") == F.col(f"o.{RANGE}")
+    for g in groups:
+        on = on & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
+    out = left.join(right, on).select("r.*", *[f"o.__off_{c}" for c in sum_cols])
+    within = Window.partitionBy(*groups, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [(F.sum(c).over(within) + F.coalesce(f"__off_{c}", F.lit(0))).alias(f"{prefix}{c}") for c in sum_cols]
+    return out.select(*df.columns, *sums)
+
+
+def global_row_number(df: DataFrame, order_col: str, tiebreak: list[str] | None = None, name: str = "row_number") -> DataFrame:
+    """1-based global row number ordered by ``order_col`` then ``tiebreak``.
+    Rows that tie in all of these are numbered in any order."""
+    one, tie = "__one", "__tie"
+    numbered = df.withColumn(one, F.lit(1).cast("long")).withColumn(tie, F.monotonically_increasing_id())
+    out = global_cumsum(numbered, order_col, [one], tiebreak=[*(tiebreak or []), tie])
+    return out.select(*df.columns, F.col(f"cum_{one}").alias(name))
+
+
+def value_counts_ranked(df: DataFrame, col: str) -> DataFrame:
     """Distinct non-null values with count, start rank (0-based) and end rank
-    (exclusive) in ascending order; heavy ties collapse before ranking."""
+    (exclusive) in ascending order; heavy ties collapse before ranking. The
+    ranked table is written, as callers pass over it more than once."""
     vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    r = global_cumsum(vc, "value", ["cnt"], n_buckets=n_buckets)
-    return r.select("value", "cnt", (F.col("cum_cnt") - F.col("cnt")).cast("long").alias("start"),
-                    F.col("cum_cnt").cast("long").alias("end"))
+    r = global_cumsum(vc, "value", ["cnt"])
+    return materialize(r.select("value", "cnt", (F.col("cum_cnt") - F.col("cnt")).alias("start"), F.col("cum_cnt").alias("end")), "ranked")
 
 
 def expand_positions(ranked: DataFrame, chunk: int = 1_000_000) -> DataFrame:
@@ -146,9 +87,9 @@ def expand_positions(ranked: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     generates a hot value's rows alone."""
     chunks = ranked.select(
         "value", "start", "cnt",
-        F.explode(F.sequence(F.lit(0), ((F.col("cnt") - 1) / chunk).cast("long"))).alias("ch"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cnt") - 1) / chunk))).alias("ch"),
     )
-    chunks = chunks.repartition(max(1, chunks.sparkSession.sparkContext.defaultParallelism), "value", "ch")
+    chunks = chunks.repartition("value", "ch")
     lo = F.col("start") + F.col("ch") * chunk + 1
     hi = F.least(F.col("start") + (F.col("ch") + 1) * chunk, F.col("start") + F.col("cnt"))
     return chunks.select("value", F.explode(F.sequence(lo, hi)).alias("position"))
@@ -159,6 +100,4 @@ __all__ = [
     "global_row_number",
     "value_counts_ranked",
     "expand_positions",
-    "range_splits",
-    "assign_range",
 ]
