@@ -145,6 +145,7 @@ class ModelOptions:
     use_street: bool = False
     use_seg_id: bool = False
     vif_threshold: float = 10.0
+    vif_max_cols: int | None = 70  # no VIF table beyond so many numeric features; None: no bound
     folds: int = 5
     max_selected: int = 10
     exclude_parents: bool = True  # drop the speed column when its label is the target

@@ -352,6 +352,10 @@ class Preprocessor:
             out = self.onehot.transform(out)
         return out.select(*[q(c) for c in keep + self.names])
 
+    def raw_variances(self) -> dict[str, float]:
+        """Population variance of each numeric column before scaling."""
+        return {c: (sd or 0.0) ** 2 for c, (_, sd) in self.scaler._state().items()} if self.scaler else {}
+
     def stages(self) -> list:
         return [s for s in (self.scaler, self.rare, self.onehot) if s is not None]
 

@@ -93,6 +93,14 @@ def gram_long(df: DataFrame, cols: list[str], fold: Column | None = None,
     return out.withColumn("kind", F.regexp_replace("kind", "^w_", ""))
 
 
+def shifted(df: DataFrame, cols: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The columns less their means, and the means (one cheap aggregate): sums
+    of squares of columns that lie far from 0 keep their digits this way."""
+    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+    means = np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))])
+    return df.select(*[(F.col(f"`{c}`").cast("double") - F.lit(float(m))).alias(c) for c, m in zip(cols, means)]), means
+
+
 def collect_gram(df: DataFrame, cols: list[str], fold: Column | None = None,
                  weights: dict[str, Column] | None = None) -> dict[tuple[int, str], Gram]:
     """Gram matrices on the driver: {(fold, kind): Gram}."""

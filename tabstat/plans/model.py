@@ -10,7 +10,7 @@ The feature table is written once to the shared checkpoint folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from ..operators.linear import (
     COEF_SCHEMA,
     METRICS_SCHEMA,
     OLSResult,
+    high_vif,
     linear_expr,
     ols_with_checks,
     solve_ls,
@@ -84,11 +85,14 @@ class RegressionRun:
     vif: list[tuple]
     model1: tuple[float, dict]
     model2: tuple[float, dict]
-    extra: dict = field(default_factory=dict)
 
     def metrics_df(self, spark) -> DataFrame:
         return spark.createDataFrame(self.metrics, METRICS_SCHEMA)
 
+    def high_vif(self, options: ModelOptions) -> list[tuple]:
+        """VIF rows above the option's threshold."""
+        return high_vif(self.vif, options.vif_threshold)
+
     def coef_df(self, spark, which: int) -> DataFrame:
         res = self.ols1 if which == 1 else self.ols2
         return spark.createDataFrame(res.table_rows(), COEF_SCHEMA)
@@ -126,7 +130,9 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
         g = g + grams[(f, "1")]
     # training rows are complete (model frame) and VIF is scale-invariant:
     # the same Gram gives it, no extra pass
-    vif = vif_from_gram(g, md.lists.numeric) if len(md.lists.numeric) <= 70 else []
+    vif = []
+    if options.vif_max_cols is None or len(md.lists.numeric) <= options.vif_max_cols:
+        vif = vif_from_gram(g, md.lists.numeric, md.pre.raw_variances())
     ybar = g.matrix[g.index(target), 0] / g.n
     b0, b = solve_ls(g, names, target)
     m1 = (b0, dict(zip(names, b)))

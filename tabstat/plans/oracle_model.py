@@ -116,9 +116,12 @@ union all select {len(NUM_FEATS) - 1} + row_number() over (order by lvl), 'distr
 union all select (select count(*) from tb) + {len(NUM_FEATS) - 1}, 'peak_Valle'""")
     q["mask_select"] = with_obs(REG + SCALE + "\nselect obs_id, " + ", ".join(_scaled(c) for c in NUM_FEATS)
                                 + ", case when peak = 'Valle' then 1.0 else 0.0 end::double as peak_Valle from reg, sc")
-    q["preprocess"] = with_obs(REG + SCALE + train_levels + "\nselect obs_id, split, " + ", ".join(_scaled(c) for c in NUM_FEATS)
-                               + """, (case when district in (select lvl from tkept) and district <> (select f from tfirst) then 1.0 else 0.0 end)
-  + (case when peak = 'Valle' then 1.0 else 0.0 end)::double as dummy_sum from reg, sc""")
+    bucketed = "case when district in (select lvl from tkept) then district else '__RARE__' end"
+    active = f"""concat_ws(',', case when district is not null and {bucketed} <> (select f from tfirst) then 'district_' || {bucketed} end,
+  case when peak = 'Valle' then 'peak_Valle' end) as active"""
+    scaled = ", ".join(_scaled(c) for c in NUM_FEATS)
+    q["preprocess"] = with_obs(REG + SCALE + train_levels + f"\nselect obs_id, split, {scaled}, {active} from reg, sc")
+    q["model_store"] = with_obs(REG + SCALE + train_levels + f"\nselect obs_id, {scaled}, {active} from reg, sc")
 
     q["global_rank"] = "select event_id, value, row_number() over (order by value, event_id) as rn from events"
     cols = ["const", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -44,7 +44,6 @@ from obs, (select quantile_cont(length, 0.01) as lo, quantile_cont(length, 0.99)
     q["transform_dispatch"] = with_obs("""select m.method, m.method as applied, 'length_log1p' as feature, true as raw_excluded,
   (select round(skewness(length), 6) from obs) as skewness
 from (values ('none'), ('log1p'), ('winsor')) m(method)""")
-    q["drop_columns"] = "select * from (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(DERIVED_COLUMNS)) + ") t(pos, variable)"
     before = DERIVED_COLUMNS + ["length_log1p"]
     const_parts = []
     for c in before:
@@ -55,6 +54,8 @@ from (values ('none'), ('log1p'), ('winsor')) m(method)""")
   sin(2 * pi() * (hmid / 24.0)) as hour_sin, cos(2 * pi() * (hmid / 24.0)) as hour_cos,
   case when speed < 20 then 'Alta' else 'Normal' end as target_bin,
   case when length is not null then ln(1 + greatest(length, 0.0)) end as length_log1p from obs_e)"""
+    q["drop_columns"] = with_obs(",\n" + full + "\n" + union([
+        f"select {i} as pos, '{c}' as variable, count({c}) as n_present from obs_full" for i, c in enumerate(DERIVED_COLUMNS)]))
     q["drop_constant_columns"] = with_obs(",\n" + full + "\n" + union(const_parts))
     num = NUMERIC
     q["near_constant_filter"] = with_obs(union([
@@ -64,13 +65,14 @@ from (values ('none'), ('log1p'), ('winsor')) m(method)""")
         f"select '{c}' as variable, round(var_pop({c}), 6) as var_pop, abs(var_pop({c})) <= 1e-8 as dropped from obs_full" for c in zv]))
     q["impute_mean"] = with_obs("select obs_id, " + ", ".join(
         f"round(coalesce({c}, avg({c}) over ()), 6) as {c}" for c in num) + " from obs")
-    q["drop_missing_rows"] = with_obs("select obs_id from obs where speed is not null")
+    q["drop_missing_rows"] = with_obs("""select obs_id, (x is not null and y is not null and rank is not null and length_log1p is not null and duration_min is not null
+  and hour_sin is not null and hour_cos is not null and district is not null and peak is not null) as complete from obs where speed is not null""")
     q["fill_label"] = with_obs("select obs_id, coalesce(street, 'Desconocido') as street from obs")
     feats = [("x", "numeric"), ("y", "numeric"), ("rank", "numeric"), ("length_log1p", "numeric"),
              ("duration_min", "numeric"), ("hour_sin", "numeric"), ("hour_cos", "numeric"),
              ("district", "categorical"), ("peak", "categorical")]
-    q["select_features"] = "select * from (values " + ", ".join(
-        f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate(feats)) + ") t(pos, feature, kind)"
+    q["select_features"] = with_obs(union([
+        f"select {i} as pos, '{c}' as feature, '{k}' as kind, count({c}) as n_present from obs" for i, (c, k) in enumerate(feats)]))
     q["choose_target_task"] = with_obs("""select 'auto' as option, 'speed' as target, 'regression' as task, count(distinct speed) as n_distinct from obs
 union all select 'clf', 'target_bin', 'classification', count(distinct target_bin) from obs""")
     q["schema_profile"] = with_obs(f"""select 'Observaciones' as indicator, count(*) as value from obs

@@ -17,7 +17,7 @@ from ..sources import sinks
 from ..sources.fixtures import raw_obs
 from . import report
 from .model import CLF_METRICS_SCHEMA, feature_matrix, residual_points, run_classification, run_regression
-from .q_model import _reg_frame
+from .q_model import _reg_frame, active_dummies
 from .q_rows import _obs
 
 R = Roles()
@@ -98,7 +98,7 @@ def q_model_store(spark, sf_dir):
     loaded = sinks.model_load(path)
     s, _, _ = _reg_frame(spark, sf_dir)
     out = loaded.transform(s)
-    return out.select(R.key, *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in pre.names])
+    return out.select(R.key, *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in pre.numeric], active_dummies(pre.names, pre.numeric))
 
 
 # ----------------------------------------------------------------------------- regression flow tables

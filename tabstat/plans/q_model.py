@@ -149,9 +149,13 @@ def q_preprocess(spark, sf_dir):
     s, fl, target, pre = _preprocessed(spark, sf_dir)
     frame = pre.transform(s, [R.key, "split"])
     num = [F.round(F.col(f"`{c}`"), 6).alias(c) for c in fl.numeric]
-    dummies = [n for n in pre.names if n not in fl.numeric]
-    total_dummies = sum((F.col(f"`{n}`") for n in dummies), F.lit(0.0)).alias("dummy_sum")
-    return frame.select(R.key, "split", *num, total_dummies)
+    return frame.select(R.key, "split", *num, active_dummies(pre.names, fl.numeric))
+
+
+def active_dummies(names, numeric):
+    """The dummies that are 1, by name."""
+    named = [F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in sorted(names) if n not in numeric]
+    return F.concat_ws(",", *named).alias("active")
 
 
 def q_global_rank(spark, sf_dir):

@@ -18,6 +18,7 @@ from ..functions.time import (
     peak_flag,
     seconds_between,
 )
+from ..operators import columns
 from ..operators import features as feat
 from ..sources.fixtures import raw_obs
 from .prepare import constant_columns, derive
@@ -133,12 +134,19 @@ def q_transform_dispatch(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, applied string, feature string, raw_excluded boolean, skewness double")
 
 
+def _listed(spark, df, rows):
+    """The rows (pos, variable, ...) with the number of values of each column."""
+    names = spark.createDataFrame(rows, "pos int, variable string, kind string")
+    return names.join(columns.present(df, [r[1] for r in rows]), "variable")
+
+
 def q_drop_columns(spark, sf_dir):
+    """The derived table without the helper columns: its columns and how many
+    values each has."""
     df = derive(_raw(spark, sf_dir), R)
     helpers = {"start_hour": hour_fraction(F.col(R.dt_start)), "end_hour": hour_fraction(F.col(R.dt_end))}
-    df = df.withColumns(helpers)
-    out = df.drop("start_hour", "end_hour", "mid_hour", "duration_hours")
-    return spark.createDataFrame([(i, c) for i, c in enumerate(out.columns)], "pos int, variable string")
+    out = df.withColumns(helpers).drop("start_hour", "end_hour", "mid_hour", "duration_hours")
+    return _listed(spark, out, [(i, c, "") for i, c in enumerate(out.columns)]).select("pos", "variable", "n_present")
 
 
 def q_drop_constant_columns(spark, sf_dir):
@@ -153,53 +161,46 @@ def _numeric_obs(spark, sf_dir):
     return df, cols
 
 
-def _variances(df, cols):
-    row = df.agg(*[F.var_pop(F.col(c)).alias(c) for c in cols]).collect()[0]
-    return [(c, row[c]) for c in cols]
+def _variance_rows(spark, rows, name):
+    rows = [(c, None if v is None else round(v, 6), flag) for c, v, flag in rows]
+    return spark.createDataFrame(rows, f"variable string, var_pop double, {name} boolean")
 
 
 def q_near_constant_filter(spark, sf_dir):
-    df, cols = _numeric_obs(spark, sf_dir)
-    rows = [(c, None if v is None else round(v, 6), bool(v is not None and v > 1e-8)) for c, v in _variances(df, cols)]
-    return spark.createDataFrame(rows, "variable string, var_pop double, kept boolean")
+    return _variance_rows(spark, columns.near_constant_filter(*_numeric_obs(spark, sf_dir))[1], "kept")
 
 
 def q_zero_variance_drop(spark, sf_dir):
-    import math
-
     df = derive(_raw(spark, sf_dir), R).withColumn(R.length_log1p, log1p_clip(R.length_num))
     cols = [c for c in R.numeric_order() if c in df.columns]
-    rows = [(c, None if v is None else round(v, 6), bool(v is not None and math.isclose(v, 0.0, abs_tol=1e-8)))
-            for c, v in _variances(df, cols)]
-    return spark.createDataFrame(rows, "variable string, var_pop double, dropped boolean")
+    return _variance_rows(spark, columns.zero_variance_drop(df, cols)[1], "dropped")
 
 
 def q_impute_mean(spark, sf_dir):
     df, cols = _numeric_obs(spark, sf_dir)
-    clean = {c: F.when(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(None)).otherwise(F.col(c)) for c in cols}
-    means = df.agg(*[F.avg(v).alias(c) for c, v in clean.items()]).collect()[0]
-    return df.select(R.key, *[F.round(F.coalesce(v, F.lit(means[c])), 6).alias(c) for c, v in clean.items()])
+    return columns.impute_mean(df, cols).select(R.key, *[F.round(c, 6).alias(c) for c in cols])
 
 
 def q_drop_missing_rows(spark, sf_dir):
+    """Rows with a target, and which of them have all features."""
     df, _ = _obs(spark, sf_dir)
-    return df.dropna(subset=[R.speed_num]).select(R.key)
+    fl = feat.select_features(df, R.speed_num, ModelOptions(), R)
+    whole = columns.drop_missing_rows(df, R.speed_num, fl.all).select(R.key, F.lit(True).alias("complete"))
+    out = columns.drop_missing_rows(df, R.speed_num).select(R.key).join(whole, R.key, "left")
+    return out.select(R.key, F.coalesce("complete", F.lit(False)).alias("complete"))
 
 
 def q_fill_label(spark, sf_dir):
-    from ..config import MISSING_LABEL
-
     df, _ = _obs(spark, sf_dir)
-    return df.select(R.key, F.coalesce(F.col(R.street), F.lit(MISSING_LABEL)).alias(R.street))
+    return df.select(R.key, columns.fill_label(R.street).alias(R.street))
 
 
 def q_select_features(spark, sf_dir):
     df, rep = _obs(spark, sf_dir)
     target, _ = feat.choose_target_task(df, ModelOptions(), R)
     fl = feat.select_features(df, target, ModelOptions(), R)
-    rows = [(i, c, "numeric") for i, c in enumerate(fl.numeric)]
-    rows += [(len(fl.numeric) + i, c, "categorical") for i, c in enumerate(fl.categorical)]
-    return spark.createDataFrame(rows, "pos int, feature string, kind string")
+    rows = [(i, c, "numeric" if c in fl.numeric else "categorical") for i, c in enumerate(fl.all)]
+    return _listed(spark, df, rows).select("pos", F.col("variable").alias("feature"), "kind", "n_present")
 
 
 def q_choose_target_task(spark, sf_dir):
@@ -214,13 +215,7 @@ def q_choose_target_task(spark, sf_dir):
 
 
 def q_schema_profile(spark, sf_dir):
-    from pyspark.sql.types import NumericType
-
-    df, _ = _obs(spark, sf_dir)
-    n = df.count()
-    num = sum(isinstance(f.dataType, NumericType) for f in df.schema.fields)
-    rows = [("Observaciones", n), ("Variables", len(df.columns)), ("Numéricas", num), ("Categóricas", len(df.columns) - num)]
-    return spark.createDataFrame(rows, "indicator string, value long")
+    return spark.createDataFrame(columns.schema_profile(_obs(spark, sf_dir)[0]), "indicator string, value long")
 
 
 def q_round_columns(spark, sf_dir):
@@ -236,7 +231,7 @@ def q_label_encode_binary(spark, sf_dir):
     df, _ = _obs(spark, sf_dir)
     classes = [r[0] for r in df.select(R.label).distinct().collect()]
     pos = feat.positive_class(classes)
-    return df.select(R.key, F.when(F.col(R.label) == F.lit(pos), 1).otherwise(0).alias("y"))
+    return df.select(R.key, columns.label_encode_binary(R.label, pos).alias("y"))
 
 
 def q_obs_enriched(spark, sf_dir):
