@@ -16,11 +16,14 @@ ROC / PR curves, AUC, confusion grid, forward selection.
 from __future__ import annotations
 
 import math
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -113,13 +116,13 @@ def logit_inference(train: DataFrame, names: list[str], target: str, positive: s
         coefs = [float(m.intercept)] + [float(v) for v in m.coefficients.toArray()]
         ses = [se[-1]] + se[:-1]
         pvs = [pv[-1]] + pv[:-1]
-        if not all(math.isfinite(v) for v in coefs + ses) or max(ses) > 1e5:
+        if not all(math.isfinite(v) for v in coefs + ses):
             raise ValueError("logit did not converge")
         rows = [(n, c, e, p, math.exp(c) if c < 700 else float("inf"), None)
                 for n, c, e, p in zip(["const"] + kept, coefs, ses, pvs)]
         rows += [(d, None, None, None, None, None) for d in dropped]
         return rows
-    except Exception:  # noqa: BLE001 - same fallback rule as the reference
+    except (ArithmeticError, ValueError, PySparkException, Py4JError):  # the fit failed
         if fallback is None:
             raise
         b0, b = fallback.coefficients()
@@ -215,22 +218,23 @@ def _newton_partials(names: list[str], models: list[tuple], betas: dict):
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[names].to_numpy(dtype=np.float64)
-            y = pdf["__y"].to_numpy(dtype=np.float64)
             fold = pdf["__fold"].to_numpy()
-            ones = np.ones(len(pdf))
+            Z_all = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=np.float64)])
+            y_all = pdf["__y"].to_numpy(dtype=np.float64)
+            outside = {f: fold != f for f in {held for _, _, held in models}}  # once per fold, not per model
+            rows = {f: (Z_all[m], y_all[m]) for f, m in outside.items()}
             for mid, idx, held in models:
-                m = fold != held
-                if not m.any():
+                Z, y = rows[held]
+                if not len(y):
                     continue
-                Z = np.column_stack([ones[m]] + [X[m, j] for j in idx])
+                Z = Z[:, [0, *[j + 1 for j in idx]]]
                 b = betas[mid]
                 eta = Z @ b
                 mu = 1.0 / (1.0 + np.exp(-eta))
                 w = mu * (1.0 - mu)
-                g = Z.T @ (mu - y[m])
+                g = Z.T @ (mu - y)
                 H = (Z * w[:, None]).T @ Z
-                loss = float(np.sum(np.logaddexp(0.0, eta) - y[m] * eta))
+                loss = float(np.sum(np.logaddexp(0.0, eta) - y * eta))
                 cur = acc.get(mid)
                 if cur is None:
                     acc[mid] = [g, H, loss]
@@ -258,19 +262,19 @@ def _held_out_scores(names: list[str], models: list[tuple], betas: dict):
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = pdf[names].to_numpy(dtype=np.float64)
-            y = pdf["__y"].to_numpy(dtype=np.int64)
             fold = pdf["__fold"].to_numpy()
-            ones = np.ones(len(pdf))
+            Z_all = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=np.float64)])
+            y_all = pdf["__y"].to_numpy(dtype=np.float64)
+            rows = {f: (Z_all[fold == f], y_all[fold == f]) for f in {held for _, _, held in models}}
             parts = []
             for mid, idx, held in models:
-                m = fold == held
-                if not m.any():
+                Z, y = rows[held]
+                if not len(y):
                     continue
-                Z = np.column_stack([ones[m]] + [X[m, j] for j in idx])
-                s = 1.0 / (1.0 + np.exp(-(Z @ betas[mid])))
-                parts.append(pd.DataFrame({"model": np.int32(mid), "score": s, "pos": y[m].astype(np.float64),
-                                           "neg": (1 - y[m]).astype(np.float64)}))
+                s = 1.0 / (1.0 + np.exp(-(Z[:, [0, *[j + 1 for j in idx]]] @ betas[mid])))
+                # equal scores leave as one row with their counts
+                scores, at = np.unique(s, return_inverse=True)
+                parts.append(pd.DataFrame({"model": np.int32(mid), "score": scores, "pos": np.bincount(at, y), "neg": np.bincount(at, 1 - y)}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -315,13 +319,13 @@ def fit_many_logistic(df: DataFrame, names: list[str], models: list[tuple], c_va
             if np.max(np.abs(step)) > tol * max(1.0, np.max(np.abs(b))):
                 still.append((mid, idx, held))
         active = still
+    if active:
+        warnings.warn(f"{len(active)} of {len(models)} logistic fits did not converge in {max_iter} steps", RuntimeWarning, stacklevel=2)
     return betas
 
 
-def heldout_auc(df: DataFrame, names: list[str], models: list[tuple], betas: dict,
-                max_rows: int | None = None) -> dict:
-    """Exact held-out AUC per model (distinct scores, running sums per model;
-    ``max_rows`` bounds the rows of one model's fold)."""
+def heldout_auc(df: DataFrame, names: list[str], models: list[tuple], betas: dict) -> dict:
+    """Exact held-out AUC per model (distinct scores, running sums per model)."""
     schema = "model int, score double, pos double, neg double"
     sc = df.mapInPandas(_held_out_scores(names, models, betas), schema)
     sc = sc.groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -344,9 +348,10 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
     pos = positive_class(classes)
     data = train.select(F.when(q(target) == F.lit(pos), 1.0).otherwise(0.0).alias("__y"),
                         fold.cast("int").alias("__fold"), *[q(c).cast("double").alias(c) for c in names])
-    fold_sizes = {r[0]: r[1] for r in data.groupBy("__fold").count().collect()}
-    folds = sorted(fold_sizes)
-    max_rows = max(fold_sizes.values()) if fold_sizes else 0
+    shares = {(r["__fold"], r["__y"]): r["count"] for r in data.groupBy("__fold", "__y").count().collect()}
+    folds = sorted({f for f, _ in shares})
+    if short := [f for f in folds if (f, 0.0) not in shares or (f, 1.0) not in shares]:
+        raise ValueError(f"folds {short} lack a class of {target}: a class has fewer rows than there are folds")
     selected: list[str] = []
     trace = []
     prev: dict[int, np.ndarray] = {f: np.zeros(1) for f in folds}  # per fold, warm start of the next step
@@ -361,7 +366,7 @@ def forward_select_classification(train: DataFrame, names: list[str], target: st
                 owner[mid] = ci
                 start[mid] = np.concatenate([prev[f], [0.0]])
         betas = fit_many_logistic(data, names, models, c_value, start=start)
-        auc = heldout_auc(data, names, models, betas, max_rows)
+        auc = heldout_auc(data, names, models, betas)
         scores = np.zeros(len(cands))
         counts = np.zeros(len(cands))
         for mid, ci in owner.items():

@@ -324,14 +324,13 @@ def boxplot_stats(df: DataFrame, columns: list[str], whisker: float = 1.5, known
     )
 
 
-def density_grid(df: DataFrame, column: str, grid_size: int = 200, prebin: int | None = 4096) -> DataFrame:
+def density_grid(df: DataFrame, column: str, grid_size: int = 200, prebin: int | None = None) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth, sample std) on an even grid
     from min to max.
 
-    ``prebin`` bins the column finely first (one ``groupBy``) and evaluates
-    the kernel on bin centres weighted by counts: the work after the scan is
-    prebin x grid, independent of the row count. ``prebin=None`` is the exact
-    per-row sum (tests, small data)."""
+    Equal values are counted first (one ``groupBy``) and the kernel is summed
+    over the distinct values. ``prebin=k`` is an approximation for columns of
+    very many values: the kernel is summed over k bin centres."""
     st = _range_stats(df, [column])[column]
     n, lo, hi, sd = st["n"], st["min"], st["max"], st["std"]
     spark = df.sparkSession
@@ -346,7 +345,7 @@ def density_grid(df: DataFrame, column: str, grid_size: int = 200, prebin: int |
         pts = df.where(x.isNotNull()).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("w"))
         pts = pts.select((F.lit(lo) + (F.col("b") + 0.5) * F.lit(width)).alias("v"), F.col("w").cast("double").alias("w"))
     else:
-        pts = df.where(x.isNotNull()).select(x.alias("v"), F.lit(1.0).alias("w"))
+        pts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(grid_size - 1)),
                        lambda k: F.struct(k.alias("point"), (F.lit(lo) + k * F.lit(step)).alias("x")))
     contrib = pts.select("v", "w", F.explode(grid).alias("g")).select(

@@ -60,7 +60,7 @@ def prepare_model_data(obs: DataFrame, options: ModelOptions = ModelOptions(), r
     strat = target if task == "classification" else None
     split = feat.split_train_test(base, roles.key, options.test_size, options.seed, stratify=strat,
                                   exact=options.exact_split)
-    split = feat.fold_assign(split, roles.key, options.folds, options.seed)
+    split = feat.fold_assign(split, roles.key, options.folds, options.seed, within=["split", strat] if strat else None)
     train = split.where(F.col("split") == "train")
     pre = feat.fit_preprocessor(train, lists, options.rare_threshold)
     frame = pre.transform(split, [roles.key, "split", "fold", target])
@@ -138,7 +138,8 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
     m1 = (b0, dict(zip(names, b)))
 
     # selection from the same fold Grams (no new pass)
-    selected, trace = select_from_fold_grams(grams, names, target, options.max_selected)
+    chosen, trace = select_from_fold_grams(grams, names, target, options.max_selected)
+    selected = [c for c in names if c in chosen]  # model 2 keeps the features' order
     c0, c = solve_ls(g, selected, target)
     m2 = (c0, dict(zip(selected, c)))
 
@@ -197,7 +198,7 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     classes = sorted(r[0] for r in md.frame.select(F.col(f"`{target}`")).distinct().collect() if r[0] is not None)
     train, test = md.train, md.test
     n_train = train.count()
-    vif = vif_table(train, md.lists.numeric)
+    vif = vif_table(train, md.lists.numeric, options.vif_max_cols)
 
     m1 = clf.fit_logistic(train, names, target, classes, n_train=n_train)
     pos = m1.positive
@@ -211,8 +212,8 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     met0 = clf.classification_metrics(base, target, pos)
 
     coef1 = clf.logit_inference(train, names, target, pos, fallback=m1)
-    selected, trace = clf.forward_select_classification(train, names, target, classes, F.col("fold"),
-                                                        options.max_selected)
+    chosen, trace = clf.forward_select_classification(train, names, target, classes, F.col("fold"), options.max_selected)
+    selected = [c for c in names if c in chosen]
     m2 = clf.fit_logistic(train, selected, target, classes, n_train=n_train)
     p2 = m2.predict(test, [md.key, target])
     met2 = clf.classification_metrics(p2, target, pos)

@@ -87,7 +87,10 @@ def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["split_train_test"] = with_obs(REG + "\nselect obs_id, split from reg")
     q["split_stratified"] = with_obs(CLF + "\nselect obs_id, target_bin, split from clf")
-    q["fold_assign"] = with_obs(REG + "\nselect obs_id, fold from tr")
+    clf_train = CLF.replace(f"{_hash('')} as h from obs", f"{_hash('')} as h, {_hash('fold:')} as h2 from obs")
+    q["fold_assign"] = with_obs(REG + clf_train + """
+select 'reg' as task, obs_id, fold from tr
+union all select 'clf', obs_id, (row_number() over (partition by target_bin order by h2, obs_id) - 1) % 5 from clf where split = 'train'""")
     q["distinct_classes"] = with_obs(CLF + "\nselect distinct target_bin as class from clf")
     q["standard_scale"] = with_obs(REG + SCALE + "\nselect obs_id, " + ", ".join(_scaled(c) for c in NUM_FEATS) + " from reg, sc")
 

@@ -215,14 +215,10 @@ group by q1, med, q3""")
 
     q["density_grid"] = with_obs("""select 'speed' as variable, g.point, round(g.x, 9) as x,
   round(sum(b.w * exp(-0.5 * pow((g.x - b.v) / s.bw, 2))) / (s.n * s.bw * sqrt(2 * pi())), 9) as density
-from (select mn, mx, n, sd * pow(n, -1.0 / 5.0) as bw, (mx - mn) / 4096 as width
-      from (select min(speed) mn, max(speed) mx, count(speed) n, stddev_samp(speed) sd from obs)) s,
+from (select n, sd * pow(n, -1.0 / 5.0) as bw from (select count(speed) n, stddev_samp(speed) sd from obs)) s,
   (select i::integer as point, s2.mn + i * ((s2.mx - s2.mn) / 199) as x
    from (select min(speed) mn, max(speed) mx from obs) s2, range(200) r(i)) g,
-  (select s3.mn + (b + 0.5) * s3.width as v, count(*)::double as w from (
-     select least(floor((speed - s3.mn) / s3.width), 4095) as b, s3.width, s3.mn from obs,
-       (select min(speed) mn, (max(speed) - min(speed)) / 4096 as width from obs) s3 where speed is not null) s3
-   group by b, s3.width, s3.mn) b
+  (select speed as v, count(*)::double as w from obs where speed is not null group by speed) b
 group by g.point, g.x, s.n, s.bw""")
     from .oracle_flow import oracles as _flow
     from .oracle_model import oracles as _model
@@ -231,4 +227,26 @@ group by g.point, g.x, s.n, s.bw""")
     q.update(_rows())
     q.update(_model())
     q.update(_flow())
+    q["profile"] = _profile(q)
     return q
+
+
+def _profile(q: dict[str, str]) -> str:
+    """The profile's parts, each from its own SQL, as (part, row, name, value)."""
+    parts = [
+        ("numeric_summary", "numeric_summary", ["variable"], ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]),
+        ("categorical_profile", "categorical_profile", ["variable", "top"], ["n_distinct", "freq_top"]),
+        ("category_counts", "category_counts_topk", ["variable", "value"], ["count"]),
+        ("missing_report", "missing_report", ["variable"], ["n_missing", "pct_missing"]),
+        ("correlation_matrix", "correlation_matrix", ["var1", "var2"], ["corr"]),
+        ("histogram_bins", "histogram_bins", ["variable", "bin"], ["lower", "upper", "count"]),
+        ("density_grid", "density_grid", ["variable", "point"], ["x", "density"]),
+        ("boxplot_stats", "boxplot_stats", ["variable"], ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]),
+        ("group_summary", "group_summary", ["district"], ["n_segments", "speed_mean", "speed_std", "length_mean", "duration_min_mean"]),
+    ]
+    out = []
+    for part, source, keys, values in parts:
+        row = "concat_ws('|', " + ", ".join(f'cast("{k}" as varchar)' for k in keys) + ")"
+        cells = ", ".join(f"""{{'name': '{v}', 'value': cast("{v}" as double)}}""" for v in values)
+        out.append(f"select '{part}' as part, r as row, c.name as name, c.value as value from (select {row} as r, unnest([{cells}]) as c from ({q[source]}) t_{part}) u_{part}")
+    return "\nunion all\n".join(out)

@@ -24,6 +24,20 @@ R = Roles()
 _RUNS: dict[tuple, object] = {}
 
 
+# part of the profile: (query, key columns, value columns)
+PROFILE_PARTS = {
+    "numeric_summary": ("numeric_summary", ["variable"], ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]),
+    "categorical_profile": ("categorical_profile", ["variable", "top"], ["n_distinct", "freq_top"]),
+    "category_counts": ("category_counts_topk", ["variable", "value"], ["count"]),
+    "missing_report": ("missing_report", ["variable"], ["n_missing", "pct_missing"]),
+    "correlation_matrix": ("correlation_matrix", ["var1", "var2"], ["corr"]),
+    "histogram_bins": ("histogram_bins", ["variable", "bin"], ["lower", "upper", "count"]),
+    "density_grid": ("density_grid", ["variable", "point"], ["x", "density"]),
+    "boxplot_stats": ("boxplot_stats", ["variable"], ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]),
+    "group_summary": ("group_summary", ["district"], ["n_segments", "speed_mean", "speed_std", "length_mean", "duration_min_mean"]),
+}
+
+
 def _key(spark, sf_dir, kind):
     return (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), kind)
 
@@ -206,21 +220,16 @@ def q_pca_fit(spark, sf_dir):
 
 
 def q_profile(spark, sf_dir):
-    """All profile tables of one prepared table; returns (part, rows)."""
-    df, _ = _obs(spark, sf_dir)
-    num = [c for c in R.numeric_order() if c in df.columns]
-    cat = [c for c in R.categorical() if c in df.columns]
-    known: dict = {}
-    parts = {
-        "numeric_summary": prof.numeric_summary(df, num, keep=known),
-        "categorical_profile": prof.categorical_profile(df, cat),
-        "missing_report": prof.missing_report(df),
-        "correlation_matrix": prof.correlation_long(df, num),
-        "histogram_bins": prof.histogram_bins(df, num, known=known),
-        "boxplot_stats": prof.boxplot_stats(df, num, known=known),
-        "group_summary": prof.group_summary(df, R),
-    }
-    return spark.createDataFrame([(k, v.count()) for k, v in parts.items()], "part string, n_rows long")
+    """All profile tables in one: (part, row, name, value)."""
+    from .registry import QUERIES as TABLES
+
+    out = None
+    for part, (query, keys, values) in PROFILE_PARTS.items():
+        row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        cells = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])
+        rows = TABLES[query](spark, sf_dir).select(F.lit(part).alias("part"), row.alias("row"), F.explode(cells).alias("c")).select("part", "row", "c.name", "c.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _findings_inputs(spark, sf_dir):

@@ -64,7 +64,8 @@ def _build_clf_frame(spark, sf_dir):
     target, _ = feat.choose_target_task(df, CLF, R)
     fl = feat.select_features(df, target, CLF, R)
     base = feat.model_frame(df, fl, target, R.key)
-    return feat.split_train_test(base, R.key, CLF.test_size, CLF.seed, stratify=target), fl, target
+    split = feat.split_train_test(base, R.key, CLF.test_size, CLF.seed, stratify=target)
+    return feat.fold_assign(split, R.key, CLF.folds, CLF.seed, within=["split", target]), fl, target
 
 
 def q_split_train_test(spark, sf_dir):
@@ -79,7 +80,9 @@ def q_split_stratified(spark, sf_dir):
 
 def q_fold_assign(spark, sf_dir):
     s, _, _ = _reg_frame(spark, sf_dir)
-    return s.where("split = 'train'").select(R.key, "fold")
+    c, _, _ = _clf_frame(spark, sf_dir)
+    return s.where("split = 'train'").select(F.lit("reg").alias("task"), R.key, "fold").union(
+        c.where("split = 'train'").select(F.lit("clf"), R.key, "fold"))
 
 
 def q_distinct_classes(spark, sf_dir):
