@@ -123,7 +123,8 @@ def q_model_regression(spark, sf_dir):
 
 
 def q_coef_union_dropped(spark, sf_dir):
-    return regression_run(spark, sf_dir).coef_df(spark, 1)
+    coef = regression_run(spark, sf_dir).coef_df(spark, 1)
+    return coef.select("variable", *[F.round(c, 6).alias(c) for c in ("coef", "std_err", "p_value")], "note")
 
 
 def q_top_coefficients(spark, sf_dir):
