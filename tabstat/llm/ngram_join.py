@@ -32,8 +32,8 @@ from .shared import components, identity, sized
 GRAM = 5
 THRESHOLD = (4, 5)
 RECALL = 0.9999
-BLOCK = 512  # sets that meet in one task, for each side
-BLOCK_GRAMS = 1 << 21  # and the grams they may hold
+BLOCK = 2048  # sets that meet in one task, for each side
+BLOCK_GRAMS = 1 << 20  # and the grams they may hold
 
 
 def choose_bands(threshold: float, recall: float, rows: int | None = None) -> tuple[int, int]:
@@ -122,51 +122,62 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([*rest, T.StructField("grams", T.BinaryType())]))
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes."""
-    g = len(sets)
-    out = np.zeros((g, g), np.float32)
-    if g <= 12:
-        for i in range(g):
-            for j in range(i + 1, g):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return out
-    owner = np.repeat(np.arange(g), [len(s) for s in sets])
-    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    useful = times > 1
-    number = np.cumsum(useful) - 1
-    keep = useful[inverse]
-    owner, column = owner[keep], number[inverse[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = int(useful.sum())
-    for lo in range(0, total, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((g, min(4096, total - lo)), np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        out += m @ m.T
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of the sets of a (rows) and of b (columns)."""
+    if len(a) * len(b) <= 64:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], np.float32).reshape(len(a), len(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    whole = [np.concatenate(s) for s in (a, b)]
+    common = np.intersect1d(*whole)
+    sides = []
+    for sets, values in zip((a, b), whole):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        keep = common[column] == values if len(common) else np.zeros(len(values), bool)
+        owner, column = owner[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        sides.append((owner[order], column[order]))
+    for lo in range(0, len(common), 4096):
+        m = []
+        for (owner, column), sets in zip(sides, (a, b)):
+            x, y = np.searchsorted(column, [lo, lo + 4096])
+            part = np.zeros((len(sets), min(4096, len(common) - lo)), np.float32)
+            part[owner[x:y], column[x:y] - lo] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
     return out
 
 
-def links_of_block(sides: list[int], sets: list[np.ndarray], copies: list[int], cross: bool, threshold: tuple[int, int]):
-    """(member, parent, links): verified links of a block's members, weighted
-    by the partner's copies, and a spanning forest over them."""
-    common = shared_counts(sets).astype(np.int64)
-    size = np.array([len(s) for s in sets])
-    near = common * threshold[1] >= (size[:, None] + size[None, :] - common) * threshold[0]
-    np.fill_diagonal(near, False)
-    if cross:
-        side = np.array(sides)
-        near &= side[:, None] != side[None, :]
-    links = near @ np.array(copies, np.int64)
+def links_of_block(a: list[int], b: list[int], sets: list[np.ndarray], copies: np.ndarray, threshold: tuple[int, int]):
+    """(links, parent) per member of a block: verified links between the
+    members a and the members b (the same list: all pairs in it), weighted by
+    the partner's copies, and a spanning forest over them."""
+    size = np.array([len(s) for s in sets], np.float32)
+    common = shared_counts([sets[i] for i in a], [sets[i] for i in b])
+    near = common * threshold[1] >= (size[a][:, None] + size[b][None, :] - common) * threshold[0]
+    same = a is b
+    if same:
+        np.fill_diagonal(near, False)
+    links = np.zeros(len(sets), np.int64)
+    links[a] += near @ copies[b]
+    if not same:
+        links[b] += near.T @ copies[a]
     parent = np.arange(len(sets))
-    for start in range(len(sets)):
-        if parent[start] != start or not near[start].any():
+    rows, cols = np.array(a), np.array(b)
+    seen = np.zeros(len(sets), bool)
+    at_row, at_col = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_row[rows], at_col[cols] = np.arange(len(a)), np.arange(len(b))
+    for start in np.flatnonzero(links).tolist():
+        if seen[start]:
             continue
-        todo, seen = [start], np.zeros(len(sets), bool)
-        seen[start] = True
+        seen[start], todo = True, [start]
         while todo:
-            more = np.flatnonzero(near[todo.pop()] & ~seen)
+            x = todo.pop()
+            met = [cols[near[at_row[x]]]] if at_row[x] >= 0 else []
+            if not same and at_col[x] >= 0:
+                met.append(rows[near[:, at_col[x]]])
+            more = np.concatenate(met)
+            more = more[~seen[more]]
             seen[more] = True
             parent[more] = start
             todo += more.tolist()
@@ -183,7 +194,13 @@ def _verify(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         if len(group) < 2:
             return None
         sets = [np.frombuffer(x["grams"], "<u8") for x in group]
-        links, parent = links_of_block([x["side"] for x in group], sets, [x["copies"] for x in group], group[0]["cross"], threshold)
+        a = b = list(range(len(group)))
+        if group[0]["cross"]:
+            a = [i for i in b if group[i]["side"] == group[0]["side"]]
+            b = [i for i in b if group[i]["side"] != group[0]["side"]]
+            if not b:
+                return None
+        links, parent = links_of_block(a, b, sets, np.array([x["copies"] for x in group]), threshold)
         has = np.flatnonzero(links)
         if not len(has):
             return None
