@@ -17,11 +17,13 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tabstat.plans import q_flow, q_model, q_rows, registry  # noqa: E402
-from tabstat.session import local_session  # noqa: E402
+from tabstat.session import drop_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     ("prepare", lambda s, d: registry.obs(s, d)),
     ("group_summary", registry.q_group_summary),
+    ("density_grid", registry.q_density_grid),
+    ("category_counts_topk", registry.q_category_counts_topk),
     ("numeric_summary", registry.q_numeric_summary),
     ("categorical_profile", registry.q_categorical_profile),
     ("missing_report", registry.q_missing_report),
@@ -57,6 +59,7 @@ def main():
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir}))
+    drop_scratch(spark)
     spark.stop()
 
 

@@ -78,12 +78,19 @@ def gammaincc(a: float, x: float) -> float:
     return math.exp(-x + a * math.log(x) - gln) * h
 
 
+# degrees of freedom from which Student's t is the normal law and F the
+# chi-square law to more digits than the continued fraction keeps
+NORMAL_FROM = 1e8
+
+
 def t_sf2(t: float, df: float) -> float:
     """Two-sided p-value of Student's t."""
     if t is None or math.isnan(t) or df <= 0:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > NORMAL_FROM:
+        return math.erfc(abs(t) / math.sqrt(2.0))
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -93,6 +100,8 @@ def f_sf(f: float, d1: float, d2: float) -> float:
         return float("nan")
     if f <= 0:
         return 1.0
+    if d2 > NORMAL_FROM:
+        return chi2_sf(d1 * f, d1)
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 

@@ -6,16 +6,20 @@ from __future__ import annotations
 
 import os
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelOptions, Roles
+from ..operators import classify as clf
 from ..operators import normality as nt
 from ..operators import profile as prof
+from ..operators.classify import LOGIT_SCHEMA
+from ..operators.linear import LinearModel, high_vif
 from ..operators.pca import biplot_arrows, pca_fit
 from ..sources import sinks
 from . import report
-from .model import CLF_METRICS_SCHEMA, run_classification, run_regression
+from .model import CLF_METRICS_SCHEMA, feature_matrix, residual_points, run_classification, run_regression
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOptions = ModelOptions(),
@@ -29,6 +33,9 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
         written[name] = path
         return spark.read.parquet(path)
 
+    def store(name: str, stages: list) -> None:
+        written[name] = sinks.model_store(PipelineModel(stages=stages), os.path.join(out_dir, name))
+
     num = [c for c in roles.numeric_order() if c in obs.columns]
     cat = [c for c in roles.categorical() if c in obs.columns]
     known: dict = {}
@@ -62,19 +69,33 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
         if arrows:
             put("pca_biplot", spark.createDataFrame(arrows, "variable string, x double, y double, labelled boolean"))
 
-    coef_lines = []
     if options.task == "clf":
         run = run_classification(obs, options, roles)
         put("metrics", spark.createDataFrame(run.metrics, CLF_METRICS_SCHEMA))
+        coefs = [put(f"model{i}_coefficients", spark.createDataFrame(c, LOGIT_SCHEMA)) for i, c in ((1, run.coef1), (2, run.coef2))]
+        for i, model in ((1, run.model1), (2, run.model2)):
+            pred = put(f"model{i}_predictions", model.predict(run.data.test, [run.data.key, run.data.target]))
+            put(f"model{i}_confusion", clf.confusion_grid(pred, run.data.target, run.classes))
+            if len(run.classes) == 2:
+                put(f"model{i}_roc", clf.roc_curve(pred, run.data.target, run.positive))
+                put(f"model{i}_pr", clf.pr_curve(pred, run.data.target, run.positive))
+            store(f"model{i}", [*run.data.pre.stages(), *model.model.stages])
     else:
         run = run_regression(obs, options, roles)
         put("metrics", run.metrics_df(spark))
-        c1 = put("model1_coefficients", run.coef_df(spark, 1))
-        c2 = put("model2_coefficients", run.coef_df(spark, 2))
-        put("vif", spark.createDataFrame(run.vif or [], "variable string, vif double"))
-        put("selection_trace", spark.createDataFrame(run.trace, "step int, feature string, score double"))
-        coef_lines = [report.coefficient_lines(c1, "Modelo 1", "resalta"),
-                      report.coefficient_lines(c2, "Modelo 2", "identifica")]
+        coefs = [put(f"model{i}_coefficients", run.coef_df(spark, i)) for i in (1, 2)]
+        diagnostics = [(f"modelo{i}", str(k), v if isinstance(v, str) else None, None if isinstance(v, str) else float(v))
+                       for i, res in ((1, run.ols1), (2, run.ols2)) for k, v in res.diagnostics.items()]
+        put("residual_diagnostics", spark.createDataFrame(diagnostics, "model string, name string, text string, value double"))
+        for i, model in ((1, run.model1), (2, run.model2)):
+            points = put(f"model{i}_residuals", residual_points(run.data, model))
+            put(f"model{i}_residual_qq", nt.qq_points(points.where("split = 'train'"), "residual")[0])
+            store(f"model{i}", [*run.data.pre.stages(), LinearModel.of(model)])
+    put("feature_matrix", feature_matrix(run.data))
+    put("vif", spark.createDataFrame(run.vif or [], "variable string, vif double"))
+    put("vif_high", spark.createDataFrame(high_vif(run.vif or [], options.vif_threshold), "variable string, vif double"))
+    put("selection_trace", spark.createDataFrame(run.trace, "step int, feature string, score double"))
+    coef_lines = [report.coefficient_lines(c, label, verb) for c, (label, verb) in zip(coefs, (("Modelo 1", "resalta"), ("Modelo 2", "identifica")))]
     lines = put("findings", report.findings(spark, pairs, peak, slow, missing, coef_lines, roles))
     section_order = F.when(F.col("section") == "findings", 0).when(F.col("section") == "limits", 1).otherwise(2)
     return lines.orderBy(section_order, F.col("line_no")), written

@@ -46,8 +46,10 @@ def scan_result_table(spark: SparkSession, path: str, columns: list[str] | None
             df = spark.read.csv(path, header=True, inferSchema=True)
         else:
             df = spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return spark.createDataFrame([], "value string").limit(0)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise RuntimeError(f"cannot read {path}: {exc}") from exc
+        return spark.createDataFrame([], "value string")
     if columns:
         avail = [c for c in columns if c in df.columns]
         if avail:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tabstat.session import local_session  # noqa: E402
+from tabstat.session import drop_scratch, local_session  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -15,4 +15,5 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     s = local_session(4, shuffle_partitions=8, app="tabstat-tests")
     yield s
+    drop_scratch(s)
     s.stop()
