@@ -11,8 +11,10 @@ number of good labelled documents of the stratum. The error level is divided
 by the number of all hypotheses (strata x rules x cutoffs, Bonferroni) and the
 risk limit by the number of rules, so with probability 1 - DELTA no stratum
 loses more than LIMIT of its good documents to the tunable rules together.
-Of the admitted cutoffs of a rule the strictest is used; a rule without one is
-off in that stratum, as are all in strata without labels.
+Of the admitted cutoffs of a rule the one with the largest gain is used (share
+of the bad documents rejected less WEIGHT times that of the good ones; of
+equals the most lenient); a rule without an admitted gain is off in that
+stratum, as are all in strata without labels.
 
 Cases: a null or empty text has no words and fails the base rules; a null
 stratum is a stratum; label rows that repeat an id count as one, good if all
@@ -31,6 +33,7 @@ from .shared import sized
 
 LIMIT = 0.02  # largest share of good documents that the tunable rules may reject
 DELTA = 0.05  # probability of exceeding it in any stratum
+WEIGHT = 10  # how much a rejected good document counts against a rejected bad one
 WINDOW = 8
 
 # rule: (value to judge, cutoffs from strict to lenient); rejected if value > cutoff
@@ -97,22 +100,26 @@ def binomial_tail(k: str, n: str, p: float) -> str:
 def thresholds(feats: DataFrame, labels: DataFrame, id_col: str, stratum: str, label_id: str = "doc_id", quality: str = "quality",
                limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """(stratum, one cutoff column per rule; null where the rule is off)."""
-    good = labels.where(F.col(label_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(label_id).alias("__id"))
-    good = good.agg(F.min(quality).alias("__q")).where("__q = 1").select("__id")
-    held = feats.where(~base_failed()).join(good, feats[id_col] == good["__id"], "left_semi")
+    known = labels.where(F.col(label_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(label_id).alias("__id"))
+    known = known.agg((F.min(quality) == 1).alias("__good"))
+    held = feats.where(~base_failed()).join(known, feats[id_col] == known["__id"])
     tests = [(r, value, cut) for r, (value, cuts) in RULES.items() for cut in cuts]
-    sums = F.array(*[F.expr(f"count_if({value} > {cut}D)") for _, value, cut in tests])
-    by = held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("n"), sums.alias("rejected"))
+    rejected = lambda who: F.array(*[F.expr(f"count_if({who} AND {value} > {cut}D)") for _, value, cut in tests])
+    by = held.groupBy(F.col(stratum).alias("__stratum")).agg(
+        F.count_if("__good").alias("n"), F.count_if(~F.col("__good")).alias("n_bad"), F.arrays_zip(rejected("__good").alias("k"), rejected("NOT __good").alias("bad")).alias("cells"))
     by = materialize(by, "holdout")
     hypotheses = max(1, by.count()) * len(tests)
+    each = by.select("__stratum", "n", "n_bad", F.posexplode("cells").alias("test", "c")).select("__stratum", "n", "n_bad", "test", "c.k", "c.bad")
     tail = F.expr(binomial_tail("k", "n", limit / len(RULES)))
-    admitted = by.select("__stratum", "n", F.posexplode("rejected").alias("test", "k")).where(tail <= delta / hypotheses)
-    strictest = []
+    gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - F.lit(float(WEIGHT)) * F.col("k") / F.col("n")
+    admitted = each.where(tail <= delta / hypotheses).withColumn("gain", gain).where("gain > 0")
+    best = []
     for r in RULES:
         at = [i for i, t in enumerate(tests) if t[0] == r]
-        first = F.min(F.when(F.col("test").between(at[0], at[-1]), F.col("test")))
-        strictest.append(F.get(F.array(*[F.lit(t[2]) for t in tests]), first).alias(f"__cut_{r}"))
-    return materialize(admitted.groupBy("__stratum").agg(*strictest), "cutoffs")
+        # the largest gain; of equal ones the most lenient cutoff
+        top = F.max(F.when(F.col("test").between(at[0], at[-1]), F.struct("gain", "test")))
+        best.append(F.get(F.array(*[F.lit(t[2]) for t in tests]), top["test"]).alias(f"__cut_{r}"))
+    return materialize(admitted.groupBy("__stratum").agg(*best), "cutoffs")
 
 
 def judge(feats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
@@ -158,10 +165,10 @@ def _oracle() -> str:
     share = LIMIT / len(RULES)
     tail = ("CASE WHEN n = 0 OR {k} >= n * {p} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) "
             "+ i * ln({p}) + (n - i) * ln(1 - {p})) for i in range(0, {k} + 1)]) END")
-    sums = ", ".join(f"count(*) FILTER (WHERE {v} > {c}) AS c_{r}_{j}" for r, j, v, c in tests)
-    cuts = ", ".join("coalesce(" + ", ".join(
-        f"CASE WHEN {tail.format(k=f'c_{r}_{j}', p=share)} <= {DELTA} / ({len(tests)} * strata) THEN CAST({c} AS DOUBLE) END"
-        for j, c in enumerate(cs)) + f") AS cut_{r}" for r, (_, cs) in RULES.items())
+    counts = lambda who: "[" + ", ".join(f"count(*) FILTER (WHERE {who} AND {v} > {c})" for _, _, v, c in tests) + "]"
+    values = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for _, _, _, c in tests) + "]"
+    cuts = ", ".join(f"{values}[max(CASE WHEN rule = '{r}' AND place = 1 THEN test END) + 1] AS cut_{r}" for r in RULES)
+    rules = "[" + ", ".join(f"'{t[0]}'" for t in tests) + "]"
     passed = " AND ".join(f"NOT coalesce({v} > cut_{r}, false)" for r, (v, _) in RULES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -173,9 +180,13 @@ f AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
       CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
       coalesce(rep.n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN rep ON rep.r = d.r),
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-h AS (SELECT lang, count(*) AS n, {sums} FROM g WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY lang),
-cuts AS (SELECT lang, {cuts} FROM (SELECT *, count(*) OVER () AS strata FROM h))
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT lang, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS n_bad, {counts('good')} AS ks, {counts('NOT good')} AS bads
+      FROM g JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY lang),
+e AS (SELECT lang, n, n_bad, strata, unnest(ks) AS k, unnest(bads) AS bad, unnest(range({len(tests)})) AS test, unnest({rules}) AS rule FROM (SELECT *, count(*) OVER () AS strata FROM h)),
+a AS (SELECT *, bad / greatest(n_bad, 1) - CAST({WEIGHT} AS DOUBLE) * k / n AS gain FROM e WHERE {tail.format(k='k', p=share)} <= {DELTA} / ({len(tests)} * strata)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, test DESC) AS place FROM a WHERE gain > 0),
+cuts AS (SELECT lang, {cuts} FROM o GROUP BY lang)
 SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {passed} AS kept
 FROM g LEFT JOIN cuts ON cuts.lang IS NOT DISTINCT FROM g.lang
 """
