@@ -5,6 +5,7 @@ each."""
 
 from __future__ import annotations
 
+from .oracle_flow import findings_ctes
 from .oracle_model import NUM_FEATS, REG, SCALE
 from .oracle_sql import NUMERIC, with_obs
 
@@ -53,48 +54,125 @@ def jacobi(name: str, start: str, sweeps: int = 12) -> str:
 {name} AS (select n, m from {name}_steps where k = (select max(k) from {name}_steps))"""
 
 
+P_VALUE_STEPS = 2000  # Simpson intervals under Student's density
+
+
+def design_ctes() -> str:
+    """``design``: the feature columns of all rows in long form (j from 1, the
+    constant; column p + 1 is the target), and ``names`` of the columns."""
+    first = len(NUM_FEATS)
+    key = "obs_id, split, fold, speed"
+    parts = [f"select {key}, 1 as j, 1.0::double as v from reg"]
+    parts += [f"select {key}, {i + 2}, ({c} - m_{c}) / s_{c} from reg, sc" for i, c in enumerate(NUM_FEATS)]
+    parts.append(f"select {key}, j, 1.0 from bucketed join dummies on dlvl = lvl")
+    parts.append(f"select {key}, p, 1.0 from reg, size where peak = 'Valle'")
+    numeric = " union all ".join(f"select {i + 2}, '{c}'" for i, c in enumerate(NUM_FEATS))
+    return REG + SCALE + LEVELS.format(first=first) + f""",
+design AS ({' union all '.join(parts)}),
+names AS (select 1 as j, 'const' as variable union all {numeric} union all select j, 'district_' || lvl from dummies union all select p, 'peak_Valle' from size)"""
+
+
+def least_squares(m: str, columns: str) -> str:
+    """CTEs of the fit on the design columns j of ``columns``: {m}_table
+    (variable, b, se, pv; HC1 errors, two-sided t) and {m}_pred (all rows)."""
+    return f""",
+{m}_cols AS (select j, row_number() over (order by j) as pos, count(*) over () as n from {columns}),
+{m}_z AS (select obs_id, speed, pos, v from design join {m}_cols using (j) where split = 'train'),
+{m}_cells AS (select a.pos as i, t.j from {m}_cols a, range(1, 2 * a.n + 2) t(j)),
+{m}_gram AS (select a.pos as i, b.pos as j, sum(a.v * b.v) as v from {m}_z a join {m}_z b using (obs_id) group by 1, 2
+  union all select pos, (select count(*) + 1 from {m}_cols), sum(v * speed) from {m}_z group by 1
+  union all select pos, n + 1 + pos, 1.0 from {m}_cols),
+{m}_system AS (select (select count(*) from {m}_cols) as n, list(r order by i) as m from (
+  select c.i, list(coalesce(g.v, 0.0) order by c.j) as r from {m}_cells c left join {m}_gram g on g.i = c.i and g.j = c.j group by c.i)),
+{gauss_jordan(m + '_solved', m + '_system')},
+{m}_beta AS (select i as pos, m[i][n + 1] as b from {m}_solved, range(1, n + 1) t(i)),
+{m}_inv AS (select i, j, m[i][n + 1 + j] as v from {m}_solved, range(1, n + 1) a(i), range(1, n + 1) b(j)),
+{m}_pred AS (select obs_id, any_value(split) as split, any_value(speed) as speed, sum(v * b) as p
+  from design join {m}_cols using (j) join {m}_beta using (pos) group by obs_id),
+{m}_meat AS (select a.pos as i, b.pos as j, sum(a.v * b.v * pow(r.speed - r.p, 2)) as v
+  from {m}_z a join {m}_z b using (obs_id) join {m}_pred r using (obs_id) group by 1, 2),
+{m}_half AS (select x.i, y.j, sum(x.v * y.v) as v from {m}_inv x join {m}_meat y on x.j = y.i group by 1, 2),
+{m}_cov AS (select h.i as pos, sum(h.v * x.v) as v from {m}_half h join {m}_inv x on x.i = h.j and x.j = h.i group by 1),
+{m}_shape AS (select count(*) as n, (select count(*) from {m}_cols) as p from {m}_pred where split = 'train'),
+{m}_coefs AS (select pos, b, sqrt(v * n / (n - p)) as se, n - p as df from {m}_beta join {m}_cov using (pos), {m}_shape),
+{m}_tail AS (select pos, greatest(0.0, 1 - 2 * any_value(exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * t) / {3 * P_VALUE_STEPS}
+    * sum(case when k in (0, {P_VALUE_STEPS}) then 1 when k % 2 = 1 then 4 else 2 end * pow(1 + pow(t * k / {P_VALUE_STEPS}, 2) / df, -(df + 1) / 2.0))) as pv
+  from (select pos, df, least(abs(b / se), 60) as t from {m}_coefs), range(0, {P_VALUE_STEPS + 1}) r(k) group by pos),
+{m}_table AS (select variable, b, se, pv from {m}_coefs join {m}_tail using (pos) join {m}_cols using (pos) join names using (j))"""
+
+
+def forward_selection(steps: int) -> str:
+    """CTEs of the greedy selection: ``chosen`` has the design columns of model
+    2. Per fold (and for all training rows, fold -1) the Gram matrix outside
+    the fold is eliminated by the chosen columns; a candidate's coefficients
+    follow from it, its error from the Gram matrix of the fold itself."""
+    out = """,
+target AS (select p + 1 as yj from size),
+with_y AS (select obs_id, split, fold, j, v from design union all select obs_id, split, fold, yj, speed from reg, target),
+met AS (select a.fold as f, a.j as i, b.j as j, sum(a.v * b.v) as v from with_y a join with_y b using (obs_id) where a.split = 'train' group by 1, 2, 3),
+inside AS MATERIALIZED (select f, i, j, coalesce(met.v, 0.0) as v from (select f, i, j from (select distinct fold as f from tr) x, range(1, (select yj from target) + 1) a(i),
+  range(1, (select yj from target) + 1) b(j)) left join met using (f, i, j)),
+whole AS (select i, j, sum(v) as v from inside group by 1, 2),
+sel0 AS (select 1 as j, 0 as step),
+raw AS MATERIALIZED (select f, i, j, whole.v - inside.v as v from inside join whole using (i, j) union all select -1, i, j, v from whole),
+t0 AS MATERIALIZED (""" + _eliminate("raw", "(select 1 as k)") + ")"
+    for s in range(1, steps + 1):
+        t, sel = f"t{s - 1}", f"sel{s - 1}"
+        out += f""",
+c{s} AS (select t.f, t.i as c, t.v / d.v as b from {t} t join {t} d on d.f = t.f and d.i = t.i and d.j = t.i, target
+  where t.f >= 0 and t.j = yj and t.i < yj and t.i not in (select j from {sel})),
+b{s} AS MATERIALIZED (select f, c, c as j, b from c{s} union all
+  select c.f, c.c, s.j, u.v - w.v * c.b from c{s} c cross join {sel} s cross join target join {t} u on u.f = c.f and u.i = s.j and u.j = yj join {t} w on w.f = c.f and w.i = s.j and w.j = c.c),
+e{s} AS (select f, c, sum(v) as sse from (
+    select b.f, c, -2 * b * v as v from b{s} b join inside h on h.f = b.f and h.i = b.j, target where h.j = yj
+    union all select x.f, x.c, x.b * z.b * h.v from b{s} x join b{s} z on z.f = x.f and z.c = x.c join inside h on h.f = x.f and h.i = x.j and h.j = z.j
+    union all select c.f, c, v from c{s} c join inside h on h.f = c.f, target where h.i = yj and h.j = yj) group by 1, 2),
+p{s} AS MATERIALIZED (select c as k from (select c, avg(-sqrt(greatest(sse, 0) / h.v)) as score from e{s} e join inside h on h.f = e.f and h.i = 1 and h.j = 1 group by c)
+  order by score desc, c limit 1),
+sel{s} AS MATERIALIZED (select j, step from {sel} union all select k, {s} from p{s}),
+t{s} AS MATERIALIZED ({_eliminate(t, f'p{s}')})"""
+    return out + f""",
+chosen AS (select j from sel{steps})"""
+
+
+def _eliminate(t: str, pick: str) -> str:
+    """One Gauss-Jordan step of every fold's matrix on the picked column."""
+    return f"""select t.f, t.i, t.j, case when t.i = k then r.v / d.v else t.v - c.v * r.v / d.v end as v from {t} t cross join {pick} pk
+  join {t} r on r.f = t.f and r.i = k and r.j = t.j join {t} c on c.f = t.f and c.i = t.i and c.j = k join {t} d on d.f = t.f and d.i = k and d.j = k"""
+
+
+def recursive(sql: str) -> str:
+    return with_obs(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
-    first = len(NUM_FEATS) + 1
-    parts = ["select obs_id, split, speed, 1 as j, 1.0::double as v from reg"]
-    parts += [f"select obs_id, split, speed, {i + 2}, ({c} - m_{c}) / s_{c} from reg, sc" for i, c in enumerate(NUM_FEATS)]
-    parts.append("select obs_id, split, speed, j, 1.0 from bucketed join dummies on dlvl = lvl")
-    parts.append("select obs_id, split, speed, p, 1.0 from reg, size where peak = 'Valle'")
-    fit = REG + SCALE + LEVELS.format(first=first - 1) + f""",
-design AS ({' union all '.join(parts)}),
-tz AS (select * from design where split = 'train'),
-cells AS (select i, j from size, range(1, size.p + 1) a(i), range(1, 2 * size.p + 2) b(j)),
-gram AS (select a.j as i, b.j as j, sum(a.v * b.v) as v from tz a join tz b using (obs_id) group by 1, 2
-  union all select j, (select p from size) + 1, sum(v * speed) from tz group by 1
-  union all select j, (select p from size) + 1 + j, 1.0 from (select distinct j from tz)),
-system AS (select (select p from size) as n, list(r order by i) as m from (
-  select cells.i, list(coalesce(gram.v, 0.0) order by cells.j) as r from cells left join gram on gram.i = cells.i and gram.j = cells.j group by cells.i)),
-{gauss_jordan('solved', 'system')},
-beta AS (select i as j, m[i][n + 1] as b from solved, range(1, n + 1) t(i)),
-inverse AS (select i, j, m[i][n + 1 + j] as v from solved, range(1, n + 1) a(i), range(1, n + 1) b(j)),
-resid AS (select obs_id, any_value(speed) - sum(v * b) as e from tz join beta using (j) group by obs_id),
-meat AS (select a.j as i, b.j as j, sum(a.v * b.v * e * e) as v from tz a join tz b using (obs_id) join resid using (obs_id) group by 1, 2),
-half AS (select x.i, meat.j, sum(x.v * meat.v) as v from inverse x join meat on x.j = meat.i group by 1, 2),
-cov AS (select half.i as j, sum(half.v * x.v) as v from half join inverse x on x.i = half.j and x.j = half.i group by 1),
-shape AS (select count(*) as n, (select p from size) as p from resid),
-coefs AS (select beta.j, b, sqrt(cov.v * n / (n - p)) as se, n - p as df from beta join cov using (j), shape),
-tail AS (select j, greatest(0.0, 1 - 2 * any_value(exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi())) * any_value(t) / 6000
-    * sum(case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end * pow(1 + pow(t * k / 2000, 2) / df, -(df + 1) / 2.0))) as pv
-  from (select j, df, least(abs(b / se), 60) as t from coefs), range(0, 2001) r(k) group by j),
-names AS (select 1 as j, 'const' as variable union all {' union all '.join(f"select {i + 2}, '{c}'" for i, c in enumerate(NUM_FEATS))}
-  union all select j, 'district_' || lvl from dummies union all select p, 'peak_Valle' from size),
-table1 AS (select variable, b, se, pv from coefs join tail using (j) join names using (j))"""
-    recursive = lambda sql: with_obs(sql).replace("WITH ", "WITH RECURSIVE ", 1)
-    q["coef_union_dropped"] = recursive(fit + """
-select variable, round(b, 6) as coef, round(se, 6) as std_err, round(pv, 6) as p_value, null::varchar as note from table1""")
-    q["top_coefficients"] = recursive(fit + """
+    one = design_ctes() + least_squares("m1", "names")
+    q["coef_union_dropped"] = recursive(one + """
+select variable, round(b, 6) as coef, round(se, 6) as std_err, round(pv, 6) as p_value, null::varchar as note from m1_table""")
+    q["top_coefficients"] = recursive(one + """
 select row_number() over (order by abs(b) desc, variable) as rank, variable, round(b, 3) as coef, round(pv, 4) as p_value
-from table1 where variable <> 'const' order by 1 limit 5""")
-    # model 2 takes ten columns of model 1, whose rank the elimination shows
-    q["ols_checks"] = recursive(fit + """
-select 'modelo1' as model, 'ols' as source, shape.n, p, (select count(*) from beta where isfinite(b)) as rank, (shape.n - p)::double as df_resid,
-  '' as issues, '' as dropped from shape
-union all select 'modelo2', 'ols', shape.n, 11, 11, (shape.n - 11)::double, '', '' from shape""")
+from m1_table where variable <> 'const' order by 1 limit 5""")
+    both = one + forward_selection(10) + least_squares("m2", "chosen")
+    check = """select '{label}' as model, 'ols' as source, n, p, (select count(*) from {m}_beta where isfinite(b)) as rank, (n - p)::double as df_resid,
+  '' as issues, '' as dropped from {m}_shape"""
+    q["ols_checks"] = recursive(both + "\n" + check.format(label="modelo1", m="m1") + "\nunion all " + check.format(label="modelo2", m="m2"))
+    metric = """select '{label}' as model, round(sqrt(avg(pow(p - speed, 2))), 6) as rmse, round(1 - sum(pow(p - speed, 2)) / (var_pop(speed) * count(*)), 6) as r2,
+  round(avg(abs(p - speed)), 6) as mae, round(avg(p - speed), 6) as bias from {source}"""
+    base = "(select speed, (select avg(speed) from tr) as p from te)"
+    test = "(select * from {m}_pred where split = 'test')"
+    q["model_regression"] = recursive(both + "\n" + "\nunion all ".join(
+        metric.format(label=n, source=s) for n, s in (("baseline", base), ("modelo1", test.format(m="m1")), ("modelo2", test.format(m="m2")))))
+    q["compare_models"] = recursive(both + "\n" + "\nunion all ".join(
+        f"select 'modelo{i}' as model, obs_id, speed as actual, round(p, 6) as predicted, round(speed - p, 6) as residual from m{i}_pred where split = 'test'" for i in (1, 2)))
+    q["report_tables"] = recursive(both + """
+select 'Modelo 2' as model, row_number() over (order by abs(b) desc, variable) as rank, variable, round(b, 3) as coef, round(pv, 4) as p_value
+from m2_table where variable <> 'const' order by 2 limit 10""")
+    lines = "\n  ".join(
+        f"""union all select 'findings', {100 * i} + r, printf('- Modelo {i} {verb} a %s con coeficiente %.3f (p=%.3f).', variable, b, pv)
+    from (select *, row_number() over (order by abs(b) desc, variable) as r from m{i}_table where variable <> 'const') where r <= 5"""
+        for i, verb in ((1, "resalta"), (2, "identifica")))
+    q["run_all"] = recursive(both + findings_ctes(lines) + "\nselect * from numbered")
     k = len(NUM_FEATS)
     row = lambda a: "[" + ", ".join([f"corr({a}, {b})" for b in NUM_FEATS] + ["1.0" if a == b else "0.0" for b in NUM_FEATS]) + "]"
     q["vif"] = recursive(REG + f""",

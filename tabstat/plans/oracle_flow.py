@@ -20,6 +20,47 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def findings_ctes(coefficients: str = "") -> str:
+    """CTEs up to ``numbered``, the findings text; ``coefficients`` adds lines
+    (section, ord, text) between the title and the correlations."""
+    num = ["x", "y", "rank", "length", "length_log1p", "speed", "duration_min", "hour_sin", "hour_cos"]
+    pos = ", ".join(f"('{c}', {i})" for i, c in enumerate(num))
+    corr_parts = []
+    for i, a in enumerate(num):
+        for b in num[i + 1:]:
+            corr_parts.append(f"select '{a}' as var1, '{b}' as var2, case when var_pop(case when {b} is not null then {a} end) > 0 "
+                              f"and var_pop(case when {a} is not null then {b} end) > 0 then corr({a}, {b}) end as corr from obs")
+    obs_cols = ["obs_id", "seg_id", "district", "street", "day_text", "start_text", "end_text", "dur_text", "x", "y", "rank",
+                "length", "speed", "dt_start", "dt_end", "duration_min", "peak", "hour_sin", "hour_cos", "target_bin",
+                "length_log1p"]
+    miss = "\nunion all\n".join(f"select {i} as pos, '{c}' as variable, count(*) - count({c}) as n_missing from obs"
+                                for i, c in enumerate(obs_cols))
+    return f""",
+cp AS ({' union all '.join(corr_parts)}),
+cpp AS (select cp.*, p1.pos as p1, p2.pos as p2 from cp join (values {pos}) p1(name, pos) on cp.var1 = p1.name
+  join (values {pos}) p2(name, pos) on cp.var2 = p2.name where corr is not null and abs(corr) >= 0.5),
+top AS (select *, row_number() over (order by abs(corr) desc, var1, var2) as r from cpp),
+pk AS (select peak, round(avg(speed), 2) as m from obs group by peak),
+gs AS (select district, round(avg(speed), 2) as m from obs where district is not null group by district),
+slow AS (select district, m from gs where m is not null order by m, district limit 1),
+ms AS ({miss}),
+mline AS (select '- Existen valores faltantes en ' || string_agg(variable || ' (' || cast(n_missing as varchar) || ')', ', ' order by pos) || '.' as t
+  from ms where n_missing > 0 having count(*) > 0),
+lines AS (
+  select 'findings' as section, 0 as ord, {_q(SECTION_FINDINGS)} as text
+  {coefficients}
+  union all select 'findings', 1000 + r, printf('- Correlación destacada entre %s y %s: %.2f.', var1, var2, corr) from top where r <= 5
+  union all select 'findings', 2000 + row_number() over (order by peak), '- Velocidad promedio en periodo ' || peak || ': ' || cast(m as varchar) || ' km/h.' from pk
+  union all select 'findings', 3000, '- La comuna con menor velocidad promedio es ' || district || ' (' || cast(m as varchar) || ' km/h).' from slow
+  union all select 'limits', 0, {_q(SECTION_LIMITS)}
+  union all select 'limits', 1, t from mline
+  union all select 'limits', 10, {_q(FIXED_LIMITS[0])} union all select 'limits', 11, {_q(FIXED_LIMITS[1])}
+  union all select 'advice', 0, {_q(SECTION_ADVICE)}
+  union all select 'advice', 1, {_q(FIXED_ADVICE[0])} union all select 'advice', 2, {_q(FIXED_ADVICE[1])}
+  union all select 'advice', 3, {_q(FIXED_ADVICE[2])}),
+numbered AS (select section, row_number() over (partition by section order by ord) as line_no, text from lines)"""
+
+
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     tokens = ", ".join(_q(t) for t in DEFAULT_MISSING_TOKENS)
@@ -57,41 +98,7 @@ select 'const' as variable, round(b0, 6) as coef, null::double as std_err, null:
 union all select 'length_log1p', round(b, 6), null, null, 'ridge_fallback' from rb
 union all select 'length_log1p_copy', round(b, 6), null, null, 'ridge_fallback' from rb""")
 
-    num = ["x", "y", "rank", "length", "length_log1p", "speed", "duration_min", "hour_sin", "hour_cos"]
-    pos = ", ".join(f"('{c}', {i})" for i, c in enumerate(num))
-    corr_parts = []
-    for i, a in enumerate(num):
-        for b in num[i + 1:]:
-            corr_parts.append(f"select '{a}' as var1, '{b}' as var2, case when var_pop(case when {b} is not null then {a} end) > 0 "
-                              f"and var_pop(case when {a} is not null then {b} end) > 0 then corr({a}, {b}) end as corr from obs")
-    obs_cols = ["obs_id", "seg_id", "district", "street", "day_text", "start_text", "end_text", "dur_text", "x", "y", "rank",
-                "length", "speed", "dt_start", "dt_end", "duration_min", "peak", "hour_sin", "hour_cos", "target_bin",
-                "length_log1p"]
-    miss = "\nunion all\n".join(f"select {i} as pos, '{c}' as variable, count(*) - count({c}) as n_missing from obs"
-                                for i, c in enumerate(obs_cols))
-    find = f""",
-cp AS ({' union all '.join(corr_parts)}),
-cpp AS (select cp.*, p1.pos as p1, p2.pos as p2 from cp join (values {pos}) p1(name, pos) on cp.var1 = p1.name
-  join (values {pos}) p2(name, pos) on cp.var2 = p2.name where corr is not null and abs(corr) >= 0.5),
-top AS (select *, row_number() over (order by abs(corr) desc, var1, var2) as r from cpp),
-pk AS (select peak, round(avg(speed), 2) as m from obs group by peak),
-gs AS (select district, round(avg(speed), 2) as m from obs where district is not null group by district),
-slow AS (select district, m from gs where m is not null order by m, district limit 1),
-ms AS ({miss}),
-mline AS (select '- Existen valores faltantes en ' || string_agg(variable || ' (' || cast(n_missing as varchar) || ')', ', ' order by pos) || '.' as t
-  from ms where n_missing > 0 having count(*) > 0),
-lines AS (
-  select 'findings' as section, 0 as ord, {_q(SECTION_FINDINGS)} as text
-  union all select 'findings', 1000 + r, printf('- Correlación destacada entre %s y %s: %.2f.', var1, var2, corr) from top where r <= 5
-  union all select 'findings', 2000 + row_number() over (order by peak), '- Velocidad promedio en periodo ' || peak || ': ' || cast(m as varchar) || ' km/h.' from pk
-  union all select 'findings', 3000, '- La comuna con menor velocidad promedio es ' || district || ' (' || cast(m as varchar) || ' km/h).' from slow
-  union all select 'limits', 0, {_q(SECTION_LIMITS)}
-  union all select 'limits', 1, t from mline
-  union all select 'limits', 10, {_q(FIXED_LIMITS[0])} union all select 'limits', 11, {_q(FIXED_LIMITS[1])}
-  union all select 'advice', 0, {_q(SECTION_ADVICE)}
-  union all select 'advice', 1, {_q(FIXED_ADVICE[0])} union all select 'advice', 2, {_q(FIXED_ADVICE[1])}
-  union all select 'advice', 3, {_q(FIXED_ADVICE[2])}),
-numbered AS (select section, row_number() over (partition by section order by ord) as line_no, text from lines)"""
+    find = findings_ctes()
     q["findings"] = with_obs(find + "\nselect * from numbered")
     q["format_findings"] = with_obs(find + "\nselect * from numbered where section = 'findings' and line_no > 1")
     return q

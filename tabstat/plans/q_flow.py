@@ -119,7 +119,8 @@ def q_model_store(spark, sf_dir):
 
 
 def q_model_regression(spark, sf_dir):
-    return regression_run(spark, sf_dir).metrics_df(spark)
+    metrics = regression_run(spark, sf_dir).metrics_df(spark)
+    return metrics.select("model", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "mae", "bias")])
 
 
 def q_coef_union_dropped(spark, sf_dir):
