@@ -5,8 +5,9 @@ each."""
 
 from __future__ import annotations
 
+from ..functions.normal import norm_cdf_sql
 from .oracle_flow import findings_ctes
-from .oracle_model import NUM_FEATS, REG, SCALE
+from .oracle_model import CLF, NUM_FEATS, REG, SCALE
 from .oracle_sql import NUMERIC, with_obs
 
 LEVELS = """,
@@ -57,7 +58,7 @@ def jacobi(name: str, start: str, sweeps: int = 12) -> str:
 P_VALUE_STEPS = 2000  # Simpson intervals under Student's density
 
 
-def design_ctes() -> str:
+def design_ctes(rows: str = REG) -> str:
     """``design``: the feature columns of all rows in long form (j from 1, the
     constant; column p + 1 is the target), and ``names`` of the columns."""
     first = len(NUM_FEATS)
@@ -67,7 +68,7 @@ def design_ctes() -> str:
     parts.append(f"select {key}, j, 1.0 from bucketed join dummies on dlvl = lvl")
     parts.append(f"select {key}, p, 1.0 from reg, size where peak = 'Valle'")
     numeric = " union all ".join(f"select {i + 2}, '{c}'" for i, c in enumerate(NUM_FEATS))
-    return REG + SCALE + LEVELS.format(first=first) + f""",
+    return rows + SCALE + LEVELS.format(first=first) + f""",
 design AS ({' union all '.join(parts)}),
 names AS (select 1 as j, 'const' as variable union all {numeric} union all select j, 'district_' || lvl from dummies union all select p, 'peak_Valle' from size)"""
 
@@ -101,6 +102,33 @@ def least_squares(m: str, columns: str) -> str:
 {m}_table AS (select variable, b, se, pv from {m}_coefs join {m}_tail using (pos) join {m}_cols using (pos) join names using (j))"""
 
 
+# the classification rows under the names of the regression ones; the label is
+# the target
+LABELS = CLF + """,
+reg AS (select * replace (case when target_bin = 'Alta' then 1.0 else 0.0 end as speed), 0 as fold from clf),
+tr AS (select * from reg where split = 'train')"""
+
+
+def logit(steps: int = 9) -> str:
+    """CTEs of the unpenalised logit by Newton steps from 0: ``logit`` (j, b, se)."""
+    out = """,
+tz AS MATERIALIZED (select obs_id, speed, j, v from design where split = 'train'),
+n0 AS (select j, 0.0 as b from names)"""
+    for s in range(1, steps + 1):
+        out += f""",
+m{s} AS MATERIALIZED (select obs_id, any_value(speed) as y, 1 / (1 + exp(-sum(v * b))) as mu from tz join n{s - 1} using (j) group by obs_id),
+cells{s} AS (select a.j as i, t.j from names a, size, range(1, 2 * p + 2) t(j)),
+g{s} AS (select a.j as i, b.j as j, sum(a.v * b.v * mu * (1 - mu)) as v from tz a join tz b using (obs_id) join m{s} using (obs_id) group by 1, 2
+  union all select j, p + 1, sum(v * (y - mu)) from tz join m{s} using (obs_id), size group by 1, 2
+  union all select j, p + 1 + j, 1.0 from names, size),
+system{s} AS (select (select p from size) as n, list(r order by i) as m from (
+  select c.i, list(coalesce(g.v, 0.0) order by c.j) as r from cells{s} c left join g{s} g on g.i = c.i and g.j = c.j group by c.i)),
+{gauss_jordan(f'x{s}', f'system{s}')},
+n{s} AS MATERIALIZED (select i as j, b + m[i][n + 1] as b, sqrt(m[i][n + 1 + i]) as se from x{s}, range(1, n + 1) t(i) join n{s - 1} o on o.j = i)"""
+    return out + f""",
+logit AS (select * from n{steps})"""
+
+
 def forward_selection(steps: int) -> str:
     """CTEs of the greedy selection: ``chosen`` has the design columns of model
     2. Per fold (and for all training rows, fold -1) the Gram matrix outside
@@ -173,6 +201,10 @@ from m2_table where variable <> 'const' order by 2 limit 10""")
     from (select *, row_number() over (order by abs(b) desc, variable) as r from m{i}_table where variable <> 'const') where r <= 5"""
         for i, verb in ((1, "resalta"), (2, "identifica")))
     q["run_all"] = recursive(both + findings_ctes(lines) + "\nselect * from numbered")
+    q["logit_inference"] = recursive(design_ctes(LABELS) + logit() + f""",
+z AS (select j, b, se, -abs(b / se) as nz from logit)
+select variable, round(b, 6) as coef, round(se, 4) as std_err, round(2 * {norm_cdf_sql('nz')}, 4) as p_value, round(exp(b), 4) as odds_ratio, null::varchar as note
+from z join names using (j)""")
     k = len(NUM_FEATS)
     row = lambda a: "[" + ", ".join([f"corr({a}, {b})" for b in NUM_FEATS] + ["1.0" if a == b else "0.0" for b in NUM_FEATS]) + "]"
     q["vif"] = recursive(REG + f""",

@@ -203,7 +203,9 @@ def q_logistic_fit_predict(spark, sf_dir):
 def q_logit_inference(spark, sf_dir):
     from ..operators.classify import LOGIT_SCHEMA
 
-    return spark.createDataFrame(classification_run(spark, sf_dir).coef1, LOGIT_SCHEMA)
+    coef = spark.createDataFrame(classification_run(spark, sf_dir).coef1, LOGIT_SCHEMA)
+    digits = {"coef": 6, "std_err": 4, "p_value": 4, "odds_ratio": 4}
+    return coef.select("variable", *[F.round(c, d).alias(c) for c, d in digits.items()], "note")
 
 
 def q_forward_select_classification(spark, sf_dir):
