@@ -42,7 +42,7 @@ ALPHA = 0.4
 MIN_COUNT = 2
 FREQUENT = 500_000
 FREQUENT_PAIRS = 65_536
-BUCKET = 1_500_000
+BUCKET = 2_000_000
 PACK_BYTES = 6 << 20  # text whose n-grams are packed together
 _START = np.uint64(1 << 62)  # stands before a document's first word
 _RARE = np.uint64(1 << 63)  # set in the code of an infrequent word
@@ -213,6 +213,9 @@ def _deal(docs: DataFrame, rows: Rows, model, n_buckets: int, total: int) -> Dat
     return docs.select("id", "text").mapInArrow(run, rows.schema)
 
 
+_SUM = np.dtype([("doc", "<u4"), ("score", "<f8"), ("n_backoff", "<u4")])
+
+
 def _solve(blobs: list[bytes], rows: Rows, id_type, m: Frequent, total: int, alpha: float, min_count: int):
     """Count a bucket's bigrams and score their occurrences."""
     parts = [_unpack(b) for b in blobs]
@@ -239,8 +242,11 @@ def _solve(blobs: list[bytes], rows: Rows, id_type, m: Frequent, total: int, alp
     wide = int(doc.max()) + 1
     place = of * wide + doc
     seen = np.flatnonzero(np.bincount(place))
-    back_n = np.bincount(place, back)[seen].astype(np.int64)
-    yield rows.of(len(seen), id_type, pack=pa.array(packs[seen // wide]), doc=pa.array((seen % wide).astype(np.int32)), score=pa.array(np.bincount(place, score)[seen]), n_backoff=pa.array(back_n))
+    sums = np.zeros(len(seen), _SUM)
+    sums["doc"], sums["score"], sums["n_backoff"] = seen % wide, np.bincount(place, score)[seen], np.bincount(place, back)[seen]
+    whose, heads = np.unique(seen // wide, return_index=True)
+    blobs = [sums[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(seen)))]
+    yield rows.of(len(whose), id_type, pack=pa.array(packs[whose]), blob=pa.array(blobs, pa.binary()))
     rest = np.flatnonzero((back | begin) & (w >= _START))
     if len(rest):
         yield rows.of(len(rest), id_type, pack=pa.array(packs[of[rest]]), doc=pa.array(doc[rest].astype(np.int32)), w=_long(w[rest]), first=pa.array(begin[rest]))
@@ -267,6 +273,47 @@ def _buckets(dealt: DataFrame, rows: Rows, model, total: int, alpha: float, min_
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, rows.schema)
 
 
+def _add_up(solved: DataFrame, rows: Rows) -> DataFrame:
+    """(pack, doc, id, n_words, score, n_backoff): the documents of each pack
+    with the sums of all buckets."""
+    schema = T.StructType([f for f in rows.schema.fields if f.name in ("pack", "doc", "id", "n_words", "score", "n_backoff")])
+
+    def run(batches):
+        docs, sums = [], np.zeros(0, _SUM)
+
+        def close():
+            batch = pa.Table.from_batches(docs).combine_chunks().sort_by("doc").to_batches()[0]
+            all_sums = np.zeros(batch.num_rows, _SUM)  # documents without a sum have zeros
+            all_sums[: len(sums)] = sums
+            total, back = batch.column(3).to_numpy() + all_sums["score"], all_sums["n_backoff"].astype(np.int64)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total), pa.array(back), batch.column(4)], names=schema.names)
+
+        pack = None
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if names[a] != pack:
+                    if docs:
+                        yield close()
+                    pack, docs, sums = names[a], [], np.zeros(0, _SUM)
+                part = batch.slice(a, b - a)
+                docs.append(part.filter(part.column(5).is_null()).select([0, 1, 2, 3, 4]))
+                for blob in part.column(5).drop_null().to_pylist():
+                    more = np.frombuffer(blob, _SUM)
+                    if more["doc"].max() >= len(sums):
+                        sums = np.concatenate([sums, np.zeros(int(more["doc"].max()) + 1 - len(sums), _SUM)])
+                    sums["score"][more["doc"]] += more["score"]
+                    sums["n_backoff"][more["doc"]] += more["n_backoff"]
+        if docs:
+            yield close()
+
+    rows_in = solved.where("w is null").select("pack", "doc", "n_words", "score", "id", "blob")
+    return rows_in.repartition("pack").sortWithinPartitions("pack").mapInArrow(run, schema)
+
+
 def _most_frequent(table: DataFrame, total: int, most: int) -> DataFrame:
     """The rows of the largest counts n, at most ``most``: those from the least
     count on that leaves no more."""
@@ -300,13 +347,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
     rest = solved.where("w is not null").groupBy("w", *key, "first").agg(F.count("*").alias("times"))
     rare = words.select(F.col("h").bitwiseOR(F.lit(-(1 << 63))).alias("w"), "n")
     share = F.log("n") - math.log(total) + F.when(F.col("first"), 0.0).otherwise(math.log(alpha))
-    rest = rest.join(rare, "w").select(*key, (share * F.col("times")).alias("score"), F.lit(0).cast("long").alias("n_backoff"))
-    named = solved.where("n_words is not null")
-    sums = solved.where("w is null and n_words is null").select(*key, "score", "n_backoff").unionByName(rest)
-    sums = sums.groupBy(*key).agg(F.sum("score").alias("more"), F.sum("n_backoff").alias("backoff"))
-    out = named.select("id", *key, "n_words", "score").join(sums, key, "left")
+    rest = rest.join(rare, "w").select(*key, (share * F.col("times")).alias("score"))
+    rest = rest.groupBy(*key).agg(F.sum("score").alias("more"))
+    out = _add_up(solved, rows).join(rest, key, "left")
     log_prob = F.when(F.col("n_words") > 0, F.col("score") + F.coalesce("more", F.lit(0.0)))
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("backoff", F.lit(0)).alias("n_backoff"), log_prob.alias("log_prob"))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_backoff", log_prob.alias("log_prob"))
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
