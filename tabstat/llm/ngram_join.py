@@ -240,10 +240,10 @@ def _blocks(cand: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     up = classes.select("root", (F.col("cls") - 1).alias("cls"), F.col("m").alias("m_up"))
     down = classes.select("root", (F.col("cls") + 1).alias("cls"), F.col("m").alias("m_down"))
     classes = classes.join(up, ["root", "cls"], "left").join(down, ["root", "cls"], "left").na.fill(0, ["m_up", "m_down"])
-    own = "pmod(xxhash64(fp), m)"
+    own = "int(pmod(xxhash64(fp), m))"  # the type of j: equal numbers of two types have unequal hashes
     key = "xxhash64(root, cls, {a}, {b}, '{kind}')"
     places = F.expr(f"""flatten(array(
-        transform(sequence(0, m - 1), j -> named_struct('block', {key.format(a=f'least({own}, j)', b=f'greatest({own}, j)', kind='same')}, 'cross', {own} <> j, 'side', int({own}))),
+        transform(sequence(0, m - 1), j -> named_struct('block', {key.format(a=f'least({own}, j)', b=f'greatest({own}, j)', kind='same')}, 'cross', {own} <> j, 'side', {own})),
         transform(if(m_up > 0, sequence(0, m_up - 1), array()), j -> named_struct('block', {key.format(a=own, b='j', kind='next')}, 'cross', true, 'side', -1)),
         transform(if(m_down > 0, sequence(0, m_down - 1), array()), j -> named_struct('block', {key.replace('cls', 'cls - 1').format(a='j', b=own, kind='next')}, 'cross', true, 'side', -2))))""")
     return cand.join(classes, ["root", "cls"]).withColumn("places", places).select("root", "fp", "n", "copies", "places")

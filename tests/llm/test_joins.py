@@ -67,6 +67,19 @@ def test_jaccard_classes(corpus, monkeypatch, block):
     assert kept == set(classes_of(len(texts), links))
 
 
+def test_jaccard_links_between_size_classes(spark, monkeypatch):
+    """A cluster of nested sets over four size classes, in many small blocks:
+    links between neighbouring classes count too."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(40, 90)]
+    sets = [grams(t) for t in texts]
+    assert len({int(np.log(len(s)) / np.log(1.25 * 1.0001)) for s in sets}) >= 3
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    out = {r.doc_id: r for r in ngram_join.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [out[i].class_id for i in range(len(texts))] == classes_of(len(texts), links)
+    assert [out[i].n_links for i in range(len(texts))] == [sum(i in p for p in links) for i in range(len(texts))]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert (1 - 0.8**rows) ** bands <= 1e-4 and bands <= 32
