@@ -205,6 +205,42 @@ def test_planted_passages(spark):
     assert [(p.start, p.end, p.sources) for p in out[80].passages] == [(0, len(rows[0][1].split()), [0])]
 
 
+def planted_pairs(rng, vocab, edits):
+    """Texts in pairs: the second has the first's passage of m words, of which
+    e inside are changed; {(m, e): pairs}. Numbers of the second texts by case."""
+    texts, seconds = [], {}
+    for (m, e), n in edits.items():
+        for _ in range(n):
+            passage = rng.choices(vocab, k=m)
+            near = list(passage)
+            for at in rng.sample(range(1, m - 1), e):
+                near[at] = f"x{rng.randrange(10**6)}"
+            for x in (passage, near):
+                texts.append(" ".join(rng.choices(vocab, k=rng.randint(0, 70)) + x + rng.choices(vocab, k=rng.randint(0, 70))))
+            seconds.setdefault((m, e), []).append(len(texts) - 1)
+    return texts, seconds
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Changes anywhere but on the first and last word: similarity 0.8 to 0.95
+    at 50 to 60 words is found, one source."""
+    edits = {(50, 2): 20, (50, 4): 20, (50, 8): 30, (50, 10): 60, (60, 6): 20, (60, 12): 40}
+    texts, seconds = planted_pairs(random.Random(3), [f"w{i}" for i in range(3000)], edits)
+    out = {r.doc_id: r for r in chains.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for case, numbers in seconds.items():
+        found = [d for d in numbers if [p.sources for p in out[d].passages or []] == [[d - 1]]]
+        assert len(found) >= 0.97 * len(numbers), case
+    assert sum(r.n_passages for r in out.values()) == sum(len(out[d].passages or []) for x in seconds.values() for d in x)
+
+
+def test_short_phrases_make_no_passage(spark):
+    """A text of phrases of 7 words, each from another document."""
+    rng = random.Random(2)
+    phrases = [rng.choices([f"w{i}" for i in range(3000)], k=7) for _ in range(20)]
+    texts = [" ".join(rng.choices([f"v{i}" for i in range(3000)], k=30) + p) for p in phrases] + [" ".join(sum(phrases, []))]
+    assert all(r.n_passages == 0 for r in chains.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1), (0, 700), (3, 2000), (10, 5000), (90, 30_000), (35_000, 10_000_000), (5, 10), (0, 0)]
     df = spark.createDataFrame(cases, "k bigint, n bigint").select("k", "n", F.expr(quality.binomial_tail("k", "n", 0.004)).alias("p"))
