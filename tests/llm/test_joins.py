@@ -241,6 +241,46 @@ def test_short_phrases_make_no_passage(spark):
     assert all(r.n_passages == 0 for r in chains.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
 
 
+def test_anchors_of_many_ranges(spark):
+    """Each seed meets the first document that has it and the one before its
+    own, wherever the ranges of the seeds are cut."""
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 2, 3, 7, rng.randrange(1000)]), None if d == 5 else d // 2, d * 77, d, p) for d in range(150) for p in range(rng.randint(1, 9))]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(before, ("12", "false", "40")):
+        spark.conf.set(k, v)
+    try:
+        got = [tuple(r) for r in chains.anchors(spark.createDataFrame(rows, "h bigint, id bigint, k1 bigint, k2 int, pos int")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want, seen = [], {}
+    for h, i, k1, k2, pos in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, *r[2:])):
+        known = seen.setdefault(h, [])  # first place of h in each document so far
+        if not known or known[-1][1] != k1:
+            known.append((i, k1, k2, pos))
+        others = known[:-1]
+        for source in sorted({0, len(others) - 1}) if others else []:
+            want.append((i, k1, k2, *others[source][:3], pos, others[source][3], source == 0))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_passage_whose_seeds_stand_in_earlier_documents(spark):
+    """Every seed of the passage is in an earlier document of 7 words, too
+    short to be its source."""
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts, copies = [], []
+    for _ in range(10):
+        passage = rng.choices(vocab, k=60)
+        texts += [" ".join(passage[i : i + 7]) for i in range(0, 54, 3)] + [" ".join(passage[-7:])]
+        for _ in range(2):
+            texts.append(" ".join(rng.choices(vocab, k=40) + passage + rng.choices(vocab, k=40)))
+        copies.append(len(texts) - 1)
+    out = {r.doc_id: r for r in chains.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [[p.sources for p in out[d].passages or []] for d in copies] == [[[d - 1]] for d in copies]
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1), (0, 700), (3, 2000), (10, 5000), (90, 30_000), (35_000, 10_000_000), (5, 10), (0, 0)]
     df = spark.createDataFrame(cases, "k bigint, n bigint").select("k", "n", F.expr(quality.binomial_tail("k", "n", 0.004)).alias("p"))
