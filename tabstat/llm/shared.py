@@ -1,8 +1,13 @@
 """Helpers shared by the operators: row identity, size-checked broadcasts,
-connected components."""
+connected components, slices of text batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +53,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         edges = materialize(small.union(least).where("u <> v").distinct(), "components")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def text_slices(batch: pa.RecordBatch, at: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text in column ``at``;
+    a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
