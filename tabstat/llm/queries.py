@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chains, chat, decontaminate, exact, line_dedup, lm, ngram_join, pii, quality, warc_zip
+from . import bpe, chains, chat, decontaminate, exact, line_dedup, lm, ngram_join, pii, quality, resample, warc_zip
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_zip": warc_zip.op8_warc_zip,
     "op9_pii_semicrf": pii.op9_pii_semicrf,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_importance_resampling": resample.op11_importance_resampling,
     "op13_exact_dedup": exact.op13_exact_dedup,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op7_quality_rules": quality.ORACLE,
     "op8_warc_zip": warc_zip.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_importance_resampling": resample.ORACLE,
     "op13_exact_dedup": exact.ORACLE,
 }
