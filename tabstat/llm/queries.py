@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chains, chat, decontaminate, exact, line_dedup, lm, ngram_join, pii, quality, resample, warc_zip
+from . import align, bpe, chains, chat, decontaminate, exact, line_dedup, lm, ngram_join, pii, quality, resample, warc_zip
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii_semicrf": pii.op9_pii_semicrf,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_tokenizer_alignment": align.op12_tokenizer_alignment,
     "op13_exact_dedup": exact.op13_exact_dedup,
 }
 ORACLES = {
