@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import positive_class
-from .rank import global_cumsum
+from .rank import cumsum_and_totals, global_cumsum
 
 
 def q(c: str) -> Column:
@@ -173,9 +173,8 @@ def roc_auc(pred: DataFrame, actual: str, positive: str, score: str = "proba") -
 def roc_curve(pred: DataFrame, actual: str, positive: str, score: str = "proba") -> DataFrame:
     """FPR/TPR at every distinct score (descending) plus the origin."""
     sc = score_counts(pred, actual, positive, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
-    P, N = tot["P"] or 0.0, tot["N"] or 0.0
-    cum = global_cumsum(sc, "score", ["pos", "neg"], descending=True)
+    cum, total = cumsum_and_totals(sc, "score", ["pos", "neg"], descending=True)
+    P, N = float(total["pos"]), float(total["neg"])
     pts = cum.select(F.col("score").alias("threshold"),
                      (F.col("cum_neg") / F.lit(N) if N else F.lit(None).cast("double")).alias("fpr"),
                      (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("tpr"))
@@ -186,8 +185,8 @@ def roc_curve(pred: DataFrame, actual: str, positive: str, score: str = "proba")
 def pr_curve(pred: DataFrame, actual: str, positive: str, score: str = "proba") -> DataFrame:
     """Precision and recall at every distinct score, plus (recall 0, precision 1)."""
     sc = score_counts(pred, actual, positive, score)
-    P = sc.agg(F.sum("pos").alias("P")).collect()[0]["P"] or 0.0
-    cum = global_cumsum(sc, "score", ["pos", "neg"], descending=True)
+    cum, total = cumsum_and_totals(sc, "score", ["pos", "neg"], descending=True)
+    P = float(total["pos"])
     pts = cum.select(F.col("score").alias("threshold"),
                      (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
                      (F.col("cum_pos") / F.lit(P) if P else F.lit(None).cast("double")).alias("recall"))

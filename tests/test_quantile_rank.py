@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabstat.operators.quantile import exact_quantiles
-from tabstat.operators.rank import global_cumsum, global_row_number, value_counts_ranked
+from tabstat.operators.rank import cumsum_and_totals, global_cumsum, global_row_number, value_counts_ranked
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -99,3 +99,35 @@ def test_hot_value_is_spread_over_ranges(spark):
     out = {r.id: r.row_number for r in global_row_number(df, "v", tiebreak=["id"]).collect()}
     order = sorted(range(9000), key=lambda i: (7 if i < 3000 else i, i))
     assert out == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_rows_are_shuffled_once(spark):
+    """The rows move to their ranges and never again; only the range table is
+    sent on."""
+    df = spark.range(5000).withColumn("v", F.rand(1)).withColumn("w", F.lit(1))
+    for out in (global_row_number(df, "v", tiebreak=["id"]), global_cumsum(df, "v", ["w"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_grouped_cumsum_carries_into_later_ranges(spark):
+    """One group over all ranges, small and null groups, null values."""
+    rng = np.random.default_rng(6)
+    rows = [(g, i, None if v == 7 else int(v)) for i, (g, v) in enumerate(zip(rng.choice(["a", "hot", "hot", "hot", "z", None], 4000), rng.integers(0, 9, 4000)))]
+    rows = [(None if g is None else str(g), i, v) for g, i, v in rows] + [(f"g{i}", i, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, w int").repartition(6)
+    out = {(r.g, r.k): r.cum_w for r in global_cumsum(df, "k", ["w"], group_cols=["g"], descending=True).collect()}
+    sums, want = {}, {}
+    for g, k, w in sorted(rows, key=lambda r: -r[1]):
+        sums[g] = sums.get(g, 0) + (w or 0)
+        want[g, k] = sums[g]
+    assert out == want
+
+
+def test_cumsum_totals(spark):
+    df = spark.createDataFrame([(float(i), 0.5, i) for i in range(50)], "v double, a double, b int")
+    out, total = cumsum_and_totals(df, "v", ["a", "b"])
+    assert total == {"a": 25.0, "b": 1225}
+    assert out.orderBy("v").select("cum_a", "cum_b").collect()[-1] == (25.0, 1225)
+    empty, total = cumsum_and_totals(df.limit(0), "v", ["a"])
+    assert empty.count() == 0 and total == {"a": 0}
