@@ -10,8 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gram import collect_gram, shifted, total
-from .linear import centred
+from .gram import centred_gram
 
 
 def q(c: str) -> Column:
@@ -62,17 +61,13 @@ class PCAResult:
 
 def pca_fit(df: DataFrame, columns: list[str]) -> PCAResult | None:
     """Complete cases of ``columns``, scaled by the population std, full PCA."""
-    complete = df.select(*[q(c).cast("double").alias(c) for c in columns]).dropna()
     if not columns:
         return None
-    near, means = shifted(complete, columns)
-    grams = collect_gram(near, columns)
-    if not grams:
-        return None
-    g = total(grams)
+    g, means = centred_gram(df, columns)
     n = g.n
-    sxx, _, _, mx, _ = centred(g, columns)
-    cov = sxx / n
+    if not n:
+        return None
+    cov = g.sub(columns) / n
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     scales = np.where(np.isclose(sd, 0.0), 1.0, sd)
     corr = cov / np.outer(scales, scales)
@@ -85,7 +80,7 @@ def pca_fit(df: DataFrame, columns: list[str]) -> PCAResult | None:
         j = int(np.nonzero(a >= a.max() - 1e-12)[0][0])  # first of the (near-)largest
         if comps[i, j] < 0:
             comps[i] = -comps[i]
-    return PCAResult(list(columns), mx + means, scales, vals, comps, int(round(n)))
+    return PCAResult(list(columns), means, scales, vals, comps, int(round(n)))
 
 
 def biplot_arrows(df: DataFrame, res: PCAResult) -> list[tuple]:

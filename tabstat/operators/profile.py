@@ -195,24 +195,20 @@ def missing_report(df: DataFrame, digits: int = 2) -> DataFrame:
 def correlation_long(df: DataFrame, columns: list[str], digits: int | None = None) -> DataFrame:
     """Pearson correlation, pairwise complete, every ordered pair (long form).
 
-    One pass sums, per column pair, the counts, sums, sums of squares and
-    cross products over the rows where both are present (NumPy on Arrow
-    batches, summed by ``groupBy``); a constant column gives NULL."""
-    from .gram import pairwise_moments
+    One pass keeps, per column pair, the count, means and centred co-moments
+    of the rows where both are present (null and NaN are missing), merged over
+    batches and tasks; a constant column gives NULL."""
+    from .gram import pairwise_comoments
 
     cols = present(df, columns)
-    n, sa, saa, sab = pairwise_moments(df, cols)
+    n, _, squares, products = pairwise_comoments(df, cols)
     records = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            nn = n[i, j]
+            va, vb = squares[i, j], squares[j, i]
             r = None
-            if nn > 1:
-                va = saa[i, j] - sa[i, j] ** 2 / nn
-                vb = saa[j, i] - sa[j, i] ** 2 / nn
-                if va > 0 and vb > 0:
-                    cov = sab[i, j] - sa[i, j] * sa[j, i] / nn
-                    r = float(max(-1.0, min(1.0, cov / math.sqrt(va * vb))))
+            if n[i, j] > 1 and va > 0 and vb > 0:
+                r = float(max(-1.0, min(1.0, products[i, j] / math.sqrt(va * vb))))
             records.append((a, b, r))
     out = df.sparkSession.createDataFrame(records, "var1 string, var2 string, corr double")
     if digits is not None:

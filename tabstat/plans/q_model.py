@@ -11,7 +11,7 @@ from ..config import ModelOptions, Roles
 from ..operators import classify as clf
 from ..operators import features as feat
 from ..operators import normality as nt
-from ..operators.gram import collect_gram, gram_long, total
+from ..operators.gram import collect_gram, total
 from ..operators.linear import breusch_pagan, linear_expr, ols_with_checks, vif_table
 from ..operators.pca import pca_fit
 from ..operators.rank import global_row_number
@@ -169,10 +169,9 @@ def q_global_rank(spark, sf_dir):
 def q_gram_matrix(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    g = gram_long(li, cols)
-    names = F.element_at(F.array(*[F.lit(c) for c in ["const"] + cols]), F.col("i") + 1)
-    names_j = F.element_at(F.array(*[F.lit(c) for c in ["const"] + cols]), F.col("j") + 1)
-    return g.select(names.alias("var1"), names_j.alias("var2"), F.format_string("%.9e", "value").alias("value"))
+    g = total(collect_gram(li, cols))
+    rows = [(g.names[i], g.names[j], "%.9e" % g.matrix[i, j]) for i in range(len(g.names)) for j in range(i, len(g.names))]
+    return spark.createDataFrame(rows, "var1 string, var2 string, value string")
 
 
 # ----------------------------------------------------------------------------- normality

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabstat.operators.gram import collect_gram, total
+from tabstat.operators.gram import centred_gram, collect_gram, pairwise_comoments, total, tree_reduce
 from tabstat.operators.linear import ols_with_checks, vif_table
 from tabstat.operators.select import forward_select_regression
 
@@ -96,3 +96,55 @@ def test_forward_selection_equals_refitting(spark):
         best = max((c for c in names if c not in chosen), key=lambda c: (cv(chosen + [c]), -names.index(c)))
         chosen.append(best)
     assert sel == chosen
+
+
+def test_tree_combined_gram_with_folds_and_weights(spark):
+    """Blocks of many tasks, folds and weights add up; rows with a missing
+    value are left out."""
+    df, X, y, names = _data(spark)
+    df = df.withColumn("x0", F.when(F.col("k") % 10 == 3, F.lit(float("nan"))).when(F.col("k") % 10 == 4, F.lit(None)).otherwise(F.col("x0")))
+    grams = collect_gram(df.repartition(13), names, fold=F.col("k") % 3, weights={"w": F.col("y") * 2})
+    k = np.arange(len(y))
+    for f in range(3):
+        own = (k % 3 == f) & (k % 10 != 3) & (k % 10 != 4)
+        Z = np.column_stack([np.ones(own.sum()), X[own]])
+        assert np.allclose(grams[f, "1"].matrix, Z.T @ Z)
+        assert np.allclose(grams[f, "w"].matrix, (Z.T * (2 * y[own])) @ Z)
+
+
+def test_comoments_merge_to_pandas(spark):
+    """Far-off columns, NaN and null, a column without values, many tasks."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 4)) @ rng.normal(size=(4, 4)) + np.array([1e9, -1e7, 0.0, 5.0])
+    x[rng.random((900, 4)) < 0.2] = np.nan
+    names = ["a", "b", "c", "d"]
+    rows = [[None if np.isnan(v) and rng.random() < 0.5 else float(v) for v in r] + [None] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "none"])).repartition(11)
+    n, mean, squares, products = pairwise_comoments(df, [*names, "none"])
+    frame = pd.DataFrame(x, columns=names)
+    have = frame.notna()
+    assert np.array_equal(n[:4, :4], have.T.astype(float).dot(have.astype(float)).to_numpy())
+    assert (n[4] == 0).all()
+    corr = products / np.sqrt(np.maximum(squares * squares.T, 1e-300))
+    assert np.allclose(corr[:4, :4], frame.corr().to_numpy(), atol=1e-9)
+    g, means = centred_gram(df, names)
+    whole = frame.dropna()
+    assert g.n == len(whole)
+    assert np.allclose(means, whole.mean().to_numpy(), rtol=1e-14)
+    assert np.allclose(g.sub(names), whole.cov(ddof=0).to_numpy() * len(whole), rtol=1e-7)
+
+
+def test_blocks_meet_in_a_tree(spark):
+    """Rows that move: a block per task and key, then one per slot and key."""
+    df, X, y, names = _data(spark)
+    acc = spark.sparkContext.accumulator(0)
+
+    def merge(a, b):
+        acc.add(1)
+        return a + b
+
+    found = tree_reduce(df.repartition(20), lambda batches: {"n": np.array([float(sum(b.num_rows for b in batches))])}, merge)
+    assert found["n"][0] == len(y)
+    assert acc.value <= 20
