@@ -1,38 +1,37 @@
 """Classification: logistic model, unpenalised logit inference, metrics,
 ROC / PR curves, AUC, confusion grid, forward selection.
 
-* Model: ``pyspark.ml`` LogisticRegression with L2; the reference's C = 1 on
-  the summed loss is regParam = 1 / (C n) on Spark's mean loss, with
-  standardization off and an unpenalised intercept.
+* Model: L2-penalised logistic regression (C = 1 on the summed loss, intercept
+  free) by Newton steps over tree-combined sums (``newton``); the gradient
+  norm that is left certifies the fit.
 * Inference: ``GeneralizedLinearRegression`` (binomial, logit) summary.
 * Curves and AUC: one row per distinct score (``groupBy``), running sums by
-  the bucketed global cumsum; ties handled exactly.
-* Forward selection: all candidate x fold models are fitted together by
-  Newton steps; each step is one pass that sums every model's gradient and
-  Hessian (``mapInPandas`` partials, ``groupBy`` sum). Held-out AUC per model
-  is exact (distinct scores, running sums per model).
+  the one-shuffle global cumsum; ties handled exactly.
+* Forward selection: all candidate x fold models are fitted together; two
+  classes are scored by held-out AUC through bounds from score histograms,
+  more classes by weighted F1 from confusion counts of the Newton pass.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import warnings
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from py4j.protocol import Py4JError
+from pyspark import keyword_only
 from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import positive_class
+from .features import _JsonState, positive_class
+from .linear import linear_expr
+from .newton import MAX_STEPS, TOL, Batch, best_by_auc, fit_batch, weighted_f1
 from .rank import cumsum_and_totals, global_cumsum
 
 
@@ -43,12 +42,50 @@ def q(c: str) -> Column:
 # ----------------------------------------------------------------------------- logistic model
 
 
+class LogisticModel(Model, _JsonState, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted logistic model as a stage that adds ``probability`` (an array
+    in the order of the classes) and ``prediction`` (the class): it is stored
+    and loaded with the preprocessing that makes its features."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, state=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        st = self._state()
+        classes, scores = st["classes"], [linear_expr(s["intercept"], s["coefs"]) for s in st["scores"]]
+        if len(scores) == 1:  # log odds of the positive class
+            of = 1.0 / (1.0 + F.exp(-F.col("__score0")))
+            probs = [of if c == st["positive"] else 1.0 - of for c in classes]
+        else:
+            top = F.greatest(*[F.col(f"__score{i}") for i in range(len(scores))])
+            parts = [F.exp(F.col(f"__score{i}") - top) for i in range(len(scores))]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = whole + part
+            probs = [part / whole for part in parts]
+        out = df.withColumns({f"__score{i}": s for i, s in enumerate(scores)}).withColumn("probability", F.array(*probs))
+        if len(scores) == 1:
+            other = [c for c in classes if c != st["positive"]][0]
+            said = F.when(F.col("__score0") > 0, F.lit(st["positive"])).otherwise(F.lit(other))
+        else:
+            said = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("probability", F.array_max("probability")).cast("int"))
+        return out.withColumn("prediction", said).drop(*[f"__score{i}" for i in range(len(scores))])
+
+
 @dataclass
 class LogitModel:
-    model: PipelineModel
+    stage: LogisticModel
     classes: list[str]
     positive: str
     names: list[str]
+    beta: np.ndarray  # scores x (1 + features), intercept first
+    gradient: float  # largest entry of the mean gradient of the penalised loss
+
+    @property
+    def converged(self) -> bool:
+        return self.gradient <= TOL
 
     @property
     def binary(self) -> bool:
@@ -56,22 +93,12 @@ class LogitModel:
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """keep columns + ``proba`` (positive class) + ``predicted`` (class)."""
-        out = self.model.transform(df)
-        probs = vector_to_array(F.col("probability"))
-        if self.binary:
-            proba = probs[1]
-            pred = F.when(F.col("prediction") == 1.0, F.lit(self.positive)).otherwise(
-                F.lit([c for c in self.classes if c != self.positive][0]))
-        else:
-            proba = probs[self.classes.index(self.positive)]
-            pred = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("prediction").cast("int") + 1)
-        return out.select(*[q(c) for c in keep], proba.alias("proba"), pred.alias("predicted"))
+        out = self.stage.transform(df)
+        proba = F.col("probability")[self.classes.index(self.positive)]
+        return out.select(*[q(c) for c in keep], proba.alias("proba"), F.col("prediction").alias("predicted"))
 
     def coefficients(self) -> tuple[float, list[float]]:
-        lr = self.model.stages[-1]
-        if self.binary:
-            return float(lr.intercept), [float(v) for v in lr.coefficients.toArray()]
-        return float(lr.interceptVector[0]), [float(v) for v in lr.coefficientMatrix.toArray()[0]]
+        return float(self.beta[0, 0]), [float(v) for v in self.beta[0, 1:]]
 
 
 def label_column(target: str, classes: list[str], positive: str) -> Column:
@@ -83,17 +110,24 @@ def label_column(target: str, classes: list[str], positive: str) -> Column:
     return out
 
 
+def design(df: DataFrame, names: list[str], target: str, classes: list[str], fold: Column | None = None) -> DataFrame:
+    """__y (0/1, for more classes the class number), __fold and x0.. of the
+    rows with a known class."""
+    label = label_column(target, classes, positive_class(classes))
+    out = df.where(q(target).isNotNull()).select(label.alias("__y"), (F.lit(0) if fold is None else fold).cast("double").alias("__fold"),
+                                                 *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    return out.where(F.col("__y").isNotNull())
+
+
 def fit_logistic(train: DataFrame, names: list[str], target: str, classes: list[str], c_value: float = 1.0,
-                 max_iter: int = 1000, n_train: int | None = None) -> LogitModel:
+                 max_steps: int = MAX_STEPS) -> LogitModel:
     pos = positive_class(classes)
-    n = n_train if n_train is not None else train.count()
-    labeled = train.withColumn("__label", label_column(target, classes, pos))
-    assembler = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")
-    lr = LogisticRegression(featuresCol="__features", labelCol="__label", regParam=1.0 / (c_value * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-10,
-                            fitIntercept=True, family="binomial" if len(classes) == 2 else "multinomial")
-    model = Pipeline(stages=[assembler, lr]).fit(labeled)
-    return LogitModel(model, classes, pos, names)
+    outputs = 1 if len(classes) == 2 else len(classes)
+    fits = fit_batch(design(train, names, target, classes), Batch(names, names, [], [None], outputs), c_value, max_steps=max_steps)
+    beta = fits.beta[0, 0]
+    scores = [{"intercept": float(b[0]), "coefs": {c: float(v) for c, v in zip(names, b[1:])}} for b in beta]
+    stage = LogisticModel(inputCols=names, state=json.dumps({"classes": classes, "positive": pos, "scores": scores}))
+    return LogitModel(stage, classes, pos, names, beta, float(fits.gradient[0, 0]))
 
 
 def logit_inference(train: DataFrame, names: list[str], target: str, positive: str,
@@ -207,202 +241,39 @@ def confusion_grid(pred: DataFrame, actual: str, classes: list[str]) -> DataFram
 # ----------------------------------------------------------------------------- forward selection
 
 
-def _newton_partials(names: list[str], models: list[tuple], betas: dict):
-    """mapInPandas body: for every model (id, feature idx list, held-out
-    fold) sum the penalised-logistic gradient, Hessian and loss over the
-    rows outside its fold."""
-
-    def run(batches):
-        acc: dict[int, list] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            fold = pdf["__fold"].to_numpy()
-            Z_all = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=np.float64)])
-            y_all = pdf["__y"].to_numpy(dtype=np.float64)
-            outside = {f: fold != f for f in {held for _, _, held in models}}  # once per fold, not per model
-            rows = {f: (Z_all[m], y_all[m]) for f, m in outside.items()}
-            for mid, idx, held in models:
-                Z, y = rows[held]
-                if not len(y):
-                    continue
-                Z = Z[:, [0, *[j + 1 for j in idx]]]
-                b = betas[mid]
-                eta = Z @ b
-                mu = 1.0 / (1.0 + np.exp(-eta))
-                w = mu * (1.0 - mu)
-                g = Z.T @ (mu - y)
-                H = (Z * w[:, None]).T @ Z
-                loss = float(np.sum(np.logaddexp(0.0, eta) - y * eta))
-                cur = acc.get(mid)
-                if cur is None:
-                    acc[mid] = [g, H, loss]
-                else:
-                    cur[0] += g
-                    cur[1] += H
-                    cur[2] += loss
-        for mid, (g, H, loss) in acc.items():
-            k = len(g)
-            iu, ju = np.triu_indices(k)
-            rows = {"model": [mid] * (k + len(iu) + 1), "i": [], "j": [], "value": []}
-            rows["i"] += [-1] * k + list(iu) + [-2]
-            rows["j"] += list(range(k)) + list(ju) + [-2]
-            rows["value"] += list(g) + list(H[iu, ju]) + [loss]
-            yield pd.DataFrame({"model": np.asarray(rows["model"], dtype=np.int32),
-                                "i": np.asarray(rows["i"], dtype=np.int32),
-                                "j": np.asarray(rows["j"], dtype=np.int32),
-                                "value": np.asarray(rows["value"], dtype=np.float64)})
-
-    return run
-
-
-def _held_out_scores(names: list[str], models: list[tuple], betas: dict):
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            fold = pdf["__fold"].to_numpy()
-            Z_all = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=np.float64)])
-            y_all = pdf["__y"].to_numpy(dtype=np.float64)
-            rows = {f: (Z_all[fold == f], y_all[fold == f]) for f in {held for _, _, held in models}}
-            parts = []
-            for mid, idx, held in models:
-                Z, y = rows[held]
-                if not len(y):
-                    continue
-                s = 1.0 / (1.0 + np.exp(-(Z[:, [0, *[j + 1 for j in idx]]] @ betas[mid])))
-                # equal scores leave as one row with their counts
-                scores, at = np.unique(s, return_inverse=True)
-                parts.append(pd.DataFrame({"model": np.int32(mid), "score": scores, "pos": np.bincount(at, y), "neg": np.bincount(at, 1 - y)}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    return run
-
-
-def fit_many_logistic(df: DataFrame, names: list[str], models: list[tuple], c_value: float = 1.0,
-                      max_iter: int = 50, tol: float = 1e-6, start: dict | None = None) -> dict:
-    """Penalised logistic fits of many small models at once (Newton);
-    returns {model id: beta (intercept first)}. ``df`` holds __y (0/1),
-    __fold and the feature columns; ``start`` gives warm starts."""
-    lam = 1.0 / c_value
-    betas = {mid: (np.array(start[mid], dtype=float) if start and mid in start else np.zeros(len(idx) + 1))
-             for mid, idx, _ in models}
-    active = list(models)
-    schema = "model int, i int, j int, value double"
-    for _ in range(max_iter):
-        if not active:
-            break
-        body = _newton_partials(names, active, {m[0]: betas[m[0]] for m in active})
-        part = df.mapInPandas(body, schema).groupBy("model", "i", "j").agg(F.sum("value").alias("value"))
-        sums: dict[int, dict] = {}
-        for r in part.collect():
-            sums.setdefault(r["model"], []).append((r["i"], r["j"], r["value"]))
-        still = []
-        for mid, idx, held in active:
-            k = len(idx) + 1
-            g, H = np.zeros(k), np.zeros((k, k))
-            for i, j, v in sums.get(mid, []):
-                if i == -1:
-                    g[j] = v
-                elif i >= 0:
-                    H[i, j] = v
-                    H[j, i] = v
-            pen = np.full(k, lam)
-            pen[0] = 0.0
-            b = betas[mid]
-            g = g + pen * b
-            H = H + np.diag(pen)
-            step = np.linalg.solve(H, g)
-            betas[mid] = b - step
-            if np.max(np.abs(step)) > tol * max(1.0, np.max(np.abs(b))):
-                still.append((mid, idx, held))
-        active = still
-    if active:
-        warnings.warn(f"{len(active)} of {len(models)} logistic fits did not converge in {max_iter} steps", RuntimeWarning, stacklevel=2)
-    return betas
-
-
-def heldout_auc(df: DataFrame, names: list[str], models: list[tuple], betas: dict) -> dict:
-    """Exact held-out AUC per model (distinct scores, running sums per model)."""
-    schema = "model int, score double, pos double, neg double"
-    sc = df.mapInPandas(_held_out_scores(names, models, betas), schema)
-    sc = sc.groupBy("model", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    cum = global_cumsum(sc, "score", ["neg"], group_cols=["model"])
-    res = cum.groupBy("model").agg(F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg"))).alias("u"),
-                                   F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
-    return {r["model"]: (r["u"] / (r["P"] * r["N"]) if r["P"] and r["N"] else float("nan")) for r in res}
+TRACE_SCHEMA = "step int, feature string, score double, converged boolean"
 
 
 def forward_select_classification(train: DataFrame, names: list[str], target: str, classes: list[str],
-                                  fold: Column, max_features: int = 10, c_value: float = 1.0,
-                                  parallelism: int = 4) -> tuple[list[str], list[tuple]]:
+                                  fold: Column, max_features: int = 10, c_value: float = 1.0) -> tuple[list[str], list[tuple]]:
     """Greedy forward selection scored by mean held-out AUC (two classes) or
-    weighted F1 (more classes). Ties go to the first feature."""
+    weighted F1 (more classes). Ties go to the first feature. The trace has a
+    row per step: (step, feature, score, whether all of the step's fits
+    converged)."""
     k_select = min(max_features, len(names))
     if k_select == 0:
         raise ValueError("no features available after preprocessing")
-    if len(classes) != 2:
-        return _forward_select_multiclass(train, names, target, classes, fold, k_select, c_value, parallelism)
-    pos = positive_class(classes)
-    data = train.select(F.when(q(target) == F.lit(pos), 1.0).otherwise(0.0).alias("__y"),
-                        fold.cast("int").alias("__fold"), *[q(c).cast("double").alias(c) for c in names])
-    shares = {(r["__fold"], r["__y"]): r["count"] for r in data.groupBy("__fold", "__y").count().collect()}
+    outputs = 1 if len(classes) == 2 else len(classes)
+    data = design(train, names, target, classes, fold)
+    shares = {(int(r["__fold"]), r["__y"]): r["count"] for r in data.groupBy("__fold", "__y").count().collect()}
     folds = sorted({f for f, _ in shares})
-    if short := [f for f in folds if (f, 0.0) not in shares or (f, 1.0) not in shares]:
+    if outputs == 1 and (short := [f for f in folds if (f, 0.0) not in shares or (f, 1.0) not in shares]):
         raise ValueError(f"folds {short} lack a class of {target}: a class has fewer rows than there are folds")
     selected: list[str] = []
     trace = []
-    prev: dict[int, np.ndarray] = {f: np.zeros(1) for f in folds}  # per fold, warm start of the next step
+    start = np.zeros((len(folds), outputs, 1))  # of the chosen model, warm start of the next step
     for step in range(1, k_select + 1):
         cands = [c for c in names if c not in selected]
-        models, owner, start = [], {}, {}
-        for ci, c in enumerate(cands):
-            idx = [names.index(s) for s in selected] + [names.index(c)]
-            for f in folds:
-                mid = len(models)
-                models.append((mid, idx, f))
-                owner[mid] = ci
-                start[mid] = np.concatenate([prev[f], [0.0]])
-        betas = fit_many_logistic(data, names, models, c_value, start=start)
-        auc = heldout_auc(data, names, models, betas)
-        scores = np.zeros(len(cands))
-        counts = np.zeros(len(cands))
-        for mid, ci in owner.items():
-            scores[ci] += auc.get(mid, float("nan"))
-            counts[ci] += 1
-        mean = scores / np.maximum(counts, 1)
-        best = int(np.nanargmax(mean))
-        for mid, ci in owner.items():
-            if ci == best:
-                prev[models[mid][2]] = betas[mid]
+        batch = Batch(names, list(selected), cands, folds, outputs)
+        warm = np.concatenate([np.repeat(start[:, None], len(cands), axis=1), np.zeros((len(folds), len(cands), outputs, 1))], axis=3)
+        fits = fit_batch(data, batch, c_value, start=warm)
+        if outputs == 1:
+            best, score = best_by_auc(data, batch, fits.beta)
+        else:
+            mean = np.round(weighted_f1(fits.confusion).mean(axis=0), 12)
+            best = int(np.argmax(mean))
+            score = float(mean[best])
+        start = fits.beta[:, best]
         selected.append(cands[best])
-        trace.append((step, cands[best], float(mean[best])))
-    return selected, trace
-
-
-def _forward_select_multiclass(train, names, target, classes, fold, k_select, c_value, parallelism):
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-
-    data = train.withColumn("__fold", fold.cast("int"))
-    folds = sorted(r[0] for r in data.select("__fold").distinct().collect())
-    ev = MulticlassClassificationEvaluator(metricName="f1", labelCol="__label", predictionCol="prediction")
-
-    def score(feats):
-        vals = []
-        for f in folds:
-            tr, te = data.where(F.col("__fold") != f), data.where(F.col("__fold") == f)
-            m = fit_logistic(tr, feats, target, classes, c_value)
-            out = m.model.transform(te.withColumn("__label", label_column(target, classes, m.positive)))
-            vals.append(ev.evaluate(out))
-        return float(np.mean(vals))
-
-    selected, trace = [], []
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        for step in range(1, k_select + 1):
-            cands = [c for c in names if c not in selected]
-            vals = list(pool.map(lambda c: score(selected + [c]), cands))
-            best = int(np.argmax(vals))
-            selected.append(cands[best])
-            trace.append((step, cands[best], vals[best]))
+        trace.append((step, cands[best], score, bool(fits.converged().all())))
     return selected, trace

@@ -197,10 +197,9 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     target, names = md.target, md.names
     classes = sorted(r[0] for r in md.frame.select(F.col(f"`{target}`")).distinct().collect() if r[0] is not None)
     train, test = md.train, md.test
-    n_train = train.count()
     vif = vif_table(train, md.lists.numeric, options.vif_max_cols)
 
-    m1 = clf.fit_logistic(train, names, target, classes, n_train=n_train)
+    m1 = clf.fit_logistic(train, names, target, classes)
     pos = m1.positive
     p1 = m1.predict(test, [md.key, target])
     met1 = clf.classification_metrics(p1, target, pos)
@@ -214,7 +213,7 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     coef1 = clf.logit_inference(train, names, target, pos, fallback=m1)
     chosen, trace = clf.forward_select_classification(train, names, target, classes, F.col("fold"), options.max_selected)
     selected = [c for c in names if c in chosen]
-    m2 = clf.fit_logistic(train, selected, target, classes, n_train=n_train)
+    m2 = clf.fit_logistic(train, selected, target, classes)
     p2 = m2.predict(test, [md.key, target])
     met2 = clf.classification_metrics(p2, target, pos)
     test_classes = test.select(F.col(f"`{target}`")).distinct().count()

@@ -209,8 +209,10 @@ def q_logit_inference(spark, sf_dir):
 
 
 def q_forward_select_classification(spark, sf_dir):
-    run = classification_run(spark, sf_dir)
-    return spark.createDataFrame(run.trace, "step int, feature string, score double")
+    from ..operators.classify import TRACE_SCHEMA
+
+    trace = spark.createDataFrame(classification_run(spark, sf_dir).trace, TRACE_SCHEMA)
+    return trace.withColumn("score", F.round("score", 6))
 
 
 # ----------------------------------------------------------------------------- PCA (full), profile, findings

@@ -14,7 +14,7 @@ from ..config import ModelOptions, Roles
 from ..operators import classify as clf
 from ..operators import normality as nt
 from ..operators import profile as prof
-from ..operators.classify import LOGIT_SCHEMA
+from ..operators.classify import LOGIT_SCHEMA, TRACE_SCHEMA
 from ..operators.linear import LinearModel, high_vif
 from ..operators.pca import biplot_arrows, pca_fit
 from ..sources import sinks
@@ -79,7 +79,7 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
             if len(run.classes) == 2:
                 put(f"model{i}_roc", clf.roc_curve(pred, run.data.target, run.positive))
                 put(f"model{i}_pr", clf.pr_curve(pred, run.data.target, run.positive))
-            store(f"model{i}", [*run.data.pre.stages(), *model.model.stages])
+            store(f"model{i}", [*run.data.pre.stages(), model.stage])
     else:
         run = run_regression(obs, options, roles)
         put("metrics", run.metrics_df(spark))
@@ -94,7 +94,7 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
     put("feature_matrix", feature_matrix(run.data))
     put("vif", spark.createDataFrame(run.vif or [], "variable string, vif double"))
     put("vif_high", spark.createDataFrame(high_vif(run.vif or [], options.vif_threshold), "variable string, vif double"))
-    put("selection_trace", spark.createDataFrame(run.trace, "step int, feature string, score double"))
+    put("selection_trace", spark.createDataFrame(run.trace, TRACE_SCHEMA if options.task == "clf" else "step int, feature string, score double"))
     coef_lines = [report.coefficient_lines(c, label, verb) for c, (label, verb) in zip(coefs, (("Modelo 1", "resalta"), ("Modelo 2", "identifica")))]
     lines = put("findings", report.findings(spark, pairs, peak, slow, missing, coef_lines, roles))
     section_order = F.when(F.col("section") == "findings", 0).when(F.col("section") == "limits", 1).otherwise(2)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabstat.operators import classify as clf
+from tabstat.operators import newton
 
 
 def _data(spark, n=500, seed=0):
@@ -29,11 +30,157 @@ def test_logistic_matches_c1_objective(spark):
 
 def test_batched_newton_matches_single_fit(spark):
     df, X, y = _data(spark)
-    data = df.select(F.when(F.col("y") == "Alta", 1.0).otherwise(0.0).alias("__y"), F.col("fold").alias("__fold"), "a", "b", "c")
-    betas = clf.fit_many_logistic(data, ["a", "b", "c"], [(0, [0, 1], -1)])
+    names = ["a", "b", "c"]
+    data = clf.design(df, names, "y", ["Alta", "Normal"], F.col("fold"))
+    fits = newton.fit_batch(data, newton.Batch(names, ["a"], ["b", "c"], [None, 2]))
+    assert fits.converged().all()
+    for m, other in enumerate(["b", "c"]):
+        for f, rows in ((0, df), (1, df.where("fold <> 2"))):
+            single = clf.fit_logistic(rows, ["a", other], "y", ["Alta", "Normal"])
+            assert single.converged
+            assert np.allclose(fits.beta[f, m], single.beta, atol=1e-8)
+
+
+def _auc(score, y):
+    pos, neg = score[y == 1], score[y == 0]
+    return np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+
+
+def _logit_fit(Z, y):
+    """Penalised fit by plain Newton steps on the whole matrix."""
+    b = np.zeros(Z.shape[1])
+    pen = np.r_[0.0, np.ones(Z.shape[1] - 1)]
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-Z @ b))
+        b -= np.linalg.solve((Z * (mu * (1 - mu))[:, None]).T @ Z + np.diag(pen), Z.T @ (mu - y) + pen * b)
+    return b
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_selection_by_bounds_equals_exact_auc(spark, seed, monkeypatch):
+    """Same order and scores as exact AUC of every candidate; a repeated
+    feature ties and the first one wins; few buckets force refinements and
+    the exact scan."""
+    df, X, y = _data(spark, n=400, seed=seed)
+    rng = np.random.default_rng(seed + 50)
+    extra = {"flag": (X[:, 0] + rng.normal(size=400) > 0).astype(float), "noise": rng.normal(size=400), "again": X[:, 1]}
+    frame = df.toPandas().assign(**extra)
+    names = ["c", "flag", "b", "again", "a", "noise"]
+    df = spark.createDataFrame(frame).repartition(5)
+    t, fold = (y == "Alta").astype(float), frame["fold"].to_numpy()
+    want, chosen = [], []
+    for step in range(1, 4):
+        scores = {}
+        for c in [c for c in names if c not in chosen]:
+            Z = np.column_stack([np.ones(400), frame[[*chosen, c]].to_numpy()])
+            scores[c] = np.mean([_auc(np.round(Z[fold == f] @ _logit_fit(Z[fold != f], t[fold != f]), 9), t[fold == f]) for f in range(5)])
+        best = max(scores, key=lambda c: (round(scores[c], 12), -names.index(c)))
+        chosen.append(best)
+        want.append((step, best, pytest.approx(scores[best], abs=1e-12), True))
+    for first, more in ((256, newton.MORE_BUCKETS), (4, (3,)), (8, (8, 64, 512))):
+        monkeypatch.setattr(newton.best_by_auc, "__defaults__", (first, more))
+        got, trace = clf.forward_select_classification(df, names, "y", ["Alta", "Normal"], F.col("fold"), 3)
+        assert got == chosen and trace == want
+
+
+def test_histogram_bounds_hold_the_auc():
+    rng = np.random.default_rng(3)
+    score, y = np.round(rng.normal(size=500), 2), (rng.random(500) < 0.4).astype(float)
+    for cuts in (2, 10, 100):
+        at = np.searchsorted(np.linspace(-3, 3, cuts), score, "right")
+        own = [score[at == i] for i in np.unique(at)]
+        h = newton.Histogram(np.array([y[at == i].sum() for i in np.unique(at)]), np.array([(1 - y[at == i]).sum() for i in np.unique(at)]),
+                             np.array([o.min() for o in own]), np.array([o.max() for o in own]))
+        low, high = h.bounds()
+        assert low - 1e-12 <= _auc(score, y) <= high + 1e-12
+
+
+def test_moved_rows_do_not_grow_with_the_data(spark):
+    """The histograms that meet are as many for five times the rows."""
+    def buckets(n):
+        df, X, y = _data(spark, n=n)
+        names = ["a", "b"]
+        data = clf.design(df.coalesce(1), names, "y", ["Alta", "Normal"], F.col("fold"))
+        batch = newton.Batch(names, [], names, [0, 1, 2, 3, 4])
+        found = newton._histograms(data, batch, np.ones((5, 2, 1, 2)), {(f, m): np.linspace(-2, 2, 20) for f in range(5) for m in range(2)})
+        return sum(len(h.pos) for h in found.values())
+
+    assert buckets(1000) <= buckets(5000) <= 5 * 2 * 21
+
+
+def _three(spark, n=450, seed=4):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(n, 4))
+    eta = np.stack([X[:, 0], 0.8 * X[:, 1], 0.3 - X[:, 0]], axis=1) + rng.gumbel(size=(n, 3))
+    y = np.array(["Alta", "Baja", "Media"])[eta.argmax(axis=1)]
+    fold = np.arange(n) % 3
+    rows = [(*map(float, X[i]), str(y[i]), int(fold[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "a double, b double, c double, d double, y string, fold int").repartition(4), X, y, fold
+
+
+def _softmax_fit(Z, y, classes):
+    k = Z.shape[1]
+    b, pen = np.zeros((classes, k)), np.r_[0.0, np.ones(k - 1)]
+    for _ in range(60):
+        e = np.exp(Z @ b.T)
+        p = e / e.sum(axis=1, keepdims=True)
+        g = ((p - np.eye(classes)[y]).T @ Z + pen * b).ravel()
+        h = np.zeros((classes * k, classes * k))
+        for i in range(classes):
+            for j in range(classes):
+                h[i * k : i * k + k, j * k : j * k + k] = (Z * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ Z
+        b -= np.linalg.lstsq(h + np.diag(np.tile(pen, classes)), g, rcond=1e-12)[0].reshape(classes, k)
+    return b
+
+
+def test_three_classes_equal_refitting_each_candidate(spark):
+    df, X, y, fold = _three(spark)
+    classes, names = ["Alta", "Baja", "Media"], ["d", "c", "b", "a"]
+    t = np.array([classes.index(v) for v in y])
+    cols = {n: X[:, i] for i, n in enumerate("abcd")}
+    want, chosen = [], []
+    for step in (1, 2):
+        scores = {}
+        for c in [c for c in names if c not in chosen]:
+            Z = np.column_stack([np.ones(len(t)), *[cols[n] for n in [*chosen, c]]])
+            f1 = []
+            for f in range(3):
+                said = (Z[fold == f] @ _softmax_fit(Z[fold != f], t[fold != f], 3).T).argmax(axis=1)
+                conf = np.zeros((3, 3))
+                np.add.at(conf, (t[fold == f], said), 1)
+                own = [2 * conf[k, k] / max(1, conf[k].sum() + conf[:, k].sum()) for k in range(3)]
+                f1.append(np.dot(own, conf.sum(axis=1)) / conf.sum())
+            scores[c] = np.mean(f1)
+        best = max(scores, key=lambda c: (round(scores[c], 12), -names.index(c)))
+        chosen.append(best)
+        want.append((step, best, pytest.approx(scores[best], abs=1e-11), True))
+    got, trace = clf.forward_select_classification(df, names, "y", classes, F.col("fold"), 2)
+    assert got == chosen and trace == want
+    m = clf.fit_logistic(df, ["a", "b"], "y", classes)
+    Z = np.column_stack([np.ones(len(t)), X[:, :2]])
+    eta = Z @ _softmax_fit(Z, t, 3).T
+    p = np.exp(eta) / np.exp(eta).sum(axis=1, keepdims=True)
+    out = m.predict(df, ["a", "y"]).toPandas().set_index("a")
+    for i in range(0, len(t), 37):
+        assert out.loc[X[i, 0], "proba"] == pytest.approx(p[i, 0], abs=1e-8)
+        assert out.loc[X[i, 0], "predicted"] == classes[p[i].argmax()]
+
+
+def test_unfinished_fits_are_told(spark):
+    df, X, y = _data(spark)
+    m = clf.fit_logistic(df, ["a", "b"], "y", ["Alta", "Normal"], max_steps=1)
+    assert not m.converged and m.gradient > newton.TOL
+
+
+def test_logistic_model_is_stored(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    df, X, y = _data(spark)
     m = clf.fit_logistic(df, ["a", "b"], "y", ["Alta", "Normal"])
-    b0, b = m.coefficients()
-    assert np.allclose(betas[0], [b0] + b, atol=1e-4)
+    PipelineModel(stages=[m.stage]).write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m")).transform(df)
+    a = {r.k: (r.probability, r.prediction) for r in m.stage.transform(df).collect()}
+    assert {r.k: (r.probability, r.prediction) for r in back.collect()} == a
 
 
 def test_auc_roc_pr_confusion(spark):
