@@ -203,7 +203,7 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     pos = m1.positive
     p1 = m1.predict(test, [md.key, target])
     met1 = clf.classification_metrics(p1, target, pos)
-    auc1 = clf.roc_auc(p1, target, pos) if len(classes) == 2 else None
+    auc1 = clf.roc_auc(tied(p1), target, pos) if len(classes) == 2 else None
 
     counts = train.groupBy(F.col(f"`{target}`").alias("c")).count().collect()
     majority = sorted(counts, key=lambda r: (-r["count"], classes.index(r["c"])))[0]["c"]
@@ -217,7 +217,7 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
     p2 = m2.predict(test, [md.key, target])
     met2 = clf.classification_metrics(p2, target, pos)
     test_classes = test.select(F.col(f"`{target}`")).distinct().count()
-    auc2 = clf.roc_auc(p2, target, pos) if test_classes == 2 else None
+    auc2 = clf.roc_auc(tied(p2), target, pos) if test_classes == 2 else None
     coef2 = clf.logit_inference(train, selected, target, pos, fallback=m2)
     rows = [
         ("baseline", met0["accuracy"], met0["precision"], met0["recall"], met0["f1"], None),
@@ -225,3 +225,36 @@ def run_classification(obs: DataFrame, options: ModelOptions = ModelOptions(task
         ("modelo2", met2["accuracy"], met2["precision"], met2["recall"], met2["f1"], auc2),
     ]
     return ClassificationRun(md, classes, pos, rows, coef1, coef2, selected, trace, m1, m2, vif)
+
+
+def tied(pred: DataFrame) -> DataFrame:
+    """Predictions whose probabilities tie if they agree to SCORE_DIGITS
+    decimals, whatever the order of the sums behind them."""
+    from ..operators.newton import SCORE_DIGITS
+
+    return pred.withColumn("proba", F.round("proba", SCORE_DIGITS))
+
+
+def compare_classification(run: ClassificationRun) -> DataFrame:
+    """What is drawn of both models, over the test rows: (model, part, name, x,
+    y) with the parts prediction (key; probability of the positive class, 1 if
+    predicted), confusion (actual|predicted; count) and, for two classes, roc
+    (false and true positive rate) and pr (recall, precision)."""
+    from ..operators import classify as clf
+
+    md, none = run.data, F.lit(None)
+    parts = []
+    for label, model in (("modelo1", run.model1), ("modelo2", run.model2)):
+        pred = model.predict(md.test, [md.key, md.target])
+        said = (F.col("predicted") == F.lit(run.positive)).cast("double")
+        rows = [("prediction", pred, F.col(f"`{md.key}`").cast("string"), F.col("proba"), said)]
+        grid = clf.confusion_grid(pred, md.target, run.classes)
+        rows.append(("confusion", grid, F.concat_ws("|", "actual", "predicted"), F.col("count").cast("double"), none.cast("double")))
+        if len(run.classes) == 2:
+            rows.append(("roc", clf.roc_curve(tied(pred), md.target, run.positive), none.cast("string"), F.col("fpr"), F.col("tpr")))
+            rows.append(("pr", clf.pr_curve(tied(pred), md.target, run.positive), none.cast("string"), F.col("recall"), F.col("precision")))
+        parts += [t.select(F.lit(label).alias("model"), F.lit(part).alias("part"), n.alias("name"), x.alias("x"), y.alias("y")) for part, t, n, x, y in rows]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

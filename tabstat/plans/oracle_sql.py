@@ -220,6 +220,7 @@ from (select n, sd * pow(n, -1.0 / 5.0) as bw from (select count(speed) n, stdde
    from (select min(speed) mn, max(speed) mx from obs) s2, range(200) r(i)) g,
   (select speed as v, count(*)::double as w from obs where speed is not null group by speed) b
 group by g.point, g.x, s.n, s.bw""")
+    from .oracle_classify import oracles as _classify
     from .oracle_fits import oracles as _fits
     from .oracle_flow import oracles as _flow
     from .oracle_model import oracles as _model
@@ -229,6 +230,7 @@ group by g.point, g.x, s.n, s.bw""")
     q.update(_model())
     q.update(_flow())
     q.update(_fits())
+    q.update(_classify())
     q["profile"] = _profile(q)
     return q
 

@@ -190,7 +190,17 @@ def q_feature_matrix(spark, sf_dir):
 
 
 def q_model_classification(spark, sf_dir):
-    return spark.createDataFrame(classification_run(spark, sf_dir).metrics, CLF_METRICS_SCHEMA)
+    metrics = spark.createDataFrame(classification_run(spark, sf_dir).metrics, CLF_METRICS_SCHEMA)
+    return metrics.select("model", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
+def q_compare_models_classification(spark, sf_dir):
+    """Predictions, confusion counts, ROC and PR points of both models over
+    the test rows: (model, part, name, x, y)."""
+    from .model import compare_classification
+
+    out = compare_classification(classification_run(spark, sf_dir))
+    return out.select("model", "part", "name", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 def q_logistic_fit_predict(spark, sf_dir):
@@ -285,6 +295,7 @@ QUERIES = {
     "report_tables": q_report_tables,
     "model_regression": q_model_regression,
     "model_classification": q_model_classification,
+    "compare_models_classification": q_compare_models_classification,
     "logistic_fit_predict": q_logistic_fit_predict,
     "logit_inference": q_logit_inference,
     "forward_select_classification": q_forward_select_classification,

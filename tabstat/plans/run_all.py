@@ -19,7 +19,7 @@ from ..operators.linear import LinearModel, high_vif
 from ..operators.pca import biplot_arrows, pca_fit
 from ..sources import sinks
 from . import report
-from .model import CLF_METRICS_SCHEMA, feature_matrix, residual_points, run_classification, run_regression
+from .model import CLF_METRICS_SCHEMA, feature_matrix, residual_points, run_classification, run_regression, tied
 
 
 def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOptions = ModelOptions(),
@@ -77,8 +77,8 @@ def run_all(spark: SparkSession, obs: DataFrame, out_dir: str, options: ModelOpt
             pred = put(f"model{i}_predictions", model.predict(run.data.test, [run.data.key, run.data.target]))
             put(f"model{i}_confusion", clf.confusion_grid(pred, run.data.target, run.classes))
             if len(run.classes) == 2:
-                put(f"model{i}_roc", clf.roc_curve(pred, run.data.target, run.positive))
-                put(f"model{i}_pr", clf.pr_curve(pred, run.data.target, run.positive))
+                put(f"model{i}_roc", clf.roc_curve(tied(pred), run.data.target, run.positive))
+                put(f"model{i}_pr", clf.pr_curve(tied(pred), run.data.target, run.positive))
             store(f"model{i}", [*run.data.pre.stages(), model.stage])
     else:
         run = run_regression(obs, options, roles)
