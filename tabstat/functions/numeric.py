@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..config import HIGH_CONGESTION_LABEL, HIGH_CONGESTION_SPEED, NORMAL_LABEL
 
@@ -12,6 +13,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def known(df: DataFrame, c: str) -> Column:
+    """The column's value, null where it is missing: NaN is as missing as
+    null, for every statistic."""
+    col = F.col(f"`{c}`")
+    return F.when(~F.isnan(col), col) if isinstance(df.schema[c].dataType, (FloatType, DoubleType)) else col
+
+
 def log1p_clip(c) -> Column:
     """log1p of the value clipped at 0; NULL stays NULL
     (``greatest(NULL, 0)`` would be 0, hence the guard)."""
@@ -36,8 +44,9 @@ def threshold_label(c, threshold: float = HIGH_CONGESTION_SPEED) -> Column:
 
 def sample_skew(c) -> Column:
     """Bias-corrected skewness G1 (pandas/DuckDB rule): NULL for n < 3, 0 for
-    a constant column."""
+    a constant column; NaN is missing."""
     col = _col(c).cast("double")
+    col = F.when(~F.isnan(col), col)
     n = F.count(col).cast("double")
     g1 = F.skewness(col)
     adj = g1 * F.sqrt(n * (n - 1)) / (n - 2)
@@ -45,8 +54,10 @@ def sample_skew(c) -> Column:
 
 
 def sample_kurtosis(c) -> Column:
-    """Bias-corrected excess kurtosis G2: NULL for n < 4, 0 for a constant column."""
+    """Bias-corrected excess kurtosis G2: NULL for n < 4, 0 for a constant
+    column; NaN is missing."""
     col = _col(c).cast("double")
+    col = F.when(~F.isnan(col), col)
     n = F.count(col).cast("double")
     g2 = F.kurtosis(col)  # population excess kurtosis
     adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)

@@ -98,38 +98,60 @@ def hash_int(seed: int, key: Column, salt: str = "") -> Column:
 
 
 HASH_SPAN = 1 << 60  # hash_int values lie in [0, 2^60)
-
-
-def _cut_threshold(df: DataFrame, h: str, key: str, n_take: int, fanout: int = 4096, small: int = 1_000_000):
-    """(h, key) of the n_take-th smallest row by radix selection on the
-    uniform hash: each pass counts rows per sub-range of the current range
-    (one aggregate, <= fanout rows to the driver) and keeps the sub-range
-    holding the target; the last, small range is ordered exactly."""
-    lo, hi, need = 0, HASH_SPAN, n_take
-    while True:
-        width = max(1, -(-(hi - lo) // fanout))
-        inside = df.where((F.col(h) >= F.lit(lo)) & (F.col(h) < F.lit(hi)))
-        bucket = F.expr(f"(`{h}` - {lo}L) div {width}L")  # exact integer division
-        counts = sorted((r["b"], r["c"]) for r in inside.groupBy(bucket.alias("b"))
-                        .agg(F.count(F.lit(1)).alias("c")).collect())
-        total = sum(c for _, c in counts)
-        if total <= small or width == 1:
-            break
-        before = 0
-        for b, c in counts:
-            if before + c >= need:
-                lo, hi, need = lo + b * width, min(hi, lo + (b + 1) * width), need - before
+FEW_ROWS = 1000  # rows of a class that are looked at one by one
+
+
+def _cuts(df: DataFrame, h: str, key: str, cls: str, take: dict, fanout: int = 4096, few: int = FEW_ROWS) -> dict:
+    """{class: (h, key)} of the take[class]-th smallest row of each class, by
+    radix selection of all classes together: each pass counts rows per (class,
+    sub-range of the class's current range) in one aggregate and keeps the
+    sub-range that holds the class's target, until it holds few rows or one
+    hash; one more aggregate lists those. The number of passes follows from
+    the largest class, not from how many there are."""
+    spark = df.sparkSession
+    fanout = max(2, min(fanout, (1 << 18) // max(1, len(take))))  # rows that reach the driver per pass
+    state = {c: [0, HASH_SPAN, n] for c, n in take.items() if n > 0}
+    kind = df.schema[cls].dataType.simpleString()
+    open_ = set(state)
+
+    def inside(classes) -> DataFrame:
+        rows = [(c, state[c][0], state[c][1], max(1, -(-(state[c][1] - state[c][0]) // fanout))) for c in classes]
+        ranges = spark.createDataFrame(rows, f"__c {kind}, __lo long, __hi long, __width long")
+        near = df.join(F.broadcast(ranges), F.col(cls) == F.col("__c"))  # a row per class
+        return near.where((F.col(h) >= F.col("__lo")) & (F.col(h) < F.col("__hi")))
+
+    while open_:
+        bucket = F.expr(f"(`{h}` - __lo) div __width")  # exact integer division
+        counts: dict = {}
+        for r in inside(open_).groupBy("__c", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["__c"], []).append((r["b"], r["n"]))
+        for c in list(open_):
+            lo, hi, need = state[c]
+            width = max(1, -(-(hi - lo) // fanout))
+            before = 0
+            for b, n in sorted(counts.get(c, [])):
+                if before + n >= need:
+                    state[c] = [lo + b * width, min(hi, lo + (b + 1) * width), need - before]
+                    if n <= few or width == 1:
+                        open_.discard(c)
+                    break
+                before += n
+            else:  # fewer rows than asked for: all of them
+                open_.discard(c)
+    # rows of one hash differ by key at most, so what is listed stays small
+    listed: dict = {}
+    if state:
+        for r in inside(state).groupBy("__c", F.col(h).alias("h"), F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect():
+            listed.setdefault(r["__c"], []).append((r["h"], r["k"], r["n"]))
+    cuts = {}
+    for c, rows in listed.items():
+        need = state[c][2]
+        for hash_, k, n in sorted(rows):
+            need -= n
+            cuts[c] = (hash_, k)
+            if need <= 0:
                 break
-            before += c
-        else:
-            return None
-    cut = (inside.select(h, key).orderBy(h, key).limit(need)
-           .agg(F.max(F.struct(h, key)).alias("m")).collect()[0]["m"])
-    return (cut[0], cut[1]) if cut is not None else None
-
-
-def _le(h: str, key: str, cut) -> Column:
-    return (F.col(h) < F.lit(cut[0])) | ((F.col(h) == F.lit(cut[0])) & (F.col(key) <= F.lit(cut[1])))
+    return cuts
 
 
 def split_train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
@@ -137,34 +159,29 @@ def split_train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int
     """Add ``split`` ('train'/'test'). Test = the ceil(test_size * n) rows with
     the smallest md5(seed:key) (per class when stratified, class sizes by
     largest remainder). Independent of partitioning; ``exact=False`` uses a
-    hash threshold (approximate size, no extra pass)."""
-    h = "__h"
+    hash threshold (approximate size, no extra pass). Rows without a class
+    train."""
+    h, cls = "__h", "__class"
     base = df.withColumn(h, hash_int(seed, q(key)))
     if not exact:
         limit = int(test_size * (1 << 60))
         return base.withColumn("split", F.when(F.col(h) < F.lit(limit), "test").otherwise("train")).drop(h)
-    if stratify is None:
-        n = base.count()
-        n_test = int(math.ceil(test_size * n))
-        cut = _cut_threshold(base, h, key, n_test) if n_test > 0 else None
-        is_test = _le(h, key, cut) if cut else F.lit(False)
-        return base.withColumn("split", F.when(is_test, "test").otherwise("train")).drop(h)
-    classes = sorted(((r[0], r[1]) for r in base.groupBy(q(stratify)).count().collect()),
-                     key=lambda t: str(t[0]))
+    base = base.withColumn(cls, F.lit("all") if stratify is None else q(stratify))
+    classes = sorted(((r[0], r[1]) for r in base.where(F.col(cls).isNotNull()).groupBy(cls).count().collect()), key=lambda t: str(t[0]))
     n = sum(c for _, c in classes)
     n_test = int(math.ceil(test_size * n))
-    alloc = {cls: int(math.floor(n_test * c / n)) for cls, c in classes}
+    alloc = {c: n_test * m // n for c, m in classes}
     rest = n_test - sum(alloc.values())
-    order = sorted(classes, key=lambda t: (-(n_test * t[1] / n - math.floor(n_test * t[1] / n)), str(t[0])))
-    for cls, _ in order[:rest]:
-        alloc[cls] += 1
-    cond = F.lit(False)
-    for cls, _ in classes:
-        part = base.where(q(stratify) == F.lit(cls))
-        if alloc[cls] > 0:
-            cut = _cut_threshold(part, h, key, alloc[cls])
-            cond = cond | ((q(stratify) == F.lit(cls)) & _le(h, key, cut))
-    return base.withColumn("split", F.when(cond, "test").otherwise("train")).drop(h)
+    for c, _ in sorted(classes, key=lambda t: (-(n_test * t[1] % n), str(t[0])))[:rest]:
+        alloc[c] += 1
+    cuts = _cuts(base, h, key, cls, alloc)
+    if not cuts:
+        return base.withColumn("split", F.lit("train")).drop(h, cls)
+    kinds = f"__cut_class {base.schema[cls].dataType.simpleString()}, __cut_h long, __cut_key {base.schema[key].dataType.simpleString()}"
+    table = df.sparkSession.createDataFrame([(c, *cut) for c, cut in cuts.items()], kinds)
+    cut = base.join(F.broadcast(table), F.col(cls) == F.col("__cut_class"), "left")  # a row per class
+    first = (F.col(h) < F.col("__cut_h")) | ((F.col(h) == F.col("__cut_h")) & (q(key) <= F.col("__cut_key")))
+    return cut.select(*[q(c) for c in df.columns], F.when(first, "test").otherwise("train").alias("split"))
 
 
 def fold_assign(df: DataFrame, key: str, k: int = 5, seed: int = 42, within: list[str] | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def test_radix_cut_matches_sort(spark):
     df = spark.range(1, 3001).withColumnRenamed("id", "k").withColumn("h", feat.hash_int(7, F.col("k")))
     rows = sorted((r.h, r.k) for r in df.collect())
     for n_take in (1, 777, 3000):
-        cut = feat._cut_threshold(df, "h", "k", n_take, fanout=4, small=50)
+        cut = feat._cuts(df.withColumn("c", F.lit("all")), "h", "k", "c", {"all": n_take}, fanout=4, few=50)["all"]
         assert cut == rows[n_take - 1]
 
 
@@ -115,3 +115,47 @@ def test_target_and_feature_selection_rules(spark):
     assert "speed" not in fl2.numeric and fl2.categorical == ["street", "district", "peak"]
     fl3 = feat.select_features(df, "target_bin", ModelOptions(exclude_parents=False), R)
     assert "speed" in fl3.numeric  # the reference's leak, on request
+
+
+@pytest.mark.parametrize("classes", [None, 3, 40])
+def test_split_takes_the_smallest_hashes(spark, classes, monkeypatch):
+    """Exact sizes and rows for one class, a few and many, with repeated keys
+    and rows without a class, by few sub-ranges and rows at a time."""
+    import hashlib
+    import math
+
+    keys = [i % 2900 for i in range(3000)]
+    label = [None if classes and i % 50 == 0 else f"c{(i * i) % (classes or 1)}" for i in range(3000)]
+    df = spark.createDataFrame(list(zip(keys, label)), "k long, c string").repartition(5)
+    monkeypatch.setattr(feat._cuts, "__defaults__", (8, 3))
+    out = feat.split_train_test(df, "k", 0.2, 42, stratify="c" if classes else None).collect()
+    assert sorted((r.k, r.c or "") for r in out) == sorted((k, c or "") for k, c in zip(keys, label))
+    h = {k: int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:15], 16) for k in set(keys)}
+    groups = {}
+    for k, c in zip(keys, label):
+        groups.setdefault(c, []).append((h[k], k))
+    n = sum(len(g) for c, g in groups.items() if c)
+    n_test = math.ceil(0.2 * n)
+    take = {c: n_test * len(g) // n for c, g in groups.items() if c}
+    for c in sorted(take, key=lambda c: (-(n_test * len(groups[c]) % n), c))[: n_test - sum(take.values())]:
+        take[c] += 1
+    test = {}
+    for r in out:
+        if r.split == "test":
+            test.setdefault(r.c, []).append((h[r.k], r.k))
+    for c, m in take.items():
+        cut = sorted(groups[c])[m - 1]
+        # rows that repeat the key at the cut go together
+        assert sorted(test.get(c, [])) == sorted(x for x in groups[c] if x <= cut)
+    assert None not in test
+
+
+def test_split_passes_do_not_grow_with_the_classes(spark):
+    jobs = []
+    for classes in (2, 60):
+        df = spark.range(6000).selectExpr("id", f"cast(id % {classes} as string) as c")
+        spark.sparkContext.setJobGroup(f"split-{classes}", "count jobs")
+        feat.split_train_test(df, "id", stratify="c")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"split-{classes}")))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[1] <= jobs[0] + 1
