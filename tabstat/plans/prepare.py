@@ -103,6 +103,13 @@ def constant_columns(df: DataFrame, protected: list[str] | None = None, extra_ag
     return dropped, row
 
 
+def derived(raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = PrepareOptions()) -> DataFrame:
+    """The cleaned and enriched rows, before any choice that depends on the
+    options' length transform."""
+    df = derive(raw, roles, options)
+    return df.withColumn(roles.length_log1p, log1p_clip(roles.length_num)) if roles.length_num in df.columns else df
+
+
 def prepare(
     raw: DataFrame, roles: Roles = Roles(), options: PrepareOptions = PrepareOptions(), materialize: bool = False
 ) -> tuple[DataFrame, PrepareReport]:
@@ -111,16 +118,20 @@ def prepare(
     ``materialize`` writes the derived table once to the shared checkpoint
     folder, so the aggregates below and every later use scan it instead of
     re-running the row work."""
-    df = derive(raw, roles, options)
-    method = (options.length_transform or "none").lower()
-    has_length = roles.length_num in df.columns
-    bounds = None
-    if has_length:
-        df = df.withColumn(roles.length_log1p, log1p_clip(roles.length_num))
+    df = derived(raw, roles, options)
     if materialize:
         from ..session import materialize as write_once
 
         df = write_once(df, "derived")
+    return finish(df, roles, options)
+
+
+def finish(df: DataFrame, roles: Roles = Roles(), options: PrepareOptions = PrepareOptions()) -> tuple[DataFrame, PrepareReport]:
+    """``prepare`` from the ``derived`` rows on: length transform and constant
+    columns. One derived table serves every choice of the transform."""
+    method = (options.length_transform or "none").lower()
+    has_length = roles.length_num in df.columns
+    bounds = None
     if has_length:
         if method == "winsor":
             q = exact_quantiles(df, [roles.length_num], [options.winsor_low, options.winsor_high])

@@ -3,8 +3,6 @@ tables and the findings text. Model runs are shared per application."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..config import ModelOptions, Roles
@@ -14,7 +12,7 @@ from ..operators.pca import pca_fit
 from ..session import scratch_path
 from ..sources import csv as csvsrc
 from ..sources import sinks
-from ..sources.fixtures import raw_obs
+from ..sources.fixtures import content_key, raw_obs
 from . import report
 from .model import CLF_METRICS_SCHEMA, feature_matrix, residual_points, run_classification, run_regression
 from .q_model import _reg_frame, active_dummies
@@ -39,7 +37,7 @@ PROFILE_PARTS = {
 
 
 def _key(spark, sf_dir, kind):
-    return (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), kind)
+    return content_key(spark, sf_dir), kind
 
 
 def regression_run(spark, sf_dir):

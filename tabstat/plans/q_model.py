@@ -16,7 +16,7 @@ from ..operators.linear import breusch_pagan, linear_expr, ols_with_checks, vif_
 from ..operators.pca import pca_fit
 from ..operators.rank import global_row_number
 from ..operators.select import select_from_fold_grams
-from ..sources.fixtures import table
+from ..sources.fixtures import content_key, table
 from .q_rows import _obs
 
 R = Roles()
@@ -28,13 +28,11 @@ _FRAMES: dict[tuple, tuple] = {}
 
 
 def _cached(spark, sf_dir, kind, build):
-    """Split frames are written once per application (shared checkpoint
-    folder) and reused by every query of the family."""
-    import os
-
+    """Split frames are written once per application and input (shared
+    checkpoint folder) and reused by every query of the family."""
     from ..session import materialize
 
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), kind)
+    key = (content_key(spark, sf_dir), kind)
     if key not in _FRAMES:
         frame, fl, target = build()
         _FRAMES[key] = (materialize(frame, f"{kind}-frame"), fl, target)

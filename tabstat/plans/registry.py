@@ -16,27 +16,28 @@ from pyspark.sql import functions as F
 from ..config import PrepareOptions, Roles
 from ..functions.present import round_doubles
 from ..operators import profile as prof
-from ..sources.fixtures import raw_obs
-from .prepare import prepare
+from ..session import materialize as write_once
+from ..sources.fixtures import content_key, raw_obs
+from .prepare import derived, finish, prepare
 
 ROLES = Roles()
 
 
-_PREPARED: dict[tuple, tuple[str, object]] = {}
+_DERIVED: dict[tuple, DataFrame] = {}
+_PREPARED: dict[tuple, tuple[DataFrame, object]] = {}
 
 
 def prepared(spark: SparkSession, sf_dir: str, options: PrepareOptions = PrepareOptions()):
-    """``prepare`` of the fixture, written once per application and options to
-    the shared checkpoint folder; returns (DataFrame, PrepareReport)."""
-    import os
-
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), options)
-    hit = _PREPARED.get(key)
-    if hit is None:
-        df, report = prepare(raw_obs(spark, sf_dir), ROLES, options, materialize=True)
-        hit = (df, report)
-        _PREPARED[key] = hit
-    return hit
+    """``prepare`` of the fixture; the derived rows are written once per
+    application and input to the shared checkpoint folder, whatever the length
+    transform. Returns (DataFrame, PrepareReport)."""
+    key = content_key(spark, sf_dir)
+    if (key, options) not in _PREPARED:
+        rows = (key, options.sum_duration_parts)
+        if rows not in _DERIVED:
+            _DERIVED[rows] = write_once(derived(raw_obs(spark, sf_dir), ROLES, options), "derived")
+        _PREPARED[key, options] = finish(_DERIVED[rows], ROLES, options)
+    return _PREPARED[key, options]
 
 
 def obs(spark: SparkSession, sf_dir: str, options: PrepareOptions = PrepareOptions()) -> DataFrame:

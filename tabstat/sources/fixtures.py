@@ -16,6 +16,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import fingerprint
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -48,13 +50,19 @@ def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     return df
 
 
+def content_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """What the fixture is made from: the application and the states of its
+    input files; other files under the same path have another key."""
+    return spark.sparkContext.applicationId, fingerprint(spark, *[os.path.join(sf_dir, f"{t}.parquet") for t in ("events", "customer", "nation")])
+
+
 def raw_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture as a table written once per application to the shared
-    checkpoint folder (lineage cut: later jobs scan parquet, and the star
-    join is not re-run by every query)."""
+    """The fixture as a table written once per application and input to the
+    shared checkpoint folder (lineage cut: later jobs scan parquet, and the
+    star join is not re-run by every query)."""
     from ..session import scratch_path
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = content_key(spark, sf_dir)
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, "raw_obs")
