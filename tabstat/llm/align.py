@@ -28,8 +28,12 @@ other columns whatever their names, but for its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from functools import cached_property
+import re
+import unicodedata
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,48 +47,143 @@ from .shared import text_slices
 
 SENT_PAIRS = 4_000_000  # pairs of the broadcast table, 16 bytes each
 FLUSH_PAIRS = 500_000  # distinct pairs that a task gathers before it sends their counts
+KEPT_CHUNKS = 100_000  # distinct chunks whose ids a worker remembers; beyond it, it starts over
+SLICE_BYTES = 1 << 20  # of links that are looked up at once
 _SPACE = "▁"
+_CHUNK = re.compile(" +[^ ]*")
+_BEYOND_LATIN = re.compile("[\u0220-\U0010ffff]+")  # every young character is among these
+
+
+@lru_cache(1)
+def young_characters() -> re.Pattern:
+    """Letters, digits and blanks that are newer than Unicode 3.2: two
+    splitters may know them or not, as their Unicode tables are of different
+    age; all others they class alike."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = [ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.ucd_3_2_0.category(c) == "Cn"]
+    starts = [c for c, before in zip(codes, [None, *codes]) if before is None or c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], None]) if after is None or after != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]")
 
 
 class Tokenizers:
-    """The two tokenizers of one worker with the bytes of each token."""
+    """The two tokenizers of one worker with the bytes of each token.
 
-    def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    Where a byte-level file's merges are in the order of their tokens' ids,
+    its ids are ranks, and its texts are encoded by rank (same ids, a fifth of
+    the time); texts with young characters, and files of any other kind, go
+    through the file's own library. A worker keeps the ids of up to
+    ``KEPT_CHUNKS`` chunks of the other tokenizer."""
+
+    def __init__(self, a_path: str, b_path: str, pattern: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-
-    @cached_property
-    def a_bytes(self) -> list[bytes]:
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
         back = {c: b for b, c in byte_table().items()}
-        shown = (self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size()))
-        return [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in shown]
-
-    @cached_property
-    def b_bytes(self) -> list[bytes]:
+        vocab = spec["model"]["vocab"]
+        names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.a_bytes = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in (names.get(i, "") for i in range(max(names) + 1))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        return [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        both = (self.a_bytes, self.b_bytes)
+        self.sizes = tuple(np.array([len(t) for t in side], np.int64) for side in both)
+        self.bytes_of = tuple((np.frombuffer(b"".join(side), np.uint8), np.cumsum(n) - n) for side, n in zip(both, self.sizes))
+        self.by_chunk = all(_SPACE not in p.lstrip(_SPACE) for p in pieces)
+        self.kept: dict[str, bytes] = {}
+        self.ranks = None
+        if self._by_rank(spec):
+            import tiktoken
+
+            ranks = {self.a_bytes[i]: i for i in vocab.values()}
+            special = {t["id"] for t in spec["added_tokens"]}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for t, i in ranks.items() if i not in special}, special_tokens={})
+
+    @staticmethod
+    def _by_rank(spec: dict) -> bool:
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+            return False
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return False
+        made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        return made == list(range(256, 256 + len(made)))
 
     @cached_property
-    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+    def a(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.a_path)
+        found.encode_special_tokens = True
+        return found
+
+    def encode_a(self, text: str) -> np.ndarray:
+        if self.ranks is not None and (text.isascii() or not young_characters().search("".join(_BEYOND_LATIN.findall(text)))):
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode_b(self, texts: list[str]) -> list[np.ndarray]:
+        """No piece reaches over the start of a run of blanks (see
+        ``by_chunk``), so a text's ids are those of its chunks, each a run of
+        blanks and the word after it; chunks met before are looked up. The
+        first blank of a chunk is the one that the model itself adds."""
+        if not self.by_chunk:
+            return [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+        parts = []
+        for t in texts:
+            if t[-1:] == " " or _SPACE in t:  # blanks at the end; the model's own blank
+                parts.append([t])
+            elif t[:1] == " " or "  " in t:
+                parts.append([c[1:] for c in _CHUNK.findall(" " + t)])
+            else:
+                parts.append(t.split(" "))
+        kept = self.kept
+        new = [c for c in set().union(*parts) if c not in kept]
+        kept.update(zip(new, (array("I", ids).tobytes() for ids in self.b.encode(new, num_threads=1))))
+        out = [np.frombuffer(b"".join([kept[c] for c in own]), "<u4").astype(np.int64) for own in parts]
+        if len(kept) > KEPT_CHUNKS:
+            kept.clear()
+        else:
+            for c in new:  # long ones are not kept
+                if len(c) > 64:
+                    del kept[c]
+        return out
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids by both tokenizers; none if the bytes of either differ from
         space + text."""
+        none = np.zeros(0, np.int64)
         real = [i for i, t in enumerate(texts) if t]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in real], add_special_tokens=False)]
-        b = self.b.encode([texts[i] for i in real], num_threads=1)
-        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
-        for i, x, y in zip(real, a, b):
-            raw = (" " + texts[i]).encode()
-            if b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)):
-                out[i] = (x, y)
-        return out
+        out_a, out_b = [none] * len(texts), [none] * len(texts)
+        if not real:
+            return out_a, out_b
+        spaced = [" " + texts[i] for i in real]
+        a, b = [self.encode_a(t) for t in spaced], self.encode_b([texts[i] for i in real])
+        raw = [t.encode() for t in spaced]
+        fits = self._gives(a, 0, raw) & self._gives(b, 1, raw)
+        for k in np.flatnonzero(fits):
+            out_a[real[k]], out_b[real[k]] = a[k], b[k]
+        return out_a, out_b
+
+    def _gives(self, ids: list[np.ndarray], side: int, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens' bytes are those of each text."""
+        data, starts = self.bytes_of[side]
+        every = np.concatenate(ids)
+        size = self.sizes[side][every]
+        ends = np.cumsum(size)
+        made = data[np.repeat(starts[every] - (ends - size), size) + np.arange(size.sum())]
+        n_made = np.bincount(np.repeat(np.arange(len(ids)), [len(x) for x in ids]), size, minlength=len(ids)).astype(np.int64)
+        n_raw = np.array([len(r) for r in raw])
+        if (n_made == n_raw).all():
+            other = np.flatnonzero(made != np.frombuffer(b"".join(raw), np.uint8))
+            return ~np.isin(np.arange(len(ids)), np.searchsorted(np.cumsum(n_raw), other, "right"))
+        cuts = np.cumsum(n_made)
+        return np.array([made[e - n : e].tobytes() == r for e, n, r in zip(cuts, n_made, raw)])
 
 
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +232,8 @@ def _decimal(n: int, ends: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Groups and links of slices of texts."""
 
-    def __init__(self, a_path: str, b_path: str):
-        self.of = Tokenizers(a_path, b_path)
+    def __init__(self, a_path: str, b_path: str, pattern: str):
+        self.of = Tokenizers(a_path, b_path, pattern)
         a, b = _decimal(len(self.of.a_bytes), b",|"), _decimal(len(self.of.b_bytes), b",;")
         width = max(a[0].shape[1], b[0].shape[1])
         self.chars = np.concatenate([np.pad(x[0], ((0, 0), (0, width - x[0].shape[1]))) for x in (a, b)])
@@ -157,8 +256,8 @@ class Aligner:
     def rows(self, texts: list[str]) -> dict[str, list]:
         """n_a, n_b, n_groups, links (packed pairs) and groups digest of each text."""
         coded = self.of.encode(texts)
-        n_a, n_b = (np.array([len(c[side]) for c in coded], np.int64) for side in (0, 1))
-        a, b = (np.array([i for c in coded for i in c[side]], np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(ids) for ids in side], np.int64) for side in coded)
+        a, b = (np.concatenate(side) for side in coded)
         if not len(a):
             zeros = [0] * len(texts)
             return {"n_a": zeros, "n_b": zeros, "n_groups": zeros, "links": [b""] * len(texts), "groups_sha256": [""] * len(texts)}
@@ -176,33 +275,33 @@ class Aligner:
 _ALIGNERS: dict = {}
 
 
-def aligner(a_path: str, b_path: str) -> Aligner:
+def aligner(*files: str) -> Aligner:
     """One per worker; the files are part of the vocabulary package that every
     executor has."""
-    if (a_path, b_path) not in _ALIGNERS:
-        _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
-    return _ALIGNERS[a_path, b_path]
+    if files not in _ALIGNERS:
+        _ALIGNERS[files] = Aligner(*files)
+    return _ALIGNERS[files]
 
 
-def vocabularies() -> tuple[str, str]:
+def vocabularies() -> tuple[str, str, str]:
     import public_tokenizers as P
 
-    return P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    return P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
 
 
-def align(docs: DataFrame, text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+def align(docs: DataFrame, text_col: str = "text", files: tuple[str, str, str] | None = None) -> DataFrame:
     """docs without the text, plus n_a, n_b, n_groups, links (binary: 64-bit
     little-endian A id << 32 | B id of each shared cut, in order) and
-    groups_sha256."""
-    default = vocabularies() if a_path is None or b_path is None else (a_path, b_path)
-    a_path, b_path = a_path or default[0], b_path or default[1]
+    groups_sha256. ``files``: the byte-level file, the piece model and the
+    pattern that the byte-level file's library splits by."""
+    files = files or vocabularies()
     new = {"n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "links": T.BinaryType(), "groups_sha256": T.StringType()}
     rest = [c for c in docs.columns if c not in new and c != text_col]
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("__text"))
     kinds = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "links": pa.binary(), "groups_sha256": pa.string()}
 
     def run(batches):
-        by = aligner(a_path, b_path)
+        by = aligner(*files)
         for batch in batches:
             for part in text_slices(batch, len(rest), 1 << 18):
                 found = by.rows(part.column(len(rest)).to_pylist())
@@ -231,12 +330,13 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(unique, pa.int64()), pa.array(sums, pa.int64())], names=["pair", "n"])
 
         for batch in batches:
-            unique, times = np.unique(_pairs(batch.column(0))[1], return_counts=True)
-            parts.append((unique, times))
-            n += len(unique)
-            if n >= FLUSH_PAIRS:
-                yield send()
-                parts, n = [], 0
+            for part in text_slices(batch, 0, SLICE_BYTES):
+                unique, times = np.unique(_pairs(part.column(0))[1], return_counts=True)
+                parts.append((unique, times))
+                n += len(unique)
+                if n >= FLUSH_PAIRS:
+                    yield send()
+                    parts, n = [], 0
         if n:
             yield send()
 
@@ -270,21 +370,25 @@ def link_counts(aligned: DataFrame, sent_pairs: int = SENT_PAIRS) -> DataFrame:
     names = [c for c in aligned.columns if c != "links"]
     whole = least is None and len(keys) > 0
 
-    def look_up(batches):
+    def one(part):
         keys, n, best = sent.value
+        row, pair = _pairs(part.column("links"))
+        at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
+        known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
+        size = part.num_rows
+        sums = np.zeros(size, np.int64)
+        np.add.at(sums, row[known], n[at[known]])
+        bests = np.bincount(row[known], best[at[known]], minlength=size).astype(np.int64)
+        links = np.bincount(row, minlength=size).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row[~known], minlength=size))))
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair[~known], pa.int64()))
+        new = [*[pa.array(x, pa.int64()) for x in (links, bests, sums)], rest]
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *new], names=[*names, "n_links", "n_best", "count_sum", "__rest"])
+
+    def look_up(batches):
         for batch in batches:
-            row, pair = _pairs(batch.column("links"))
-            at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
-            known = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-            size = batch.num_rows
-            sums = np.zeros(size, np.int64)
-            np.add.at(sums, row[known], n[at[known]])
-            bests = np.bincount(row[known], best[at[known]], minlength=size).astype(np.int64)
-            links = np.bincount(row, minlength=size).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(row[~known], minlength=size))))
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair[~known], pa.int64()))
-            new = [*[pa.array(x, pa.int64()) for x in (links, bests, sums)], rest]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], names=[*names, "n_links", "n_best", "count_sum", "__rest"])
+            for part in text_slices(batch, batch.schema.get_field_index("links"), SLICE_BYTES):
+                yield one(part)
 
     fields = [*[aligned.schema[c] for c in names], *[T.StructField(c, T.LongType()) for c in ("n_links", "n_best", "count_sum")], T.StructField("__rest", T.ArrayType(T.LongType()))]
     out = aligned.mapInArrow(look_up, T.StructType(fields))

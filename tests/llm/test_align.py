@@ -79,6 +79,29 @@ def test_equal_to_brute_force(spark, sent_pairs):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_ids_by_rank_equal_the_library():
+    of = align.Tokenizers(*align.vocabularies())
+    assert of.ranks is not None
+    young = chr(0x16F00) + chr(0x1E900) + chr(0x30000) + chr(0xA7CB)
+    assert align.young_characters().search(young) and not align.young_characters().search("aé日本語🙂١½\u00a0")
+    r = random.Random(1)
+    chars = "abc ABC'sll  \n\t123½é日本語🙂١\u00a0\u2003-—" + young
+    for _ in range(300):
+        text = " " + "".join(r.choice(chars) for _ in range(r.randrange(1, 80)))
+        assert of.encode_a(text).tolist() == of.a.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_by_chunk_equal_the_library(monkeypatch):
+    of = align.Tokenizers(*align.vocabularies())
+    assert of.by_chunk
+    monkeypatch.setattr(align, "KEPT_CHUNKS", 50)
+    r = random.Random(3)
+    chars = "aab cc   \n\t▁é日🙂ﬁ\u3000\u00a0<s></s>" + "x" * 3
+    for _ in range(40):
+        texts = ["".join(r.choice(chars) for _ in range(r.randrange(1, 60))) for _ in range(10)] + [" ", "   ", "a", " a ", "y" * 200]
+        assert [x.tolist() for x in of.encode_b(texts)] == of.b.encode(texts)
+
+
 def test_cuts_equal_the_intersection():
     rng = np.random.default_rng(4)
     for n in (1, 2, 3, 10, 500, 5000):
