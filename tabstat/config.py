@@ -151,6 +151,10 @@ class ModelOptions:
     exclude_parents: bool = True  # drop the speed column when its label is the target
     top_categories: int = 20
     exact_split: bool = True
+    normality_test: str = "auto"  # auto | shapiro | ks (target) or k2 (residuals); auto: Shapiro-Wilk up to shapiro_max_n rows
+    shapiro_max_n: int = 5000
+    point_limit: int | None = None  # largest number of QQ points kept per variable; None: all
+    grid_bins: int = 100  # cells per side of the residual grids
 
     def __post_init__(self):
         if not 0 < self.test_size < 1:

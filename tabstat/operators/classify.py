@@ -228,11 +228,15 @@ def pr_curve(pred: DataFrame, actual: str, positive: str, score: str = "proba")
     return pts.unionByName(end)
 
 
+def label_grid(spark, classes: list[str]) -> DataFrame:
+    """(actual, predicted, hit) for every pair of classes."""
+    return spark.createDataFrame([(a, p, a == p) for a in classes for p in classes], "actual string, predicted string, hit boolean")
+
+
 def confusion_grid(pred: DataFrame, actual: str, classes: list[str]) -> DataFrame:
     """Counts over the full class x class grid, zeros included. The grid is
     built from the (small) class list, then left-joined to the counts."""
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(a, p) for a in classes for p in classes], "actual string, predicted string")
+    grid = label_grid(pred.sparkSession, classes).drop("hit")
     counts = pred.groupBy(q(actual).alias("actual"), F.col("predicted")).agg(F.count(F.lit(1)).alias("count"))
     return grid.join(F.broadcast(counts) if len(classes) <= 1000 else counts, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))

@@ -16,11 +16,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf_col, norm_sf, with_norm_ppf
 from ..functions.special import chi2_sf, kolmogorov_sf
+from ..session import materialize
 from .rank import expand_positions, global_row_number, value_counts_ranked
 
 # Royston's polynomial coefficients (lowest power first).
@@ -171,40 +172,90 @@ def dagostino_from_moments(n: int, b1: float, b2: float) -> float:
     return zs * zs + zk * zk
 
 
-def qq_points(df: DataFrame, column: str) -> tuple[DataFrame, dict]:
-    """(position, theoretical, ordered) for every observation and the fitted
-    line {slope, intercept, r}. Repeated values are expanded in chunks."""
+def _theoretical(points: DataFrame, n: int) -> DataFrame:
+    """(position, theoretical, ordered) from (position, value): Filliben's
+    plotting positions through the normal quantile."""
+    mn = 0.5 ** (1.0 / n)
+    pp = (F.when(F.col("position") == n, F.lit(mn)).when(F.col("position") == 1, F.lit(1.0 - mn))
+          .otherwise((F.col("position") - 0.3175) / F.lit(n + 0.365)))
+    pts = with_norm_ppf(points.withColumn("pp", pp), "pp", "theoretical")
+    return pts.select("position", "theoretical", F.col("value").alias("ordered"))
+
+
+def _thinned(ranked: DataFrame, n: int, k: int) -> DataFrame:
+    """(position, value) of k positions spread evenly over 1..n, from the
+    ranked values alone: each value takes the chosen positions that fall into
+    its run, so no observation is expanded."""
+    m = max(1, k - 1)
+    first = F.expr(f"(start * {m}L + {n - 2}L) div {n - 1}L")  # least j whose position is in the run
+    last = F.least(F.expr(f"(end * {m}L + {n - 2}L) div {n - 1}L - 1"), F.lit(m))
+    runs = ranked.select("value", first.alias("first"), last.alias("last")).where("first <= last")
+    chosen = runs.select("value", F.explode(F.sequence("first", "last")).alias("j"))
+    return chosen.select(F.expr(f"1 + (j * {n - 1}L) div {m}L").alias("position"), "value")
+
+
+def qq_points(df: DataFrame, column: str, thin: int | None = None) -> tuple[DataFrame, dict]:
+    """(position, theoretical, ordered) and the fitted line {slope, intercept,
+    r}. Every observation is a point, repeated values expanded in chunks;
+    ``thin=k`` keeps k evenly spread positions (first and last included) of a
+    larger column and fits the line to those. Every point left out lies
+    between two neighbours that stay, so a line drawn through them is off by
+    at most ``largest_step``, the largest rise between neighbours."""
     vals = _values(df, column, None)
     n = vals.count()
     spark = df.sparkSession
     if n == 0:
         return spark.createDataFrame([], "position long, theoretical double, ordered double"), {}
-    pos = expand_positions(value_counts_ranked(vals, "x"))
-    mn = 0.5 ** (1.0 / n)
-    pp = (F.when(F.col("position") == n, F.lit(mn)).when(F.col("position") == 1, F.lit(1.0 - mn))
-          .otherwise((F.col("position") - 0.3175) / F.lit(n + 0.365)))
-    pts = with_norm_ppf(pos.withColumn("pp", pp), "pp", "theoretical")
-    pts = pts.select("position", "theoretical", F.col("value").alias("ordered"))
+    ranked = value_counts_ranked(vals, "x")
+    short = thin is not None and 1 < thin < n
+    pts = _theoretical(_thinned(ranked, n, thin) if short else expand_positions(ranked), n)
+    if short:
+        pts = materialize(pts, "qq")
     line = pts.agg(F.regr_slope("ordered", "theoretical").alias("slope"),
                    F.regr_intercept("ordered", "theoretical").alias("intercept"),
                    F.corr("ordered", "theoretical").alias("r")).collect()[0].asDict()
+    if short:
+        before = Window.orderBy("position")  # k rows at most
+        steps = pts.select((F.col("ordered") - F.lag("ordered").over(before)).alias("step"))
+        line["largest_step"] = steps.agg(F.max("step")).first()[0]
     return pts, line
 
 
-def normality_auto(df: DataFrame, numeric_cols: list[str], preferred: str) -> TestResult | None:
-    """Preferred column (speed) if present, else the first numeric column;
-    n <= 5000 -> Shapiro-Wilk, else KS on the population-standardised data."""
+def normality_auto(df: DataFrame, numeric_cols: list[str], preferred: str, test: str = "auto",
+                   shapiro_max_n: int = SHAPIRO_MAX_N) -> TestResult | None:
+    """Preferred column (speed) if present, else the first numeric column.
+    ``test``: shapiro, ks (on the population-standardised data) or auto, which
+    takes Shapiro-Wilk up to ``shapiro_max_n`` values, where its approximation
+    holds, and KS beyond."""
+    if test not in ("auto", "shapiro", "ks"):
+        raise ValueError(f"unknown normality test {test}")
     if not numeric_cols:
         return None
     col = preferred if preferred in numeric_cols else numeric_cols[0]
     n = _values(df, col, None).count()
     if n == 0:
         return None
-    if n <= SHAPIRO_MAX_N:
+    if test == "shapiro" or (test == "auto" and n <= shapiro_max_n):
         return shapiro_wilk(df, col)
     return ks_statistic(df, col, ddof=0)
 
 
+def residual_test(df: DataFrame, column: str, n: int, test: str = "auto", shapiro_max_n: int = SHAPIRO_MAX_N) -> TestResult:
+    """Normality of ``n`` residuals: ``test`` is shapiro, k2 (D'Agostino) or
+    auto, which takes Shapiro-Wilk up to ``shapiro_max_n`` rows and K² beyond;
+    KS where the chosen statistic is undefined."""
+    if test not in ("auto", "shapiro", "k2"):
+        raise ValueError(f"unknown normality test {test}")
+    small = test == "shapiro" or (test == "auto" and n <= shapiro_max_n)
+    try:
+        res = shapiro_wilk(df, column) if small else dagostino_k2(df, column)
+        if res.statistic is None:
+            raise ValueError("normality statistic undefined")
+    except (ArithmeticError, ValueError):  # a numeric failure falls back to KS
+        res = ks_statistic(df, column, ddof=1)
+    return res
+
+
 def summary_lines(res: TestResult) -> list[str]:
     """Text of the normality summary (fixed wording, 4 decimals)."""
     verdict = "No se rechaza" if (res.p_value is not None and res.p_value > 0.05) else "Se rechaza"

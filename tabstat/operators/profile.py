@@ -391,3 +391,26 @@ def density_grid(df: DataFrame, column: str, grid_size: int = 200, terms: int =
     return grid.join(F.broadcast(found), "point", "left").select(  # a row per grid point at most
         F.lit(column).alias("variable"), "point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"),
         F.greatest(F.coalesce("density", F.lit(0.0)), F.lit(0.0)).alias("density"))
+
+
+def point_grid(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
+    """A scatter plot of any size: the rows counted on an even ``bins`` x
+    ``bins`` grid over the ranges of both columns (the last cell closed);
+    rows that miss a value are left out. (x_bin, y_bin, x, y, count): x and y
+    are the cell's centre, empty cells are absent. One aggregate for the
+    ranges and one ``groupBy`` of at most bins^2 rows."""
+    both = df.select(value_of(df, x).cast("double").alias("x"), value_of(df, y).cast("double").alias("y")).dropna()
+    r = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if r["x0"] is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, x double, y double, count long")
+
+    def cell(c, lo, hi):
+        if hi <= lo:
+            return F.lit(0)
+        return F.least(F.floor((F.col(c) - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)), F.lit(bins - 1)).cast("int")
+
+    def centre(c, lo, hi):
+        return F.lit(lo) + (F.col(c) + 0.5) * F.lit((hi - lo) / bins)
+
+    cells = both.groupBy(cell("x", r["x0"], r["x1"]).alias("x_bin"), cell("y", r["y0"], r["y1"]).alias("y_bin")).agg(F.count(F.lit(1)).alias("count"))
+    return cells.select("x_bin", "y_bin", centre("x_bin", r["x0"], r["x1"]).alias("x"), centre("y_bin", r["y0"], r["y1"]).alias("y"), "count")

@@ -23,7 +23,7 @@ from ..sources.files import file_states, file_system
 from ..sources.sinks import sink_table
 
 
-def frame_fingerprint(df: DataFrame) -> str:
+def fingerprint_of_frame(df: DataFrame) -> str:
     """Hash of the files that a DataFrame reads, its plan and its schema."""
     plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
     parts = [file_states(df.sparkSession, df.inputFiles()), re.sub(r"#\d+L?", "#", plan), df.schema.json()]

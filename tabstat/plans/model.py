@@ -148,8 +148,9 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
         "modelo1": linear_expr(*m1),
         "modelo2": linear_expr(*m2),
     })
-    ols1 = ols_with_checks(train, names, target, gram=g)
-    ols2 = ols_with_checks(train, selected, target, gram=g)
+    how = {"test": options.normality_test, "shapiro_max_n": options.shapiro_max_n}
+    ols1 = ols_with_checks(train, names, target, gram=g, **how)
+    ols2 = ols_with_checks(train, selected, target, gram=g, **how)
     return RegressionRun(md, metrics, ols1, ols2, selected, trace, vif, m1, m2)
 
 

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from ..functions.normal import norm_cdf_sql
 from .oracle_flow import findings_ctes
-from .oracle_model import CLF, NUM_FEATS, REG, SCALE
+from .oracle_model import CLF, NUM_FEATS, REG, SCALE, _k2, _moments
+from .report import FEATURES_LINE, HC1_LINE, HOUR_NOTES, LENGTH_NOTES, SOURCE_LINES
 from .oracle_sql import NUMERIC, with_obs
 
 LEVELS = """,
@@ -155,7 +156,7 @@ e{s} AS (select f, c, sum(v) as sse from (
     select b.f, c, -2 * b * v as v from b{s} b join inside h on h.f = b.f and h.i = b.j, target where h.j = yj
     union all select x.f, x.c, x.b * z.b * h.v from b{s} x join b{s} z on z.f = x.f and z.c = x.c join inside h on h.f = x.f and h.i = x.j and h.j = z.j
     union all select c.f, c, v from c{s} c join inside h on h.f = c.f, target where h.i = yj and h.j = yj) group by 1, 2),
-p{s} AS MATERIALIZED (select c as k from (select c, avg(-sqrt(greatest(sse, 0) / h.v)) as score from e{s} e join inside h on h.f = e.f and h.i = 1 and h.j = 1 group by c)
+p{s} AS MATERIALIZED (select c as k, score from (select c, avg(-sqrt(greatest(sse, 0) / h.v)) as score from e{s} e join inside h on h.f = e.f and h.i = 1 and h.j = 1 group by c)
   order by score desc, c limit 1),
 sel{s} AS MATERIALIZED (select j, step from {sel} union all select k, {s} from p{s}),
 t{s} AS MATERIALIZED ({_eliminate(t, f'p{s}')})"""
@@ -169,15 +170,60 @@ def _eliminate(t: str, pick: str) -> str:
   join {t} r on r.f = t.f and r.i = k and r.j = t.j join {t} c on c.f = t.f and c.i = t.i and c.j = k join {t} d on d.f = t.f and d.i = k and d.j = k"""
 
 
+def diagnostics(m: str) -> str:
+    """CTEs of the diagnostics text of a model, {m}_lines (line_no, text):
+    K^2 of the training residuals, Breusch-Pagan with the chi-square and F
+    tails from the series of the incomplete gamma and beta functions."""
+    return f""",
+{m}_res AS MATERIALIZED (select obs_id, speed - p as e from {m}_pred where split = 'train'),
+{m}_mom AS ({_moments('e', f'{m}_res')}),
+{m}_k2 AS (select {_k2('n', 'm3 / pow(m2, 1.5)', 'm4 / pow(m2, 2)')} as k2 from {m}_mom),
+{m}_zu AS (select pos, sum(v * e * e) as zu from {m}_z join {m}_res using (obs_id) group by pos),
+{m}_ub AS (select i, sum(v * zu) as b from {m}_inv join {m}_zu on pos = j group by i),
+{m}_ss AS (select sum(b * zu) - any_value(n) * pow(any_value(u), 2) as ess, any_value(t) - any_value(n) * pow(any_value(u), 2) as tss, any_value(n) as n, any_value(p) as p
+  from {m}_ub join {m}_zu on pos = i, {m}_shape, (select avg(e * e) as u, sum(pow(e, 4)) as t from {m}_res)),
+{m}_bp AS (select n * ess / tss as lm, (ess / tss / (p - 1)) / ((1 - ess / tss) / (n - p)) as f, (p - 1) / 2.0 as a, (n - p) / 2.0 as b from {m}_ss),
+{m}_lmp AS (select 1 - sum(exp((a + i) * ln(lm / 2) - lm / 2 - lgamma(a + i + 1))) as pv from {m}_bp, range(0, 2000) r(i)),
+{m}_fp AS (select 1 - sum(exp(a * ln(y) + b * ln(1 - y) + lgamma(a + b + i) - lgamma(a + i + 1) - lgamma(b) + i * ln(y))) as pv
+  from (select *, a * f / (a * f + b) as y from {m}_bp), range(0, 3000) r(i)),
+{m}_lines AS (select 1 as line_no, '{HC1_LINE}' as text
+  union all select 2, 'Prueba de normalidad (D''Agostino K²): estadístico=' || printf('%.4f', k2) || ' p-value=' || printf('%.5f', exp(-k2 / 2)) from {m}_k2
+  union all select 3, 'Breusch-Pagan: LM p-value=' || printf('%.5f', (select pv from {m}_lmp)) || ' | F p-value=' || printf('%.5f', (select pv from {m}_fp)))"""
+
+
+def report_tables(q: dict[str, str], both: str) -> str:
+    """The report's tables from the fits ``both`` and the SQL of ``vif`` and
+    ``schema_profile``."""
+    none = "null::double"
+    top = lambda m, k, d: f"""(select row_number() over (order by abs(b) desc, variable) as r, variable, round(b, {d}) as b, round(pv, 4) as pv, round(se, 4) as se
+  from {m}_table where variable <> 'const' order by 1 limit {k})"""
+    metric = """(select unnest([2, 3, 4, 5]) as r, unnest([printf('• RMSE: %.3f', sqrt(avg(pow(p - speed, 2)))), printf('• R2: %.3f', 1 - sum(pow(p - speed, 2)) / (var_pop(speed) * count(*))),
+  printf('• MAE: %.3f', avg(abs(p - speed))), printf('• Bias: %.3f', avg(p - speed))]) as t from {m}_pred where split = 'test')"""
+    parts = [
+        f"select 'vif' as part, row_number() over (order by vif desc, variable) as ord, variable as name, round(vif, 2) as value, {none} as p_value, {none} as std_err, null::varchar as text from ({q['vif']}) v",
+        f"select 'coefficients', r, variable, b, pv, {none}, null from {top('m2', 10, 3)}",
+        f"select 'data', row_number() over (), indicator, value::double, {none}, {none}, null from ({q['schema_profile']}) s",
+    ]
+    notes = ["Coeficientes mostrados: Modelo 2 (fuente: ols).", HOUR_NOTES[True], LENGTH_NOTES[True]]
+    parts += [f"select 'notes', {i}, null, {none}, {none}, {none}, '{t.replace(chr(39), chr(39) * 2)}'" for i, t in enumerate(notes, 1)]
+    for i in (1, 2):
+        parts.append(f"select 'modelo{i}', r, variable, b, pv, se, null from {top(f'm{i}', 8, 4)}")
+        first, last = FEATURES_LINE.format(num=len(NUM_FEATS), cat=2), SOURCE_LINES["ols"]
+        parts.append(f"select 'modelo{i}_text', r, null, {none}, {none}, {none}, t from (select 1 as r, '{first}' as t union all select 6, '{last}' union all select * from {metric.format(m=f'm{i}')})")
+    return recursive(both + "\n" + "\nunion all ".join(parts))
+
+
 def recursive(sql: str) -> str:
     return with_obs(sql).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def oracles() -> dict[str, str]:
+def oracles(known: dict[str, str]) -> dict[str, str]:
+    """``known``: SQL of the queries that the flow's tables repeat."""
     q: dict[str, str] = {}
     one = design_ctes() + least_squares("m1", "names")
     q["coef_union_dropped"] = recursive(one + """
-select variable, round(b, 6) as coef, round(se, 6) as std_err, round(pv, 6) as p_value, null::varchar as note from m1_table""")
+select variable, round(b, 6) as coef, round(se, 6) as std_err, round(pv, 6) as p_value, null::varchar as note from m1_table
+union all select 'flat', null, null, null, null""")
     q["top_coefficients"] = recursive(one + """
 select row_number() over (order by abs(b) desc, variable) as rank, variable, round(b, 3) as coef, round(pv, 4) as p_value
 from m1_table where variable <> 'const' order by 1 limit 5""")
@@ -193,18 +239,25 @@ from m1_table where variable <> 'const' order by 1 limit 5""")
         metric.format(label=n, source=s) for n, s in (("baseline", base), ("modelo1", test.format(m="m1")), ("modelo2", test.format(m="m2")))))
     q["compare_models"] = recursive(both + "\n" + "\nunion all ".join(
         f"select 'modelo{i}' as model, obs_id, speed as actual, round(p, 6) as predicted, round(speed - p, 6) as residual from m{i}_pred where split = 'test'" for i in (1, 2)))
-    q["report_tables"] = recursive(both + """
-select 'Modelo 2' as model, row_number() over (order by abs(b) desc, variable) as rank, variable, round(b, 3) as coef, round(pv, 4) as p_value
-from m2_table where variable <> 'const' order by 2 limit 10""")
+    q["forward_select_regression"] = recursive(one + forward_selection(10) + "\n" + "\nunion all ".join(
+        f"select {i} as step, variable as feature, round(score, 6) as score from p{i} join names on j = k" for i in range(1, 11)))
+    q["residual_grid"] = recursive(one + """,
+pts AS (select p as x, speed - p as y from m1_pred where split = 'train'),
+span AS (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from pts),
+cell AS (select least(floor((x - x0) * 40.0 / (x1 - x0)), 39)::int as x_bin, least(floor((y - y0) * 40.0 / (y1 - y0)), 39)::int as y_bin, count(*) as n from pts, span group by 1, 2)
+select x_bin, y_bin, round(x0 + (x_bin + 0.5) * (x1 - x0) / 40, 6) as x, round(y0 + (y_bin + 0.5) * (y1 - y0) / 40, 6) as y, n as count from cell, span""")
+    q["format_findings"] = recursive(both + findings_ctes() + diagnostics("m1") + diagnostics("m2") + """
+select section, line_no, text from numbered where section = 'findings' and line_no > 1
+union all select 'diagnostics_modelo1', line_no, text from m1_lines union all select 'diagnostics_modelo2', line_no, text from m2_lines""")
     lines = "\n  ".join(
         f"""union all select 'findings', {100 * i} + r, printf('- Modelo {i} {verb} a %s con coeficiente %.3f (p=%.3f).', variable, b, pv)
     from (select *, row_number() over (order by abs(b) desc, variable) as r from m{i}_table where variable <> 'const') where r <= 5"""
         for i, verb in ((1, "resalta"), (2, "identifica")))
-    q["run_all"] = recursive(both + findings_ctes(lines) + "\nselect * from numbered")
     q["logit_inference"] = recursive(design_ctes(LABELS) + logit() + f""",
 z AS (select j, b, se, -abs(b / se) as nz from logit)
 select variable, round(b, 6) as coef, round(se, 4) as std_err, round(2 * {norm_cdf_sql('nz')}, 4) as p_value, round(exp(b), 4) as odds_ratio, null::varchar as note
 from z join names using (j)""")
+    text = recursive(both + findings_ctes(lines) + "\nselect * from numbered")
     k = len(NUM_FEATS)
     row = lambda a: "[" + ", ".join([f"corr({a}, {b})" for b in NUM_FEATS] + ["1.0" if a == b else "0.0" for b in NUM_FEATS]) + "]"
     q["vif"] = recursive(REG + f""",
@@ -219,4 +272,7 @@ square AS (select {len(NUMERIC)} as n, [{corr}] as m from complete),
 {jacobi('eig', 'square')},
 vals AS (select row_number() over (order by m[i][i] desc) as k, m[i][i] / n as share from eig, range(1, n + 1) t(i))
 select 'PC' || k as component, round(100 * share, 2) as var_exp, round(100 * sum(share) over (order by k), 2) as var_exp_cum, k from vals""")
+    q["vif_sorted"] = f"""select row_number() over (order by vif desc, variable) as rank, variable, vif, vif > 10 as high from ({q['vif']}) v order by 1 limit 15"""
+    q["report_tables"] = report_tables({**known, **q}, both)
+    q["flow_text"] = text
     return q

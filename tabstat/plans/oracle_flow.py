@@ -100,5 +100,4 @@ union all select 'length_log1p_copy', round(b, 6), null, null, 'ridge_fallback'
 
     find = findings_ctes()
     q["findings"] = with_obs(find + "\nselect * from numbered")
-    q["format_findings"] = with_obs(find + "\nselect * from numbered where section = 'findings' and line_no > 1")
     return q

@@ -100,7 +100,10 @@ kept AS (select lvl from shares where share >= 0.03)"""
     q["rare_label_fit"] = with_obs(kept + "\nselect 'district' as variable, lvl as level from kept")
     bucket = "case when district is null then null when district in (select lvl from kept) then district else '__RARE__' end"
     q["rare_bucket"] = with_obs(kept + f"\nselect obs_id, {bucket} as district from obs")
-    q["kept_lookup"] = q["rare_bucket"]
+    q["kept_lookup"] = with_obs(REG + """,
+shares AS (select district as lvl, count(*) / sum(count(*)) over () as share from tr where district is not null group by 1)
+select district as level, case when share >= 0.03 then district else '__RARE__' end as bucket, count(*) as n
+from te left join shares on lvl = district where district is not null group by 1, 2""")
     q["one_hot"] = with_obs(kept + f""",
 b AS (select obs_id, {bucket} as d, peak from obs),
 first AS (select min(d) as f from b)
@@ -182,6 +185,11 @@ ql AS (select regr_slope(v, th) as slope, regr_intercept(v, th) as intercept, co
 select position, round(th, 6) as theoretical, v as ordered, round(slope, 6) as slope, round(intercept, 6) as intercept,
   round(r, 6) as r from q1, ql""")
 
+    q["qq_thinned"] = with_obs(qq + """,
+keep AS (select 1 + (j * ((select count(*) from q1) - 1)) // 499 as position from range(500) r(j)),
+thin AS (select q1.position, th, v, v - lag(v) over (order by q1.position) as step from q1 join keep using (position))
+select position, round(th, 6) as theoretical, v as ordered, (select round(max(step), 6) from thin) as largest_step from thin""")
+
     one = REG + """,
 fit AS (select regr_slope(speed, length_log1p) as b1, regr_intercept(speed, length_log1p) as b0,
   avg(length_log1p) as xbar, regr_sxx(speed, length_log1p) as sxx, count(*) as n, avg(speed) as ybar from tr),
@@ -220,7 +228,7 @@ select round(least(min(speed), min(b0 + b1 * length_log1p)), 6) as lo,
     long_parts.append("select fold, speed, 'district_' || tb.lvl, case when tr.district = tb.lvl then 1.0 else 0.0 end "
                       "from tr, tb, tfirst where tb.lvl <> tfirst.f")
     long_parts.append("select fold, speed, 'peak_Valle', case when peak = 'Valle' then 1.0 else 0.0 end from tr")
-    q["forward_select_regression"] = with_obs(REG + train_levels + f""",
+    q["candidate_scores"] = with_obs(REG + train_levels + f""",
 lf AS ({union(long_parts)}),
 fs AS (select f, fold, count(*) as n, sum(v) as sx, sum(y) as sy, sum(v * v) as sxx, sum(v * y) as sxy, sum(y * y) as syy
   from lf group by f, fold),
@@ -232,7 +240,7 @@ ca AS (select *, (ty - b * tx) / tn as a from cb),
 sse AS (select f, fold, n, syy - 2 * a * sy - 2 * b * sxy + a * a * n + 2 * a * b * sx + b * b * sxx as e from ca)
 select f as feature, round(avg(-sqrt(greatest(e, 0) / n)), 6) as score from sse group by f""")
 
-    q["vif_sorted"] = with_obs(REG + """
+    q["vif_pair"] = with_obs(REG + """
 select v as variable, round(1 / (1 - pow(r, 2)), 6) as vif from (select corr(length, length_log1p) as r from tr),
   (values ('length'), ('length_log1p')) t(v)""")
 
@@ -288,5 +296,7 @@ select 'baseline' as model, round(avg(case when target_bin = predicted then 1.0
 cl AS (select distinct target_bin as c from clf)
 select a.c as actual, p.c as predicted, coalesce(k.cnt, 0) as count from cl a cross join cl p
 left join (select target_bin, predicted, count(*) as cnt from bp group by 1, 2) k on k.target_bin = a.c and k.predicted = p.c""")
-    q["label_grid"] = q["confusion_grid"]
+    q["label_grid"] = with_obs(CLF + """,
+cl AS (select distinct target_bin as c from clf)
+select a.c as actual, p.c as predicted, a.c = p.c as hit from cl a cross join cl p""")
     return q

@@ -229,25 +229,36 @@ group by g.point, g.x, s.n, s.bw""")
     q.update(_rows())
     q.update(_model())
     q.update(_flow())
-    q.update(_fits())
+    q.update(_fits(q))
     q.update(_classify())
-    q["profile"] = _profile(q)
+    q["profile"] = _long(q, PROFILE)
+    q["run_all"] = f"""select part, row, name, round(value, 6) as value, null::varchar as text from ({_long(q, PROFILE + FLOW)}) l
+union all select 'findings', section || '|' || line_no, 'text', null, text from ({q.pop("flow_text")}) f"""
     return q
 
 
-def _profile(q: dict[str, str]) -> str:
-    """The profile's parts, each from its own SQL, as (part, row, name, value)."""
-    parts = [
-        ("numeric_summary", "numeric_summary", ["variable"], ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]),
-        ("categorical_profile", "categorical_profile", ["variable", "top"], ["n_distinct", "freq_top"]),
-        ("category_counts", "category_counts_topk", ["variable", "value"], ["count"]),
-        ("missing_report", "missing_report", ["variable"], ["n_missing", "pct_missing"]),
-        ("correlation_matrix", "correlation_matrix", ["var1", "var2"], ["corr"]),
-        ("histogram_bins", "histogram_bins", ["variable", "bin"], ["lower", "upper", "count"]),
-        ("density_grid", "density_grid", ["variable", "point"], ["x", "density"]),
-        ("boxplot_stats", "boxplot_stats", ["variable"], ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]),
-        ("group_summary", "group_summary", ["district"], ["n_segments", "speed_mean", "speed_std", "length_mean", "duration_min_mean"]),
-    ]
+# parts of the profile and of the full flow: (part, query, key columns, value columns)
+PROFILE = [
+    ("numeric_summary", "numeric_summary", ["variable"], ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]),
+    ("categorical_profile", "categorical_profile", ["variable", "top"], ["n_distinct", "freq_top"]),
+    ("category_counts", "category_counts_topk", ["variable", "value"], ["count"]),
+    ("missing_report", "missing_report", ["variable"], ["n_missing", "pct_missing"]),
+    ("correlation_matrix", "correlation_matrix", ["var1", "var2"], ["corr"]),
+    ("histogram_bins", "histogram_bins", ["variable", "bin"], ["lower", "upper", "count"]),
+    ("density_grid", "density_grid", ["variable", "point"], ["x", "density"]),
+    ("boxplot_stats", "boxplot_stats", ["variable"], ["q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]),
+    ("group_summary", "group_summary", ["district"], ["n_segments", "speed_mean", "speed_std", "length_mean", "duration_min_mean"]),
+]
+FLOW = [
+    ("metrics", "model_regression", ["model"], ["rmse", "r2", "mae", "bias"]),
+    ("vif", "vif", ["variable"], ["vif"]),
+    ("selection_trace", "forward_select_regression", ["step", "feature"], ["score"]),
+    ("report_tables", "report_tables", ["part", "ord", "name", "text"], ["value", "p_value", "std_err"]),
+]
+
+
+def _long(q: dict[str, str], parts: list[tuple]) -> str:
+    """The parts, each from its own SQL, as (part, row, name, value)."""
     out = []
     for part, source, keys, values in parts:
         row = "concat_ws('|', " + ", ".join(f'cast("{k}" as varchar)' for k in keys) + ")"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelOptions, Roles
 from ..operators import profile as prof
+from ..operators.columns import schema_profile
 from ..operators.linear import COEF_SCHEMA, ols_with_checks
 from ..operators.pca import pca_fit
 from ..session import scratch_path
@@ -122,7 +123,12 @@ def q_model_regression(spark, sf_dir):
 
 
 def q_coef_union_dropped(spark, sf_dir):
-    coef = regression_run(spark, sf_dir).coef_df(spark, 1)
+    """Model 1 with one more feature that never varies: it is dropped from the
+    fit and listed without numbers."""
+    md = regression_run(spark, sf_dir).data
+    train = md.train.withColumn("flat", F.lit(2.5))
+    res = ols_with_checks(train, [*md.names, "flat"], md.target, diagnostics=False)
+    coef = spark.createDataFrame(res.table_rows(), COEF_SCHEMA)
     return coef.select("variable", *[F.round(c, 6).alias(c) for c in ("coef", "std_err", "p_value")], "note")
 
 
@@ -167,15 +173,31 @@ def q_compare_models(spark, sf_dir):
 
 
 def q_report_tables(spark, sf_dir):
-    """Coefficient table of the first OLS-sourced model (model 2 before 1),
-    top 10 by |coef|, rounded as in the report."""
+    """The report's five tables in one long form."""
+    df, _ = _obs(spark, sf_dir)
+    rows = report.report_rows(regression_run(spark, sf_dir), schema_profile(df), df.columns, R)
+    return spark.createDataFrame(rows, report.REPORT_SCHEMA)
+
+
+def q_forward_select_regression(spark, sf_dir):
+    """Every step of the selection with its cross-validated score."""
+    trace = spark.createDataFrame(regression_run(spark, sf_dir).trace, "step int, feature string, score double")
+    return trace.withColumn("score", F.round("score", 6))
+
+
+def q_vif_sorted(spark, sf_dir):
+    """The largest 15 VIFs of all numeric features, with the threshold's verdict."""
+    limit = ModelOptions().vif_threshold
+    rows = sorted(regression_run(spark, sf_dir).vif, key=lambda r: (-round(r[1], 6), r[0]))[:15]
+    return spark.createDataFrame([(i, c, round(v, 6), v > limit) for i, (c, v) in enumerate(rows, 1)], "rank int, variable string, vif double, high boolean")
+
+
+def q_residual_grid(spark, sf_dir):
+    """Fitted value against residual of model 1 over the training rows, as
+    counts on a 40 x 40 grid."""
     run = regression_run(spark, sf_dir)
-    label, res = next(((lbl, r) for lbl, r in (("Modelo 2", run.ols2), ("Modelo 1", run.ols1)) if r.source == "ols"),
-                      ("Modelo 2", run.ols2))
-    coef = spark.createDataFrame(res.table_rows(), COEF_SCHEMA)
-    top = report.top_coefficients(coef, 10)
-    return top.select(F.lit(label).alias("model"), "rank", "variable", F.round("coef", 3).alias("coef"),
-                      F.round("p_value", 4).alias("p_value"))
+    points = residual_points(run.data, run.model1).where("split = 'train'")
+    return prof.point_grid(points, "predicted", "residual", 40).select("x_bin", "y_bin", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "count")
 
 
 def q_feature_matrix(spark, sf_dir):
@@ -261,19 +283,44 @@ def q_findings(spark, sf_dir):
 
 
 def q_format_findings(spark, sf_dir):
+    """The sentences of the findings and each model's diagnostics text."""
     corr, peak, slow, miss = _findings_inputs(spark, sf_dir)
-    return report.findings(spark, corr, peak, slow, miss).where("section = 'findings' and line_no > 1")
+    found = report.findings(spark, corr, peak, slow, miss).where("section = 'findings' and line_no > 1")
+    run = regression_run(spark, sf_dir)
+    lines = [(f"diagnostics_{m}", i, t) for m, res in (("modelo1", run.ols1), ("modelo2", run.ols2)) for i, t in enumerate(report.diagnostic_lines(res.diagnostics), 1)]
+    return found.unionByName(spark.createDataFrame(lines, "section string, line_no int, text string"))
+
+
+# written tables of the full flow that are compared beside the findings text
+FLOW_PARTS = {
+    **{part: (keys, values) for part, (_, keys, values) in PROFILE_PARTS.items()},
+    "metrics": (["model"], ["rmse", "r2", "mae", "bias"]),
+    "vif": (["variable"], ["vif"]),
+    "selection_trace": (["step", "feature"], ["score"]),
+    "report_tables": (["part", "ord", "name", "text"], ["value", "p_value", "std_err"]),
+}
 
 
 def q_run_all(spark, sf_dir):
-    """Full flow on the prepared table (written once): every result table is
-    written to a folder under the shared checkpoint folder; returns the
-    findings text with the coefficient lines."""
+    """Full flow on the prepared table: every result table is written to a
+    folder under the shared checkpoint folder and read back: (part, row, name,
+    value, text) of the tables of FLOW_PARTS and the findings text."""
     from .run_all import run_all
 
     df, _ = _obs(spark, sf_dir)
-    lines, _ = run_all(spark, df, scratch_path(spark, "run-all"), ModelOptions(), R)
-    return lines
+    lines, written = run_all(spark, df, scratch_path(spark, "run-all"), ModelOptions(), R)
+    nothing = F.lit(None)
+    out = lines.select(F.lit("findings").alias("part"), F.concat_ws("|", "section", F.col("line_no").cast("string")).alias("row"),
+                       F.lit("text").alias("name"), nothing.cast("double").alias("value"), "text")
+    for part, (keys, values) in FLOW_PARTS.items():
+        table = spark.read.parquet(written[part])
+        if part == "density_grid":
+            table = table.where(F.col("variable") == R.speed_num)
+        row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        cells = F.array(*[F.struct(F.lit(v).alias("name"), F.round(F.col(v).cast("double"), 6).alias("value")) for v in values])
+        cells = table.select(F.lit(part).alias("part"), row.alias("row"), F.explode(cells).alias("c"))
+        out = out.unionByName(cells.select("part", "row", "c.name", "c.value", nothing.cast("string").alias("text")))
+    return out
 
 
 QUERIES = {
@@ -291,6 +338,9 @@ QUERIES = {
     "pca_fit": q_pca_fit,
     "compare_models": q_compare_models,
     "report_tables": q_report_tables,
+    "forward_select_regression": q_forward_select_regression,
+    "vif_sorted": q_vif_sorted,
+    "residual_grid": q_residual_grid,
     "model_regression": q_model_regression,
     "model_classification": q_model_classification,
     "compare_models_classification": q_compare_models_classification,

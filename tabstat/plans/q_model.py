@@ -112,6 +112,15 @@ def q_rare_bucket(spark, sf_dir):
     return m.transform(df).select(R.key, R.district)
 
 
+def q_kept_lookup(spark, sf_dir):
+    """The levels kept from the training rows, looked up for every district of
+    the test rows: (level, bucket, n)."""
+    s, _, _ = _reg_frame(spark, sf_dir)
+    m = feat.RareLabel(inputCols=[R.district], minProp=RARE_PROP).fit(s.where("split = 'train'"))
+    test = s.where("split = 'test'").withColumn("level", F.col(R.district))
+    return m.transform(test).groupBy("level", F.col(R.district).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_one_hot(spark, sf_dir):
     """Long form of the one-hot matrix: the active dummy of each row (NULL for
     the dropped first level)."""
@@ -187,6 +196,13 @@ def q_normality_auto(spark, sf_dir):
     return _test_row(spark, nt.normality_auto(df, cols, R.speed_num))
 
 
+def q_qq_thinned(spark, sf_dir):
+    """500 evenly spread QQ positions and the largest rise between them."""
+    df, _ = _obs(spark, sf_dir)
+    pts, line = nt.qq_points(df, R.speed_num, thin=500)
+    return pts.select("position", F.round("theoretical", 6).alias("theoretical"), "ordered", F.lit(round(line["largest_step"], 6)).alias("largest_step"))
+
+
 def q_shapiro_wilk(spark, sf_dir):
     sup = table(spark, sf_dir, "supplier")
     return _test_row(spark, nt.shapiro_wilk(sup, "s_acctbal", key="s_suppkey"))
@@ -292,9 +308,8 @@ def q_axis_range(spark, sf_dir):
                  F.round(F.greatest(F.max(target), F.max(pred)), 6).alias("hi"))
 
 
-def q_forward_select_regression(spark, sf_dir):
-    """Step-1 cross-validated score of every single feature (then the full
-    selection order is in ``model_regression``)."""
+def q_candidate_scores(spark, sf_dir):
+    """Step-1 cross-validated score of every single feature."""
     s, fl, target, pre = _preprocessed(spark, sf_dir)
     frame = pre.transform(s, [R.key, "split", "fold", target]).where("split = 'train'")
     grams = collect_gram(frame, pre.names + [target], fold=F.col("fold"))
@@ -305,7 +320,7 @@ def q_forward_select_regression(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, score double")
 
 
-def q_vif_sorted(spark, sf_dir):
+def q_vif_pair(spark, sf_dir):
     s, _, _ = _reg_frame(spark, sf_dir)
     df, _ = _obs(spark, sf_dir)
     train = s.where("split = 'train'").select(R.key).join(df.select(R.key, R.length_num, R.length_log1p), R.key)
@@ -401,6 +416,12 @@ def q_confusion_grid(spark, sf_dir):
     return clf.confusion_grid(p, target, classes)
 
 
+def q_label_grid(spark, sf_dir):
+    """Every pair of classes of the target, without counts."""
+    _, _, classes = _baseline_pred(spark, sf_dir)
+    return clf.label_grid(spark, classes)
+
+
 QUERIES = {
     "split_train_test": q_split_train_test,
     "split_stratified": q_split_stratified,
@@ -409,7 +430,7 @@ QUERIES = {
     "standard_scale": q_standard_scale,
     "rare_label_fit": q_rare_label_fit,
     "rare_bucket": q_rare_bucket,
-    "kept_lookup": q_rare_bucket,
+    "kept_lookup": q_kept_lookup,
     "one_hot": q_one_hot,
     "feature_names": q_feature_names,
     "mask_select": q_mask_select,
@@ -421,6 +442,7 @@ QUERIES = {
     "ks_normal": q_ks_normal,
     "dagostino_k2": q_dagostino_k2,
     "qq_points": q_qq_points,
+    "qq_thinned": q_qq_thinned,
     "linear_fit_predict": q_linear_fit_predict,
     "ols_robust": q_ols_robust,
     "breusch_pagan": q_breusch_pagan,
@@ -430,8 +452,8 @@ QUERIES = {
     "metrics_table": q_metrics_table,
     "residual_points": q_residual_points,
     "axis_range": q_axis_range,
-    "forward_select_regression": q_forward_select_regression,
-    "vif_sorted": q_vif_sorted,
+    "candidate_scores": q_candidate_scores,
+    "vif_pair": q_vif_pair,
     "explained_variance": q_explained_variance,
     "components_for_95": q_components_for_95,
     "loading_rank": q_loading_rank,
@@ -442,6 +464,6 @@ QUERIES = {
     "pr_curve": q_pr_curve,
     "baseline_classification": q_baseline_classification,
     "confusion_grid": q_confusion_grid,
-    "label_grid": q_confusion_grid,
+    "label_grid": q_label_grid,
 }
 

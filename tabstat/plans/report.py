@@ -22,6 +22,20 @@ FIXED_ADVICE = [
     "- Realizar seguimiento continuo y recalibración con datos más recientes para capturar cambios de movilidad.",
 ]
 
+# Wording of the diagnostics text and of the report's notes.
+HC1_LINE = "Errores estándar robustos HC1 utilizados para la inferencia."
+NORMALITY_LINE = "Prueba de normalidad ({test}): estadístico={stat} p-value={p}"
+BREUSCH_PAGAN_LINE = "Breusch-Pagan: LM p-value={lm} | F p-value={f}"
+SHOWN_NOTE = "Coeficientes mostrados: {label} (fuente: {source})."
+HOUR_NOTES = {True: "'hora_central' fue eliminada tras usar codificación cíclica (hora_sin, hora_cos).",
+              False: "'hora_central' no estuvo disponible para la codificación cíclica."}
+LENGTH_NOTES = {True: "'Largo km' se excluyó del modelado; se utiliza únicamente 'Largo_km_log1p'.",
+                False: "'Largo km' permanece en el modelado por falta de transformación alternativa."}
+FEATURES_LINE = "• Variables empleadas → num: {num}, cat (OHE): {cat}."
+METRIC_NAMES = ("RMSE", "R2", "MAE", "Bias")
+METRIC_LINE = "• {name}: {value:.3f}"
+SOURCE_LINES = {"ols": "• Coeficientes estimados con OLS y errores HC1.", "ridge": "• Se recurrió a Ridge ante problemas de OLS."}
+
 LINES_SCHEMA = "section string, ord long, text string"
 
 
@@ -84,3 +98,66 @@ def findings(spark: SparkSession, corr_pairs: DataFrame, peak_means: DataFrame,
         out = out.unionByName(p)
     w = Window.partitionBy("section").orderBy("ord")  # a handful of lines per section
     return out.select("section", F.row_number().over(w).alias("line_no"), "text")
+
+
+def _number(value, digits: int) -> str:
+    return "nan" if value is None or value != value else f"{value:.{digits}f}"
+
+
+def diagnostic_lines(diagnostics: dict) -> list[str]:
+    """The diagnostics text of one model (empty without diagnostics, as after
+    a ridge fit)."""
+    if not diagnostics:
+        return []
+    d = diagnostics
+    return [
+        HC1_LINE,
+        NORMALITY_LINE.format(test=d["normality_test"], stat=_number(d["normality_stat"], 4), p=_number(d["normality_p"], 5)),
+        BREUSCH_PAGAN_LINE.format(lm=_number(d["bp_lm_pvalue"], 5), f=_number(d["bp_f_pvalue"], 5)),
+    ]
+
+
+REPORT_SCHEMA = "part string, ord int, name string, value double, p_value double, std_err double, text string"
+
+
+def report_rows(run, data_profile: list[tuple[str, int]], columns: list[str], roles: Roles = Roles()) -> list[tuple]:
+    """The report's tables of a regression run in one long form, see
+    ``REPORT_SCHEMA``:
+
+    * vif: the 15 largest, by size;
+    * coefficients: the 10 largest |coef| of the first model fitted by least
+      squares (model 2 before 1, else model 2), without the constant;
+    * notes: text lines;
+    * data: rows, columns, numeric and other columns;
+    * modelo1, modelo2: the 8 largest |coef|, with p-values and HC1 errors
+      only where they come from least squares, and the text lines beside them
+      (modelo1_text, modelo2_text).
+    """
+    rows: list[tuple] = []
+
+    def add(part, entries):
+        rows.extend((part, i, *e) for i, e in enumerate(entries, 1))
+
+    def largest(result, k):
+        table = [r for r in result.table_rows() if r[0] != "const" and r[1] is not None]
+        return sorted(table, key=lambda r: (-abs(r[1]), r[0]))[:k]
+
+    def cut(value, digits):
+        return None if value is None else round(value, digits)
+
+    models = {"Modelo 1": run.ols1, "Modelo 2": run.ols2}
+    label = next((m for m in ("Modelo 2", "Modelo 1") if models[m].source == "ols"), "Modelo 2")
+    add("vif", [(c, round(v, 2), None, None, None) for c, v in sorted(run.vif, key=lambda t: (-round(t[1], 6), t[0]))[:15]])
+    add("coefficients", [(v, round(b, 3), cut(p, 4), None, None) for v, b, _, p, _ in largest(models[label], 10)])
+    notes = [SHOWN_NOTE.format(label=label, source=models[label].source), HOUR_NOTES[roles.hour_sin in columns], LENGTH_NOTES[roles.length_log1p in columns]]
+    add("notes", [(None, None, None, None, t) for t in notes])
+    add("data", [(name, float(n), None, None, None) for name, n in data_profile])
+    metrics = {m[0]: m[1:] for m in run.metrics}
+    for part, result in (("modelo1", run.ols1), ("modelo2", run.ols2)):
+        ols = result.source == "ols"
+        add(part, [(v, round(b, 4), cut(p, 4) if ols else None, cut(se, 4) if ols else None, None) for v, b, se, p, _ in largest(result, 8)])
+        lists = run.data.lists
+        lines = [FEATURES_LINE.format(num=len(lists.numeric), cat=len(lists.categorical))]
+        lines += [METRIC_LINE.format(name=n, value=v) for n, v in zip(METRIC_NAMES, metrics[part])]
+        add(f"{part}_text", [(None, None, None, None, t) for t in [*lines, SOURCE_LINES["ols" if ols else "ridge"]]])
+    return rows

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tabstat.functions.normal import norm_cdf
 from tabstat.operators import features as feat
 from tabstat.operators import normality as nt
+from tabstat.operators.profile import point_grid
 
 
 def test_shapiro_wilk_published_example(spark):
@@ -159,3 +160,41 @@ def test_split_passes_do_not_grow_with_the_classes(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"split-{classes}")))
     spark.sparkContext.setJobGroup("tests", "tests")
     assert jobs[1] <= jobs[0] + 1
+
+
+def test_thinned_qq_holds_its_error(spark):
+    rng = np.random.default_rng(21)
+    x = np.round(rng.exponential(size=4000), 2)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
+    whole = nt.qq_points(df, "x")[0].orderBy("position").toPandas()
+    for k in (2, 3, 50, 999):
+        pts, line = nt.qq_points(df, "x", thin=k)
+        pts = pts.orderBy("position").toPandas()
+        assert pts["position"].tolist() == [1 + (j * 3999) // (k - 1) for j in range(k)]
+        at = pts["position"] - 1
+        assert np.allclose(pts["ordered"], whole["ordered"].iloc[at]) and np.allclose(pts["theoretical"], whole["theoretical"].iloc[at])
+        drawn = np.interp(whole["theoretical"], pts["theoretical"], pts["ordered"])
+        assert np.abs(drawn - whole["ordered"]).max() <= line["largest_step"] + 1e-12
+    assert nt.qq_points(df, "x", thin=5000)[0].count() == 4000
+
+
+def test_point_grid_counts_every_row(spark):
+    rng = np.random.default_rng(22)
+    x, y = rng.normal(size=3000), rng.exponential(size=3000)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    got = point_grid(df, "x", "y", 20)
+    want, _, _ = np.histogram2d(x, y, bins=20)
+    cells = {(r.x_bin, r.y_bin): r["count"] for r in got.collect()}
+    assert cells == {(i, j): int(want[i, j]) for i in range(20) for j in range(20) if want[i, j]}
+    assert point_grid(df.where("x > 1e9"), "x", "y").count() == 0
+    flat = point_grid(df.select(F.lit(1.0).alias("x"), "y"), "x", "y", 4).collect()
+    assert {r.x_bin for r in flat} == {0} and sum(r["count"] for r in flat) == 3002
+
+
+def test_normality_test_is_a_parameter(spark):
+    df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).normal(size=200)], "x double")
+    names = [nt.normality_auto(df, ["x"], "x", t, n).test for t, n in (("auto", 5000), ("auto", 100), ("shapiro", 1), ("ks", 5000))]
+    assert names == ["Shapiro-Wilk", "Kolmogorov-Smirnov", "Shapiro-Wilk", "Kolmogorov-Smirnov"]
+    assert [nt.residual_test(df, "x", 200, t, n).test for t, n in (("auto", 5000), ("auto", 100), ("k2", 5000))] == ["Shapiro-Wilk", "D'Agostino K²", "D'Agostino K²"]
+    with pytest.raises(ValueError):
+        nt.normality_auto(df, ["x"], "x", "t")
