@@ -1,10 +1,11 @@
 """Operator 10: near-duplicate lines by a deletion-neighbourhood join, in SQL
 functions only.
 
-A line is a run of words (separated by blanks). Lines of ``MIN_WORDS`` words
-or more take part; a line goes if it equals an earlier line or if an earlier
-line is within one word edit (a word changed, added or left out). Earlier
-means by document id (null first), then document, then line number.
+A line is a run of words (separated by blanks). A line goes if it equals an
+earlier line, whatever its length, or if both have ``min_words`` words or more
+and it is within one word edit (a word changed, added or left out) of an
+earlier line. Earlier means by document id (null first), then document, then
+line number.
 
 1. Equal lines are collapsed to their first occurrence.
 2. Of two lines within one edit, the first or the last half is equal, so only
@@ -12,13 +13,14 @@ means by document id (null first), then document, then line number.
 3. Every such line emits itself and all its variants with one word left out as
    hashed keys. Lines with the same variant at the same place differ in that
    word at most; a line whose variant is another whole line has one word more.
-   The earliest line of each key comes from an aggregate, so a key shared by
-   very many lines makes no pairs.
+   The variants are made once and written with an 8-byte number of the line;
+   those that meet no other line end there. The earliest line of each key
+   comes from an aggregate, so a key shared by very many lines makes no pairs.
 4. Each line and its earliest partner are compared word by word.
 
-Cases: null and empty texts have no lines; shorter lines always stay; in rows
-that repeat id and text the same lines go (they are one document); a text
-whose lines all go becomes empty, and ``dedup_lines`` can drop it; empty
+Cases: null and empty texts have no lines; lines without a word always stay;
+in rows that repeat id and text the same lines go (they are one document); a
+text whose lines all go becomes empty, and ``dedup_lines`` can drop it; empty
 tables give empty results; other columns pass through.
 """
 
@@ -30,20 +32,24 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .shared import identity, sized
 
-MIN_WORDS = 8
-_BLANK = r"[\x20\x09-\x0D]+"
+MIN_WORDS = 8  # of lines that are compared within an edit
 
 
 def _words(line: str) -> str:
-    return rf"filter(split({line}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    """Words of a line whose blanks are spaces; one character to split on
+    needs no regular expression per line."""
+    return f"array_remove(split({line}, ' '), '')"
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k1, k2, ln, words) of each line that takes part."""
-    base = docs.select(F.col(id_col).alias("id"), *identity(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    """(id, k1, k2, ln, words) of each line with a word."""
+    text = F.col(text_col).cast("string")
+    for blank in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    base = docs.select(F.col(id_col).alias("id"), *identity(F.col(id_col), F.col(text_col)), text.alias("text"))
     # one row per document: rows that repeat id and text have the same lines
     lines = base.select("id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return lines.select("id", "k1", "k2", "ln", F.expr(_words("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    return lines.select("id", "k1", "k2", "ln", F.expr(_words("line")).alias("words")).where(F.size("words") > 0)
 
 
 def _halves() -> Column:
@@ -85,12 +91,13 @@ def within_one(a: str, b: str) -> Column:
         ELSE false END""")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k1, k2, n_lines, removed): per document with a line that takes
-    part, how many do and the sorted numbers (from 0) of those that go."""
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, k1, k2, n_lines, removed): per document with a line, how many it
+    has and the sorted numbers (from 0) of those that go."""
     lines = line_table(docs, id_col, text_col)
     place = F.struct("id", "k1", "k2", "ln")
-    seen = lines.select("id", "k1", "k2", "ln", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), "words").alias("h2"), _halves().alias("halves"))
+    halves = F.when(F.size("words") >= min_words, _halves())
+    seen = lines.select("id", "k1", "k2", "ln", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), halves.alias("halves"))
     seen = materialize(seen.distinct() if _repeats(docs, id_col, text_col) else seen, "lines")
 
     first = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves"))
@@ -106,12 +113,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.join(sized(materialize(wanted, "half_match_docs"), 32), ["k1", "k2"], "left_semi")
     again = line_table(texts, id_col, text_col).select("k1", "k2", "ln", "words")
     full = again.join(survivors, ["k1", "k2", "ln"]).select(place.alias("place"), "words").dropDuplicates(["place"])
-    full = materialize(full, "line_words")
+    full = materialize(full.withColumn("line", F.monotonically_increasing_id()), "line_words")
 
-    variants = full.select("place", F.posexplode(_variant_keys()).alias("at", "key"))
+    variants = materialize(full.select("line", F.posexplode(_variant_keys()).alias("at", "key")), "variants")
     # most keys have one line only: those go before the lines' places move
     met = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    variants = materialize(variants.join(met, "key", "left_semi"), "variants")
+    places = sized(full.select("line", "place"), 72)
+    variants = materialize(variants.join(met, "key", "left_semi").join(places, "line").select("place", "at", "key"), "met_variants")
     same = variants.groupBy("key", "at").agg(F.min("place").alias("same"))
     by_key = same.groupBy("key").agg(F.min(F.when(F.col("at") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("at") > 0, F.col("same"))).alias("longer"))
     judged = variants.join(same, ["key", "at"]).join(by_key, "key")
@@ -168,10 +176,10 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH l AS (SELECT doc_id, ln - 1 AS ln, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)),
-ok AS (SELECT doc_id, ln, w, array_to_string(w, ' ') AS k, len(w) AS n FROM l WHERE len(w) >= 8),
+ok AS (SELECT doc_id, ln, w, array_to_string(w, ' ') AS k, len(w) AS n FROM l WHERE len(w) > 0),
 f AS (SELECT k, any_value(w) AS w, any_value(n) AS n, min((doc_id, ln)) AS p FROM ok GROUP BY k),
 h AS (SELECT k, w, n, p, g, unnest([('head', array_to_string(w[1:g//2], ' ')), ('tail', array_to_string(w[n - (g - g//2) + 1:n], ' '))]) AS half
-      FROM (SELECT *, unnest([n, n - 1]) AS g FROM f)),
+      FROM (SELECT *, unnest([n, n - 1]) AS g FROM f WHERE n >= 8)),
 c AS (SELECT DISTINCT a.k, a.w AS aw, b.w AS bw FROM h a JOIN h b ON a.g = b.g AND a.half = b.half AND b.p < a.p),
 near AS (SELECT DISTINCT k FROM c WHERE
       (len(aw) = len(bw) AND len(list_filter(range(1, len(aw) + 1), lambda i: aw[i] <> bw[i])) <= 1)

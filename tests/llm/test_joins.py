@@ -103,12 +103,13 @@ def distance_one(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def plain_line_dedup(docs):
-    """Numbers of the lines that go, by position in the list."""
-    lines = [(d, i, ln.split()) for d, t in docs for i, ln in enumerate((t or "").split("\n")) if len(ln.split()) >= line_dedup.MIN_WORDS]
+def plain_line_dedup(docs, min_words=line_dedup.MIN_WORDS):
+    """Numbers of the lines that go, by position in the list: exact repeats of
+    any length, and edits among lines of min_words or more."""
+    lines = [(d, i, ln.split()) for d, t in docs for i, ln in enumerate((t or "").split("\n")) if ln.split()]
     gone = [set() for _ in docs]
-    for x, (d, i, w) in enumerate(lines):
-        if any((e, j) < (d, i) and distance_one(w, v) for e, j, v in lines):
+    for d, i, w in lines:
+        if any((e, j) < (d, i) and (w == v or min(len(w), len(v)) >= min_words and distance_one(w, v)) for e, j, v in lines):
             gone[d].add(i)
     return gone
 
@@ -116,7 +117,7 @@ def plain_line_dedup(docs):
 def line_docs(seed=9):
     rng = random.Random(seed)
     vocab = [f"v{i}" for i in range(6)] + ["Le", "le"]
-    pool = [rng.choices(vocab, k=rng.randint(6, 14)) for _ in range(40)]
+    pool = [rng.choices(vocab, k=rng.choice([1, 2, *range(6, 15)])) for _ in range(40)]
     out = []
     for d in range(60):
         text = []
@@ -141,6 +142,15 @@ def test_line_dedup(spark):
     assert texts == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
 
 
+def test_short_lines_repeat_exactly_only(spark):
+    docs = [(0, "one two\none  two\r\none three\n\n \nx"), (1, "x\ny\none two\t"), (2, "a b c d e f g h\na b c d e f g i"), (3, "a b c d e f g")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for least in (8, 3):
+        found = {r.id: r.removed for r in line_dedup.duplicate_lines(df, min_words=least).collect()}
+        assert [set(found[d]) for d, _ in docs] == plain_line_dedup(docs, least)
+    assert found == {0: [1], 1: [0, 2], 2: [1], 3: [0]}
+
+
 def test_within_one(spark):
     rng = random.Random(1)
     rows = [(rng.choices("ab", k=rng.randint(0, 6)), rng.choices("ab", k=rng.randint(0, 6))) for _ in range(600)]
