@@ -5,9 +5,9 @@ each."""
 
 from __future__ import annotations
 
-from ..functions.normal import norm_cdf_sql
 from .oracle_flow import findings_ctes
 from .oracle_model import CLF, NUM_FEATS, REG, SCALE, _k2, _moments
+from .oracle_normal import cdf
 from .report import FEATURES_LINE, HC1_LINE, HOUR_NOTES, LENGTH_NOTES, SOURCE_LINES
 from .oracle_sql import NUMERIC, with_obs
 
@@ -255,7 +255,7 @@ union all select 'diagnostics_modelo1', line_no, text from m1_lines union all se
         for i, verb in ((1, "resalta"), (2, "identifica")))
     q["logit_inference"] = recursive(design_ctes(LABELS) + logit() + f""",
 z AS (select j, b, se, -abs(b / se) as nz from logit)
-select variable, round(b, 6) as coef, round(se, 4) as std_err, round(2 * {norm_cdf_sql('nz')}, 4) as p_value, round(exp(b), 4) as odds_ratio, null::varchar as note
+select variable, round(b, 6) as coef, round(se, 4) as std_err, round(2 * {cdf('nz')}, 4) as p_value, round(exp(b), 4) as odds_ratio, null::varchar as note
 from z join names using (j)""")
     text = recursive(both + findings_ctes(lines) + "\nselect * from numbered")
     k = len(NUM_FEATS)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.normal import norm_cdf_sql
 from ..plans.report import FIXED_ADVICE, FIXED_LIMITS, SECTION_ADVICE, SECTION_FINDINGS, SECTION_LIMITS
 from ..sources.csv import DEFAULT_MISSING_TOKENS
 from .oracle_model import NUM_FEATS, REG, SCALE, _ks_p, _scaled
+from .oracle_normal import cdf
 from .oracle_sql import RAW_OBS, with_obs
 
 RAW_COLUMNS = ["obs_id", "seg_id", "district", "street", "day_text", "start_text", "end_text", "dur_text",
@@ -79,7 +79,7 @@ st AS (select count(speed) as n, avg(speed) as mu, stddev_pop(speed) as sd from
 vc AS (select speed as v, count(*) as c from obs where speed is not null group by 1),
 cum AS (select v, c, sum(c) over (order by v rows between unbounded preceding and current row) as e from vc),
 zz AS (select v, c, e, e - c as s, (v - mu) / sd as z from cum, st),
-cdf AS (select *, {norm_cdf_sql('z')} as fz from zz),
+cdf AS (select *, {cdf('z')} as fz from zz),
 dd AS (select max(greatest(e / n - fz, fz - s / n)) as d, any_value(n) as n from cdf, st),
 ksp AS (select d, n, {_ks_p('d', 'n')} as p from dd)"""
     q["sink_text"] = with_obs(ks + """

@@ -3,8 +3,7 @@ one-feature linear models (closed forms), curves and two-feature PCA."""
 
 from __future__ import annotations
 
-from ..functions.normal import halley_sql, norm_cdf_sql, norm_ppf0_sql
-from ..operators.normality import SW_C1, SW_C2, SW_C5, SW_C6
+from .oracle_normal import MEAN_LN, SPREAD_LN, WEIGHT_LAST, WEIGHT_SECOND, cdf, quantile_ctes
 from .oracle_sql import union, with_obs
 
 NUM_FEATS = ["x", "y", "rank", "length_log1p", "duration_min", "hour_sin", "hour_cos"]
@@ -146,7 +145,7 @@ st AS (select count(speed) as n, avg(speed) as mu, stddev_pop(speed) as sd from
 vc AS (select speed as v, count(*) as c from obs where speed is not null group by 1),
 cum AS (select v, c, sum(c) over (order by v rows between unbounded preceding and current row) as e from vc),
 zz AS (select v, c, e, e - c as s, (v - mu) / sd as z from cum, st),
-cdf AS (select *, {norm_cdf_sql('z')} as fz from zz),
+cdf AS (select *, {cdf('z')} as fz from zz),
 dd AS (select max(greatest(e / n - fz, fz - s / n)) as d, any_value(n) as n from cdf, st),
 ksp AS (select d, n, {_ks_p('d', 'n')} as p from dd)"""
     q["ks_normal"] = with_obs(ks + "\n" + _test_row("Kolmogorov-Smirnov", "speed", "d", "p", "n", "ksp"))
@@ -159,18 +158,18 @@ k2 AS (select n, {_k2('n', 'm3 / pow(m2, 1.5)', 'm4 / pow(m2, 2)')} as k from mo
 
     sw = f"""WITH sw_x AS (select s_acctbal as x, row_number() over (order by s_acctbal, s_suppkey) as i, count(*) over () as n
   from supplier where s_acctbal is not null and not isnan(s_acctbal)),
-sw_p AS (select *, (i - 0.375) / (n + 0.25) as pp from sw_x),
-sw_m0 AS (select *, {norm_ppf0_sql('pp')} as m0 from sw_p),
-sw_m AS (select *, {halley_sql('m0', 'pp')} as m from sw_m0),
+sw_p AS (select x as v, i, n, (i - 0.375) / (n + 0.25) as pp from sw_x),
+{quantile_ctes('sw_q', 'sw_p', 'pp')},
+sw_m AS (select v as x, i, n, x as m from sw_q),
 sw_s AS (select sum(m * m) as s2, min(m) as m1, min(case when i = 2 then m end) as m2, any_value(n) as n from sw_m),
 sw_c AS (select *, sqrt(s2) as ss, 1 / sqrt(n) as u from sw_s),
-sw_a AS (select *, {_poly(SW_C1, 'u')} - m1 / ss as a1, {_poly(SW_C2, 'u')} - m2 / ss as a2 from sw_c),
+sw_a AS (select *, {_poly(WEIGHT_LAST, 'u')} - m1 / ss as a1, {_poly(WEIGHT_SECOND, 'u')} - m2 / ss as a2 from sw_c),
 sw_f AS (select *, sqrt((s2 - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) as fac from sw_a),
 sw_w AS (select least(1.0, pow(corr(case when i = sw_f.n then a1 when i = 1 then -a1 when i = sw_f.n - 1 then a2
   when i = 2 then -a2 else m / fac end, x), 2)) as w, any_value(sw_f.n) as n from sw_m, sw_f),
-sw_z AS (select w, n, (ln(1 - w) - ({_poly(SW_C5, 'ln(n)')})) / exp({_poly(SW_C6, 'ln(n)')}) as z from sw_w),
+sw_z AS (select w, n, (ln(1 - w) - ({_poly(MEAN_LN, 'ln(n)')})) / exp({_poly(SPREAD_LN, 'ln(n)')}) as z from sw_w),
 sw_r AS (select w, n, z, -z as nz from sw_z),
-sw_pv AS (select w, n, {norm_cdf_sql('nz')} as p from sw_r)
+sw_pv AS (select w, n, {cdf('nz')} as p from sw_r)
 """ + _test_row("Shapiro-Wilk", "s_acctbal", "w", "p", "n", "sw_pv")
     q["shapiro_wilk"] = sw
 
@@ -178,8 +177,8 @@ sw_pv AS (select w, n, {norm_cdf_sql('nz')} as p from sw_r)
 qn AS (select speed as v, row_number() over (order by speed) as position, count(*) over () as n from obs where speed is not null),
 qp AS (select *, case when position = n then pow(0.5, 1.0 / n) when position = 1 then 1 - pow(0.5, 1.0 / n)
   else (position - 0.3175) / (n + 0.365) end as pp from qn),
-q0 AS (select *, {norm_ppf0_sql('pp')} as t0 from qp),
-q1 AS (select *, {halley_sql('t0', 'pp')} as th from q0),
+{quantile_ctes('q0', 'qp', 'pp')},
+q1 AS (select * exclude (x), x as th from q0),
 ql AS (select regr_slope(v, th) as slope, regr_intercept(v, th) as intercept, corr(v, th) as r from q1)"""
     q["qq_points"] = with_obs(qq + """
 select position, round(th, 6) as theoretical, v as ordered, round(slope, 6) as slope, round(intercept, 6) as intercept,
@@ -205,7 +204,7 @@ union all select 'length_log1p', round(b1, 6), round(se1, 6) from se""")
     q["breusch_pagan"] = with_obs(one + """,
 bp AS (select count(*) * pow(corr(e * e, length_log1p), 2) as lm from res),
 bq AS (select lm, -sqrt(lm) as nz from bp)
-select round(lm, 6) as lm, round(2 * """ + norm_cdf_sql("nz") + """, 6) as lm_pvalue from bq""")
+select round(lm, 6) as lm, round(2 * """ + cdf("nz") + """, 6) as lm_pvalue from bq""")
     q["residual_normality"] = with_obs(one + f""",
 rm AS ({_moments('e', 'res')}),
 rk AS (select n, {_k2('n', 'm3 / pow(m2, 1.5)', 'm4 / pow(m2, 2)')} as k from rm)
