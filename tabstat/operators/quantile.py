@@ -92,14 +92,16 @@ def _refine(df: DataFrame, state: dict, accuracy: int, cap: int) -> None:
                 f_lo = (s["lo"] - s["below"]) / max(inside - 1, 1)
                 f_hi = (s["hi"] - s["below"]) / max(inside - 1, 1)
                 inner = F.when(x.between(F.lit(s["L"]), F.lit(s["U"])), x)
-                aggs.append(F.percentile_approx(inner, [max(0.0, f_lo - eps), min(1.0, f_hi + eps)], accuracy).alias(f"r{k}"))
+                aggs.append(F.percentile_approx(inner, [max(0.0, f_lo - eps * s.get("slack", 1)), min(1.0, f_hi + eps * s.get("slack", 1))], accuracy).alias(f"r{k}"))
         row = df.agg(*aggs).collect()[0]
         for kind, k in todo:
             s = items[k][1]
             if kind == "open":
                 s["L"] = row[f"mn{k}"] if s["L"] is None else s["L"]
                 s["U"] = row[f"mx{k}"] if s["U"] is None else s["U"]
-                s["least"] = True  # a bracket that had missed is not narrowed again
+                # a bracket that had missed is narrowed with more room, so it
+                # either holds its target or stays whole in the end
+                s["slack"], s["least"] = 4 * s.get("slack", 1), False
             else:
                 now = tuple(row[f"r{k}"])
                 s["least"] = now == (s["L"], s["U"])

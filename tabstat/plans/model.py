@@ -122,7 +122,10 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
     if md.task != "regression":
         raise ValueError("target is not a regression target")
     target, names = md.target, md.names
-    train = md.train
+    # the target less its mean: sums of squares of a target far from 0 keep
+    # their digits; the constants are moved back
+    ybar = md.train.agg(F.avg(f"`{target}`")).first()[0]
+    train = md.train.withColumn(target, F.col(f"`{target}`") - F.lit(ybar))
     grams = collect_gram(train, names + [target], fold=F.col("fold"))
     folds = sorted(f for (f, k) in grams if k == "1")
     g = grams[(folds[0], "1")]
@@ -133,15 +136,14 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
     vif = []
     if options.vif_max_cols is None or len(md.lists.numeric) <= options.vif_max_cols:
         vif = vif_from_gram(g, md.lists.numeric, md.pre.raw_variances())
-    ybar = g.matrix[g.index(target), 0] / g.n
     b0, b = solve_ls(g, names, target)
-    m1 = (b0, dict(zip(names, b)))
+    m1 = (b0 + ybar, dict(zip(names, b)))
 
     # selection from the same fold Grams (no new pass)
     chosen, trace = select_from_fold_grams(grams, names, target, options.max_selected)
     selected = [c for c in names if c in chosen]  # model 2 keeps the features' order
     c0, c = solve_ls(g, selected, target)
-    m2 = (c0, dict(zip(selected, c)))
+    m2 = (c0 + ybar, dict(zip(selected, c)))
 
     metrics = regression_metrics_all(md.test, target, {
         "baseline": F.lit(float(ybar)),
@@ -149,8 +151,8 @@ def run_regression(obs: DataFrame, options: ModelOptions = ModelOptions(), roles
         "modelo2": linear_expr(*m2),
     })
     how = {"test": options.normality_test, "shapiro_max_n": options.shapiro_max_n}
-    ols1 = ols_with_checks(train, names, target, gram=g, **how)
-    ols2 = ols_with_checks(train, selected, target, gram=g, **how)
+    ols1 = ols_with_checks(train, names, target, gram=g, **how).moved(ybar)
+    ols2 = ols_with_checks(train, selected, target, gram=g, **how).moved(ybar)
     return RegressionRun(md, metrics, ols1, ols2, selected, trace, vif, m1, m2)
 
 

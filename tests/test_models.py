@@ -148,3 +148,25 @@ def test_blocks_meet_in_a_tree(spark):
     found = tree_reduce(df.repartition(20), lambda batches: {"n": np.array([float(sum(b.num_rows for b in batches))])}, merge)
     assert found["n"][0] == len(y)
     assert acc.value <= 20
+
+
+def test_far_target_keeps_its_digits(spark):
+    """A target near 1e9 gives the fit of the same target near 0."""
+    from tabstat.config import ModelOptions, Roles
+    from tabstat.plans.model import run_regression
+    from tabstat.plans.q_rows import _obs
+    from tests.conftest import SF001
+
+    df, _ = _obs(spark, SF001)
+    options = ModelOptions(max_selected=3)
+    near = run_regression(df, options, Roles())
+    far = run_regression(df.withColumn("speed", F.col("speed") + 1e9), options, Roles())
+    assert far.selected == near.selected
+    assert [t[2] for t in far.trace] == pytest.approx([t[2] for t in near.trace], rel=1e-6)
+    for a, b in zip(near.metrics, far.metrics):
+        assert b[1:] == pytest.approx(a[1:], rel=1e-5, abs=1e-6)
+    for x, y in ((near.ols1, far.ols1), (near.ols2, far.ols2)):
+        assert y.coef[0] == pytest.approx(x.coef[0] + 1e9, rel=1e-13)
+        assert np.allclose(y.coef[1:], x.coef[1:], rtol=1e-5, atol=1e-6) and y.source == x.source
+        if x.std_err is not None:
+            assert np.allclose(y.std_err, x.std_err, rtol=1e-5)

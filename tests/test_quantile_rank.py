@@ -131,3 +131,33 @@ def test_cumsum_totals(spark):
     assert out.orderBy("v").select("cum_a", "cum_b").collect()[-1] == (25.0, 1225)
     empty, total = cumsum_and_totals(df.limit(0), "v", ["a"])
     assert empty.count() == 0 and total == {"a": 0}
+
+
+def test_missed_brackets_are_opened_and_narrowed_again(spark, monkeypatch):
+    """Wrong first brackets: they are opened, and what they hold is narrowed
+    to the cap again."""
+    from tabstat.operators import quantile
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=3000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
+    seen = []
+    real = quantile._final
+
+    def final(df, state):
+        seen.append({k: (s["L"], s["U"]) for k, s in state.items()})
+        return real(df, state)
+
+    refine = quantile._refine
+
+    def missed(df, state, accuracy, cap):
+        for s in state.values():
+            s["L"], s["U"] = 5.0, 6.0
+        return refine(df, state, accuracy, cap)
+
+    monkeypatch.setattr(quantile, "_final", final)
+    monkeypatch.setattr(quantile, "_refine", missed)
+    got = quantile.exact_quantiles(df, ["x"], [0.3], accuracy=200, cap=400)
+    assert got["x", 0.3] == pytest.approx(np.quantile(x, 0.3), abs=1e-12)
+    lo, hi = seen[-1]["x", 0.3]
+    assert ((x >= lo) & (x <= hi)).sum() <= 600
