@@ -11,10 +11,14 @@ that overlap no base span are added; base spans always stay.
 
 The field is trained here, by conditional likelihood, on neighbourhoods of
 base spans in at most ``TRAIN_DOCS`` documents (those with the least hashes of
-the documents that have a trigger, of ``TRAIN_CHARS`` characters at most), with
-rewritten variants (a phone without its plus, an address with "at" and "dot")
+the documents that have a trigger, of ``TRAIN_CHARS`` characters at most; only
+hashes are compared, no text moves before they are known), ``EXAMPLES`` of each
+kind in a document, drawn by hash, with rewritten variants (a phone without its plus, an address with "at" and "dot")
 and numbers that are no personal data as further examples. Without any base
-span in the sample it adds nothing.
+span in the sample it adds nothing. A run of 512 tokens without a plain
+stretch is scored in parts that share their last ``MAX_TOKENS`` tokens: each
+segment is whole in one of them, but its neighbours across the cut do not
+weigh in.
 
 Cases: null and empty texts have no spans; offsets are code points, end
 exclusive; rows are judged one by one, so ties and repeated rows do not
@@ -24,6 +28,7 @@ matter; empty tables give none; further columns do not matter.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -38,6 +43,7 @@ MAX_CHARS = 64
 NEAR_TOKENS = 3  # tokens kept on each side of a trigger
 TRAIN_DOCS = 400
 TRAIN_CHARS = 100_000
+EXAMPLES = 4  # neighbourhoods of each kind that a sampled document gives
 ROUNDS = 40
 
 # fixed patterns; possessive where the next character cannot be in the run,
@@ -316,11 +322,18 @@ def variants(kind: str, value: str) -> list[str]:
     return []
 
 
-def examples_of(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Neighbourhoods of the text's base spans, as they are and rewritten."""
+def examples_of(text: str, per_kind: int | None = None) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Neighbourhoods of the text's base spans, as they are and rewritten;
+    ``per_kind``: of so many spans of each kind, drawn by a hash."""
     out = []
     spans = base_spans(text)
-    for kind, a, b in spans:
+    chosen = spans
+    if per_kind is not None:
+        by_kind = defaultdict(list)
+        for kind, a, b in spans:
+            by_kind[kind].append((zlib.crc32(f"{text[a:b]}:{a}".encode()), kind, a, b))
+        chosen = sorted(s[1:] for own in by_kind.values() for s in sorted(own)[:per_kind])
+    for kind, a, b in chosen:
         lo, hi = max(0, a - 40), min(len(text), b + 40)
         lo = text.find(" ", lo, a) + 1 or a
         hi = text.rfind(" ", b, hi) if " " in text[b:hi] else b
@@ -330,22 +343,30 @@ def examples_of(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Train on the bounded sample of documents that hold a trigger."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = TRAIN_DOCS) -> DataFrame:
+    """The texts of the n documents with a trigger that have the least hashes.
+    Each task sends its n least hashes; texts are read again for those only,
+    and texts of rows that repeat are one."""
     text = F.col(text_col).cast("string")
     some = docs.where(text.rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]") & (F.char_length(text) <= TRAIN_CHARS))
-    some = some.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h")).orderBy("h", "text").limit(TRAIN_DOCS)
+    some = some.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    cut = some.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return some.where(F.col("h") <= F.lit(cut).cast("long")).dropDuplicates(["h"]).select("text")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Train on the bounded sample of documents that hold a trigger."""
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())),
                            T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
-            found = [x for t in batch.column(0).to_pylist() for x in examples_of(t)[:12]]
+            found = [x for t in batch.column(0).to_pylist() for x in examples_of(t, EXAMPLES)]
             cols = [[t for t, _ in found], *[[[s[i] for s in g] for _, g in found] for i in range(3)]]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.string())),
                                               *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=schema.names)
 
-    rows = some.select("text").mapInArrow(run, schema).collect()
+    rows = sample(docs, id_col, text_col).mapInArrow(run, schema).collect()
     examples = sorted({(r.text, tuple(zip(r.kinds, r.starts, r.ends))) for r in rows})
     if examples:
         examples += [(f"and so it was the {x} and so it went", ()) for x in _OTHERS for _ in range(5)]
