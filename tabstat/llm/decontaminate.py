@@ -16,25 +16,32 @@ reported once per row; other columns of the documents do not matter for the
 report and pass through the filter unchanged.
 
 The benchmark is a stated query set: it goes to the workers in blocks of at
-most ``BLOCK_BYTES`` of item text, one automaton per block, and the documents
-pass all blocks. Ordinary benchmarks are one block.
+most ``BLOCK_BYTES`` of item text (a longer item is cut into parts that share
+``window`` - 1 words, so that no window is lost), one automaton per block.
+Ordinary benchmarks are one block, and one scan gives the report. With more
+blocks the documents are scanned once per block with that block's automaton;
+only texts with a hit leave a scan, and their hits are merged by the text's
+hash in a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+from .shared import BROADCAST_BYTES
+
 WINDOW = 13
 SHARE = (1, 20)  # hit words over words from which a document is contaminated
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20  # far fewer distinct words than the private alphabet has letters
 
 _TABLE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
                for b in range(256))
@@ -98,25 +105,40 @@ _BUILT: dict = {}
 
 
 def _matcher(block, window: int) -> Matcher:
-    """Built once per worker and block."""
-    key = (block.id if hasattr(block, "id") else id(block), window)
-    if key not in _BUILT:
+    """Built once per worker and block; a block carries its own name, as a
+    worker lives longer than its broadcasts."""
+    name, items = block.value
+    if (name, window) not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Matcher(block.value, window)
-    return _BUILT[key]
+        _BUILT[name, window] = Matcher(items, window)
+    return _BUILT[name, window]
+
+
+def _parts(text: str, window: int) -> Iterator[str]:
+    """The text in parts of at most a block that share ``window`` - 1 words."""
+    raw = text.encode()
+    if len(raw) <= BLOCK_BYTES:
+        yield text
+        return
+    found = words(raw)
+    step = max(window, BLOCK_BYTES // (max(map(len, found), default=1) + 1) - window) if found else 1
+    for i in range(0, max(1, len(found) - window + 1), step):
+        yield b" ".join(found[i : i + step + window - 1]).decode()
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple]]:
     """The benchmark's items in blocks of bounded size, streamed by partition."""
     block: list[tuple] = []
     size = 0
     items = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
     for item, text in items.toLocalIterator():
-        block.append((item, text))
-        size += len(text or "")
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
+        for part in _parts(text or "", window):
+            n = len(part.encode())
+            if block and size + n > BLOCK_BYTES:
+                yield block
+                block, size = [], 0
+            block.append((item, part))
+            size += n
     if block:
         yield block
 
@@ -135,63 +157,91 @@ _ARROW = pa.struct([
 ])
 
 
-def _report(texts: pa.Array, matchers: list[Matcher], share: tuple[int, int]) -> pa.Array:
-    rows = []
-    for raw in texts.cast(pa.binary()).to_pylist():
-        found = words(raw or b"")
-        ids: set[str] = set()
-        ranges: list[tuple[int, int]] = []
-        for m in matchers:
-            if not m.empty:
-                more, at = m.scan(found)
-                ids |= more
-                ranges += at
-        ranges = merge(ranges) if len(matchers) > 1 else ranges
-        n_hit = sum(b - a for a, b in ranges)
-        spans = []
-        if ranges:
-            at = [x.span() for x in _WORD.finditer(raw.decode())]
-            spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
-        rows.append({"n_words": len(found), "n_hit": n_hit, "items": sorted(ids), "spans": spans,
-                     "contaminated": n_hit > 0 and n_hit * share[1] >= len(found) * share[0]})
-    return pa.array(rows, _ARROW)
-
-
-def _broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> list:
+def _scan(raw: bytes | None, matcher: Matcher) -> tuple[list[bytes], set[str], list[tuple[int, int]]]:
+    found = words(raw or b"")
+    ids, ranges = matcher.scan(found) if found and not matcher.empty else (set(), [])
+    return found, ids, ranges
+
+
+def _row(raw: bytes | None, found: list[bytes], ids: set[str], ranges: list[tuple[int, int]], share: tuple[int, int]) -> dict:
+    n_hit = sum(b - a for a, b in ranges)
+    spans = []
+    if ranges:
+        at = [x.span() for x in _WORD.finditer(raw.decode())]
+        spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
+    return {"n_words": len(found), "n_hit": n_hit, "items": sorted(ids), "spans": spans,
+            "contaminated": n_hit > 0 and n_hit * share[1] >= len(found) * share[0]}
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, share: tuple[int, int]) -> DataFrame:
+    """docs plus __found, the report of each text."""
     sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(b) for b in _blocks(benchmark, item_col, text_col)] or [sc.broadcast([])]
+    blocks = [sc.broadcast((uuid.uuid4().hex, b)) for b in [*_blocks(benchmark, item_col, item_text_col, window)] or [[]]]
+    text = F.col(f"`{text_col}`").cast("string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__found", _FOUND)])
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def with_found(batch, rows):
+        return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(rows, _ARROW)], names=[*names, "__found"])
+
+    if len(blocks) == 1:
+        def run(batches):
+            for batch in batches:
+                raws = batch.column(place).cast(pa.string()).cast(pa.binary()).to_pylist()
+                matcher = _matcher(blocks[0], window)
+                yield with_found(batch, [_row(raw, *_scan(raw, matcher), share) for raw in raws])
+
+        return docs.mapInArrow(run, schema)
+
+    # equal texts have equal hits, so a text is named by its hash
+    keys = [F.xxhash64(text).alias("__t1"), F.hash(text).alias("__t2")]
+    slim = docs.select(*keys, text.alias("text"))
+    hits = None
+    for block in blocks:
+        def hit(batches, block=block):
+            for batch in batches:
+                matcher = _matcher(block, window)
+                out = [(a, b, sorted(ids), [x for r in ranges for x in r])
+                       for a, b, raw in zip(*[c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()))])
+                       for _, ids, ranges in [_scan(raw, matcher)] if ranges]
+                cols = list(zip(*out)) or [()] * 4
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["__t1", "__t2", "ids", "ranges"])
+
+        part = slim.mapInArrow(hit, "__t1 bigint, __t2 int, ids array<string>, ranges array<bigint>")
+        hits = part if hits is None else hits.unionByName(part)
+    # a row per text and block at most, however often the text is repeated
+    merged = hits.groupBy("__t1", "__t2").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("__ids"), F.flatten(F.collect_set("ranges")).alias("__ranges"))
+    merged = materialize(merged, "benchmark_hits")
+    size = merged.agg(F.sum(F.size("__ranges") * 8 + F.length(F.array_join("__ids", ",")) + 64)).first()[0] or 0
+    merged = F.broadcast(merged) if size <= BROADCAST_BYTES else merged
+    joined = docs.select("*", *keys).join(merged, ["__t1", "__t2"], "left").select(*[F.col(f"`{c}`") for c in names], "__ids", "__ranges")
+
+    def finish(batches):
+        for batch in batches:
+            raws = batch.column(place).cast(pa.string()).cast(pa.binary()).to_pylist()
+            rows = []
+            for raw, ids, flat in zip(raws, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                rows.append(_row(raw, words(raw or b""), set(ids or ()), merge(list(zip(flat[::2], flat[1::2]))) if flat else [], share))
+            yield with_found(batch, rows)
+
+    return joined.mapInArrow(finish, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per document: id, n_words, n_hit, items, spans, contaminated."""
-    blocks = _broadcast(docs, benchmark, item_col, item_text_col)
-
-    def run(batches):
-        for batch in batches:
-            matchers = [_matcher(b, window) for b in blocks] if len(blocks) == 1 else [Matcher(b.value, window) for b in blocks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _report(batch.column(1), matchers, share)], names=["id", "found"])
-
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([slim.schema["id"], T.StructField("found", _FOUND)])
-    out = slim.mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), "found.*")
+    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    out = _found(slim, benchmark, "__text", item_col, item_text_col, window, share)
+    return out.select(F.col("__id").alias(id_col), "__found.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", window: int = WINDOW, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    blocks = _broadcast(docs, benchmark, item_col, item_text_col)
-    place = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            matchers = [_matcher(b, window) for b in blocks] if len(blocks) == 1 else [Matcher(b.value, window) for b in blocks]
-            bad = _report(batch.column(place).cast(pa.string()), matchers, share).field("contaminated")
-            yield batch.filter(pa.array(~np.asarray(bad.to_numpy(zero_copy_only=False), bool)))
-
-    return docs.mapInArrow(run, docs.schema)
+    out = _found(docs, benchmark, text_col, item_col, item_text_col, window, share)
+    return out.where("NOT __found.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -155,3 +155,62 @@ def test_field_finds_what_patterns_miss():
     assert rest("+1 (269) 555-3296 4111111111111111 and") == [("phone", "+1 (269) 555-3296"), ("card", "4111111111111111")][::-1]
     assert rest("the year 1998, version 4.0. and page 1234567 of 300.400.500.600") == []
     assert pii.train([("no spans 123", [])]).weights == {}
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Many blocks, an item longer than a block, repeated texts and null rows
+    give the report of one block."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 13, 20, 200])))) for i in range(25)] + [(None, "w1 w2 w3"), (7, None)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(40))) for _ in range(60)]
+    texts += [" ".join(rng.choices(vocab, k=9)) + " X " + rng.choice(items)[1][:90] + " Y" for _ in range(40) if items] + [None, "", items[3][1].upper()]
+    texts += [texts[70]] * 20
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, found string").coalesce(2)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert sum(r.n_hit > 0 for r in want.values()) > 30
+    for size in (900, 4000):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+        assert got == want
+        kept = decontaminate.drop_contaminated(docs, bench)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in want.items() if not r.contaminated)
+
+
+def test_more_benchmark_words_than_letters(spark):
+    """1.2 million distinct words, more than the alphabet of one automaton."""
+    bench = spark.range(400, numPartitions=4).selectExpr("id as item_id", "array_join(transform(sequence(0, 2999), i -> hex(id * 3000 + i)), ' ') as text")
+    assert bench.selectExpr("explode(split(text, ' ')) as w").distinct().count() == 1_200_000
+    docs = spark.createDataFrame([(1, f"say {1_199_000:X} {1_199_001:X} end"), (2, f"{5:X} {7:X}"), (3, f"{17:X} {18:X} {19:X}")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, window=2).collect()}
+    assert got == {1: (2, ["399"]), 2: (0, []), 3: (3, ["0"])}
+
+
+def test_long_conversations_are_written_in_pieces(spark, monkeypatch):
+    """Pieces of any size give the digests of the whole conversation."""
+    rng = random.Random(4)
+    said = ["hello", "<|im_end|>", "x\n<|im_start|>user\ny", "", "é🙂", "<\\|im_end|>"]
+    rows = [(c, t, rng.choice(["user", "assistant", "a\nb"]), rng.choice(said) * rng.randrange(3)) for c in (1, 2, None) for t in range(rng.randint(30, 60))] + [(9, 0, "assistant", "z" * 500)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    whole = sorted(chat.read_back(chat.format_conversations(df)).collect(), key=str)
+    for chars, turns in ((50, 10_000), (1 << 20, 7), (0, 1)):
+        monkeypatch.setattr(chat, "PIECE_CHARS", chars)
+        monkeypatch.setattr(chat, "PIECE_TURNS", turns)
+        pieces = chat.format_conversations(df).repartition(5)
+        assert pieces.count() > 12
+        assert [r.part for r in pieces.where("conv_id = 1").orderBy("part").collect()] == list(range(pieces.where("conv_id = 1").count()))
+        assert sorted(chat.read_back(pieces).collect(), key=str) == whole
+
+
+def test_conversation_of_a_million_turns(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("5L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    pieces = chat.format_conversations(df)
+    assert pieces.selectExpr("max(n_turns) <= 10000 as small", "sum(n_turns) as n").first() == (True, n)
+    r = chat.read_back(pieces).first()
+    digest = hashlib.sha256()
+    for i in range(n):
+        digest.update(f"{'assistant' if i % 2 else 'user'}\nt{i}\n".encode())
+    assert (r.n_turns, r.turns_sha256) == (n, digest.hexdigest())
