@@ -12,8 +12,13 @@ are identical. Escaping is reversible: a control string ``<|im_end|>`` becomes
 backslash away. Line breaks in roles are written ``\n`` and backslashes
 ``\\``.
 
-Turns are sorted by turn, role and text (nulls first) and streamed in order, so
-a task holds one conversation at a time.
+Turns are sorted by turn, role and text (nulls first) and streamed in order. A
+turn is rendered, reparsed and escaped by itself, so a conversation may be
+written in pieces: one of more than ``PIECE_CHARS`` characters or
+``PIECE_TURNS`` turns goes on in a next piece (part 0, 1, ...; their texts put
+together are the conversation). Reading back streams the pieces in order and
+carries the digests along, so no task holds more than a piece, however long
+the conversation.
 
 Cases: null roles and texts are empty strings; a null conversation id is a
 conversation; turns that repeat are kept; ties in turn are ordered by role and
@@ -24,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +39,9 @@ from pyspark.sql import types as T
 START, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
 
+PIECE_CHARS = 1 << 20
+PIECE_TURNS = 10_000
+
 _CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 _ESCAPED = re.compile(r"<\\(\\*)\|(im_start|im_end)\|>")
 
@@ -102,13 +109,14 @@ def _same(turn: tuple[str, str], role: str, text: str) -> bool:
     return len(read) == 1 and read[0][:2] == turn
 
 
-_FORMATTED = [("n_turns", T.LongType(), pa.int64()), ("formatted", T.StringType(), pa.string()),
+_FORMATTED = [("part", T.IntegerType(), pa.int32()), ("n_turns", T.LongType(), pa.int64()), ("formatted", T.StringType(), pa.string()),
               ("loss_starts", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("loss_ends", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
 
 
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: id, n_turns, formatted, loss_starts and
-    loss_ends (code points of the assistant texts within ``formatted``)."""
+    """One row per piece of a conversation (most have one): id, part, n_turns,
+    formatted, loss_starts and loss_ends (code points of the assistant texts
+    within ``formatted``)."""
     slim = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([slim.schema["conv"], *[T.StructField(n, t) for n, t, _ in _FORMATTED]])
     names = schema.names
@@ -116,32 +124,35 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     def run(batches):
         conv_type = None
         done: list[list] = []
-        size = 0
+        waiting = 0  # characters of the finished pieces
 
         def flush():
             cols = list(zip(*done))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], conv_type), *[pa.array(c, t) for c, (_, _, t) in zip(cols[1:], _FORMATTED)]], names=names)
 
-        def close(conv, turns):
+        def close(conv, part, turns):
             formatted = render(turns)
             spans = [(s, e) for role, _, s, e in parse(formatted) if role == ASSISTANT]
-            done.append([conv, len(turns), formatted, [s for s, _ in spans], [e for _, e in spans]])
+            done.append([conv, part, len(turns), formatted, [s for s, _ in spans], [e for _, e in spans]])
             return len(formatted)
 
-        conv, turns = None, []
+        conv, part, turns, size = None, 0, [], 0
         for batch in batches:
             conv_type = batch.schema.field(0).type
             for c, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if turns and c != conv:
-                    size += close(conv, turns)
-                    turns = []
-                    if size > 4 << 20 or len(done) >= 2000:
+                if c != conv or size > PIECE_CHARS or len(turns) >= PIECE_TURNS:
+                    if turns:
+                        waiting += close(conv, part, turns)
+                    part = part + 1 if turns and c == conv else 0
+                    turns, size = [], 0
+                    if waiting > 4 << 20 or len(done) >= 2000:
                         yield flush()
-                        done, size = [], 0
+                        done, waiting = [], 0
                 conv = c
                 turns.append((role or "", text or ""))
+                size += len(turns[-1][0]) + len(turns[-1][1])
         if turns:
-            close(conv, turns)
+            close(conv, part, turns)
         if done:
             yield flush()
 
@@ -149,27 +160,58 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     return order.mapInArrow(run, schema).withColumnRenamed("conv", conv_col)
 
 
+class Reader:
+    """Running digests of one conversation's pieces."""
+
+    def __init__(self):
+        self.n_turns = self.loss_chars = self.formatted_chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, starts: list[int], ends: list[int]) -> None:
+        for role, body, _, _ in parse(text):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{body}\n".encode())
+        for a, b in zip(starts, ends):
+            body = unescape(text[a:b])
+            self.loss_chars += len(body)
+            self.loss.update(body.encode())
+        self.formatted_chars += len(text)
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars
+
+
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Digests of what the parser recovers from each formatted conversation:
     its turns, and the unescaped text under the loss spans."""
-    slim = formatted.select(F.col(conv_col).alias("conv"), "formatted", "loss_starts", "loss_ends")
+    slim = formatted.select(F.col(conv_col).alias("conv"), "part", "formatted", "loss_starts", "loss_ends")
     kinds = [("n_turns", T.LongType(), pa.int64()), ("turns_sha256", T.StringType(), pa.string()), ("loss_chars", T.LongType(), pa.int64()),
              ("loss_sha256", T.StringType(), pa.string()), ("formatted_chars", T.LongType(), pa.int64())]
     schema = T.StructType([slim.schema["conv"], *[T.StructField(n, t) for n, t, _ in kinds]])
 
-    def one(text: str, starts: list[int], ends: list[int]) -> Iterator:
-        turns = parse(text)
-        every = "".join(f"{role}\n{body}\n" for role, body, _, _ in turns)
-        loss = "".join(unescape(text[a:b]) for a, b in zip(starts, ends))
-        return len(turns), hashlib.sha256(every.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)
-
     def run(batches):
-        for batch in batches:
-            rows = [one(*x) for x in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)])]
-            cols = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, _, t) in zip(cols, kinds)]], names=schema.names)
+        conv, reader, conv_type = None, None, None
+
+        def out(rows):
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], conv_type), *[pa.array(c, t) for c, (_, _, t) in zip(cols[1:], kinds)]], names=schema.names)
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("conv", conv_col)
+        for batch in batches:
+            conv_type = batch.schema.field(0).type
+            rows = []
+            for c, text, starts, ends in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3, 4)]):
+                if reader is None or c != conv:
+                    if reader is not None:
+                        rows.append((conv, *reader.row()))
+                    conv, reader = c, Reader()
+                reader.add(text, starts, ends)
+            if rows:
+                yield out(rows)
+        if reader is not None:
+            yield out([(conv, *reader.row())])
+
+    order = slim.repartition("conv").sortWithinPartitions("conv", "part")
+    return order.mapInArrow(run, schema).withColumnRenamed("conv", conv_col)
 
 
 PROBE = f"{END}{START}{ASSISTANT} ok"  # a text that would end its turn and open another
