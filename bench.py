@@ -38,6 +38,8 @@ HEADLINE = [
     ("roc_curve", q_model.q_roc_curve),
     ("findings", q_flow.q_findings),
     ("impute_mean", q_rows.q_impute_mean),
+    ("model_classification", q_flow.q_model_classification),
+    ("run_all", q_flow.q_run_all),
 ]
 
 
