@@ -21,13 +21,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
 from . import words as W
-from .shared import components, identity, sized
+from .shared import components, identity, sized_by
 
 GRAM = 5
 THRESHOLD = (4, 5)
@@ -266,7 +266,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cand = materialize(_blocks(cand.select("fp", "root", "n", "copies"), threshold).join(nodes.select("fp", "one.*"), "fp"), "candidates")
 
     texts = docs.select(*identity(F.col(id_col), F.col(text_col)), F.col(text_col).cast("string").alias("text"))
-    wanted = sized(cand.select("k1", "k2", "fp", "copies", "places"), 200)
+    # a node of a large cluster has a place per block
+    wanted = sized_by(cand.select("k1", "k2", "fp", "copies", "places"), 64 + 40 * F.size("places"))
     rows_in = _sets(texts.join(wanted, ["k1", "k2"]).select("fp", "copies", "places", "text"), k)
     rows_in = rows_in.select("fp", "copies", "grams", F.explode("places").alias("p")).select("p.block", "p.cross", "p.side", "fp", "copies", "grams")
     found = materialize(_verify(rows_in, threshold), "links")
@@ -295,8 +296,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keys = identity(F.col(id_col), F.col(text_col))
     joined = docs.select("*", keys[0].alias("__k1"), keys[1].alias("__k2")).join(
         kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("single").alias("__single")), ["__k1", "__k2"])
-    once = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.xxhash64(*docs.columns)))
-    return joined.withColumn("__n", once).where("__n = 1 or not __single").select(*docs.columns)
+    # of rows that repeat id and text, the one with the least hash; an
+    # aggregate, so that very many of them meet pre-aggregated
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = joined.where("__single").groupBy("__k1", "__k2").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    once = once.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return once.unionByName(joined.where("NOT __single").select(*docs.columns))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,13 @@ def sized(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
 
 
+def sized_by(table: DataFrame, row_bytes: Column) -> DataFrame:
+    """``sized`` for a written table whose rows differ in size: the bytes of
+    the rows are summed."""
+    total = table.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge list: (node, root), root the least node
     of the component; nodes without an edge are absent.
