@@ -32,6 +32,7 @@ def group_summary(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     ``groupBy`` aggregates partially on the map side, so a district holding a
     third of the rows is combined before the shuffle.
     """
+    # fixed values: the result columns and what they aggregate
     g = df.where(q(roles.district).isNotNull()).groupBy(q(roles.district).alias(roles.district))
     aggs = {
         "n_segments": F.count(q(roles.seg_id)) if roles.seg_id in df.columns else F.lit(None).cast("long"),

@@ -23,7 +23,8 @@ R = Roles()
 _RUNS: dict[tuple, object] = {}
 
 
-# part of the profile: (query, key columns, value columns)
+# fixed values: result tables and columns of the profile, (query, key columns,
+# value columns) by part
 PROFILE_PARTS = {
     "numeric_summary": ("numeric_summary", ["variable"], ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]),
     "categorical_profile": ("categorical_profile", ["variable", "top"], ["n_distinct", "freq_top"]),
@@ -291,7 +292,8 @@ def q_format_findings(spark, sf_dir):
     return found.unionByName(spark.createDataFrame(lines, "section string, line_no int, text string"))
 
 
-# written tables of the full flow that are compared beside the findings text
+# fixed values: written tables of the full flow, with their key and value
+# columns, that are compared beside the findings text
 FLOW_PARTS = {
     **{part: (keys, values) for part, (_, keys, values) in PROFILE_PARTS.items()},
     "metrics": (["model"], ["rmse", "r2", "mae", "bias"]),

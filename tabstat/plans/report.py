@@ -22,6 +22,13 @@ FIXED_ADVICE = [
     "- Realizar seguimiento continuo y recalibración con datos más recientes para capturar cambios de movilidad.",
 ]
 
+# Sentences of the findings text.
+COEFFICIENT_LINE = "- {label} {verb} a %s con coeficiente %.3f (p=%s)."
+CORRELATION_LINE = "- Correlación destacada entre %s y %s: %.2f."
+PEAK_LINE = ("- Velocidad promedio en periodo ", ": ", " km/h.")
+SLOWEST_LINE = ("- La comuna con menor velocidad promedio es ", " (", " km/h).")
+MISSING_LINE = ("- Existen valores faltantes en ", ".")
+
 # Wording of the diagnostics text and of the report's notes.
 HC1_LINE = "Errores estándar robustos HC1 utilizados para la inferencia."
 NORMALITY_LINE = "Prueba de normalidad ({test}): estadístico={stat} p-value={p}"
@@ -49,7 +56,7 @@ def coefficient_lines(coef: DataFrame, model_label: str, verb: str, k: int = 5)
     top = top_coefficients(coef, k)
     p = F.when(F.col("p_value").isNull() | F.isnan("p_value"), F.lit("nan")).otherwise(
         F.format_string("%.3f", F.col("p_value")))
-    text = F.format_string(f"- {model_label} {verb} a %s con coeficiente %.3f (p=%s).",
+    text = F.format_string(COEFFICIENT_LINE.format(label=model_label, verb=verb),
                            F.col("variable"), F.col("coef"), p)
     return top.select(F.lit("findings").alias("section"), F.col("rank").cast("long").alias("ord"), text.alias("text"))
 
@@ -74,23 +81,23 @@ def findings(spark: SparkSession, corr_pairs: DataFrame, peak_means: DataFrame,
     wc = Window.orderBy(F.abs("corr").desc(), F.col("var1"), F.col("var2"))
     corr = corr_pairs.withColumn("r", F.row_number().over(wc)).where(F.col("r") <= 5)
     parts.append(corr.select(F.lit("findings").alias("section"), (F.col("r") + F.lit(1000)).cast("long").alias("ord"),
-                             F.format_string("- Correlación destacada entre %s y %s: %.2f.", "var1", "var2", "corr").alias("text")))
+                             F.format_string(CORRELATION_LINE, "var1", "var2", "corr").alias("text")))
     wp = Window.orderBy(F.col(roles.peak))
     parts.append(peak_means.withColumn("r", F.row_number().over(wp)).select(
         F.lit("findings").alias("section"), (F.col("r") + F.lit(2000)).cast("long").alias("ord"),
-        F.concat(F.lit("- Velocidad promedio en periodo "), F.col(roles.peak), F.lit(": "),
-                 F.col("speed_mean").cast("string"), F.lit(" km/h.")).alias("text")))
+        F.concat(F.lit(PEAK_LINE[0]), F.col(roles.peak), F.lit(PEAK_LINE[1]),
+                 F.col("speed_mean").cast("string"), F.lit(PEAK_LINE[2])).alias("text")))
     parts.append(slowest.select(
         F.lit("findings").alias("section"), F.lit(3000).cast("long").alias("ord"),
-        F.concat(F.lit("- La comuna con menor velocidad promedio es "), F.col(roles.district), F.lit(" ("),
-                 F.col("speed_mean").cast("string"), F.lit(" km/h).")).alias("text")))
+        F.concat(F.lit(SLOWEST_LINE[0]), F.col(roles.district), F.lit(SLOWEST_LINE[1]),
+                 F.col("speed_mean").cast("string"), F.lit(SLOWEST_LINE[2])).alias("text")))
     parts.append(_lines(spark, "limits", [SECTION_LIMITS], 0))
     miss = missing.where(F.col("n_missing") > 0).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.format_string("%s (%d)", "variable", "n_missing").alias("t")))).alias("a"))
     parts.append(miss.where(F.size("a") > 0).select(
         F.lit("limits").alias("section"), F.lit(1).cast("long").alias("ord"),
-        F.concat(F.lit("- Existen valores faltantes en "), F.array_join(F.transform("a", lambda s: s["t"]), ", "),
-                 F.lit(".")).alias("text")))
+        F.concat(F.lit(MISSING_LINE[0]), F.array_join(F.transform("a", lambda s: s["t"]), ", "),
+                 F.lit(MISSING_LINE[1])).alias("text")))
     parts.append(_lines(spark, "limits", FIXED_LIMITS, 10))
     parts.append(_lines(spark, "advice", [SECTION_ADVICE] + FIXED_ADVICE, 0))
     out = parts[0]
