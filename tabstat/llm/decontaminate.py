@@ -16,8 +16,9 @@ reported once per row; other columns of the documents do not matter for the
 report and pass through the filter unchanged.
 
 The benchmark is a stated query set: it goes to the workers in blocks of at
-most ``BLOCK_BYTES`` of item text (a longer item is cut into parts that share
-``window`` - 1 words, so that no window is lost), one automaton per block.
+most ``BLOCK_BYTES`` of item text and ``BLOCK_WORDS`` distinct words (a longer
+item is cut into parts that share ``window`` - 1 words, so that no window is
+lost), one automaton per block.
 Ordinary benchmarks are one block, and one scan gives the report. With more
 blocks the documents are scanned once per block with that block's automaton;
 only texts with a hit leave a scan, and their hits are merged by the text's
@@ -41,7 +42,8 @@ from .shared import BROADCAST_BYTES
 
 WINDOW = 13
 SHARE = (1, 20)  # hit words over words from which a document is contaminated
-BLOCK_BYTES = 2 << 20  # far fewer distinct words than the private alphabet has letters
+BLOCK_BYTES = 2 << 20
+BLOCK_WORDS = 60_000  # distinct words of a block; building the automaton takes their square at worst
 
 _TABLE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32
                for b in range(256))
@@ -114,31 +116,35 @@ def _matcher(block, window: int) -> Matcher:
     return _BUILT[name, window]
 
 
-def _parts(text: str, window: int) -> Iterator[str]:
-    """The text in parts of at most a block that share ``window`` - 1 words."""
+def _parts(text: str, window: int) -> Iterator[tuple[str, set[bytes]]]:
+    """The text in parts of at most a block that share ``window`` - 1 words,
+    each with its distinct words."""
     raw = text.encode()
-    if len(raw) <= BLOCK_BYTES:
-        yield text
-        return
     found = words(raw)
-    step = max(window, BLOCK_BYTES // (max(map(len, found), default=1) + 1) - window) if found else 1
+    if len(raw) <= BLOCK_BYTES and len(found) <= BLOCK_WORDS:
+        yield text, set(found)
+        return
+    fit = min(BLOCK_WORDS, BLOCK_BYTES // (max(map(len, found), default=1) + 1))
+    step = max(1, fit - window + 1)
     for i in range(0, max(1, len(found) - window + 1), step):
-        yield b" ".join(found[i : i + step + window - 1]).decode()
+        part = found[i : i + step + window - 1]
+        yield b" ".join(part).decode(), set(part)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple]]:
     """The benchmark's items in blocks of bounded size, streamed by partition."""
     block: list[tuple] = []
-    size = 0
+    size, known = 0, set()
     items = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
     for item, text in items.toLocalIterator():
-        for part in _parts(text or "", window):
+        for part, own in _parts(text or "", window):
             n = len(part.encode())
-            if block and size + n > BLOCK_BYTES:
+            if block and (size + n > BLOCK_BYTES or len(known) + len(own - known) > BLOCK_WORDS):
                 yield block
-                block, size = [], 0
+                block, size, known = [], 0, set()
             block.append((item, part))
             size += n
+            known |= own
     if block:
         yield block
 

@@ -183,7 +183,7 @@ def test_more_benchmark_words_than_letters(spark):
     """1.2 million distinct words, more than the alphabet of one automaton."""
     bench = spark.range(400, numPartitions=4).selectExpr("id as item_id", "array_join(transform(sequence(0, 2999), i -> hex(id * 3000 + i)), ' ') as text")
     assert bench.selectExpr("explode(split(text, ' ')) as w").distinct().count() == 1_200_000
-    docs = spark.createDataFrame([(1, f"say {1_199_000:X} {1_199_001:X} end"), (2, f"{5:X} {7:X}"), (3, f"{17:X} {18:X} {19:X}")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"say {1_199_000:X} {1_199_001:X} end"), (2, f"{5:X} {7:X}"), (3, f"{17:X} {18:X} {19:X}")], "doc_id bigint, text string").coalesce(1)
     got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, window=2).collect()}
     assert got == {1: (2, ["399"]), 2: (0, []), 3: (3, ["0"])}
 
