@@ -83,6 +83,32 @@ def test_selection_by_bounds_equals_exact_auc(spark, seed, monkeypatch):
         assert got == chosen and trace == want
 
 
+def test_selection_holds_a_bounded_number_of_edges(spark, monkeypatch):
+    """However many candidates are close, a pass holds MOST_EDGES edges at
+    most; the choice and its score stay exact."""
+    df, X, y = _data(spark, n=400, seed=2)
+    rng = np.random.default_rng(7)
+    near = {f"n{i}": X[:, 0] + 0.01 * rng.normal(size=400) for i in range(8)}
+    frame = df.toPandas().assign(**near)
+    names = ["b", *near]
+    data = clf.design(spark.createDataFrame(frame), names, "y", ["Alta", "Normal"], F.col("fold"))
+    batch = newton.Batch(names, [], names, [0, 1, 2, 3, 4])
+    fits = newton.fit_batch(data, batch)
+    want = newton.best_by_auc(data, batch, fits.beta)
+    held, whole = [], newton._histograms
+
+    def counted(data, b, beta, edges):
+        held.append(sum(len(e) for e in edges.values()))
+        return whole(data, b, beta, edges)
+
+    monkeypatch.setattr(newton, "_histograms", counted)
+    for most in (90, 600, 2000):
+        monkeypatch.setattr(newton, "MOST_EDGES", most)
+        held.clear()
+        assert newton.best_by_auc(data, batch, fits.beta) == (want[0], pytest.approx(want[1], abs=1e-12))
+        assert held and max(held) <= most
+
+
 def test_histogram_bounds_hold_the_auc():
     rng = np.random.default_rng(3)
     score, y = np.round(rng.normal(size=500), 2), (rng.random(500) < 0.4).astype(float)
