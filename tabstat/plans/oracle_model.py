@@ -295,7 +295,8 @@ select 'baseline' as model, round(avg(case when target_bin = predicted then 1.0
 cl AS (select distinct target_bin as c from clf)
 select a.c as actual, p.c as predicted, coalesce(k.cnt, 0) as count from cl a cross join cl p
 left join (select target_bin, predicted, count(*) as cnt from bp group by 1, 2) k on k.target_bin = a.c and k.predicted = p.c""")
-    q["label_grid"] = with_obs(CLF + """,
+    q["label_grid"] = with_obs(base + """,
 cl AS (select distinct target_bin as c from clf)
-select a.c as actual, p.c as predicted, a.c = p.c as hit from cl a cross join cl p""")
+select a.c as actual, p.c as predicted, coalesce(k.cnt, 0) as count, a.c = p.c as hit from cl a cross join cl p
+left join (select target_bin, predicted, count(*) as cnt from bp group by 1, 2) k on k.target_bin = a.c and k.predicted = p.c""")
     return q

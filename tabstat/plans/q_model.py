@@ -417,9 +417,11 @@ def q_confusion_grid(spark, sf_dir):
 
 
 def q_label_grid(spark, sf_dir):
-    """Every pair of classes of the target, without counts."""
-    _, _, classes = _baseline_pred(spark, sf_dir)
-    return clf.label_grid(spark, classes)
+    """Every pair of classes of the target, with its count (zeros included)
+    and whether both are the same."""
+    p, target, classes = _baseline_pred(spark, sf_dir)
+    counts = clf.confusion_grid(p, target, classes)
+    return counts.withColumn("hit", F.col("actual") == F.col("predicted"))
 
 
 QUERIES = {

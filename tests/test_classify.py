@@ -109,6 +109,19 @@ def test_selection_holds_a_bounded_number_of_edges(spark, monkeypatch):
         assert held and max(held) <= most
 
 
+def test_label_grid_counts_every_test_row(spark):
+    """The grid holds every pair of classes with its count, empty ones too."""
+    from tabstat.plans import q_model
+    from tests.conftest import SF001
+
+    rows = q_model.q_label_grid(spark, SF001).collect()
+    pred, target, classes = q_model._baseline_pred(spark, SF001)
+    assert {(r["actual"], r["predicted"]) for r in rows} == {(a, p) for a in classes for p in classes}
+    assert sum(r["count"] for r in rows) == pred.count()
+    want = {(r[0], r[1]): r[2] for r in pred.groupBy(target, "predicted").count().collect()}
+    assert all(r["count"] == want.get((r["actual"], r["predicted"]), 0) and r["hit"] == (r["actual"] == r["predicted"]) for r in rows)
+
+
 def test_histogram_bounds_hold_the_auc():
     rng = np.random.default_rng(3)
     score, y = np.round(rng.normal(size=500), 2), (rng.random(500) < 0.4).astype(float)
