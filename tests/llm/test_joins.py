@@ -4,6 +4,7 @@ import random
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,55 @@ def test_cutoffs_hold_the_limit(spark):
     assert sum(not r.kept for r in good) <= quality.LIMIT * len(good)
     assert sum(not r.kept for r in bad) > 0.95 * len(bad)
     assert all(r.kept for r in out if r.lang == "rare")  # too few labels: no rule
+
+
+def test_filter_by_codes_loses_no_stretch():
+    """Chains that the codes rule out have no stretch that counts, whatever
+    the words around them; a shared phrase alone is ruled out."""
+    rng = random.Random(9)
+    pairs, ruled_out, phrases = [], 0, 0
+    for n in range(600):
+        core = [rng.randrange(2**32) for _ in range(5)]
+        vocab = [rng.randrange(2**32) for _ in range(rng.choice([3, 40, 10**5]))]
+        sides = [rng.choices(vocab, k=rng.randint(0, 300)) for _ in range(2)]
+        others = [list(x) for x in sides]
+        for x in others:
+            for _ in range(int(len(x) * rng.choice([0.05, 0.2, 0.3, 1]))):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choices(vocab, k=rng.choice([1, 1, 1, 0, 2]))
+        cut = rng.randint(0, 9) if n % 3 else 300  # words that one side has at least
+        a = np.array(sides[0] + core + sides[1], "<u4")
+        b = np.array(others[0][-cut:] + core + others[1][:cut] if cut else core, "<u4")
+        pairs.append(([[len(sides[0])]], [[len(b) - 5 - min(len(others[1]), cut) if cut else 0]], a.tobytes(), b.tobytes()))
+    packed = []
+    for i in (2, 3):
+        words = [np.frombuffer(p[i], "<u4") & 15 for p in pairs]
+        words = [np.append(x, [0] * (len(x) % 2)).astype(np.uint8) for x in words]
+        packed.append(pa.array([(x[0::2] | x[1::2] << 4).tobytes() for x in words], pa.binary()))
+    places = [pa.array([p[i] for p in pairs], pa.list_(pa.list_(pa.int32()))) for i in (0, 1)]
+    low = np.zeros(len(pairs), np.int32)
+    keep = chains.may_stand(*places, low, low, *packed, chains.MIN_WORDS, chains.SIMILARITY)
+    at = chains.align_all(pairs)
+    own, other = at[:, 1] - at[:, 0], at[:, 3] - at[:, 2]
+    counts = (own >= chains.LEAST_STRETCH) & (at[:, 4] >= chains.SIMILARITY * np.maximum(own, other))
+    assert counts.sum() > 100 and not (counts & ~keep).any()
+    assert (~keep).sum() > 100
+
+
+def test_pairs_of_one_phrase_are_not_aligned(spark, monkeypatch):
+    """Word arrays go only to pairs that may have a stretch that counts."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(30_000)]
+    phrase = rng.choices(vocab, k=8)
+    texts = [" ".join(rng.choices(vocab, k=100) + phrase + rng.choices(vocab, k=100)) for _ in range(30)]
+    texts.append(texts[0])
+    seen, plain = [], chains.stretches
+
+    def stretches(found, *rest):
+        seen.append(found.count())
+        return plain(found, *rest)
+
+    monkeypatch.setattr(chains, "stretches", stretches)
+    out = {r.doc_id: r for r in chains.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {d for d, r in out.items() if r.n_passages} == {30} and out[30].class_id == 0
+    assert 1 <= seen[0] <= 3  # 59 pairs share the phrase
